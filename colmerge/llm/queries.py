@@ -26,9 +26,52 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(encode_media(documents(spark, sf_dir)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.pii import BASE_KINDS, find_pii, span_text
+
+    found = find_pii(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["kind"].isin(BASE_KINDS))
+    counts = [F.size(F.filter("pii", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    score = F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("max_score")
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"), score)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.sharding import shard_rows
+
+    shards = shard_rows(documents(spark, sf_dir))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir))
+
+
+#: SQL of op7: the same rates, hashes and inversion. A sum runs in the same order as the operator's.
+OP7_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, sqrt(n) * sum(n) OVER () / (sum(sqrt(n)) OVER () * n) AS rate FROM counts),
+drawn AS (
+  SELECT d.*, r.rate, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), '7')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+cdf AS (
+  SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM rates, range(0, 800) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
+numbers AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.u, count(c.k)::BIGINT AS copies
+  FROM drawn d LEFT JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND d.u >= c.c GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, copies, t.copy::BIGINT AS copy,
+       md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), t.copy, '7:order')) AS shuffle_key
+FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op6_sharding, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": OP7_SQL}
