@@ -36,6 +36,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"), score)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.langid import identify, learn
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = learn(docs.filter("not held_out"))
+    return identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colmerge.llm.sharding import shard_rows
 
@@ -49,6 +58,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.packing import pack
+
+    pieces = pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 #: SQL of op7: the same rates, hashes and inversion. A sum runs in the same order as the operator's.
 OP7_SQL = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -70,7 +86,7 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op6_sharding, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op6_sharding, op7_mixing, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
