@@ -31,7 +31,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(BASE_KINDS))
-    counts = [F.size(F.filter("pii", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    kinds = F.transform("pii", lambda s: s["kind"])
+    counts = [(F.size("pii") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
     score = F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("max_score")
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"), score)
 
@@ -45,6 +46,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.near_duplicates import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), n=3, threshold=0.85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colmerge.llm.sharding import shard_rows
 
@@ -86,7 +94,7 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op6_sharding, op7_mixing, op8_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

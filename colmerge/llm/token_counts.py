@@ -92,7 +92,16 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     counts = checkpointed(counted_pre_tokens(distinct_pre_tokens(docs), model))
-    best = counts.filter(F.length("pre_token") <= HEAD_CHARS).orderBy(F.desc("n"), "pre_token").limit(head_rows)
+    # the head ends at a step of the logarithm of frequency, so choosing it needs only the number of rows at each step
+    step = F.floor(F.log2("n") * 16)
+    short = counts.filter(F.length("pre_token") <= HEAD_CHARS).withColumn("step", step)
+    left, cut = head_rows, 64 * 16
+    for r in sorted(short.groupBy("step").count().collect(), reverse=True):  # 64 * 16 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r["step"]
+    best = short.filter(F.col("step") >= cut)  # head_rows rows at most
     head = spark.sparkContext.broadcast({r["pre_token"]: r["n_pieces"] for r in best.collect()})
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
