@@ -73,6 +73,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.substrings import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir), n=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 #: SQL of op7: the same rates, hashes and inversion. A sum runs in the same order as the operator's.
 OP7_SQL = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -94,7 +101,7 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
