@@ -80,6 +80,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.neighbours import nearest_neighbours
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
 #: SQL of op7: the same rates, hashes and inversion. A sum runs in the same order as the operator's.
 OP7_SQL = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -101,7 +108,7 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,9 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from colmerge.llm.langid import UNDETERMINED, identify, learn
+from colmerge.llm.mixing import mix_sources
+from colmerge.llm.near_duplicates import deduplicated
+from colmerge.llm.packing import pack
+from colmerge.llm.pii import find_pii, redact
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document goes if its best language has a smaller share than this: it isn't in any of the learned languages.
+LEAST_SHARE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents; texts without a letter, or without a language of ``LEAST_SHARE``, go."""
+    model = learn(docs)
+    found = identify(docs, model, keep=COLUMNS)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity of 0.8 or more: one document of each group stays."""
+    return deduplicated(docs, n=5, threshold=0.8).select(COLUMNS)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind."""
+    clean = redact(find_pii(docs.select(COLUMNS)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in proportion to the square root of their size, as many rows in all as there are."""
+    return mix_sources(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two lengths, none across documents."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", redact_pii),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
+#: Language ID, near-duplicates and packing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
