@@ -1,0 +1,154 @@
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from colmerge.functions import addresses as A
+from colmerge.functions import values as V
+from colmerge.operators import peers, stamping, views
+from colmerge.sources.tables import CHANGELOG, DELETE_WINS, SnapshotStore, TableMeta, create_if_missing, synced_tables
+from colmerge.streaming import live
+
+
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(
+    ("literal", "json"),
+    [("NULL", "null"), ("'it''s'", '"it\'s"'), ("42", "42"), ("-7", "-7"), ("1.5", "1.5"), ("TRUE", "true"), ("false", "false"), ("x'ff'", "\"x'ff'\""), ("'a,b (c)'", '"a,b (c)"'), ("", '""'), ("99999999999999999999", "1.0E20")],
+)
+def test_literals(spark, literal, json):
+    assert one(spark, literal, V.literal_to_json) == json
+
+
+def test_write_statements(spark):
+    told = lambda s: (one(spark, s, V.write_kind), one(spark, s, V.write_table))
+    assert told('INSERT INTO "tasks" (id) VALUES (1)') == ("insert", "tasks")
+    assert told("insert or ignore into tasks values (1)") == ("insert", "tasks")
+    assert told("UPDATE tasks SET a = 'x, WHERE y' WHERE id = 1") == ("update", "tasks")
+    assert told("DELETE FROM `notes` WHERE id = 'a b'") == ("delete", "notes")
+    assert told("SELECT 1") == told("REPLACE INTO t VALUES (1)") == (None, None)
+
+
+def test_keys_digests_paths(spark):
+    key = one(spark, "a|b", lambda x: V.split_key(V.cell_key(F.lit("t"), x, F.lit("c"))))
+    assert tuple(key) == ("t", "a|b", "c")
+    import hashlib
+    import hmac
+
+    assert one(spark, "héllo", lambda x: V.mac("pass", x)) == hmac.new(hashlib.sha256(b"pass").digest(), "héllo".encode(), "sha256").hexdigest()
+    assert one(spark, "a-b::*", V.module_prefix) == "a_b"
+    assert V.database_path("sqlite:///tmp/x.db?mode=rwc") == "/tmp/x.db"
+    assert V.database_path("sqlite::memory:") == ""
+
+
+@pytest.mark.parametrize(
+    ("address", "kind"),
+    [
+        ("/ip4/127.0.0.1/tcp/1", "drop"), ("/ip4/0.0.0.0/tcp/1", "drop"), ("/ip4/169.254.3.4/udp/1", "drop"), ("/ip4/172.17.0.2/tcp/1", "drop"), ("/ip4/172.32.0.2/tcp/1", "public"),
+        ("/ip4/192.0.2.9/tcp/1", "drop"), ("/ip4/224.0.0.1/tcp/1", "drop"), ("/ip4/255.255.255.255/tcp/1", "drop"), ("/ip4/10.1.2.3/tcp/1", "private"), ("/ip4/192.168.1.2/tcp/1", "private"),
+        ("/ip4/8.8.8.8/tcp/1", "public"), ("/ip6/::1/tcp/1", "drop"), ("/ip6/fe80::1/tcp/1", "drop"), ("/ip6/febf::1/tcp/1", "drop"), ("/ip6/fec0::1/tcp/1", "public"), ("/ip6/fd12::1/tcp/1", "private"),
+        ("/ip6/ff02::1/tcp/1", "drop"), ("/ip6/2001:db8::1/tcp/1", "public"), ("/dns4/a.org/tcp/443/wss", "public"),
+    ],
+)
+def test_address_classes(spark, address, kind):
+    assert one(spark, address, A.address_class) == kind
+
+
+def test_addresses(spark):
+    a = "/ip4/1.2.3.4/tcp/80/ws/p2p/relay/p2p-circuit/p2p/me"
+    assert (one(spark, a, A.address_score), one(spark, a, A.tcp_port), one(spark, a, A.last_peer), one(spark, a, A.tier)) == (4, 80, "me", 2)
+    assert one(spark, a, lambda x: A.with_peer(x, F.lit("me"))) == a
+    assert one(spark, "/dns4/a.org", A.last_peer) is None
+
+
+def brute_debounce(events, cooldown):
+    out, state = [], {}
+    for topic, at, n in sorted(events):
+        until, waiting = state.get(topic, (None, None))
+        if waiting is not None and until <= at:
+            out.append((topic, until, "trailing", waiting))
+            until, waiting = until + cooldown, None
+        if until is None or at >= until:
+            out.append((topic, at, "leading", n))
+            until, waiting = at + cooldown, None
+        else:
+            waiting = n
+        state[topic] = until, waiting
+    return out + [(t, u, "trailing", w) for t, (u, w) in state.items() if w is not None]
+
+
+def test_debounce(spark):
+    events = [(f"t{k % 3}", (k * 37 % 101) * (1 + k % 2), k) for k in range(200)]
+    df = spark.createDataFrame(events, "topic string, at long, position long")
+    assert sorted(tuple(r) for r in peers.debounce(df, 10).collect()) == sorted(brute_debounce(events, 10))
+    assert peers.debounce(df.limit(0), 10).count() == 0
+
+
+def test_address_cache(spark):
+    dials = [("p", "a", 1, 1, True), ("p", "a", 2, 2, False), ("p", "a", 3, 3, False), ("p", "b", 4, 4, False)]
+    df = spark.createDataFrame(dials, "peer_id string, address string, at long, position long, ok boolean")
+    assert [tuple(r) for r in peers.address_cache(df).collect()] == [("p", "a", 1, 3, 2)]
+
+
+def test_stamps_go_on_from_the_clock(spark):
+    writes = spark.createDataFrame([("t", "r", "a", 1), ("t", "r", "a", 2), ("t", "r", "b", 2)], "tbl string, pk string, cid string, event_id long")
+    clock = spark.createDataFrame([("t", "r", "a", 5)], "tbl string, pk string, cid string, col_version long")
+    got = {(r["event_id"], r["cid"]): (r["col_version"], r["db_version"]) for r in stamping.stamp_writes(writes, clock, base_version=10).collect()}
+    assert got == {(1, "a"): (6, 11), (2, "a"): (7, 12), (2, "b"): (1, 12)}
+
+
+def test_table_meta():
+    with pytest.raises(ValueError):
+        TableMeta("t", "id", ("name",))
+    with pytest.raises(ValueError):
+        TableMeta("t", "id", ("id",), policy="?")
+
+
+def test_catalog_and_views(spark):
+    spark.range(3).createOrReplaceTempView("notes_clock")
+    assert synced_tables(spark) == ["notes"]
+    assert views.point_lookup(spark.range(5), "id", 3).count() == 1
+    spark.catalog.dropTempView("notes_clock")
+    assert callable(create_if_missing)
+
+
+def test_streamed_state_equals_batch(spark, tmp_path):
+    rows = [("tasks", f"r{k % 4}", "__deleted" if k % 13 == 12 else "title", None if k % 13 == 12 else str(k), "AB"[k % 2], k % 5 + 1, k % 5 + 1, 0, k) for k in range(60)]
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], CHANGELOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from colmerge.operators.state import merge
+
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    stream = live.read_files(spark, str(tmp_path / "in"), "*.parquet", CHANGELOG)
+    live.apply_stream(stream, store, str(tmp_path / "told"), str(tmp_path / "at"), DELETE_WINS)
+    whole = spark.createDataFrame(rows, CHANGELOG)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, merge(whole, whole).collect()))
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "told")).count() >= 4
+
+
+def test_reactive_view_and_debounced_stream(spark, tmp_path):
+    rows = [("t", "r", "a", "1", 1), ("t", "r", "b", "2", 2), ("t", "q", "a", "3", 3), ("t", "r", "__deleted", None, 4), ("t", "r", "b", "5", 5)]
+    spark.createDataFrame(rows, "tbl string, pk string, cid string, val string, position long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("tbl string, pk string, cid string, val string, position long").parquet(str(tmp_path / "in"))
+    run = live.reactive_view(events).writeStream.outputMode("update").format("memory").queryName("reactive").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(map(tuple, spark.table("reactive").collect())) == [("t", "q", "a", "3", 3), ("t", "r", "b", "5", 5)]
+    spark.createDataFrame([("x", "1"), ("x", "2"), ("x", "3")], "topic string, payload string").coalesce(1).write.parquet(str(tmp_path / "push"))
+    pushed = spark.readStream.schema("topic string, payload string").parquet(str(tmp_path / "push"))
+    run = live.debounced(pushed, 500).writeStream.outputMode("append").format("memory").queryName("pushes").option("checkpointLocation", str(tmp_path / "d")).start()
+    for _ in range(60):
+        time.sleep(0.5)
+        edges = [(r["edge"], r["payload"]) for r in spark.table("pushes").collect()]
+        if len(edges) >= 2:
+            break
+    run.stop()
+    assert edges[0][0] == "leading" and ("trailing", "3") in edges
+
+
+def test_windowed_counts(spark, tmp_path):
+    out = live.windowed_counts(live.read_files(spark, "/root/testdata/sf0.001", "events.parquet", live.EVENTS), "1 day", "1 day")
+    run = out.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.table("counts").agg(F.sum("n")).first()[0] == 1000
