@@ -45,6 +45,21 @@ def peer_lag(vector: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("peer_id", "site_id", (F.col("db_version") - F.coalesce("seen", F.lit(0))).alias("lag"))
 
 
+def catch_up(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """Changes that each peer of ``known`` (peer_id, db_version: what it has seen of this log; 0 or null for nothing) still lacks.
+
+    Equal offsets share their work only in the answer; the join is on nothing but the offset, so peers must be those that ask now.
+    """
+    offsets = known.select("peer_id", F.coalesce("db_version", F.lit(0)).alias("seen"))
+    return changes.join(offsets, F.col("db_version") > F.col("seen")).drop("seen")
+
+
+def advanced(known: DataFrame, delivered: DataFrame) -> DataFrame:
+    """Offsets after deliveries (peer_id, db_version): they never go back, and an offset set to null starts from the beginning."""
+    both = known.select("peer_id", "db_version").unionByName(delivered.select("peer_id", "db_version"))
+    return both.groupBy("peer_id").agg(F.max("db_version").alias("db_version"))
+
+
 def global_version(*logs: DataFrame, stored: int = 0) -> DataFrame:
     """One row: the largest version of all logs and of the stored counter."""
     found = logs[0].agg(F.max("db_version").alias("v"))

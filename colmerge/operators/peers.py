@@ -68,6 +68,17 @@ def offered_addresses(addresses: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("peer_id").orderBy("tier", "position")).cast("long")).drop("position")
 
 
+def addresses_by_peer(addresses: DataFrame) -> DataFrame:
+    """(peer_id, n, addresses): distinct addresses that end in each peer, sorted."""
+    named = addresses.select(last_peer(F.col("address")).alias("peer_id"), "address").filter("peer_id is not null").distinct()
+    return named.groupBy("peer_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("address")).alias("addresses"))
+
+
+def replaced(snapshots: DataFrame) -> DataFrame:
+    """(peer_id, address) of each peer's last snapshot (peer_id, position, addresses): a snapshot replaces the one before."""
+    return latest(snapshots, ["peer_id"], ["position"], ["addresses"]).select("peer_id", F.explode("addresses").alias("address"))
+
+
 def introductions(members: DataFrame) -> DataFrame:
     """(topic, newcomer, member): whom a newcomer meets on its topic: members (topic, peer_id, joined) who came before.
 

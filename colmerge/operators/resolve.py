@@ -27,6 +27,13 @@ def winners(changes: DataFrame) -> DataFrame:
     return best.select(*CELL, "w.val", "w.site_id", "w.col_version", "w.cl", "w.seq", "w.db_version")
 
 
+def cell_winners(changes: DataFrame) -> DataFrame:
+    """Winners of all cells, deletes included as ordinary cells and absent values as empty: the rule of sites without delete handling."""
+    order = F.struct("col_version", F.coalesce("val", F.lit("")).alias("bytes"), "site_id", "val", "cl", "db_version")
+    best = changes.groupBy(*CELL).agg(F.max(order).alias("w"))
+    return best.select(*CELL, "w.val", "w.site_id", "w.col_version", "w.cl", "w.db_version")
+
+
 def should_delete(cl: Column, most: Column, policy: Column | str) -> Column:
     """Whether a delete of causal length ``cl`` removes a row whose latest cell has version ``most``."""
     ties = (F.lit(policy) if isinstance(policy, str) else policy) != ADD_WINS

@@ -122,6 +122,9 @@ SQL: dict[str, str] = {
     "tombstone_delete_wins": _with(CLOG, _alive("clog", "r", ">")) + "SELECT * FROM r",
     "tombstone_add_wins": _with(CLOG, _alive("clog", "r", ">=")) + "SELECT * FROM r",
     "orders_liveness": _with(ORDERS, _alive("olog", "r", ">")) + "SELECT * FROM r",
+    "cellwise_winner": _with(ORDERS)
+    + """SELECT pk, cid, val, site_id, col_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY pk, cid ORDER BY col_version DESC, coalesce(val, '') DESC, site_id DESC) AS place FROM olog) WHERE place = 1""",
     "converged_cells": _with(ORDERS, _best("olog", "w"), _alive("olog", "r", ">=")) + "SELECT w.pk, cid, val, site_id, col_version FROM w JOIN r ON w.pk = r.pk WHERE alive",
     "materialize_rows": _with(CLOG, _best("clog", "w"), _alive("clog", "r", ">")) + _PIVOT + " FROM w WHERE pk IN (SELECT pk FROM r WHERE alive) GROUP BY pk",
     "materialize_defaults": _with(CLOG, _best("clog", "w", "site_id = 's1'"), _alive("clog", "r", ">=", "site_id = 's1'"))
@@ -168,6 +171,8 @@ FROM clog WHERE cid <> '__deleted' GROUP BY pk, cid, col_version HAVING count(*)
     + """, vv AS (SELECT site_id, max(db_version) AS v FROM clog GROUP BY site_id),
 known AS (SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, site_id, max(db_version) AS seen FROM clog WHERE event_id % 5 = 0 AND NOT (event_id % 3 = 1 AND site_id = 's2') GROUP BY ALL)
 SELECT p.peer_id, vv.site_id, vv.v - coalesce(k.seen, 0) AS lag FROM (SELECT DISTINCT peer_id FROM known) p CROSS JOIN vv LEFT JOIN known k ON k.peer_id = p.peer_id AND k.site_id = vv.site_id""",
+    "catch_up": _with(CLOG) + "SELECT p.peer_id, pk, cid, val, db_version FROM clog, (VALUES ('p0', 0), ('p1', 100), ('p2', 0)) p(peer_id, seen) WHERE site_id = 's1' AND db_version > p.seen",
+    "peer_offsets": _with(CLOG) + "SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, max(db_version) AS db_version FROM clog WHERE event_id % 7 IN (1, 2) GROUP BY 1",
     "changeset_pack": _with(CLOG) + "SELECT site_id, db_version // 10 AS changeset, count(*) AS n_changes, min(db_version) AS first_version, max(db_version) AS last_version FROM clog GROUP BY ALL",
     "changeset_unpack": _with(CLOG) + "SELECT site_id, db_version, pk, cid, val, col_version FROM clog",
     "wire_round_trip": _with(ORDERS) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM olog",
@@ -193,6 +198,9 @@ SELECT peer_id, address, CAST(tier AS BIGINT) AS tier, row_number() OVER (PARTIT
     + """, s AS (SELECT *, CAST(CASE WHEN position % 2 = 0 AND position % 5 = 0 THEN 4 WHEN position % 5 = 0 THEN 3 WHEN position % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS score FROM told)
 SELECT peer_id, address, score FROM (SELECT *, row_number() OVER (PARTITION BY peer_id ORDER BY score DESC, position) AS place FROM s) WHERE place = 1""",
     "addr_last8": _with(PEERS) + "SELECT peer_id, position, age FROM (SELECT peer_id, position, row_number() OVER (PARTITION BY peer_id ORDER BY position DESC) AS age FROM told) WHERE age <= 8",
+    "addr_by_peer": _with(PEERS) + "SELECT peer_id, count(DISTINCT address) AS n, string_agg(DISTINCT address, ',' ORDER BY address) AS addresses FROM told GROUP BY peer_id",
+    "addr_snapshot_replace": _with(PEERS) + "SELECT peer_id, arg_max(address, position) || unnest(['', '/x']) AS address FROM told GROUP BY peer_id",
+    "peer_counts": _with(PEERS) + "SELECT count(DISTINCT peer_id) AS peers, count(DISTINCT CASE WHEN identity IS NOT NULL THEN peer_id END) AS known, count(DISTINCT topic) AS topics FROM told",
     "presence_intro": _with(PEERS)
     + """, m AS (SELECT topic, peer_id, min(position) AS joined FROM told GROUP BY ALL)
 SELECT n.topic, n.peer_id AS newcomer, o.peer_id AS member FROM m n JOIN m o ON n.topic = o.topic AND o.joined < n.joined AND o.peer_id <> n.peer_id""",

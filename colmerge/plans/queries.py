@@ -58,6 +58,11 @@ def orders_liveness(spark, d):
     return resolve.liveness(clog_orders(spark, d), REGISTRY.policy(F.col("tbl"))).select("pk", "mcv", "dcl", "alive")
 
 
+@query
+def cellwise_winner(spark, d):
+    return resolve.cell_winners(clog_orders(spark, d)).select("pk", "cid", "val", "site_id", "col_version")
+
+
 @query
 def converged_cells(spark, d):
     return resolve.converged(clog_orders(spark, d), ADD_WINS).select("pk", "cid", "val", "site_id", "col_version")
@@ -174,6 +179,19 @@ def peer_lag(spark, d):
     return D.peer_lag(D.version_vector(log), known)
 
 
+@query
+def catch_up(spark, d):
+    known = spark.createDataFrame([("p0", 0), ("p1", 100), ("p2", None)], "peer_id string, db_version long")
+    return D.catch_up(clog_events(spark, d).filter("site_id = 's1'"), known).select("peer_id", "pk", "cid", "val", "db_version")
+
+
+@query
+def peer_offsets(spark, d):
+    log = clog_events(spark, d)
+    told = lambda k: log.filter(F.col("event_id") % 7 == k).groupBy(F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("peer_id")).agg(F.max("db_version").alias("db_version"))
+    return D.advanced(told(1), told(2))
+
+
 @query
 def changeset_pack(spark, d):
     packed = D.pack(clog_events(spark, d), 10)
@@ -325,6 +343,22 @@ def addr_last8(spark, d):
     return peers.recent_addresses(_peer_events(spark, d)).select("peer_id", "position", "age")
 
 
+@query
+def addr_by_peer(spark, d):
+    return peers.addresses_by_peer(_peer_events(spark, d)).select("peer_id", "n", F.array_join("addresses", ",").alias("addresses"))
+
+
+@query
+def addr_snapshot_replace(spark, d):
+    snapshots = _peer_events(spark, d).select("peer_id", "position", F.array(F.col("address"), F.concat("address", F.lit("/x"))).alias("addresses"))
+    return peers.replaced(snapshots)
+
+
+@query
+def peer_counts(spark, d):
+    return _peer_events(spark, d).agg(F.countDistinct("peer_id").alias("peers"), F.countDistinct(F.when(F.col("identity").isNotNull(), F.col("peer_id"))).alias("known"), F.countDistinct("topic").alias("topics"))
+
+
 @query
 def presence_intro(spark, d):
     members = _peer_events(spark, d).groupBy("topic", "peer_id").agg(F.min("position").alias("joined"))
