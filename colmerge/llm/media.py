@@ -80,7 +80,7 @@ def _lace(frames: list[bytes], lacing: str) -> bytes:
         return head
     if lacing == "xiph":
         return head + b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    parts = [size_bytes(sizes[0])]
+    parts = [size_bytes(n) for n in sizes[:-1][:1]]  # a lace of one frame has no sizes
     for a, b in zip(sizes, sizes[1:-1], strict=False):
         width = next(w for w in range(1, 9) if abs(b - a) < (1 << 7 * w - 1) - 1)
         parts.append(size_bytes(b - a + (1 << 7 * width - 1) - 1, width))
