@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -139,14 +140,17 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     shared = spark.sparkContext.broadcast(model)
     given = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "lang_mix")]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*given, F.when(body.rlike(r"\p{L}"), body).alias("__text"))
+    # the text goes to the tasks once, even if it is kept
+    passed = given if text in given else [*given, text]
+    rows = docs.select(*passed, F.when(body.rlike(r"\p{L}"), True).alias("__letters"))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        limit = max(1 << 16, (4 << 20) * 4 // max(4, len(known.languages)))
+        limit = max(1 << 16, (1 << 20) * 4 // max(4, len(known.languages)))
         for batch in batches:
-            column = text_column(batch, "__text")
+            letters = batch.column(batch.num_columns - 1).is_valid()
+            column = pc.if_else(letters, text_column(batch, text), pa.scalar("", pa.large_string()))
             parts = [mixtures(data, offsets, known) for _, _, data, offsets in slices(column, limit)]
             shares = np.concatenate(parts) if parts else np.zeros((0, len(known.languages)))
             none = shares.sum(axis=1) == 0
@@ -158,9 +162,9 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
             ends = np.searchsorted(r, np.arange(len(shares) + 1))
             items = pa.StructArray.from_arrays([pa.array(names[c], pa.string()), pa.array(shares[r, c])], ["lang", "share"])
             mix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items).cast(kind)
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names[place], pa.string()), pa.array(score), mix], [*batch.schema.names[:-1], "lang_pred", "score", "lang_mix"])
+            kept = [batch.column(k) for k in range(len(given))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names[place], pa.string()), pa.array(score), mix], [*given, "lang_pred", "score", "lang_mix"])
 
     added = StructType.fromDDL("lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>")
-    schema = StructType(rows.schema.fields[:-1] + added.fields)
+    schema = StructType(rows.schema.fields[: len(given)] + added.fields)
     return rows.mapInArrow(predict, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MAX_LENGTH, CLOSING_ID = 2048, 1
 #: Parts of texts that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 END_OF_TEXT = "<|endoftext|>"
 _ASCII_SPACE = (" \n", "  ", " \t", " \r", " \x0b", " \x0c")
 _SPACE = re.compile(r" \s")

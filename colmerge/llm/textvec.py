@@ -18,7 +18,7 @@ import pyarrow as pa
 BYTE_P, WORD_P = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 BYTE_INV, WORD_INV = pow(BYTE_P, -1, 1 << 64), pow(WORD_P, -1, 1 << 64)
 #: Text bytes that one slice holds at most, unless a single document is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _POWERS[base] = have
     return have[:n]
 
