@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read from there, so later work survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, one is made.
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read from there: computed once, whatever becomes of executors.
+
+    Values that depend on how rows are dealt out, like monotonically increasing ids, are fixed with it.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import checkpointed
+from colmerge.llm.common import written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -32,13 +32,13 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every linked node with the smallest node that it reaches."""
     ends = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-    now = checkpointed(ends.filter("x is not null and y is not null and a <> b").select("a", "b").distinct())
+    now = written(ends.filter("x is not null and y is not null and a <> b").select("a", "b").distinct())
     seen = None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sums == seen or not sums[0]:
             break
         seen = sums
-        now = checkpointed(_star(_star(now, True), False))
+        now = written(_star(_star(now, True), False))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

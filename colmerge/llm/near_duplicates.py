@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import checkpointed
+from colmerge.llm.common import written
 from colmerge.llm.components import components
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, lower_ascii, mix, slices, text_column
 
@@ -223,15 +223,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_colu
     ``component_id`` is the smallest id of the component; ``kept`` is true for one row of each component, the first with that id.
     """
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
-    signed = checkpointed(signatures(keyed, n, threshold))
+    signed = written(signatures(keyed, n, threshold))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("row"), first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = checkpointed(classes)
+    classes = written(classes)
     banded = classes.select("row", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
     clusters = components(banded.join(heads, "band").filter("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")))
     sizes = classes.select("row", "n_shingles")
-    members = checkpointed(clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")).join(sizes, "row"))
+    members = written(clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")).join(sizes, "row"))
     found = components(verified_links(keyed.select("row", "text"), members, n, threshold))
     named = classes.select("set_a", "set_b", "row", "first").join(found.withColumnRenamed("node", "row"), "row", "left")
     named = named.withColumn("component", F.coalesce("component", "row"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import checkpointed
+from colmerge.llm.common import written
 from colmerge.llm.textvec import mix
 
 TABLES, PROBES, BUCKET, SPLIT, CHUNK = 8, 16, 4096, 65_536, 8192
@@ -168,12 +168,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     rows = rows.filter(_usable(F.col("vector"))).groupBy("vector", "id").agg(F.max("asks").alias("asks"))
     ordered = Window.partitionBy("vector").orderBy("id")
     first = rows.withColumn("place", F.row_number().over(ordered)).filter(F.col("place") <= k + 1)
-    classes = checkpointed(first.groupBy("vector").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("members")))
+    classes = written(first.groupBy("vector").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("members")))
     total = classes.count()
     if functions is None:
         width = classes.agg(F.max(F.size("vector"))).first()[0] or 1
         functions = max(1, round(math.log(max(1.0, total / BUCKET)) / math.log(2 * (1 << max(0, width - 1).bit_length()))))
-    asking = checkpointed(rows.filter("asks").join(classes.select("vector", "class"), "vector").select("id", "class"))
+    asking = written(rows.filter("asks").join(classes.select("vector", "class"), "vector").select("id", "class"))
     queries = asking.select("class").distinct().join(classes.select("class", "vector"), "class")
     met = _met(_keyed(queries, tables, functions, probes, seed), _keyed(classes, tables, functions, 1, seed), k + 1)
 
@@ -183,11 +183,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
         members = near.join(classes.select("class", "members"), "class").select(F.col("query").alias("class"), "score", F.explode("members").alias("id"))
         return members.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("score", "id"))).filter(F.col("n") <= k + 1).select("class", "id", "score")
 
-    told = checkpointed(nearest(met))
+    told = written(nearest(met))
     sizes = classes.select(F.size("vector").alias("width"), F.size("members").alias("n")).groupBy("width").agg(F.sum("n").alias("there"))
     counts = told.groupBy("class").agg(F.count("*").alias("n"))
     wanted = queries.select("class", F.size("vector").alias("width")).join(F.broadcast(sizes), "width").join(counts, "class", "left")
-    short = checkpointed(wanted.filter(F.coalesce("n", F.lit(0)) < F.least("there", F.lit(k + 1))).select("class"))
+    short = written(wanted.filter(F.coalesce("n", F.lit(0)) < F.least("there", F.lit(k + 1))).select("class"))
     if not short.isEmpty():
         again = queries.join(short, "class", "left_semi")
         every = 2 * (1 << max(0, (classes.agg(F.max(F.size("vector"))).first()[0] or 1) - 1).bit_length())

@@ -20,7 +20,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import checkpointed
+from colmerge.llm.common import written
 
 BLOCKS, PARTS = 1024, 64
 
@@ -87,7 +87,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 11, id_column: str
         F.xxhash64(F.lit(seed), F.col(id_column), F.monotonically_increasing_id()).alias("first"),
     )
     # written once: both passes over the keys must see the same hashes
-    rows = checkpointed(rows.withColumn("block", F.pmod(F.col("first"), F.lit(blocks)).cast("int")))
+    rows = written(rows.withColumn("block", F.pmod(F.col("first"), F.lit(blocks)).cast("int")))
     sizes = [0] * blocks
     for r in rows.groupBy("block").count().collect():  # one row per block
         sizes[r["block"]] = r["count"]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import checkpointed
+from colmerge.llm.common import written
 from colmerge.llm.textvec import text_column
 
 #: Pre-tokens of the broadcast head, and the longest of them in characters: so many entries hold 24 million characters at most.
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
     """One row per input row: the id, ``n_bytes`` (UTF-8), ``n_pre_tokens`` and ``n_tokens`` by the tokenizer file ``model``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    counts = checkpointed(counted_pre_tokens(distinct_pre_tokens(docs), model))
+    counts = written(counted_pre_tokens(distinct_pre_tokens(docs), model))
     # the head ends at a step of the logarithm of frequency, so choosing it needs only the number of rows at each step
     step = F.floor(F.log2("n") * 16)
     short = counts.filter(F.length("pre_token") <= HEAD_CHARS).withColumn("step", step)
