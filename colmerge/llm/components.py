@@ -3,7 +3,7 @@
 A round lets every node pass its smallest neighbour to its larger neighbours (large star), then to its smaller ones (small star). The links
 turn into stars around each component's smallest node in a number of rounds that grows with the logarithm of the longest path. All rounds are
 joins and aggregations with map-side combining; a node with very many links is a skewed key of a join, which Spark splits. Each round's
-links are written to the checkpoint folder. Only their number and a checksum reach the driver.
+links are written to the shared folder. Only their number and a checksum reach the driver.
 
 Cases: links from a node to itself, repeated links and null ends are dropped; no links give no rows.
 """
@@ -20,7 +20,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         ends = ends.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written, so that the join deals out both sides: only then can Spark split a node with very many links
+    least = written(ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     met = ends.join(least, "u")
     if large:
         out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

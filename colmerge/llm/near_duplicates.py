@@ -13,8 +13,8 @@
 
 Cases: documents without words (null text too) have an empty set and are linked with nothing; with fewer words than a shingle has, the
 whole sequence is the one shingle; repeated rows are copies; a null id is never smallest unless all ids of the component are null; an empty table
-gives an empty result; other columns are ignored by ``near_duplicates`` and pass through ``deduplicated``. Input rows are read twice and must
-come in the same order again, as rows of files do.
+gives an empty result; other columns are ignored by ``near_duplicates`` and pass through ``deduplicated``. Rows are read
+more than once and recognised by 128 bits of id and text, so it doesn't matter how the input is split.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from colmerge.llm.common import written
 from colmerge.llm.components import components
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, lower_ascii, mix, slices, text_column
 
-#: Registers in a band, the chance to miss a pair at the threshold, mantissa bits of a register, members of a block, standard errors.
-ROWS, MISS, MANTISSA, BLOCK, SIGMAS = 6, 1e-7, 10, 256, 6.0
+#: Registers in a band, the chance to miss a pair at the threshold, mantissa bits of a register, standard errors.
+ROWS, MISS, MANTISSA, SIGMAS = 6, 1e-7, 10, 6.0
+#: Members of a block, and shingles of all its members (16 MB), on average; a single longer set is a block's own.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -106,7 +108,7 @@ def estimate(agree: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(row, id, n_shingles, set_a, set_b, bands) of (row, id, text): 128 bits name the set; an empty set has no bands."""
+    """(key_a, key_b, id, n_shingles, set_a, set_b, bands) of (key_a, key_b, id, text): 128 bits name the set; an empty set has no bands."""
     k = ROWS * bands_for(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +123,18 @@ def signatures(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
                 keys = band_keys(registers(hashes, first, k)).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[sizes > 0].reshape(-1)))
-                own = [batch.column(c).slice(at, end - at) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(ids[0]), pa.array(ids[1]), lists], ["row", "id", "n_shingles", "set_a", "set_b", "bands"])
+                own = [batch.column(c).slice(at, end - at) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(ids[0]), pa.array(ids[1]), lists], ["key_a", "key_b", "id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return keyed.select("row", "id", "text").mapInArrow(sign, f"row long, id {dict(keyed.dtypes)['id']}, n_shingles long, set_a long, set_b long, bands array<long>")
+    schema = f"key_a long, key_b long, id {dict(keyed.dtypes)['id']}, n_shingles long, set_a long, set_b long, bands array<long>"
+    return keyed.select("key_a", "key_b", "id", "text").mapInArrow(sign, schema)
 
 
 def _blocks(members: DataFrame, threshold: float) -> DataFrame:
     """(group, side, row): each member once for each group of two blocks in which its block takes part."""
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
     members = members.withColumn("step", step)
-    counts = members.groupBy("cluster", "step").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    counts = members.groupBy("cluster", "step").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     around = [counts.select("cluster", (F.col("step") - d).alias("step"), F.col("blocks").alias(name)) for d, name in ((0, "own"), (1, "above"), (-1, "below"))]
     for table in around:
         members = members.join(table, ["cluster", "step"], "left")
@@ -185,7 +188,10 @@ def _linked(rows: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], thresho
 
 
 def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b): links between rows of a cluster, as many as connect them. ``docs``: (row, text); ``members``: (row, cluster, n_shingles)."""
+    """(a, b): links between classes of a cluster, as many as connect them.
+
+    ``docs``: (key_a, key_b, text); ``members``: (row, cluster, n_shingles, key_a, key_b), a class and the keys of one of its texts.
+    """
     k = ROWS * bands_for(threshold)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,37 +218,48 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float
                 held.append(np.frombuffer(data.as_buffer(), np.uint64).copy())
         yield done()
 
-    whole = members.select("row").join(docs, "row").mapInArrow(sets, "row long, shingles binary")
+    # the members grow with the corpus: never broadcast, at any size
+    texts = members.select("row", "key_a", "key_b").join(docs.hint("merge"), ["key_a", "key_b"]).groupBy("key_a", "key_b", "row").agg(F.first("text").alias("text"))
+    whole = texts.select("row", "text").mapInArrow(sets, "row long, shingles binary")
     grouped = _blocks(members, threshold).join(whole, "row").select("group", "side", "row", "shingles")
     return grouped.repartition("group").sortWithinPartitions("group", "side").mapInArrow(verify, "a long, b long")
 
 
+def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``docs`` with ``__key_a`` and ``__key_b``, 128 bits of the id and the text: the same wherever and whenever a row is read."""
+    return docs.withColumn("__key_a", F.xxhash64(F.lit(1), id_column, text)).withColumn("__key_b", F.xxhash64(F.lit(2), text, id_column))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, n_shingles, component_id, kept) for each input row: ``row`` is its monotonically increasing id.
+    """(key_a, key_b, id, n_shingles, component_id, kept) for each input row.
 
-    ``component_id`` is the smallest id of the component; ``kept`` is true for one row of each component, the first with that id.
+    ``component_id`` is the smallest id of the component. ``kept`` is true for one (id, text) of each component, with that id; rows that repeat
+    both are all marked, as nothing tells them apart.
     """
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
+    keyed = _keyed(docs, id_column, text).select(F.col("__key_a").alias("key_a"), F.col("__key_b").alias("key_b"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     signed = written(signatures(keyed, n, threshold))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("row"), first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = written(classes)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key_a", "key_b")).alias("first")
+    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("row", F.monotonically_increasing_id()))
     banded = classes.select("row", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
+    # written, so that the join below deals out both sides and Spark can split a band that very many classes share
+    heads = written(banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head"))
     clusters = components(banded.join(heads, "band").filter("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")))
-    sizes = classes.select("row", "n_shingles")
-    members = written(clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")).join(sizes, "row"))
-    found = components(verified_links(keyed.select("row", "text"), members, n, threshold))
+    known = classes.select("row", "n_shingles", "first.key_a", "first.key_b")
+    members = written(clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")).join(known, "row"))
+    found = components(verified_links(keyed.select("key_a", "key_b", "text"), members, n, threshold))
     named = classes.select("set_a", "set_b", "row", "first").join(found.withColumnRenamed("node", "row"), "row", "left")
     named = named.withColumn("component", F.coalesce("component", "row"))
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     named = named.join(best, "component").select("set_a", "set_b", "best")
     told = signed.drop("bands").join(named, ["set_a", "set_b"], "left")
     alone = F.col("best").isNull()  # an empty set is in no class
-    return told.select("row", F.col("id").alias(id_column), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"), (alone | (F.col("best.row") == F.col("row"))).alias("kept"))
+    kept = alone | ((F.col("best.key_a") == F.col("key_a")) & (F.col("best.key_b") == F.col("key_b")))
+    return told.select("key_a", "key_b", F.col("id").alias(id_column), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    kept = near_duplicates(docs, n, threshold, id_column, text).filter("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """The documents of ``docs`` that are kept, with all their columns; of rows that repeat id and text, one."""
+    kept = near_duplicates(docs, n, threshold, id_column, text).filter("kept").select(F.col("key_a").alias("__key_a"), F.col("key_b").alias("__key_b"))
+    rows = _keyed(docs, id_column, text).join(kept, ["__key_a", "__key_b"], "left_semi")
+    return rows.dropDuplicates(["__key_a", "__key_b"]).drop("__key_a", "__key_b")
