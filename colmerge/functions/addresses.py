@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DROP, PRIVATE, PUBLIC = "drop", "private", "public"
 
 
-def _octet(ip: Column, k: int) -> Column:
-    return F.split_part(ip, F.lit("."), F.lit(k)).try_cast("int")
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def ip4_class(ip: Column) -> Column:
     """Loopback, unspecified, multicast, link-local, broadcast, documentation and container ranges are dropped."""
-    a, b, c = _octet(ip, 1), _octet(ip, 2), _octet(ip, 3)
-    documentation = F.concat_ws(".", a, b, c).isin("192.0.2", "198.51.100", "203.0.113")
-    drop = (a == 127) | a.between(224, 239) | ip.isin("0.0.0.0", "255.255.255.255") | ((a == 169) & (b == 254)) | documentation | ((a == 172) & b.between(16, 31))
-    return F.when(drop, DROP).when((a == 10) | ((a == 192) & (b == 168)), PRIVATE).otherwise(PUBLIC)
+
+    def told(octets: Column) -> Column:
+        a, b = octets[0], octets[1]
+        documentation = F.array_join(F.slice(octets.cast("array<string>"), 1, 3), ".").isin("192.0.2", "198.51.100", "203.0.113")
+        drop = (a == 127) | a.between(224, 239) | ip.isin("0.0.0.0", "255.255.255.255") | ((a == 169) & (b == 254)) | documentation | ((a == 172) & b.between(16, 31))
+        return F.when(drop, DROP).when((a == 10) | ((a == 192) & (b == 168)), PRIVATE).otherwise(PUBLIC)
+
+    return let(F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int")), told)
 
 
 def ip6_class(ip: Column) -> Column:
     """Loopback, unspecified, multicast (ff00::/8) and link-local (fe80::/10) are dropped; fc00::/7 is private."""
-    first = F.coalesce(F.conv(F.when(F.split_part(ip, F.lit(":"), F.lit(1)) != "", F.split_part(ip, F.lit(":"), F.lit(1))), 16, 10).cast("int"), F.lit(0))
-    drop = ip.isin("::", "::1") | (first >= 0xFF00) | first.between(0xFE80, 0xFEBF)
-    return F.when(drop, DROP).when(first.between(0xFC00, 0xFDFF), PRIVATE).otherwise(PUBLIC)
+    group = F.split_part(ip, F.lit(":"), F.lit(1))
+
+    def told(first: Column) -> Column:
+        drop = ip.isin("::", "::1") | (first >= 0xFF00) | first.between(0xFE80, 0xFEBF)
+        return F.when(drop, DROP).when(first.between(0xFC00, 0xFDFF), PRIVATE).otherwise(PUBLIC)
+
+    return let(F.coalesce(F.conv(F.nullif(group, F.lit("")), 16, 10).cast("int"), F.lit(0)), told)
 
 
 def address_class(address: Column) -> Column:
     """The class of the first IP part; an address by name is public."""
-    family, ip = F.regexp_extract(address, r"/(ip4|ip6)/([^/]+)", 1), F.regexp_extract(address, r"/(ip4|ip6)/([^/]+)", 2)
-    return F.when(family == "ip4", ip4_class(ip)).when(family == "ip6", ip6_class(ip)).otherwise(PUBLIC)
+    first = F.struct(F.regexp_extract(address, r"/(ip4|ip6)/([^/]+)", 1).alias("family"), F.regexp_extract(address, r"/(ip4|ip6)/([^/]+)", 2).alias("ip"))
+    return let(first, lambda a: F.when(a["family"] == "ip4", ip4_class(a["ip"])).when(a["family"] == "ip6", ip6_class(a["ip"])).otherwise(PUBLIC))
 
 
 def address_score(address: Column) -> Column:
@@ -55,4 +66,4 @@ def with_peer(address: Column, peer: Column) -> Column:
 
 def tier(address: Column) -> Column:
     """Order in which addresses are offered: 0 private, 1 public, 2 through a relay; null if dropped."""
-    return F.when(address.rlike("/p2p-circuit(/|$)"), 2).when(address_class(address) == PRIVATE, 0).when(address_class(address) == PUBLIC, 1)
+    return F.when(address.rlike("/p2p-circuit(/|$)"), 2).otherwise(let(address_class(address), lambda c: F.when(c == PRIVATE, 0).when(c == PUBLIC, 1)))
