@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from colmerge.llm.common import written
 from colmerge.llm.textvec import mix
 
-TABLES, PROBES, BUCKET, SPLIT, CHUNK = 8, 16, 4096, 65_536, 8192
+TABLES, PROBES, BUCKET, SPLIT, CHUNK = 4, 32, 4096, 65_536, 8192
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -75,19 +75,35 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, values[offsets[rows][:, None] + np.arange(n)]
 
 
+def _packed(column: pa.Array) -> pa.Array:
+    """The components of each list as bytes."""
+    values = column.values.to_numpy()
+    ends = np.asarray(column.offsets).astype(np.int64) * values.itemsize
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+    return whole.cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """Packed vectors of one length as a matrix of doubles."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return data.view(kind).reshape(len(column), -1).astype(np.float64)
+
+
 def _keyed(classes: DataFrame, tables: int, functions: int, probes: int, seed: int) -> DataFrame:
-    """(key, class, vector): a row for each bucket."""
+    """(key, class, vector): a row for each bucket, with the vector's components packed as they are stored."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[list[int]] = [[]] * batch.num_rows
             for rows, matrix in _matrices(batch.column(1)):
+                matrix = matrix.astype(np.float64)
                 found = np.concatenate([bucket_keys(matrix, t, functions, probes, seed) for t in range(tables)], axis=1)
                 for r, k in zip(rows, found.tolist(), strict=True):
                     keys[r] = k
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), batch.column(1)], ["class", "keys", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), _packed(batch.column(1))], ["class", "keys", "vector"])
 
-    found = classes.select("class", "vector").mapInArrow(hashed, "class long, keys array<long>, vector array<double>")
+    found = classes.select("class", "vector").mapInArrow(hashed, "class long, keys array<long>, vector binary")
     return found.select(F.explode("keys").alias("key"), "class", "vector")
 
 
@@ -119,7 +135,7 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, times), pa.int64()), pa.array(names, pa.int64()), pa.array(far)], ["query", "class", "score"])
 
 
-def _met(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def _met(queries: DataFrame, candidates: DataFrame, k: int, kind: type) -> DataFrame:
     """(query, class, score): for each bucket and query in it, the k nearest candidates there."""
     sizes = candidates.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
     sizes = sizes.select("key", F.ceil(F.col("n") / F.lit(SPLIT)).cast("int").alias("parts"))
@@ -143,7 +159,7 @@ def _met(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                     now, best, waiting = (key[at], part[at]), None, []
                 for low in range(at, end, CHUNK):
                     high = min(end, low + CHUNK)
-                    _, matrix = next(_matrices(batch.column(4).slice(low, high - low)))
+                    matrix = _unpacked(batch.column(4).slice(low, high - low), kind)
                     if side[at] == 0:
                         waiting.append((ids[low:high], matrix))
                     elif waiting or best:
@@ -164,7 +180,9 @@ def _usable(vector: Column) -> Column:
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES, functions: int | None = None, seed: int = 13) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows found for each row where ``is_query`` holds, by Euclidean distance."""
-    rows = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    stored = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    kind = np.float32 if stored == "array<float>" else np.float64
+    rows = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(stored).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(_usable(F.col("vector"))).groupBy("vector", "id").agg(F.max("asks").alias("asks"))
     ordered = Window.partitionBy("vector").orderBy("id")
     first = rows.withColumn("place", F.row_number().over(ordered)).filter(F.col("place") <= k + 1)
@@ -175,7 +193,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
         functions = max(1, round(math.log(max(1.0, total / BUCKET)) / math.log(2 * (1 << max(0, width - 1).bit_length()))))
     asking = written(rows.filter("asks").join(classes.select("vector", "class"), "vector").select("id", "class"))
     queries = asking.select("class").distinct().join(classes.select("class", "vector"), "class")
-    met = _met(_keyed(queries, tables, functions, probes, seed), _keyed(classes, tables, functions, 1, seed), k + 1)
+    met = _met(_keyed(queries, tables, functions, probes, seed), _keyed(classes, tables, functions, 1, seed), k + 1, kind)
 
     def nearest(found: DataFrame) -> DataFrame:
         """(class, id, score): the k + 1 nearest rows of each query's class."""
@@ -191,7 +209,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     if not short.isEmpty():
         again = queries.join(short, "class", "left_semi")
         every = 2 * (1 << max(0, (classes.agg(F.max(F.size("vector"))).first()[0] or 1) - 1).bit_length())
-        more = nearest(_met(_keyed(again, 1, 1, every, seed), _keyed(classes, 1, 1, 1, seed), k + 1))
+        more = nearest(_met(_keyed(again, 1, 1, every, seed), _keyed(classes, 1, 1, 1, seed), k + 1, kind))
         told = told.join(short, "class", "left_anti").unionByName(more)
     pairs = asking.select(F.col("id").alias("query_id"), "class").join(told, "class").filter("query_id <> id")
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)

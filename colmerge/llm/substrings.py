@@ -30,7 +30,7 @@ from colmerge.llm.common import shuffle_partitions
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, mix, slices, text_column
 
 #: Words that a task gathers before it packs them, and settled entries to a row.
-GATHER, PER_ROW = 3_000_000, 1 << 16
+GATHER, PER_ROW = 2_000_000, 1 << 16
 BUCKET_SCHEMA = "bucket int, once binary, many binary, runs binary, settled binary"
 FOUND_SCHEMA = "row long, start int, length int"
 
@@ -237,7 +237,7 @@ def _as_runs(rows: np.ndarray, starts: np.ndarray, bucket: np.ndarray) -> tuple[
 
 def remove_repeats(docs: DataFrame, n: int = 50, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per input row: the id, ``n_words``, ``n_removed``, and ``kept_text``, the words that stay, joined by single spaces."""
-    n_buckets = 2 * shuffle_partitions(docs.sparkSession)
+    n_buckets = 4 * shuffle_partitions(docs.sparkSession)
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).repartition("row")
     marks = anchors(keyed, n, n_buckets).groupBy("row").agg(F.collect_list("start").alias("anchors"))
     marked = keyed.join(marks, "row", "left").select("row", "id", "text", "anchors")
