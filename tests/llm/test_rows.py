@@ -1,6 +1,7 @@
 """Personal data, sharding, mixing, the pipeline and the registered queries."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -106,6 +107,28 @@ def test_mixing(spark, awkward):
     assert mixing.mix_sources(awkward, {}).count() == 0 == mixing.mix_sources(awkward.limit(0)).count()
 
 
+def test_a_small_source_of_large_weight_is_not_dropped(spark):
+    docs = spark.range(6003).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "small").otherwise("large").alias("source"))
+    mixed = mixing.mix_sources(docs, {"small": 0.5, "large": 0.5})
+    got = {r["doc_id"]: (r["n"], r["m"]) for r in mixed.filter("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copies").alias("m")).collect()}
+
+    def inverted(key, rate):
+        u, k = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52, 0
+        total = p = math.exp(-rate)
+        while u >= total:
+            k += 1
+            p *= rate / k
+            total += p
+        return k
+
+    # a mean of 1000.5 in two parts
+    told = {i: inverted(f"{i}:7", 500.25) + inverted(f"{i}:1:7", 500.25) for i in range(3)}
+    assert got == {i: (n, n) for i, n in told.items()}
+    assert all(abs(n - 1000.5) < 200 for n in told.values())
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, {"small": -1.0})
+
+
 def test_many_sources_are_salted(monkeypatch, documents):
     whole = sorted(map(str, mixing.mix_sources(documents).select("doc_id", "copy").collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
