@@ -2,8 +2,9 @@
 
 1. Rows of one vector form a class (its smallest ids are kept, one more than the neighbours wanted), so a very common vector is one entry.
 2. A table's hash rotates the unit vector by three rounds of random signs and a fast Hadamard transform, and takes the nearest signed axis;
-   ``functions`` such hashes make a bucket, by default as many as bring buckets down to about ``BUCKET`` vectors.
-3. Each class goes to its bucket in each table. A query goes to the ``probes`` buckets of each table whose axes lie nearest to it.
+   ``functions`` such hashes make a bucket, by default one, whatever the number of rows.
+3. Each class goes to its bucket in each table. A query goes to the ``probes`` buckets of each table whose axes lie nearest to it, by default
+   to a fixed share of all buckets (``shared_probes``). So neither more rows nor longer hashes or vectors make it search a smaller share.
 4. Where both meet, distances are taken on the original vectors in double precision, and each query's nearest go on. A bucket of over
    ``SPLIT`` vectors is cut by hash, and its queries go to every part. Pairs are never listed.
 5. A query that found fewer than it should is searched again in all buckets of one table, so over all rows.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from colmerge.llm.common import written
 from colmerge.llm.textvec import mix
 
-TABLES, PROBES, BUCKET, SPLIT, CHUNK = 4, 32, 4096, 65_536, 8192
+TABLES, PROBES, SPLIT, CHUNK, BLOCK = 4, 32, 65_536, 8192, 1024
+#: The share of a table's buckets that a query goes to, and that for vectors of more than ``NARROW`` axes, which need more for the same recall.
+SHARE, WIDE_SHARE, NARROW = 0.25, 0.4, 128
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,6 +53,12 @@ def axis_scores(vectors: np.ndarray, table: int, function: int, seed: int) -> np
     return np.concatenate([x, -x], axis=1)
 
 
+def shared_probes(width: int, functions: int) -> int:
+    """The buckets of a table that a query of ``width`` components goes to, unless the caller names a number."""
+    axes = 2 << max(0, width - 1).bit_length()
+    return max(PROBES, math.ceil((SHARE if axes <= NARROW else WIDE_SHARE) * axes**functions))
+
+
 def bucket_keys(vectors: np.ndarray, table: int, functions: int, probes: int, seed: int) -> np.ndarray:
     """Keys of the ``probes`` nearest buckets of each vector, nearest first (all buckets, if there are fewer)."""
     best = np.zeros((len(vectors), 1))
@@ -90,17 +99,20 @@ def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
     return data.view(kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _keyed(classes: DataFrame, tables: int, functions: int, probes: int, seed: int) -> DataFrame:
+def _keyed(classes: DataFrame, tables: int, functions: int, probes: int | None, seed: int) -> DataFrame:
     """(key, class, vector): a row for each bucket, with the vector's components packed as they are stored."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[list[int]] = [[]] * batch.num_rows
             for rows, matrix in _matrices(batch.column(1)):
-                matrix = matrix.astype(np.float64)
-                found = np.concatenate([bucket_keys(matrix, t, functions, probes, seed) for t in range(tables)], axis=1)
-                for r, k in zip(rows, found.tolist(), strict=True):
-                    keys[r] = k
+                most = shared_probes(matrix.shape[1], functions) if probes is None else probes
+                block = max(1, (1 << 22) // (most * 2 << max(0, matrix.shape[1] - 1).bit_length())) if functions > 1 else CHUNK
+                for low in range(0, len(rows), block):
+                    part = matrix[low : low + block].astype(np.float64)
+                    found = np.concatenate([bucket_keys(part, t, functions, most, seed) for t in range(tables)], axis=1)
+                    for r, k in zip(rows[low : low + block], found.tolist(), strict=True):
+                        keys[r] = k
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), _packed(batch.column(1))], ["class", "keys", "vector"])
 
     found = classes.select("class", "vector").mapInArrow(hashed, "class long, keys array<long>, vector binary")
@@ -116,10 +128,11 @@ class _Best:
 
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         squares, own = (vectors**2).sum(axis=1), (self.vectors**2).sum(axis=1)
-        rough = own[:, None] + squares - 2 * self.vectors @ vectors.T
         slack = 1e-9 * (own + squares.max(initial=0.0)) + 1e-300
-        for q, row in enumerate(rough):
-            near = np.arange(len(ids))
+        for q in range(len(self.ids)):
+            if q % BLOCK == 0:
+                rough = own[q : q + BLOCK, None] + squares - 2 * self.vectors[q : q + BLOCK] @ vectors.T
+            row, near = rough[q % BLOCK], np.arange(len(ids))
             if len(ids) > self.k:
                 near = np.flatnonzero(row <= np.partition(row, self.k - 1)[self.k - 1] + slack[q])
             far, names = self.found[q]
@@ -178,7 +191,7 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES, functions: int | None = None, seed: int = 13) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None, functions: int = 1, seed: int = 13) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows found for each row where ``is_query`` holds, by Euclidean distance."""
     stored = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
     kind = np.float32 if stored == "array<float>" else np.float64
@@ -187,10 +200,6 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     ordered = Window.partitionBy("vector").orderBy("id")
     first = rows.withColumn("place", F.row_number().over(ordered)).filter(F.col("place") <= k + 1)
     classes = written(first.groupBy("vector").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("members")))
-    total = classes.count()
-    if functions is None:
-        width = classes.agg(F.max(F.size("vector"))).first()[0] or 1
-        functions = max(1, round(math.log(max(1.0, total / BUCKET)) / math.log(2 * (1 << max(0, width - 1).bit_length()))))
     asking = written(rows.filter("asks").join(classes.select("vector", "class"), "vector").select("id", "class"))
     queries = asking.select("class").distinct().join(classes.select("class", "vector"), "class")
     met = _met(_keyed(queries, tables, functions, probes, seed), _keyed(classes, tables, functions, 1, seed), k + 1, kind)

@@ -166,6 +166,19 @@ def test_neighbours(spark):
     assert total == 300 and hit >= 0.95 * total
 
 
+@pytest.mark.parametrize(("width", "functions"), [(16, {"functions": 2}), (256, {})])
+def test_neighbours_keep_recall_with_longer_hashes_and_wider_vectors(spark, width, functions):
+    x = np.random.default_rng(6).normal(size=(2000, width))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = nearest_neighbours(df, F.col("vec_id") % 100 == 0, **functions).toPandas()
+    hit = 0
+    for q, own in found.groupby("query_id"):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        hit += len(set(own["vec_id"]) & {k for _, k in sorted((far[k], k) for k in range(2000) if k != q)[:10]})
+    print(f"recall {hit / 200} at width {width}")
+    assert len(found) == 200 and hit >= 0.9 * 200
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (200, [0.0, 2.0, 0.0]), (200, [0.0, 2.0, 0.0]), (201, None), (300, [0.0, 0.0, 0.0]), (400, [1.0, float("nan"), 0.0]), (600, [1.0, None, 0.0]), (202, [0.0, -2.0, 0.0]), (203, [0.0, 2.0, 1.0]), (500, [1.0, 2.0]), (501, [1.0, 3.0]), (None, [1.0, 1.0, 1.0]), (700, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
