@@ -8,7 +8,8 @@ first replaced by one sign of the same length. So runs of any length are matched
 begin only where a run begins (or where the last match ended), which finds the same leftmost matches in linear time.
 
 Base kinds (``email``, ``ip``, ``card``, ``phone``) are kept whenever their own check holds (parts up to 255; 13 to 19 digits that pass
-Luhn; 9 to 15 digits). The added kind ``iban`` is kept if mod-97 confirms it. ``score`` starts at the kind's prior and rises by
+Luhn; 9 to 15 digits). The added kind ``iban`` is proposed at every start of a word, with its country's length where that is known and ends
+a word, else to the end of the run of capitals and digits; it is kept if mod-97 confirms it, so its spans may overlap. ``score`` starts at the kind's prior and rises by
 ``CONTEXT_BONUS``, to 1 at most, if one of the kind's words lies in the ``CONTEXT`` characters before the span.
 
 Cases: a null or empty text has no spans; texts are searched whole; repeated rows stay; other columns pass through (an input column
@@ -36,12 +37,20 @@ WORDS = {
 
 _LOCAL = f"A-Za-z0-9._%+{JOIN}-"
 _LABEL = "A-Za-z0-9-"
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:{JOIN}?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[{_LABEL}]++{JOIN}[{_LABEL}{JOIN}]++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": rf"(?<![0-9{JOIN}])[0-9][0-9{JOIN}]{{12,}}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}[A-Z0-9{JOIN}]{{11,38}}+(?![A-Za-z0-9])",
+    # takes no room, so that a number that isn't confirmed hides none that begins inside it
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBANS}|[A-Z0-9{JOIN}]{{15,42}}+(?![A-Za-z0-9])))",
 }
 #: Where the pattern reads a text in which single separators are replaced.
 JOINED = {"email": rf"(?<=[{_LABEL}])\.(?=[{_LABEL}])", "card": r"(?<=[0-9])[\x20-](?=[0-9])", "iban": "(?<=[A-Z0-9]) (?=[A-Z0-9])"}
@@ -90,13 +99,19 @@ def _proposed(text: Column, kind: str) -> Column:
     """All matches of the kind's pattern with their places and what stands before them."""
     if kind in JOINED:
         text = F.regexp_replace(text, JOINED[kind], JOIN)
-    pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK, -1)
+    copied = kind == "iban"
+    pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}${int(copied)}{MARK}"), MARK, -1)
 
     def step(state: Column, piece: Column) -> Column:
         end = state["at"] + F.length(piece)
         span = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("value"), state["last"].alias("before"))
         found = F.when(state["inside"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.right(piece, F.lit(CONTEXT)).alias("last"), found.alias("found"))
+        last = F.right(piece, F.lit(CONTEXT))
+        if copied:
+            # the piece between the marks is a copy of what follows them
+            end = F.when(state["inside"], state["at"]).otherwise(end)
+            last = F.when(state["inside"], state["last"]).otherwise(F.right(F.concat(state["last"], piece), F.lit(CONTEXT)))
+        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), last.alias("last"), found.alias("found"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("last"), F.array().cast(SPAN).alias("found"))
     return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda state: state["found"])).otherwise(F.array().cast(SPAN))

@@ -54,6 +54,21 @@ def test_confirmed_accounts_and_context(spark):
     assert rows[0]["text"] == "my bank: [IBAN] ok" and rows[3]["text"] == "call me: [PHONE]"
 
 
+def test_accounts_before_capitals_numbers_and_other_accounts(spark):
+    told = {
+        "IBAN DE89370400440532013000 Bitte zahlen": ["DE89370400440532013000"],
+        "Konto DE89 3704 0044 0532 0130 00 Bank": ["DE89 3704 0044 0532 0130 00"],
+        "GB82 WEST 1234 5698 7654 32 BIC X": ["GB82 WEST 1234 5698 7654 32"],
+        "GB82WEST12345698765432 2024": ["GB82WEST12345698765432"],
+        "😀 NO93 8601 1117 947 FR1420041010050500013M02606 A": ["NO93 8601 1117 947", "FR1420041010050500013M02606"],
+        "AB12 FR12 DE89370400440532013000 7": ["DE89370400440532013000"],
+        "DE89370400440532013000X GB82WEST1234569876543": [],
+    }
+    for r in pii.redact(pii.find_pii(spark.createDataFrame([(t, t) for t in told], "whole string, text string"))).collect():
+        assert [r["whole"][s["start"] : s["end"]] for s in r["pii"] if s["kind"] == "iban"] == told[r["whole"]], r["whole"]
+        assert not any(x in r["text"] for x in told[r["whole"]])
+
+
 def test_redact_leaves_nothing(awkward):
     clean = pii.redact(pii.find_pii(awkward))
     assert not [r for r in clean.collect() if r["text"] and base_spans(r["text"])]
