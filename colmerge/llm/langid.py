@@ -4,8 +4,9 @@ Learning: byte trigrams inside words (ASCII letters in lower case, other bytes o
 language over all labelled rows, by partial sums in the tasks. The model is one row of log-probabilities per language.
 
 Prediction: a word's likelihood under a language is the product of its trigrams' probabilities. Expectation-maximisation estimates the
-proportions of the languages over the document's words. Languages are ranked by proportion; for the first 1, 2, ... of them the mixture is
-fitted again, and the set with the best penalised likelihood (-2 log-likelihood + number of free proportions * log words) is chosen.
+proportions of the languages over the document's words, until a round raises the log-likelihood by no more than ``TOLERANCE``. Languages are
+ranked by proportion; for the first 1, 2, ... of them the mixture is fitted again, and the set with the best penalised likelihood (-2 log-likelihood
++ number of free proportions * log words) is chosen. A document's search ends after ``PATIENCE`` sets in a row that are no better, or with all languages.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and no languages, as is every text if nothing was learned; rows with a null
 label don't teach; repeated rows teach as often as they occur; texts are read whole; other columns pass through; an empty table gives an empty result.
@@ -29,7 +30,7 @@ BINS = 1 << 14
 SMOOTHING = 0.5
 #: Languages that one model may have: a hard error beyond, as the model is held by every task.
 MOST_LANGUAGES = 1000
-ROUNDS, REFIT_ROUNDS, MOST_MIXED = 6, 3, 4
+TOLERANCE, PATIENCE = 1e-3, 3
 UNDETERMINED = "und"
 
 _LETTERS = np.full(256, 32, np.uint8)
@@ -90,13 +91,24 @@ def learn(labelled: DataFrame, label: str = "lang", text: str = "text") -> Model
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-def _fit(likely: np.ndarray, rows: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the languages after some rounds of expectation-maximisation, and the log-likelihood of each document."""
-    for _ in range(rounds):
-        joint = likely * share[rows]
-        joint /= joint.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(joint, first, axis=0) / words[:, None]
-    return share, np.add.reduceat(np.log((likely * share[rows]).sum(axis=1)), first)
+def _fit(likely: np.ndarray, words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages and log-likelihood of each document (``words`` rows of ``likely`` each), by expectation-maximisation to ``TOLERANCE``."""
+    share, total = share.copy(), np.zeros(len(words))
+    at, before = np.arange(len(words)), np.full(len(words), -np.inf)
+    while len(at):
+        first = np.cumsum(words) - words
+        joint = likely * np.repeat(share[at], words, axis=0)
+        sums = joint.sum(axis=1)
+        now = total[at] = np.add.reduceat(np.log(sums), first)
+        moving = now - before > TOLERANCE
+        if not moving.all():
+            kept = np.repeat(moving, words)
+            likely, joint, sums, at, now, words = likely[kept], joint[kept], sums[kept], at[moving], now[moving], words[moving]
+            first = np.cumsum(words) - words
+        if len(at):
+            share[at] = np.add.reduceat(joint / sums[:, None], first, axis=0) / words[:, None]
+        before = now
+    return share, total
 
 
 def mixtures(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
@@ -110,23 +122,29 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     logs = np.add.reduceat(model.logs[bins], word, axis=0)
     top = logs.max(axis=1, keepdims=True)
     likely = np.exp(np.maximum(logs - top, -60.0)).astype(np.float64)
-    used, first, rows, words = np.unique(row[word], return_index=True, return_inverse=True, return_counts=True)
-    single = np.add.reduceat(logs.astype(np.float64), first, axis=0)
+    used, first, words = np.unique(row[word], return_index=True, return_counts=True)
+    single = np.add.reduceat(logs.astype(np.float64), first)
     fixed = np.add.reduceat(top[:, 0].astype(np.float64), first)
-    start = np.full((len(used), len(model.languages)), 1.0 / len(model.languages))
-    full, _ = _fit(likely, rows, first, words, start, ROUNDS)
+    full, _ = _fit(likely, words, np.full((len(used), len(model.languages)), 1.0 / len(model.languages)))
     best = np.zeros_like(full)
     best[np.arange(len(used)), single.argmax(axis=1)] = 1.0
     cost = -2 * single.max(axis=1)
     order = np.argsort(-full, axis=1, kind="stable")
-    for k in range(2, min(MOST_MIXED, len(model.languages)) + 1):
-        kept = np.zeros_like(full)
-        chosen = order[:, :k]
-        np.put_along_axis(kept, chosen, np.maximum(np.take_along_axis(full, chosen, axis=1), 1e-9), axis=1)
-        share, total = _fit(likely, rows, first, words, kept / kept.sum(axis=1, keepdims=True), REFIT_ROUNDS)
-        now = -2 * (total + fixed) + (k - 1) * np.log(words)
-        better = now < cost
-        cost[better], best[better] = now[better], share[better]
+    at, worse = np.arange(len(used)), np.zeros(len(used), int)
+    for k in range(2, len(model.languages) + 1):
+        if not len(at):
+            break
+        chosen = order[at, :k]
+        start = np.maximum(np.take_along_axis(full[at], chosen, axis=1), 1e-9)
+        share, total = _fit(np.take_along_axis(likely, np.repeat(chosen, words[at], axis=0), axis=1), words[at], start / start.sum(axis=1, keepdims=True))
+        now = -2 * (total + fixed[at]) + (k - 1) * np.log(words[at])
+        better = now < cost[at]
+        found = at[better]
+        cost[found], best[found] = now[better], 0.0
+        best[found[:, None], chosen[better]] = share[better]
+        worse[at] = np.where(better, 0, worse[at] + 1)
+        open_ = worse[at] < PATIENCE
+        likely, at = likely[np.repeat(open_, words[at])], at[open_]
     shares[used] = best
     return shares
 

@@ -138,6 +138,22 @@ def test_language_mixtures():
     assert abs(shares[2, 0] - 1 / 3) < 0.05
 
 
+def test_language_mixtures_of_six():
+    rng = random.Random(8)
+    tongues = [[["".join(rng.choice(signs) for _ in range(rng.randint(3, 8))) for _ in range(40)] for signs in ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzae", "bfjn")][k] for k in range(8)]
+    counts = np.full((langid.BINS, 8), langid.SMOOTHING)
+    for k, known in enumerate(tongues):
+        text = " ".join(known * 5).encode()
+        bins, _, _ = langid.trigrams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        np.add.at(counts[:, k], bins, 1)
+    model = langid.Model([f"l{k}" for k in range(8)], np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    six, two, one = (" ".join(" ".join(rng.choices(tongues[k], k=50)) for k in range(n)).encode() for n in (6, 2, 1))
+    shares = langid.mixtures(np.frombuffer(six + two + one, np.uint8), np.cumsum([0, len(six), len(two), len(one)]), model)
+    assert (np.abs(shares[0, :6] - 1 / 6) < 0.02).all() and not shares[0, 6:].any()
+    assert (np.abs(shares[1, :2] - 1 / 2) < 0.02).all() and not shares[1, 2:].any()
+    assert shares[2].tolist() == [1] + [0] * 7
+
+
 def test_language_awkward(awkward):
     model = langid.learn(awkward)
     found = {r["doc_id"]: r for r in langid.identify(awkward, model).collect()}
