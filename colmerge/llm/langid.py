@@ -8,6 +8,9 @@ proportions of the languages over the document's words, until a round raises the
 ranked by proportion; for the first 1, 2, ... of them the mixture is fitted again, and the set with the best penalised likelihood (-2 log-likelihood
 + number of free proportions * log words) is chosen. A document's search ends after ``PATIENCE`` sets in a row that are no better, or with all languages.
 
+Whether a text is in the learned languages at all is told by its evidence: the mixture's log-likelihood per trigram, less that of a background in which
+all bins are as likely. ``least_evidence`` learns from the labelled rows' counts how much of it there must be.
+
 Cases: a null text, or one without a letter, is ``und`` with score 0 and no languages, as is every text if nothing was learned; rows with a null
 label don't teach; repeated rows teach as often as they occur; texts are read whole; other columns pass through; an empty table gives an empty result.
 """
@@ -31,6 +34,8 @@ SMOOTHING = 0.5
 #: Languages that one model may have: a hard error beyond, as the model is held by every task.
 MOST_LANGUAGES = 1000
 TOLERANCE, PATIENCE = 1e-3, 3
+#: Standard errors that a text's evidence must lie below the least to count as foreign, so that short texts aren't rejected by chance.
+SURE = 3.0
 UNDETERMINED = "und"
 
 _LETTERS = np.full(256, 32, np.uint8)
@@ -111,14 +116,38 @@ def _fit(likely: np.ndarray, words: np.ndarray, share: np.ndarray) -> tuple[np.n
     return share, total
 
 
+def least_evidence(model: Model) -> tuple[float, float]:
+    """(evidence that a text in the learned languages has at least, standard deviation of one trigram's).
+
+    The least lies halfway between the labelled rows of the language with the least evidence under its own model, and the most that those of any
+    language have under another's (or the background under any); but not above half of the former, as labels may name one language twice.
+    """
+    if not model.languages:
+        return 0.0, 0.0
+    logs = model.logs.astype(np.float64)
+    p, background = np.exp(logs), np.log(BINS)
+    crossed = p.T @ logs + background
+    own = crossed.diagonal().copy()
+    spread = np.sqrt(np.maximum((p * logs**2).sum(axis=0) - (own - background) ** 2, 0.0)).max()
+    np.fill_diagonal(crossed, -np.inf)
+    other = max(crossed.max(), (logs.mean(axis=0) + background).max())
+    return float(min((own.min() + other) / 2, own.min() / 2)), float(spread)
+
+
 def mixtures(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     """Shares of the model's languages in each row; zero for languages outside the chosen set, and for rows without a letter."""
+    return fitted(data, offsets, model)[0]
+
+
+def fitted(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(``mixtures``, evidence, number of trigrams) of each row."""
     shares = np.zeros((len(offsets) - 1, len(model.languages)))
+    evidence, sizes = np.zeros(len(shares)), np.zeros(len(shares), np.int64)
     if not len(data) or not model.languages:
-        return shares
+        return shares, evidence, sizes
     bins, row, word = trigrams(data, offsets)
     if not len(bins):
-        return shares
+        return shares, evidence, sizes
     logs = np.add.reduceat(model.logs[bins], word, axis=0)
     top = logs.max(axis=1, keepdims=True)
     likely = np.exp(np.maximum(logs - top, -60.0)).astype(np.float64)
@@ -128,7 +157,8 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     full, _ = _fit(likely, words, np.full((len(used), len(model.languages)), 1.0 / len(model.languages)))
     best = np.zeros_like(full)
     best[np.arange(len(used)), single.argmax(axis=1)] = 1.0
-    cost = -2 * single.max(axis=1)
+    likelihood = single.max(axis=1)
+    cost = -2 * likelihood
     order = np.argsort(-full, axis=1, kind="stable")
     at, worse = np.arange(len(used)), np.zeros(len(used), int)
     for k in range(2, len(model.languages) + 1):
@@ -140,23 +170,25 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
         now = -2 * (total + fixed[at]) + (k - 1) * np.log(words[at])
         better = now < cost[at]
         found = at[better]
-        cost[found], best[found] = now[better], 0.0
+        cost[found], best[found], likelihood[found] = now[better], 0.0, (total + fixed[at])[better]
         best[found[:, None], chosen[better]] = share[better]
         worse[at] = np.where(better, 0, worse[at] + 1)
         open_ = worse[at] < PATIENCE
         likely, at = likely[np.repeat(open_, words[at])], at[open_]
-    shares[used] = best
-    return shares
+    shares[used], sizes = best, np.bincount(row, minlength=len(shares))
+    evidence[used] = likelihood / sizes[used] + np.log(BINS)
+    return shares, evidence, sizes
 
 
-def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", keep: list[str] | None = None, known: str | None = None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the share of that language) and ``lang_mix``, an array of (lang, share).
 
     ``keep`` names the columns that pass through; all of them by default. Input columns named like the output are replaced.
+    ``known`` names a further column: whether there is evidence enough that the text is in the learned languages.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    given = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "lang_mix")]
+    given = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "lang_mix", known)]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # the text goes to the tasks once, even if it is kept
     passed = given if text in given else [*given, text]
@@ -164,25 +196,32 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        limit = max(1 << 16, (1 << 20) * 4 // max(4, len(known.languages)))
+        learned = shared.value
+        least, spread = least_evidence(learned)
+        limit = max(1 << 16, (1 << 20) * 4 // max(4, len(learned.languages)))
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).is_valid()
             column = pc.if_else(letters, text_column(batch, text), pa.scalar("", pa.large_string()))
-            parts = [mixtures(data, offsets, known) for _, _, data, offsets in slices(column, limit)]
-            shares = np.concatenate(parts) if parts else np.zeros((0, len(known.languages)))
+            parts = [fitted(data, offsets, learned) for _, _, data, offsets in slices(column, limit)]
+            shares = np.concatenate([x for x, _, _ in parts]) if parts else np.zeros((0, len(learned.languages)))
             none = shares.sum(axis=1) == 0
-            place = shares.argmax(axis=1) if known.languages else np.zeros(len(shares), int)
-            names = np.array([*known.languages, UNDETERMINED], dtype=object)
-            place[none] = len(known.languages)
+            place = shares.argmax(axis=1) if learned.languages else np.zeros(len(shares), int)
+            names = np.array([*learned.languages, UNDETERMINED], dtype=object)
+            place[none] = len(learned.languages)
             score = np.where(none, 0.0, np.minimum(1.0, shares.max(axis=1, initial=0.0)))
             r, c = np.nonzero(shares)
             ends = np.searchsorted(r, np.arange(len(shares) + 1))
             items = pa.StructArray.from_arrays([pa.array(names[c], pa.string()), pa.array(shares[r, c])], ["lang", "share"])
             mix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items).cast(kind)
             kept = [batch.column(k) for k in range(len(given))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names[place], pa.string()), pa.array(score), mix], [*given, "lang_pred", "score", "lang_mix"])
+            out = [*kept, pa.array(names[place], pa.string()), pa.array(score), mix]
+            if known:
+                evidence, sizes = (np.concatenate([part[k] for part in parts]) if parts else np.zeros(0) for k in (1, 2))
+                out.append(pa.array(~none & (evidence + SURE * spread / np.sqrt(np.maximum(sizes, 1)) >= least), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, [*given, *added.names])
 
     added = StructType.fromDDL("lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>")
+    if known:
+        added = added.add(known, "boolean")
     schema = StructType(rows.schema.fields[: len(given)] + added.fields)
     return rows.mapInArrow(predict, schema)

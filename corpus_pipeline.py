@@ -13,15 +13,13 @@ from colmerge.llm.packing import pack
 from colmerge.llm.pii import find_pii, redact
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if its best language has a smaller share than this: it isn't in any of the learned languages.
-LEAST_SHARE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; texts without a letter, or without a language of ``LEAST_SHARE``, go."""
+    """Learns from the labelled documents; texts without a letter, or without evidence of the learned languages (one or a mixture), go."""
     model = learn(docs)
-    found = identify(docs, model, keep=COLUMNS)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
+    found = identify(docs, model, keep=COLUMNS, known="known")
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & F.col("known")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

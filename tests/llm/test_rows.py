@@ -195,6 +195,25 @@ def test_pipeline(spark, tmp_path, documents):
     assert sorted(map(str, again.select("doc_id", "start", "ids").collect())) == sorted(map(str, docs.select("doc_id", "start", "ids").collect()))
 
 
+def test_pipeline_rejects_foreign_texts_and_junk_but_no_mixtures(spark, documents):
+    rng = random.Random(3)
+    words = collections.defaultdict(list)
+    for r in documents.filter("text is not null and lang is not null").orderBy("doc_id").collect():
+        words[r["lang"]] += r["text"].split()
+    assert len(words) == 4
+    extra = {
+        -1: "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        -2: "все люди рождаются свободными и равными в своём достоинстве и правах они наделены разумом и совестью",
+        -3: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzaeiou") for _ in range(rng.randint(2, 9))) for _ in range(60)),
+        -4: " ".join(x for own in words.values() for x in own[:100]),
+        -5: words["en"][0],
+    }
+    rows = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in extra.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.identify_language(spark, documents.select(corpus_pipeline.COLUMNS).unionByName(rows), "")
+    assert {r["doc_id"] for r in found.filter("doc_id < 0").collect()} == {-4, -5}
+    assert found.filter("doc_id >= 0").count() == documents.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_awkward_rows_pass_the_pipeline(spark, awkward):
     docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
