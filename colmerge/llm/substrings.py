@@ -3,14 +3,15 @@
 1. Index: each document's words are cut into non-overlapping blocks of ``(n + 1) // 2`` words. A run of n words holds at least one whole block of
    its own document. Probe: every rolling window of that length, of every document, looks for its block. A block that is found anywhere but at its
    own place is an anchor. Both sides meet in buckets by hash, as packed arrays; a task first combines what it holds itself.
-2. Extend: of a document's runs of n words, those that hold an anchor are compared with each other's, again by hash in buckets. Runs that occur twice
-   or more are exact repeats; neighbouring ones join to maximal repeats, and their words go.
+2. Extend: of a document's runs of n words, those that hold an anchor are compared with each other's, in buckets, by 128-bit BLAKE2b digests of their
+   words. Runs that occur twice or more are exact repeats; neighbouring ones join to maximal repeats, and their words go.
 
-By symmetry a repeated run holds an anchor in each document where it lies, so no run is lost, and a false anchor (32 bits) only costs a look.
-Runs are compared by 64-bit hashes within buckets that an independent part of their words chose. Everything is judged on the input texts.
+By symmetry a repeated run holds an anchor in each document where it lies, so no run is lost, and a false anchor (32 bits and a bucket) only costs a
+look: what is removed is decided by the digests of the words alone. Everything is judged on the input texts.
 
-Hot passages: what a task sees twice it settles itself and passes on once, so a bucket gets one entry of a run from each task at most.
-The documents are dealt out by row once; the same exchange serves all three passes over them.
+Hot passages: what a task sees twice it settles itself and passes on once, so a bucket gets one entry of a run from each task at most. The number of
+buckets follows the bytes of text (``BUCKET_BYTES`` each). Rows of one id and text are one row with a count before anything is exchanged. Rows are
+known by 128 bits of id and text, so it doesn't matter in which order a lost part of the input comes again; the same exchange serves all three passes.
 
 Cases: a null text has no words; texts shorter than n words keep all; a repeat may overlap itself within a document; rows that repeat are
 documents of their own; other columns are ignored; an empty table gives an empty result.
@@ -18,6 +19,7 @@ documents of their own; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -26,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import shuffle_partitions
+from colmerge.llm.common import content_keys, shuffle_partitions
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, mix, slices, text_column
 
-#: Words that a task gathers before it packs them, and settled entries to a row.
-GATHER, PER_ROW = 2_000_000, 1 << 16
+#: Words that a task gathers at least and at most before it packs them, and words for each bucket between; settled entries to a row.
+GATHER, MOST_GATHERED, PER_BUCKET, PER_ROW = 2_000_000, 16_000_000, 32, 1 << 16
+#: Bytes of text whose blocks or runs go to one bucket, on average.
+BUCKET_BYTES = 32 << 20
+KEY = ["key_a", "key_b"]
 BUCKET_SCHEMA = "bucket int, once binary, many binary, runs binary, settled binary"
-FOUND_SCHEMA = "row long, start int, length int"
+FOUND_SCHEMA = "key_a long, key_b long, start int, length int"
+RUN = np.dtype([("key_a", "<i8"), ("key_b", "<i8"), ("start", "<i4"), ("length", "<i4")])
+BLOCK = np.dtype([("key_a", "<i8"), ("key_b", "<i8"), ("start", "<i4"), ("hash", "<u4")])
+DIGEST = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -55,14 +63,11 @@ def _packed(n_buckets: int, once: tuple, many: tuple, runs: tuple, settled: np.n
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *columns, none], names)
     for at in range(0, len(settled), PER_ROW):
         part = settled[at : at + PER_ROW]
-        spread = int(mix(part["row"][:1].astype(np.uint64) + np.uint64(at), 20)[0] % np.uint64(n_buckets))
+        spread = int(mix(part["key_a"][:1].astype(np.uint64) + np.uint64(at), 20)[0] % np.uint64(n_buckets))
         empty = pa.array([b""], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), empty, empty, empty, _binary([part])], names)
 
 
-RUN = np.dtype([("row", "<i8"), ("start", "<i4"), ("length", "<i4")])
-
-
 def _columns(table: pa.Table, kinds: dict) -> dict[str, np.ndarray]:
     return {name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items()}
 
@@ -81,14 +86,34 @@ def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
+def _groups(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that brings equal digests together, first of each group in it and one more at the end)."""
+    order = np.lexsort((digests["low"], digests["high"]))
+    high, low = digests["high"][order], digests["low"][order]
+    new = np.flatnonzero((high[1:] != high[:-1]) | (low[1:] != low[:-1])) + 1
+    return order, np.concatenate([[0], new, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+
+
 def _found(runs: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(runs["row"]), pa.array(runs["start"]), pa.array(runs["length"])], ["row", "start", "length"])
+    return pa.table([pa.array(runs[name]) for name in RUN.names], list(RUN.names))
+
+
+def _runs(keys: np.ndarray, length: np.ndarray | int, starts: np.ndarray) -> np.ndarray:
+    """Runs of the rows with the keys (two columns)."""
+    runs = np.zeros(len(starts), RUN)
+    runs["key_a"], runs["key_b"], runs["start"], runs["length"] = keys[:, 0], keys[:, 1], starts, length
+    return runs
+
 
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
 
-def anchors(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
-    """(row, start, length): the blocks of (row, id, text) that occur anywhere else."""
+
+def anchors(docs: DataFrame, n: int, n_buckets: int, bits: int = 32) -> DataFrame:
+    """(key_a, key_b, start, length): the blocks of (key_a, key_b, times, text) that occur anywhere else, by ``bits`` of their hashes."""
     size = (n + 1) // 2
-    key = np.dtype([("row", "<i8"), ("start", "<i4"), ("hash", "<u4")])
+    gathered = min(MOST_GATHERED, max(GATHER, PER_BUCKET * n_buckets))
+    mask = np.uint64((1 << bits) - 1)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[np.ndarray] = []
@@ -96,23 +121,21 @@ def anchors(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
 
         def pack() -> Iterator[pa.RecordBatch]:
             values, times = np.unique(np.concatenate(grams), return_counts=True)
-            hashes, rows, starts = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            bucket, low = _buckets(values, n_buckets), (values & np.uint64(0xFFFFFFFF)).astype("<u4")
+            hashes, keys, starts = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            bucket, low = _buckets(values, n_buckets), (values & mask).astype("<u4")
             seen = times[np.searchsorted(values, hashes)] > 1
-            settled = np.zeros(int(seen.sum()), RUN)
-            settled["row"], settled["start"], settled["length"] = rows[seen], starts[seen], size
             order = np.argsort(hashes[~seen], kind="stable")
-            open_ = np.zeros(len(order), key)
-            open_["row"], open_["start"] = rows[~seen][order], starts[~seen][order]
-            open_["hash"] = (hashes[~seen][order] & np.uint64(0xFFFFFFFF)).astype("<u4")
+            left = np.zeros(len(order), BLOCK)
+            left["key_a"], left["key_b"], left["start"] = keys[~seen][order, 0], keys[~seen][order, 1], starts[~seen][order]
+            left["hash"] = (hashes[~seen][order] & mask).astype("<u4")
             one = times == 1
-            yield from _packed(n_buckets, (bucket[one], low[one]), (bucket[~one], low[~one]), (_buckets(hashes[~seen][order], n_buckets), open_), settled)
+            yield from _packed(n_buckets, (bucket[one], low[one]), (bucket[~one], low[~one]), (_buckets(hashes[~seen][order], n_buckets), left), _runs(keys[seen], size, starts[seen]))
             grams.clear()
             blocks.clear()
 
         held = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = _keys(batch)
             for at, end, data, offsets in slices(text_column(batch, "text")):
                 words = Words(data, offsets)
                 starts, row = gram_starts(words.first, size)
@@ -121,20 +144,18 @@ def anchors(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
                     place = starts - words.first[row]
                     block = place % size == 0
                     grams.append(hashes)
-                    blocks.append((hashes[block], ids[at:end][row[block]], place[block]))
+                    blocks.append((hashes[block], keys[at:end][row[block]], place[block]))
                     held += len(starts)
-                if held >= GATHER:
+                if held >= gathered:
                     yield from pack()
                     held = 0
         if held:
             yield from pack()
 
     def meet(table: pa.Table) -> pa.Table:
-        c = _columns(table, {"once": "<u4", "many": "<u4", "runs": key, "settled": RUN})
+        c = _columns(table, {"once": "<u4", "many": "<u4", "runs": BLOCK, "settled": RUN})
         hit = c["runs"][_among(c["runs"]["hash"], _twice(c["once"], c["many"]))]
-        runs = np.zeros(len(hit), RUN)
-        runs["row"], runs["start"], runs["length"] = hit["row"], hit["start"], size
-        return _found(np.concatenate([runs, c["settled"]]))
+        return _found(np.concatenate([_runs(np.stack([hit["key_a"], hit["key_b"]], axis=1), size, hit["start"]), c["settled"]]))
 
     return docs.mapInArrow(gather, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(meet, FOUND_SCHEMA)
 
@@ -149,41 +170,60 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _runs(words: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """First entry of each run of neighbouring words of one row that go to one bucket."""
-    new = np.ones(len(words), bool)
-    new[1:] = (np.diff(words) != 1) | (np.diff(bucket) != 0) | (np.diff(row) != 0)
-    return np.flatnonzero(new)
+def _neighbours(rows: np.ndarray, starts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """First entry of each run of neighbouring starts of one row that go to one bucket, and one more at the end."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (np.diff(starts) != 1) | (np.diff(bucket) != 0) | (np.diff(rows) != 0)
+    return np.concatenate([np.flatnonzero(new), [len(rows)]])
+
+
+def run_digests(words: Words, starts: np.ndarray, n: int) -> np.ndarray:
+    """Digests of the n words from each start, joined by single spaces."""
+    size = words.end - words.start + 1
+    ends = np.concatenate([[0], np.cumsum(size)])
+    source = np.repeat(words.start - ends[:-1], size) + np.arange(ends[-1])
+    joined = words.data[np.minimum(source, len(words.data) - 1)]
+    joined[ends[1:] - 1] = 32
+    view, digest = memoryview(joined), hashlib.blake2b
+    found = [digest(view[a:b], digest_size=16).digest() for a, b in zip(ends[starts].tolist(), (ends[starts + n] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), DIGEST)
 
 
 def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
-    """(row, start, length): starts of runs of n words, of (row, id, text, anchors), that occur anywhere else; length: so many starts."""
+    """(key_a, key_b, start, length): starts of runs of n words, of (key_a, key_b, times, text, anchors), that occur anywhere else; length: so many starts."""
     size = (n + 1) // 2
     reach = n - size
+    gathered = min(MOST_GATHERED, max(GATHER, PER_BUCKET * n_buckets)) // 2
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
+        known: list[np.ndarray] = []
 
         def pack() -> Iterator[pa.RecordBatch]:
-            hashes, least, rows, starts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            digests, least, rows, starts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            keys = np.concatenate(known)
             kept.clear()
-            _, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            again = times[inverse] > 1
+            known.clear()
+            order, groups = _groups(digests)
+            times = np.diff(groups)
+            again = np.zeros(len(order), bool)
+            again[order] = np.repeat(times, times) > 1
             bucket = _buckets(least, n_buckets)
-            settled = _as_runs(rows[again], starts[again], np.zeros(int(again.sum()), np.int64))[0]
-            runs, ends = _as_runs(rows[~again], starts[~again], bucket[~again])
-            lead = bucket[~again][ends[:-1]]
-            order = np.argsort(lead, kind="stable")
+            ends = _neighbours(rows[again], starts[again], np.zeros(int(again.sum()), np.int64))
+            settled = _runs(keys[rows[again][ends[:-1]]], np.diff(ends), starts[again][ends[:-1]])
+            digest, rows, starts, lead = digests[~again], rows[~again], starts[~again], bucket[~again]
+            ends = _neighbours(rows, starts, lead)
+            by = np.argsort(lead[ends[:-1]], kind="stable")
             # entries go with their runs: runs ordered by bucket, entries in the same order
-            lengths = np.diff(ends)[order]
-            entry = np.repeat(ends[:-1][order] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum()) if len(order) else np.zeros(0, np.int64)
-            shared = first[times > 1]
+            lengths, at = np.diff(ends)[by], ends[:-1][by]
+            entry = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            shared = order[groups[:-1][times > 1]]
             shared = shared[np.argsort(bucket[shared], kind="stable")]
-            yield from _packed(n_buckets, (np.repeat(lead[order], lengths), hashes[~again][entry]), (bucket[shared], hashes[shared]), (lead[order], runs[order]), settled)
+            yield from _packed(n_buckets, (lead[entry], digest[entry]), (bucket[shared], digests[shared]), (lead[at], _runs(keys[rows[at]], lengths, starts[at])), settled)
 
-        held = 0
+        held = rows_held = 0
         for batch in batches:
-            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3)
+            keys, marks = _keys(batch), batch.column(batch.schema.get_field_index("anchors"))
             for at, end, data, offsets in slices(text_column(batch, "text")):
                 part = marks.slice(at, end - at)
                 counts = np.diff(np.asarray(part.offsets)) if part.null_count == 0 else np.array([len(x) if x.is_valid else 0 for x in part])
@@ -201,55 +241,60 @@ def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
                 start = np.flatnonzero(np.cumsum(step[:-1]) > 0)
                 if not len(start):
                     continue
-                sums = gram_sums(words.hashes())
                 grams = np.full(total, np.uint64(2**64 - 1))
                 inside = np.arange(max(0, total - size + 1))
-                grams[: len(inside)] = gram_at(sums, inside, size, 21)
+                grams[: len(inside)] = gram_at(gram_sums(words.hashes()), inside, size, 21)
                 least = mix(_sliding_min(grams, reach + 1)[start], 22)
                 of = np.searchsorted(first, start, side="right") - 1
-                kept.append((gram_at(sums, start, n, 23), least, ids[at:end][of], (start - first[of]).astype(np.int64)))
+                kept.append((run_digests(words, start, n), least, rows_held + of, (start - first[of]).astype(np.int64)))
+                known.append(keys[at:end])
+                rows_held += end - at
                 held += len(start)
-                if held >= GATHER // 2:
+                if held >= gathered:
                     yield from pack()
-                    held = 0
+                    held = rows_held = 0
         if held:
             yield from pack()
 
     def meet(table: pa.Table) -> pa.Table:
-        c = _columns(table, {"once": "<u8", "many": "<u8", "runs": RUN, "settled": RUN})
-        hit = _among(c["once"], _twice(c["once"], c["many"]))
+        c = _columns(table, {"once": DIGEST, "many": DIGEST, "runs": RUN, "settled": RUN})
+        both = np.concatenate([c["once"], c["many"], c["many"]])
+        order, groups = _groups(both)
+        times = np.diff(groups)
+        hit = np.zeros(len(both), bool)
+        hit[order] = np.repeat(times, times) > 1
+        hit = hit[: len(c["once"])]
         lengths = c["runs"]["length"].astype(np.int64)
-        offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows, starts = np.repeat(c["runs"]["row"], lengths)[hit], (np.repeat(c["runs"]["start"], lengths) + offset)[hit]
-        return _found(np.concatenate([_as_runs(rows, starts, np.zeros(len(rows), np.int64))[0], c["settled"]]))
+        run = np.repeat(np.arange(len(lengths)), lengths)[hit]
+        starts = (np.repeat(c["runs"]["start"] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum()))[hit]
+        ends = _neighbours(run, starts, np.zeros(len(run), np.int64))
+        of = c["runs"][run[ends[:-1]]]
+        return _found(np.concatenate([_runs(np.stack([of["key_a"], of["key_b"]], axis=1), np.diff(ends), starts[ends[:-1]]), c["settled"]]))
 
     return docs.mapInArrow(gather, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(meet, FOUND_SCHEMA)
 
 
-def _as_runs(rows: np.ndarray, starts: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of neighbouring starts of one row and bucket, and the first entry of each (one more at the end)."""
-    first = _runs(starts, bucket, rows) if len(rows) else np.zeros(0, np.int64)
-    ends = np.concatenate([first, [len(rows)]]).astype(np.int64)
-    runs = np.zeros(len(first), RUN)
-    runs["row"], runs["start"], runs["length"] = rows[first], starts[first], np.diff(ends)
-    return runs, ends
-
-
-def remove_repeats(docs: DataFrame, n: int = 50, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 50, id_column: str = "doc_id", text: str = "text", anchor_bits: int = 32) -> DataFrame:
     """A row per input row: the id, ``n_words``, ``n_removed``, and ``kept_text``, the words that stay, joined by single spaces."""
-    n_buckets = 4 * shuffle_partitions(docs.sparkSession)
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).repartition("row")
-    marks = anchors(keyed, n, n_buckets).groupBy("row").agg(F.collect_list("start").alias("anchors"))
-    marked = keyed.join(marks, "row", "left").select("row", "id", "text", "anchors")
-    runs = repeats(marked, n, n_buckets).groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    body = F.col(text).cast("string")
+    n_bytes = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    n_buckets = max(4 * shuffle_partitions(docs.sparkSession), n_bytes // BUCKET_BYTES)
+    rows = docs.select(*content_keys(id_column, text), F.col(id_column).alias("id"), body.alias("text"))
+    keyed = rows.groupBy(*KEY).agg(F.first("id").alias("id"), F.count("*").alias("times"), F.first("text").alias("text"))
+    parts = keyed.select(*KEY, "times", "text")
+    marks = anchors(parts, n, n_buckets, anchor_bits).groupBy(*KEY).agg(F.collect_list("start").alias("anchors"))
+    marked = parts.join(marks, KEY, "left").select(*KEY, "times", "text", "anchors")
+    runs = repeats(marked, n, n_buckets).groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, texts = [], [], []
-            for value, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for value, times, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = (value or "").encode().split()
                 counts.append(len(words))
-                if found.is_valid:
+                if times > 1 and len(words) >= n:  # every run occurs in a row like this one
+                    words = []
+                elif found.is_valid:
                     runs = found.values
                     start, length = runs.field(0).to_numpy(), runs.field(1).to_numpy()
                     step = np.zeros(len(words) + 1, np.int64)
@@ -259,7 +304,9 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_column: str = "doc_id", text
                     words = list(compress(words, stay.tolist()))
                 removed.append(counts[-1] - len(words))
                 texts.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["id", "times", "n_words", "n_removed", "kept_text"])
 
-    whole = keyed.join(runs, "row", "left").select("id", "text", "runs")
-    return whole.mapInArrow(cut, f"id {dict(keyed.dtypes)['id']}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_column)
+    whole = keyed.join(runs, KEY, "left").select("id", "text", "times", "runs")
+    told = whole.mapInArrow(cut, f"id {dict(rows.dtypes)['id']}, times long, n_words long, n_removed long, kept_text string")
+    each = told.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.col("id").alias(id_column), "n_words", "n_removed", "kept_text")

@@ -3,20 +3,23 @@
 Spark partitions and ships the rows; these helpers work on one bounded slice of an Arrow batch at a time, on the
 column's own UTF-8 buffer, so no Python object is made for a word. Words are ``[^\\x20\\x09-\\x0D]+``.
 
-Hashes are 64-bit: a polynomial over the bytes of a word modulo 2**64, mixed, and a polynomial over the mixed word
-hashes of an n-gram, mixed again. They depend on the content alone, so every task, run and machine agrees on them.
+Hashes are 64-bit: a word is taken in steps of 8 bytes, each mixed into the hash so far (long words by BLAKE2b), and an n-gram is a
+polynomial over its word hashes, mixed again. They depend on the content alone, so every task, run and machine agrees on them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Odd multipliers of the byte and word polynomials, and their inverses modulo 2**64.
-BYTE_P, WORD_P = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-BYTE_INV, WORD_INV = pow(BYTE_P, -1, 1 << 64), pow(WORD_P, -1, 1 << 64)
+#: Odd multiplier of the word polynomial, and its inverse modulo 2**64.
+WORD_P = 0xD6E8FEB86659FD93
+WORD_INV = pow(WORD_P, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 #: Text bytes that one slice holds at most, unless a single document is longer.
 SLICE_BYTES = 1 << 20
 
@@ -90,10 +93,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A mixed 64-bit hash of each word's bytes."""
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_P, len(self.data)), out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * powers(BYTE_INV, len(self.data) + 1)[self.start]
-        return mix(value, 1)
+        size = self.end - self.start
+        value = mix(size.astype(np.uint64), 1)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        # the 8 bytes from each place on; those behind a word's end are masked
+        eight = np.lib.stride_tricks.as_strided(padded, (len(self.data) + 1, 8), (1, 1))
+        at, step = np.flatnonzero(size <= LONG_WORD), 0
+        while len(at):
+            left = np.minimum(size[at] - step, 8).astype(np.uint64)
+            part = np.ascontiguousarray(eight[self.start[at] + step]).view("<u8")[:, 0]
+            value[at] = mix(value[at] ^ (part & (np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8)))), 12)
+            step += 8
+            at = at[size[at] > step]
+        for k in np.flatnonzero(size > LONG_WORD):
+            value[k] = int.from_bytes(hashlib.blake2b(self.data[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little")
+        return value
 
 
 def gram_sums(words: np.ndarray) -> np.ndarray:

@@ -141,6 +141,38 @@ def test_substrings(spark, n):
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, n)
 
 
+def passages_table(spark, seed=3, n=80):
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{rng.randrange(1000)}" for _ in range(60)) for _ in range(4)]
+    rows = []
+    for k in range(n):
+        parts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(rng.randint(0, 50)))]
+        for _ in range(rng.randint(0, 2)):
+            parts += [rng.choice(passages), f"u{rng.randrange(10**9)}"]
+        rows.append((k, "\n".join(parts)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_anchors_that_collide_remove_nothing_more(spark, bits):
+    rows, df = passages_table(spark)
+    got = remove_repeats(df, 35, anchor_bits=bits).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 35)
+
+
+def test_substrings_of_an_input_that_is_dealt_anew_for_each_pass(spark):
+    rows, df = passages_table(spark)
+    dealt = df.withColumn("r", F.rand()).repartition(5, "r").drop("r")  # without a seed: other rows meet in each evaluation
+    got = remove_repeats(dealt, 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 35)
+
+
+def test_substrings_with_ids_of_text(spark):
+    rows = [("abc", None), (None, "abc"), ("abc", ""), (None, None), ("abc", "abc")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), 1).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in got), key=str) == sorted([("abc", 0, 0), (None, 1, 1), ("abc", 0, 0), (None, 0, 0), ("abc", 1, 1)], key=str)
+
+
 def test_substrings_awkward(awkward):
     got = remove_repeats(awkward, 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
     assert sorted(map(tuple, got), key=str) == brute_repeats([tuple(r) for r in awkward.select("doc_id", "text").collect()], 35)
