@@ -4,16 +4,20 @@
 2. A shingle's hash picks one of ``k`` buckets; a bucket keeps its smallest value as a register of 16 bits: the number of leading zeros (6 bits)
    and the 10 bits behind the first one. A bucket that no shingle picked takes the least of a hash of its own over all shingles.
 3. Registers are banded: classes that agree in all registers of a band are candidates. The number of bands follows from the threshold, so that
-   a pair at the threshold is missed with a probability of ``MISS``. Each class is linked to its band's first class only; the components of
-   these links (clusters) hold every candidate pair together.
-4. Clusters are cut into blocks by size of set and hash. Sizes that differ by more than the threshold allows can't be linked, so a block meets blocks
-   of its own and the neighbouring size step only, two blocks of bounded size to a group. In a group, the share of equal registers, corrected for
-   registers that agree by chance, orders and prunes the pairs (by ``SIGMAS`` standard errors); pairs that aren't connected yet are verified on whole sets.
-5. The components of the verified links are the result: pairs within a component need no check of their own, so no pair is lost and none is listed.
+   a pair at the threshold is missed with a probability of ``MISS``.
+4. First pass: a band's first class is its head. Each class is verified against one head, the one with which it shares most bands. So a group
+   of near copies costs one look at each of them, however large it is.
+5. Second pass: only bands whose classes the first pass left in two or more components are looked at again, and in them only classes of different
+   components meet: a component of many classes is cut into blocks of its own, the small ones share blocks, and two blocks of bounded size form
+   a group. Bands with the same classes are looked at once.
+6. Where classes meet, the share of equal registers, less those that agree by chance given the sizes of the two sets, orders the pairs and prunes those
+   that are unlikely (a pair at the threshold with a probability of ``PRUNED``); the others are verified on whole sets unless connected already.
+   The components of the verified links are the result: pairs within a component need no check of their own, so no link between components is lost
+   (but with the two probabilities stated) and no pairs are listed.
 
 Cases: documents without words (null text too) have an empty set and are linked with nothing; with fewer words than a shingle has, the
 whole sequence is the one shingle; repeated rows are copies; a null id is never smallest unless all ids of the component are null; an empty table
-gives an empty result; other columns are ignored by ``near_duplicates`` and pass through ``deduplicated``. Rows are read
+gives an empty result; other columns are ignored by ``near_duplicates`` and pass through ``deduplicated``, whatever their names. Rows are read
 more than once and recognised by 128 bits of id and text, so it doesn't matter how the input is split.
 """
 
@@ -21,20 +25,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import written
+from colmerge.llm.common import content_keys, unused, written
 from colmerge.llm.components import components
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, lower_ascii, mix, slices, text_column
 
-#: Registers in a band, the chance to miss a pair at the threshold, mantissa bits of a register, standard errors.
-ROWS, MISS, MANTISSA, SIGMAS = 6, 1e-7, 10, 6.0
+#: Registers in a band, the chances to miss a pair at the threshold by bands and by pruning, mantissa bits of a register.
+ROWS, MISS, PRUNED, MANTISSA = 6, 1e-7, 1e-9, 10
 #: Members of a block, and shingles of all its members (16 MB), on average; a single longer set is a block's own.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+#: Parts into which a component's classes are dealt where they learn its first document.
+SALTS = 16
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -97,16 +104,42 @@ def band_keys(codes: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(keys + np.arange(banded.shape[1], dtype=np.uint64), 8)
 
 
-def estimate(agree: np.ndarray, k: int) -> np.ndarray:
-    """Jaccard similarity from the number of equal registers of ``k``, less those that agree by chance.
+@lru_cache(maxsize=4)
+def chances(k: int) -> np.ndarray:
+    """The probability that two disjoint sets share a register, for sizes of 1, 2, 4, ... shingles each (rows and columns).
 
-    Two independent minima share a register with a probability of about 2 ** -MANTISSA: 1/3 for equal leading zeros in two equally
-    full buckets, and the mantissa's bits then.
+    A bucket of a set of ``size`` shingles has about ``size / k`` of them; its minimum lies above x with the probability ``above``.
     """
-    chance = 2.0**-MANTISSA / 3
+    zeros = np.arange(52)[:, None]
+    edges = (2.0 ** -(zeros + 1) * (1 + np.arange(1 << MANTISSA) / (1 << MANTISSA))).ravel()
+    order = np.argsort(edges)
+    edges = np.append(edges[order], 1.0)
+    size = 2.0 ** np.arange(28)[:, None]
+    full, none = -size / k, np.exp(-size / k)
+    above = np.exp(full * edges) - none + none * np.exp(size * np.log1p(-np.minimum(edges, 1 - 1e-16)))
+    cells = -np.diff(above, axis=1)
+    return cells @ cells.T
+
+
+def estimate(agree: np.ndarray, k: int, sizes: np.ndarray | float = 1.0, others: np.ndarray | float = 1.0) -> np.ndarray:
+    """Jaccard similarity of sets from the number of equal registers of ``k``, less those that agree by chance at these sizes."""
+    steps = [np.clip(np.round(np.log2(x)), 0, 27).astype(int) for x in (sizes, others)]
+    chance = chances(k)[steps[0], steps[1]]
     return ((agree / k) - chance) / (1 - chance)
 
 
+@lru_cache(maxsize=8)
+def least_agreeing(threshold: float, k: int) -> int:
+    """The number of equal registers that a pair at the threshold has at least, but for a probability of ``PRUNED``."""
+    below, c = 0.0, 0
+    while True:
+        log = math.lgamma(k + 1) - math.lgamma(c + 1) - math.lgamma(k - c + 1) + c * math.log(threshold) + (k - c) * math.log(1 - threshold)
+        below += math.exp(log)
+        if below > PRUNED:
+            return c
+        c += 1
+
+
 def signatures(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(key_a, key_b, id, n_shingles, set_a, set_b, bands) of (key_a, key_b, id, text): 128 bits name the set; an empty set has no bands."""
     k = ROWS * bands_for(threshold)
@@ -130,33 +163,27 @@ def signatures(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     return keyed.select("key_a", "key_b", "id", "text").mapInArrow(sign, schema)
 
 
-def _blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(group, side, row): each member once for each group of two blocks in which its block takes part."""
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
-    members = members.withColumn("step", step)
-    counts = members.groupBy("cluster", "step").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    around = [counts.select("cluster", (F.col("step") - d).alias("step"), F.col("blocks").alias(name)) for d, name in ((0, "own"), (1, "above"), (-1, "below"))]
-    for table in around:
-        members = members.join(table, ["cluster", "step"], "left")
-    block = F.pmod(F.xxhash64("row"), F.col("own")).cast("int")
-    members = members.withColumn("block", block)
+def shingle_table(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(row, shingles): the packed set of each of ``members`` (row, key_a, key_b: the keys of one of its texts) from ``docs`` (key_a, key_b, text)."""
 
-    def pair(low: str, i, high: str, j):
-        return F.xxhash64("cluster", F.expr(low), i, F.expr(high), j)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in slices(text_column(batch, "text")):
+                hashes, first = shingle_sets(data, offsets, n)
+                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(hashes)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists.cast(pa.binary())], ["row", "shingles"])
 
-    none = F.array().cast("array<struct<group:long,side:int>>")
-    own = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.struct(pair("step", F.least("block", j), "step", F.greatest("block", j)).alias("group"), F.when(j == F.col("block"), 0).when(j > F.col("block"), 1).otherwise(2).alias("side")))
-    above = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(pair("step", F.col("block"), "step + 1", j).alias("group"), F.lit(1).alias("side")))).otherwise(none)
-    below = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.struct(pair("step - 1", j, "step", F.col("block")).alias("group"), F.lit(2).alias("side")))).otherwise(none)
-    return members.select("row", F.inline(F.concat(own, above, below)))
+    # the members grow with the corpus: never broadcast, at any size
+    texts = members.join(docs.hint("merge"), ["key_a", "key_b"]).groupBy("key_a", "key_b", "row").agg(F.first("text").alias("text"))
+    return texts.select("row", "text").mapInArrow(sets, "row long, shingles binary")
 
 
-def _linked(rows: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, k: int) -> list[tuple[int, int]]:
-    """Verified links that connect what is connected in a group: side 0 meets itself, side 1 meets side 2."""
+def _linked(sides: np.ndarray, components: np.ndarray, sets: list[np.ndarray], threshold: float, k: int) -> list[tuple[int, int]]:
+    """Verified links that connect components in a group: side 0 meets itself, side 1 meets side 2."""
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     codes = registers(np.concatenate(sets), first, k)
     sizes = np.diff(first)
-    parent = list(range(len(rows)))
+    parent = {int(c): int(c) for c in components}
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -164,70 +191,95 @@ def _linked(rows: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], thresho
         return x
 
     same = sides[0] == 0
-    left = np.arange(len(rows)) if same else np.flatnonzero(sides == 1)
+    left = np.arange(len(sets)) if same else np.flatnonzero(sides == 1)
     right = left if same else np.flatnonzero(sides == 2)
-    error = math.sqrt(threshold * (1 - threshold) / k)
+    least = least_agreeing(threshold, k) / k
     found = []
     for at in range(0, len(left), 64):
         part = left[at : at + 64]
         agree = np.stack([(codes[right] == codes[i]).sum(axis=1) for i in part]) if len(right) else np.zeros((len(part), 0))
-        likely = estimate(agree, k)
+        likely = estimate(agree, k, sizes[part][:, None], sizes[right])
         smaller, larger = np.minimum(sizes[part][:, None], sizes[right]), np.maximum(sizes[part][:, None], sizes[right])
-        wanted = (likely >= threshold - SIGMAS * error) & (smaller >= threshold * larger - 1e-9)
+        # agreement by chance adds registers, so the number itself is compared
+        wanted = (agree / k >= least) & (smaller >= threshold * larger - 1e-9) & (components[part][:, None] != components[right])
         if same:
             wanted &= part[:, None] < right
         i, j = np.nonzero(wanted)
         for o in np.argsort(-likely[i, j], kind="stable"):
             a, b = int(part[i[o]]), int(right[j[o]])
-            if find(a) != find(b):
+            x, y = find(int(components[a])), find(int(components[b]))
+            if x != y:
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9:
-                    parent[find(a)] = find(b)
-                    found.append((int(rows[a]), int(rows[b])))
+                    parent[x] = y
+                    found.append((int(components[a]), int(components[b])))
     return found
 
 
-def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b): links between classes of a cluster, as many as connect them.
-
-    ``docs``: (key_a, key_b, text); ``members``: (row, cluster, n_shingles, key_a, key_b), a class and the keys of one of its texts.
-    """
+def verified(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components, as many as connect them, in ``groups`` (group, side, row, component) of bounded size."""
     k = ROWS * bands_for(threshold)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, data, offsets in slices(text_column(batch, "text")):
-                hashes, first = shingle_sets(data, offsets, n)
-                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(hashes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists.cast(pa.binary())], ["row", "shingles"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, sides, held = None, [], [], []
+        group, sides, names, held = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            links = _linked(np.array(rows), np.array(sides), held, threshold, k) if len(rows) > 1 else []
+            links = _linked(np.array(sides), np.array(names), held, threshold, k) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for key, side, row, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+            for key, side, name, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 if key != group:
                     yield done()
-                    group, rows, sides, held = key, [], [], []
-                rows.append(row)
+                    group, sides, names, held = key, [], [], []
                 sides.append(side)
+                names.append(name)
                 held.append(np.frombuffer(data.as_buffer(), np.uint64).copy())
         yield done()
 
-    # the members grow with the corpus: never broadcast, at any size
-    texts = members.select("row", "key_a", "key_b").join(docs.hint("merge"), ["key_a", "key_b"]).groupBy("key_a", "key_b", "row").agg(F.first("text").alias("text"))
-    whole = texts.select("row", "text").mapInArrow(sets, "row long, shingles binary")
-    grouped = _blocks(members, threshold).join(whole, "row").select("group", "side", "row", "shingles")
-    return grouped.repartition("group").sortWithinPartitions("group", "side").mapInArrow(verify, "a long, b long")
-
-
-def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``docs`` with ``__key_a`` and ``__key_b``, 128 bits of the id and the text: the same wherever and whenever a row is read."""
-    return docs.withColumn("__key_a", F.xxhash64(F.lit(1), id_column, text)).withColumn("__key_b", F.xxhash64(F.lit(2), text, id_column))
+    whole = groups.join(shingles, "row").select("group", "side", "component", "shingles")
+    return whole.repartition("group").sortWithinPartitions("group", "side").mapInArrow(verify, "a long, b long")
+
+
+def _blocks(count: Column, shingles: Column) -> Column:
+    """The number of blocks of a part with so many classes and shingles."""
+    return F.ceil(F.greatest(count / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def head_groups(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of the first pass from ``met`` (band, row, head): each class with the head with which it shares most bands, parts of bounded size."""
+    shared = met.filter("row <> head").groupBy("row", "head").agg(F.count("*").alias("n"))
+    chosen = shared.groupBy("row").agg(F.max_by("head", F.struct("n", (-F.col("head")).alias("first"))).alias("head")).join(sizes, "row")
+    # written, here and below: then both sides of the join are dealt out, and Spark can split a key that very many rows have
+    parts = written(chosen.groupBy("head").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("parts")))
+    members = chosen.join(parts, "head").select(F.xxhash64("head", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).alias("group"), F.lit(2).alias("side"), "row")
+    heads = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("head", "part").alias("group"), F.lit(1).alias("side"), F.col("head").alias("row"))
+    return members.unionByName(heads).withColumn("component", F.col("row"))
+
+
+def rest_groups(known: DataFrame) -> DataFrame:
+    """Groups of the second pass from ``known`` (band, row, component, n_shingles): classes of a band that different components hold."""
+    bands = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("row") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("row")).alias("xor"))
+    bands = written(bands.filter("low <> high").groupBy("n", "sum", "xor").agg(F.min("band").alias("band")).select("band"))
+    known = written(known.join(bands, "band"))
+    units = known.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    # classes are numbered from 0, so -1 names what the small components share
+    units = written(units.withColumn("unit", F.when(_blocks(F.col("n"), F.col("s")) > 1, F.col("component")).otherwise(F.lit(-1).cast("long"))))
+    blocks = written(units.groupBy("band", "unit").agg(_blocks(F.sum("n"), F.sum("s")).alias("blocks")))
+    low, high = (blocks.select("band", F.col("unit").alias(f"{side}_unit"), F.col("blocks").alias(f"{side}_blocks")) for side in ("low", "high"))
+    pairs = low.join(high, "band").filter("low_unit < high_unit or (low_unit = -1 and high_unit = -1)")
+    ends = F.array(F.struct(F.col("low_unit").alias("unit"), F.lit(1).alias("end")), F.struct(F.col("high_unit").alias("unit"), F.lit(2).alias("end")))
+    met = pairs.select("band", "low_unit", "low_blocks", "high_unit", "high_blocks", F.inline(F.when(F.col("low_unit") == F.col("high_unit"), F.array(F.struct(F.col("low_unit").alias("unit"), F.lit(0).alias("end")))).otherwise(ends)))
+    rows = known.join(units.select("band", "component", "unit"), ["band", "component"])
+    rows = written(rows).join(written(met), ["band", "unit"])
+    mine = F.pmod(F.when(F.col("unit") == -1, F.xxhash64("component")).otherwise(F.xxhash64("row")), F.when(F.col("end") == 2, F.col("high_blocks")).otherwise(F.col("low_blocks"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    others = F.sequence(F.lit(0), F.when(F.col("end") == 1, F.col("high_blocks")).otherwise(F.col("low_blocks")) - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    first = F.when(F.col("end") == 1, F.col("mine")).when(F.col("end") == 2, F.col("other")).otherwise(F.least("mine", "other"))
+    last = F.when(F.col("end") == 1, F.col("other")).when(F.col("end") == 2, F.col("mine")).otherwise(F.greatest("mine", "other"))
+    side = F.when(F.col("end") > 0, F.col("end")).when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return rows.select(F.xxhash64("band", "low_unit", first, "high_unit", last).alias("group"), side.alias("side"), "row", "component")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,22 +288,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_colu
     ``component_id`` is the smallest id of the component. ``kept`` is true for one (id, text) of each component, with that id; rows that repeat
     both are all marked, as nothing tells them apart.
     """
-    keyed = _keyed(docs, id_column, text).select(F.col("__key_a").alias("key_a"), F.col("__key_b").alias("key_b"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
+    keyed = docs.select(*content_keys(id_column, text), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     signed = written(signatures(keyed, n, threshold))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key_a", "key_b")).alias("first")
     classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("row", F.monotonically_increasing_id()))
     banded = classes.select("row", F.explode("bands").alias("band"))
-    # written, so that the join below deals out both sides and Spark can split a band that very many classes share
     heads = written(banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head"))
-    clusters = components(banded.join(heads, "band").filter("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")))
-    known = classes.select("row", "n_shingles", "first.key_a", "first.key_b")
-    members = written(clusters.select(F.col("node").alias("row"), F.col("component").alias("cluster")).join(known, "row"))
-    found = components(verified_links(keyed.select("key_a", "key_b", "text"), members, n, threshold))
-    named = classes.select("set_a", "set_b", "row", "first").join(found.withColumnRenamed("node", "row"), "row", "left")
-    named = named.withColumn("component", F.coalesce("component", "row"))
-    best = named.groupBy("component").agg(F.min("first").alias("best"))
-    named = named.join(best, "component").select("set_a", "set_b", "best")
+    met = written(banded.join(heads, "band"))
+    sizes = classes.select("row", "n_shingles")
+    members = met.select("row").distinct().join(classes.select("row", "first.key_a", "first.key_b"), "row")
+    shingles = written(shingle_table(keyed.select("key_a", "key_b", "text"), members, n))
+    once = components(verified(head_groups(met, sizes), shingles, threshold)).withColumnsRenamed({"node": "row"})
+    known = sizes.join(once, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    twice = components(verified(rest_groups(met.select("band", "row").join(known, "row")), shingles, threshold)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = classes.select("set_a", "set_b", "row", "first").join(once, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    named = written(named.join(written(twice), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"))
+    best = named.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n")).filter("n > 1")
+    best = best.select("component", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(written(best), ["component", "salt"], "left")
+    named = named.select("set_a", "set_b", F.coalesce("best", "first").alias("best"))
     told = signed.drop("bands").join(named, ["set_a", "set_b"], "left")
     alone = F.col("best").isNull()  # an empty set is in no class
     kept = alone | ((F.col("best.key_a") == F.col("key_a")) & (F.col("best.key_b") == F.col("key_b")))
@@ -260,6 +316,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_colu
 
 def deduplicated(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of ``docs`` that are kept, with all their columns; of rows that repeat id and text, one."""
-    kept = near_duplicates(docs, n, threshold, id_column, text).filter("kept").select(F.col("key_a").alias("__key_a"), F.col("key_b").alias("__key_b"))
-    rows = _keyed(docs, id_column, text).join(kept, ["__key_a", "__key_b"], "left_semi")
-    return rows.dropDuplicates(["__key_a", "__key_b"]).drop("__key_a", "__key_b")
+    keys = unused(docs.columns, "key_a", "key_b")
+    kept = near_duplicates(docs, n, threshold, id_column, text).filter("kept").select(*[F.col(k).alias(name) for k, name in zip(("key_a", "key_b"), keys, strict=True)])
+    rows = docs.select("*", *[k.alias(name) for k, name in zip(content_keys(id_column, text), keys, strict=True)]).join(kept, keys, "left_semi")
+    return rows.dropDuplicates(keys).drop(*keys)

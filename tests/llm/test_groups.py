@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -80,17 +81,88 @@ def test_near_duplicates_awkward(awkward):
     found = {r["doc_id"]: r for r in nd.near_duplicates(awkward, 3, 0.85).collect()}
     assert {k: found[k]["component_id"] for k in (1, 2, 3, 5, 8, 10, 11)} == {1: 1, 2: 2, 3: 3, 5: 5, 8: 7, 10: 10, 11: 10}
     assert set(nd.deduplicated(awkward).columns) == set(awkward.columns)
+    clash = awkward.withColumnsRenamed({"score": "key_a", "id": "Key_B"})
+    assert nd.deduplicated(clash).columns == clash.columns and nd.deduplicated(clash).filter("key_a = 1.5").count() == nd.deduplicated(awkward).count()
     assert nd.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_large_components(spark, monkeypatch):
+    """Blocks of large and small components meet in the second pass."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    rng = random.Random(12)
+    rows = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(60)]
+        for step in range(40):  # a chain: neighbours are alike, the ends are not
+            words[rng.randrange(60)] = f"b{base}s{step}"
+            rows.append((len(rows), " ".join(words)))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).collect())
+    assert got == sorted(brute_components(rows, 3, 0.85))
+
+
+def test_a_group_of_near_copies_is_looked_at_once(spark):
+    """Rows that meet grow with the group, not with its square, and the second pass has nothing to do."""
+    rng, counts = random.Random(6), []
+    words = [f"w{k}" for k in range(300)]
+    for size in (300, 1200):
+        rows = [(k, " ".join(words[:150] + [f"x{k}"] + words[150:])) for k in range(size)]
+        rng.shuffle(rows)
+        keyed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id as key_a", "doc_id as key_b", "doc_id as id", "text")
+        signed = nd.signatures(keyed, 3, 0.85)
+        banded = signed.select(F.col("id").alias("row"), F.explode("bands").alias("band"))
+        met = banded.join(banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).filter("n > 1"), "band")
+        groups = nd.head_groups(met.select("band", "row", "head"), signed.select(F.col("id").alias("row"), "n_shingles"))
+        counts.append(groups.count())
+        found = nd.near_duplicates(keyed.select(F.col("id").alias("doc_id"), "text"), 3, 0.85)
+        assert found.filter("component_id = 0").count() == size
+    assert 300 < counts[0] < 400 and 1200 < counts[1] < 1300
+
+
+def test_blocks_are_bounded(spark):
+    """Classes of one band in a large component, several small ones and singles: each group holds two blocks at most, all that differ meet once."""
+    rows = [(7, k, 0 if k < 1000 else 1000 + k // 40 * 40 if k < 1200 else k, 10) for k in range(1500)]
+    groups = nd.rest_groups(spark.createDataFrame(rows, "band long, row long, component long, n_shingles long")).toPandas()
+    assert groups.groupby("group").size().max() <= 4 * nd.BLOCK
+    seen = collections.Counter()
+    for _, own in groups.groupby("group"):
+        one, two = (own[own["side"] == s][["row", "component"]].to_numpy() for s in (1, 2))
+        same = own[own["side"] == 0][["row", "component"]].to_numpy()
+        seen.update((min(a, b), max(a, b)) for a, x in one for b, y in two if x != y)
+        seen.update((min(a, b), max(a, b)) for k, (a, x) in enumerate(same) for b, y in same[k + 1 :] if x != y)
+    component = {r[1]: r[2] for r in rows}
+    assert set(seen) == {(a, b) for b in range(1500) for a in range(b) if component[a] != component[b]} and set(seen.values()) == {1}
+
+
 def test_estimate_is_close():
     rng, k = np.random.default_rng(1), 6 * nd.bands_for(0.85)
     for share in (0.5, 0.85, 1.0):
         both = rng.integers(0, 2**64, 600, dtype=np.uint64)
-        own = [np.unique(np.concatenate([both[: int(600 * share)], rng.integers(0, 2**64, 600 - int(600 * share), dtype=np.uint64)])) for _ in range(2)]
-        codes = nd.registers(np.concatenate(own), np.array([0, len(own[0]), len(own[0]) + len(own[1])]), k)
-        true = len(np.intersect1d(*own)) / len(np.union1d(*own))
-        assert abs(nd.estimate((codes[0] == codes[1]).sum(), k) - true) < 0.15
+        likely, true = [], []
+        for _ in range(40):
+            own = [np.unique(np.concatenate([both[: int(600 * share)], rng.integers(0, 2**64, 600 - int(600 * share), dtype=np.uint64)])) for _ in range(2)]
+            codes = nd.registers(np.concatenate(own), np.array([0, len(own[0]), len(own[0]) + len(own[1])]), k)
+            likely.append(nd.estimate((codes[0] == codes[1]).sum(), k, *map(len, own)))
+            true.append(len(np.intersect1d(*own)) / len(np.union1d(*own)))
+        assert abs(np.mean(likely) - np.mean(true)) < 0.02 and np.abs(np.array(likely) - true).max() < 0.12
+
+
+@pytest.mark.parametrize(("size", "other"), [(4, 4), (32, 32), (512, 512), (512, 64), (4096, 4096)])
+def test_registers_that_agree_by_chance_are_taken_off(size, other):
+    rng, k, n = np.random.default_rng(size), 6 * nd.bands_for(0.85), 300
+    sides = []
+    for x in (size, other):
+        own = [np.unique(rng.integers(0, 2**64, x, dtype=np.uint64)) for _ in range(n)]
+        sides.append(nd.registers(np.concatenate(own), np.cumsum([0] + [len(o) for o in own]), k))
+    agree = np.array([(sides[1] == c).sum(axis=1) for c in sides[0]])
+    raw, error = agree.mean() / k, math.sqrt(nd.chances(k).max() / (n * n * k))
+    assert abs(nd.estimate(agree, k, size, other).mean()) < 8 * error < raw  # without the correction it would be off by raw
+
+
+def test_pruning_loses_no_more_than_stated():
+    k = 6 * nd.bands_for(0.85)
+    least = nd.least_agreeing(0.85, k)
+    below = sum(math.comb(k, c) * 0.85**c * 0.15 ** (k - c) for c in range(least))
+    assert below <= nd.PRUNED < below + math.comb(k, least) * 0.85**least * 0.15 ** (k - least)
 
 
 def test_components(spark):
