@@ -110,7 +110,7 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, n: int, n_buckets: int, bits: int = 32) -> DataFrame:
-    """(key_a, key_b, start, length): the blocks of (key_a, key_b, times, text) that occur anywhere else, by ``bits`` of their hashes."""
+    """(key_a, key_b, start, length): the blocks of (key_a, key_b, ..., text) that occur anywhere else, by ``bits`` of their hashes."""
     size = (n + 1) // 2
     gathered = min(MOST_GATHERED, max(GATHER, PER_BUCKET * n_buckets))
     mask = np.uint64((1 << bits) - 1)
@@ -190,7 +190,7 @@ def run_digests(words: Words, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
-    """(key_a, key_b, start, length): starts of runs of n words, of (key_a, key_b, times, text, anchors), that occur anywhere else; length: so many starts."""
+    """(key_a, key_b, start, length): starts of runs of n words, of (key_a, key_b, ..., text, anchors), that occur anywhere else; length: so many starts."""
     size = (n + 1) // 2
     reach = n - size
     gathered = min(MOST_GATHERED, max(GATHER, PER_BUCKET * n_buckets)) // 2
@@ -281,9 +281,9 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_column: str = "doc_id", text
     n_buckets = max(4 * shuffle_partitions(docs.sparkSession), n_bytes // BUCKET_BYTES)
     rows = docs.select(*content_keys(id_column, text), F.col(id_column).alias("id"), body.alias("text"))
     keyed = rows.groupBy(*KEY).agg(F.first("id").alias("id"), F.count("*").alias("times"), F.first("text").alias("text"))
-    parts = keyed.select(*KEY, "times", "text")
-    marks = anchors(parts, n, n_buckets, anchor_bits).groupBy(*KEY).agg(F.collect_list("start").alias("anchors"))
-    marked = parts.join(marks, KEY, "left").select(*KEY, "times", "text", "anchors")
+    # all passes read all columns of the rows, so that they share one exchange
+    marks = anchors(keyed, n, n_buckets, anchor_bits).groupBy(*KEY).agg(F.collect_list("start").alias("anchors"))
+    marked = keyed.join(marks, KEY, "left").select(*KEY, "id", "times", "text", "anchors")
     runs = repeats(marked, n, n_buckets).groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
