@@ -6,8 +6,9 @@
 3. Each class goes to its bucket in each table. A query goes to the ``probes`` buckets of each table whose axes lie nearest to it, by default
    to a fixed share of all buckets (``shared_probes``). So neither more rows nor longer hashes or vectors make it search a smaller share.
 4. Where both meet, distances are taken on the original vectors in double precision, and each query's nearest go on. A bucket of over
-   ``SPLIT`` vectors is cut by hash, and its queries go to every part. Pairs are never listed.
-5. A query that found fewer than it should is searched again in all buckets of one table, so over all rows.
+   ``SPLIT`` vectors or ``ASKED`` queries is cut by hash into a grid of parts; vectors go to each part of the queries, and queries to each part
+   of the vectors. A task holds one part's queries and streams its vectors. Pairs are never listed.
+5. A query that found fewer than it should is searched again in all buckets of one table, so over all rows; ``again`` marks its rows.
 
 Cases: vectors that are null, empty or zero, or hold a null or non-finite component, take no part; vectors of different lengths don't meet; rows that
 repeat an id with its vector count once; ties go to the smaller id; a table with fewer candidates gives them all; an empty table
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from colmerge.llm.common import written
 from colmerge.llm.textvec import mix
 
-TABLES, PROBES, SPLIT, CHUNK, BLOCK = 4, 32, 65_536, 8192, 1024
+TABLES, PROBES, CHUNK, BLOCK = 4, 32, 8192, 1024
+#: Vectors and queries of a bucket beyond which it is cut.
+SPLIT, ASKED = 1 << 18, 1 << 15
 #: The share of a table's buckets that a query goes to, and that for vectors of more than ``NARROW`` axes, which need more for the same recall.
 SHARE, WIDE_SHARE, NARROW = 0.25, 0.4, 128
 
@@ -100,7 +103,7 @@ def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def _keyed(classes: DataFrame, tables: int, functions: int, probes: int | None, seed: int) -> DataFrame:
-    """(key, class, vector): a row for each bucket, with the vector's components packed as they are stored."""
+    """(class, keys, vector): the buckets of each class, and its vector's components packed as they are stored. Hashed once, and written."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +118,7 @@ def _keyed(classes: DataFrame, tables: int, functions: int, probes: int | None,
                         keys[r] = k
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), _packed(batch.column(1))], ["class", "keys", "vector"])
 
-    found = classes.select("class", "vector").mapInArrow(hashed, "class long, keys array<long>, vector binary")
-    return found.select(F.explode("keys").alias("key"), "class", "vector")
+    return written(classes.select("class", "vector").mapInArrow(hashed, "class long, keys array<long>, vector binary"))
 
 
 class _Best:
@@ -150,12 +152,23 @@ class _Best:
 
 def _met(queries: DataFrame, candidates: DataFrame, k: int, kind: type) -> DataFrame:
     """(query, class, score): for each bucket and query in it, the k nearest candidates there."""
-    sizes = candidates.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
-    sizes = sizes.select("key", F.ceil(F.col("n") / F.lit(SPLIT)).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = queries.join(sizes, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = candidates.join(sizes, "key", "left").withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int"))
-    both = left.select("key", "part", F.lit(0).alias("side"), "class", "vector").unionByName(right.select("key", "part", F.lit(1).alias("side"), "class", "vector"))
+
+    def sizes(rows: DataFrame, name: str, most: int) -> DataFrame:
+        counts = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+        return counts.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias(name))
+
+    grid = sizes(candidates, "across", SPLIT).join(sizes(queries, "down", ASKED), "key", "full")
+    across, down = F.coalesce("across", F.lit(1)), F.coalesce("down", F.lit(1))
+
+    def dealt(rows: DataFrame, own: Column, others: Column, cell) -> DataFrame:
+        """Each row in its own part, for each part of the other side."""
+        spread = rows.select(F.explode("keys").alias("key"), "class", "vector").join(grid, "key", "left")
+        part = F.transform(F.sequence(F.lit(0), others - 1), lambda other: cell(F.pmod(F.xxhash64("class"), own).cast("int"), other))
+        return spread.select("key", F.explode(part).alias("part"), "class", "vector")
+
+    left = dealt(queries, down, across, lambda mine, other: other * down + mine).withColumn("side", F.lit(0))
+    right = dealt(candidates, across, down, lambda mine, other: mine * down + other).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("key", "part", "side", "class", "vector")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best, waiting = None, None, []
@@ -192,7 +205,7 @@ def _usable(vector: Column) -> Column:
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None, functions: int = 1, seed: int = 13) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest rows found for each row where ``is_query`` holds, by Euclidean distance."""
+    """(query_id, rank, id, score, again): the k nearest rows found for each row where ``is_query`` holds, by Euclidean distance."""
     stored = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
     kind = np.float32 if stored == "array<float>" else np.float64
     rows = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(stored).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -213,13 +226,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     told = written(nearest(met))
     sizes = classes.select(F.size("vector").alias("width"), F.size("members").alias("n")).groupBy("width").agg(F.sum("n").alias("there"))
     counts = told.groupBy("class").agg(F.count("*").alias("n"))
-    wanted = queries.select("class", F.size("vector").alias("width")).join(F.broadcast(sizes), "width").join(counts, "class", "left")
+    wanted = queries.select("class", F.size("vector").alias("width")).join(sizes, "width").join(counts, "class", "left")
     short = written(wanted.filter(F.coalesce("n", F.lit(0)) < F.least("there", F.lit(k + 1))).select("class"))
+    told = told.withColumn("again", F.lit(False))
     if not short.isEmpty():
-        again = queries.join(short, "class", "left_semi")
+        repeated = queries.join(short, "class", "left_semi")
         every = 2 * (1 << max(0, (classes.agg(F.max(F.size("vector"))).first()[0] or 1) - 1).bit_length())
-        more = nearest(_met(_keyed(again, 1, 1, every, seed), _keyed(classes, 1, 1, 1, seed), k + 1, kind))
-        told = told.join(short, "class", "left_anti").unionByName(more)
+        more = nearest(_met(_keyed(repeated, 1, 1, every, seed), _keyed(classes, 1, 1, 1, seed), k + 1, kind))
+        told = told.join(short, "class", "left_anti").unionByName(more.withColumn("again", F.lit(True)))
     pairs = asking.select(F.col("id").alias("query_id"), "class").join(told, "class").filter("query_id <> id")
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
-    return pairs.select("query_id", "rank", F.col("id").alias(id_column), "score")
+    return pairs.select("query_id", "rank", F.col("id").alias(id_column), "score", "again")

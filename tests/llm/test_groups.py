@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colmerge.llm import near_duplicates as nd
+from colmerge.llm import neighbours
 from colmerge.llm.components import components
 from colmerge.llm.neighbours import nearest_neighbours
 from colmerge.llm.substrings import remove_repeats
@@ -270,23 +271,34 @@ def test_neighbours(spark):
     assert total == 300 and hit >= 0.95 * total
 
 
-@pytest.mark.parametrize(("width", "functions"), [(16, {"functions": 2}), (256, {})])
+@pytest.mark.parametrize(("width", "functions"), [(16, 2), (8, 3), (64, 1), (256, 1)])
 def test_neighbours_keep_recall_with_longer_hashes_and_wider_vectors(spark, width, functions):
     x = np.random.default_rng(6).normal(size=(2000, width))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = nearest_neighbours(df, F.col("vec_id") % 100 == 0, **functions).toPandas()
+    found = nearest_neighbours(df, F.col("vec_id") % 100 == 0, functions=functions).toPandas()
     hit = 0
     for q, own in found.groupby("query_id"):
         far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         hit += len(set(own["vec_id"]) & {k for _, k in sorted((far[k], k) for k in range(2000) if k != q)[:10]})
-    print(f"recall {hit / 200} at width {width}")
-    assert len(found) == 200 and hit >= 0.9 * 200
+    print(f"recall {hit / 200} at width {width}, {functions} functions; searched again {found['again'].mean()}")
+    # the search itself finds them, not the second one over all rows
+    assert len(found) == 200 and hit >= 0.9 * 200 and found["again"].mean() <= 0.1
+
+
+def test_neighbours_in_a_grid_of_parts(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(900, 8))
+    x[::2, 0] += 9  # one hot bucket
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, nearest_neighbours(df, F.col("vec_id") % 5 == 0).collect()))
+    monkeypatch.setattr(neighbours, "SPLIT", 40)
+    monkeypatch.setattr(neighbours, "ASKED", 15)
+    assert sorted(map(tuple, nearest_neighbours(df, F.col("vec_id") % 5 == 0).collect())) == whole and len(whole) == 1800
 
 
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (200, [0.0, 2.0, 0.0]), (200, [0.0, 2.0, 0.0]), (201, None), (300, [0.0, 0.0, 0.0]), (400, [1.0, float("nan"), 0.0]), (600, [1.0, None, 0.0]), (202, [0.0, -2.0, 0.0]), (203, [0.0, 2.0, 1.0]), (500, [1.0, 2.0]), (501, [1.0, 3.0]), (None, [1.0, 1.0, 1.0]), (700, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:4] for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     five = 5**0.5
     assert got == [(0, 1, 200, five), (0, 2, 202, five), (0, 3, 203, 6**0.5), (200, 1, 203, 1.0), (200, 2, 0, five), (200, 3, 202, 4.0), (500, 1, 501, 1.0)]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
