@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score. DataFrame functions only.
 
 Spark's functions return matches without places. So every match is put between two markers, the text is split at the markers,
-and a running sum of the pieces' lengths gives each match's start and end in code points.
+and a running sum of the pieces' lengths gives each match's start and end in code points. Running sums go over ``STEPS`` items at a time, so
+that no array grows with the number of matches: a text of many thousand matches takes time in proportion.
 
 Patterns repeat single characters only, never groups: a separator between two digits, or a dot between two label characters, is
 first replaced by one sign of the same length. So runs of any length are matched in a loop, without deep recursion. A match may
@@ -10,17 +11,23 @@ begin only where a run begins (or where the last match ended), which finds the s
 Base kinds (``email``, ``ip``, ``card``, ``phone``) are kept whenever their own check holds (parts up to 255; 13 to 19 digits that pass
 Luhn; 9 to 15 digits). The added kind ``iban`` is proposed at every start of a word, with its country's length where that is known and ends
 a word, else to the end of the run of capitals and digits; it is kept if mod-97 confirms it, so its spans may overlap. ``score`` starts at the kind's prior and rises by
-``CONTEXT_BONUS``, to 1 at most, if one of the kind's words lies in the ``CONTEXT`` characters before the span.
+``CONTEXT_BONUS``, to 1 at most, if one of the kind's words begins in the ``CONTEXT`` characters before the span or behind it (as far as the next match of the kind).
 
-Cases: a null or empty text has no spans; texts are searched whole; repeated rows stay; other columns pass through (an input column
-named like the output is replaced); an empty table gives an empty result. Code points U+E000 and U+E002 in a text match nothing.
+Cases: a null or empty text has no spans; texts are searched whole; repeated rows stay; other columns pass through, whatever their names (an input
+column named like the output is replaced); an empty table gives an empty result. Code points U+E000 and U+E002 in a text match nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colmerge.llm.common import unused
+
+#: Items of a running sum that share an array while it grows.
+STEPS = 128
 MARK, OTHER, JOIN = "\ue000", "\ue001", "\ue002"
 KINDS = ["email", "ip", "card", "phone", "iban"]
 BASE_KINDS = KINDS[:4]
@@ -54,7 +61,7 @@ PATTERNS = {
 }
 #: Where the pattern reads a text in which single separators are replaced.
 JOINED = {"email": rf"(?<=[{_LABEL}])\.(?=[{_LABEL}])", "card": r"(?<=[0-9])[\x20-](?=[0-9])", "iban": "(?<=[A-Z0-9]) (?=[A-Z0-9])"}
-SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+SPAN = "start:int,end:int,value:string,around:string"
 
 
 def _digits(value: Column) -> Column:
@@ -95,26 +102,57 @@ def _confirmed(kind: str, value: Column) -> Column:
     return mod97(value) if kind == "iban" else F.lit(True)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``step`` makes of each item: it takes the state so far and the item, and returns (state, made); ``kind`` is the type of what is made."""
+
+    def one(state: Column, item: Column) -> Column:
+        new = step(state["state"], item)
+        return F.struct(new["state"].alias("state"), F.concat(state["made"], F.array(new["made"])).alias("made"))
+
+    def whole(items: Column) -> Column:
+        def block(state: Column, k: Column) -> Column:
+            begun = F.struct(state["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("made"))
+            done = F.aggregate(F.slice(items, k * STEPS + 1, F.lit(STEPS)), begun, one)
+            return F.struct(done["state"].alias("state"), F.concat(state["made"], F.array(done["made"])).alias("made"))
+
+        begun = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("made"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STEPS).cast("int"))
+        return F.flatten(F.aggregate(blocks, begun, block, lambda state: state["made"]))
+
+    return _let(items, whole)
+
+
 def _proposed(text: Column, kind: str) -> Column:
-    """All matches of the kind's pattern with their places and what stands before them."""
+    """All matches of the kind's pattern with their places and what stands around them."""
     if kind in JOINED:
         text = F.regexp_replace(text, JOINED[kind], JOIN)
-    copied = kind == "iban"
+    copied = kind == "iban"  # the piece between the marks is a copy of what follows them
     pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}${int(copied)}{MARK}"), MARK, -1)
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        span = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("value"), state["last"].alias("before"))
-        found = F.when(state["inside"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        last = F.right(piece, F.lit(CONTEXT))
-        if copied:
-            # the piece between the marks is a copy of what follows them
-            end = F.when(state["inside"], state["at"]).otherwise(end)
-            last = F.when(state["inside"], state["last"]).otherwise(F.right(F.concat(state["last"], piece), F.lit(CONTEXT)))
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), last.alias("last"), found.alias("found"))
+    def match(pieces: Column) -> Column:
+        def near(k: Column) -> Column:
+            value, behind = pieces[2 * k + 1], pieces[2 * k + 2]
+            after = F.substring(behind, F.length(value) + 1, F.lit(CONTEXT)) if copied else F.left(behind, F.lit(CONTEXT))
+            around = F.concat(F.right(pieces[2 * k], F.lit(CONTEXT)), F.lit("\n"), after)
+            return F.struct(F.length(pieces[2 * k]).alias("gap"), value.alias("value"), around.alias("around"))
+
+        matches = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 3) / 2).cast("int")), near)
+
+        def step(at: Column, m: Column) -> Column:
+            begin = at + m["gap"]
+            end = begin + F.length(m["value"])
+            span = F.struct(begin.alias("start"), end.alias("end"), m["value"].alias("value"), m["around"].alias("around"))
+            return F.struct((begin if copied else end).alias("state"), span.alias("made"))
+
+        return _running(matches, F.lit(0), step, f"struct<{SPAN}>")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("last"), F.array().cast(SPAN).alias("found"))
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda state: state["found"])).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(f"array<struct<{SPAN}>>")
+    return _let(pieces, lambda p: F.when(F.size(p) > 1, match(p)).otherwise(none))
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
@@ -122,7 +160,7 @@ def _kind_spans(text: Column, kind: str) -> Column:
     kept = F.filter(spans, lambda s: _confirmed(kind, s["value"]))
 
     def scored(s: Column) -> Column:
-        near = F.lower(s["before"]).rlike(rf"\b({WORDS[kind]})")
+        near = F.lower(s["around"]).rlike(rf"\b({WORDS[kind]})")
         score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
@@ -132,16 +170,17 @@ def _kind_spans(text: Column, kind: str) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with ``out``: an array of (kind, start, end, score), by kind as in ``KINDS``, then start."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    clean = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARK + JOIN, OTHER * 2)
-    rare = F.col(text).rlike(f"[{MARK}{JOIN}]")
+    body = F.col(text).cast("string")
+    clean = F.translate(F.coalesce(body, F.lit("")), MARK + JOIN, OTHER * 2)
     given = [c for c in docs.columns if c != out]
-    row = docs.select(*given, F.when(rare, clean).otherwise(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__text"))
-    row = row.withColumn("__digit", F.col("__text").rlike("[0-9]"))
-    t, digit = F.col("__text"), F.col("__digit")
+    names = dict(zip(["text", "digit", *KINDS], unused(docs.columns, "text_", "digit_", *[f"{kind}_" for kind in KINDS]), strict=True))
+    row = docs.select(*given, F.when(body.rlike(f"[{MARK}{JOIN}]"), clean).otherwise(F.coalesce(body, F.lit(""))).alias(names["text"]))
+    row = row.withColumn(names["digit"], F.col(names["text"]).rlike("[0-9]"))
+    t, digit = F.col(names["text"]), F.col(names["digit"])
     need = {"email": F.contains(t, F.lit("@")), "ip": digit, "card": digit, "phone": digit & F.contains(t, F.lit("+")), "iban": digit}
     for kind in KINDS:
-        row = row.withColumn(f"__{kind}", F.when(need[kind], _kind_spans(t, kind)).otherwise(none))
-    return row.select(*given, F.concat(*[F.col(f"__{kind}") for kind in KINDS]).alias(out))
+        row = row.withColumn(names[kind], F.when(need[kind], _kind_spans(t, kind)).otherwise(none))
+    return row.select(*given, F.concat(*[F.col(names[kind]) for kind in KINDS]).alias(out))
 
 
 def span_text(spans: Column) -> Column:
@@ -151,14 +190,24 @@ def span_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; of overlapping spans the first names them all."""
-    whole = F.col(text)
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def step(at: Column, s: Column) -> Column:
+        """The gap before a span and its name, for a span that begins behind those before it; else null."""
+        made = F.when(s["start"] >= at, F.struct(at.alias("start"), s["start"].alias("end"), s["kind"].alias("kind")))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), made.alias("made"))
+
+    cuts = _running(ordered, F.lit(0), step, "struct<start:int,end:int,kind:string>")
+
+    def replaced(wide: Column) -> Column:
+        """The text, given in four bytes for each code point: a place is found without reading what lies before it."""
+
+        def cut(start: Column, end: Column) -> Column:
+            # the mark in front keeps a mark at the start of the part
+            return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(wide, start * 4 + 1, (end - start) * 4)), "UTF-32")
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(whole, state["at"] + 1, s["start"] - state["at"])
-        grown = F.when(s["start"] >= state["at"], F.concat(state["done"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(state["done"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), grown.alias("done"))
+        heads = F.transform(F.filter(cuts, lambda c: c.isNotNull()), lambda c: F.concat(cut(c["start"], c["end"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+        rest = cut(F.array_max(F.transform(F.col(spans), lambda s: s["end"])), F.length(text))
+        return F.concat(F.array_join(heads, ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    done = F.aggregate(ordered, start, step, lambda state: F.concat(state["done"], F.substring(whole, state["at"] + 1, F.length(whole))))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(whole))
+    return docs.withColumn(text, F.when(F.size(spans) > 0, _let(F.encode(F.col(text), "UTF-32"), replaced)).otherwise(F.col(text)))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -69,6 +70,42 @@ def test_accounts_before_capitals_numbers_and_other_accounts(spark):
         assert not any(x in r["text"] for x in told[r["whole"]])
 
 
+def test_context_on_both_sides_and_names_that_clash(spark):
+    texts = ["4111 1111 1111 1111 is my visa card", "4111 1111 1111 1111 xx", "DE89370400440532013000 belongs to my konto", "a@b.org zz c@d.org is my mail"]
+    names = ["__text", "__digit", "__email", "Text_", "digit_", "IBAN_", "pii"]
+    df = spark.createDataFrame([(t, *range(7)) for t in texts], ", ".join(["text string", *[f"`{n}` int" for n in names]]))
+    rows = pii.find_pii(df).collect()
+    assert [[(s["kind"], round(s["score"], 6)) for s in r["pii"]] for r in rows] == [[("card", 0.9)], [("card", 0.7)], [("iban", 1.0)], [("email", 0.8), ("email", 1.0)]]
+    assert all([r[n] for n in names[:-1]] == list(range(6)) for r in rows)
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than a running sum takes at once, of all kinds, overlapping, with wide characters and a mark at the start of a part."""
+    part = "\ufeff😀 a{k}@b.org \ufeffé 10.0.{k}.1 +49 30 12345{k} 4111 1111 1111 1111 DE89370400440532013000 "
+    text = "".join(part.replace("{k}", str(k % 200)) for k in range(700))
+    df = spark.createDataFrame([(text,), ("\ufeff",), (None,)], "text string")
+    found = pii.find_pii(df)
+    spans = found.filter("size(pii) > 0").first()["pii"]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans if s["kind"] in BASE] == base_spans(text)
+    assert sum(s["kind"] == "iban" for s in spans) == 700
+    told, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"], s["kind"])):
+        if s["start"] >= at:
+            told += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    assert sorted(r["text"] or "" for r in pii.redact(found).collect()) == sorted(["", "\ufeff", "".join(told) + text[at:]])
+
+
+def test_time_grows_with_the_matches(spark):
+    took = []
+    for n in (2000, 16_000):
+        df = spark.createDataFrame([(" ".join(f"a{k}@b.org" for k in range(n)),)], "text string")
+        began = time.perf_counter()
+        assert pii.redact(pii.find_pii(df)).select(F.length("text")).first()[0] == n * 8 - 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20
+
+
 def test_redact_leaves_nothing(awkward):
     clean = pii.redact(pii.find_pii(awkward))
     assert not [r for r in clean.collect() if r["text"] and base_spans(r["text"])]
