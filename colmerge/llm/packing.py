@@ -1,8 +1,9 @@
 """Packing by power-of-two decomposition: each document is cut into pieces of binary lengths, and each piece is a sequence.
 
 A document of n ids (with the closing id) gives ``n // MAX_LENGTH`` pieces of ``MAX_LENGTH`` and one piece for each set bit of the rest, longest
-first. A sequence is one piece, so no sequence crosses documents and none is padded; sequences of equal length form a bucket, from
-which batches are drawn (``bucket`` is the exponent; ``bucketed`` lays the rows out by it). No row needs another, so nothing is shuffled.
+first. A sequence is one piece, so no sequence crosses documents and none is padded. Sequences of equal length form a bucket (``bucket`` is the
+exponent): the pieces are dealt out by a hash, so that no bucket lies in one task, and each partition has its sequences of one length one after
+the other, in an order hashed anew, so batches read from it are of one length and mixed. That exchange of the pieces is the only one.
 
 Ids come from the tokenizer file by way of distinct pre-tokens: a byte-level BPE token begins with a space or holds none (a run of white space
 apart), so a text may be cut before every single space, and each distinct part is encoded once per worker. The memory of parts is bounded; it
@@ -81,7 +82,12 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 
 def pack(docs: DataFrame, json_file: str, ranks_file: str, id_column: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH) -> DataFrame:
-    """A row per piece: id, start, length, bucket, doc_tokens, ids (little-endian 32-bit), sequence_id and offset (always 0)."""
+    """A row per piece, laid out by bucket: id, start, length, bucket, doc_tokens, ids (little-endian 32-bit), sequence_id and offset (always 0)."""
+    return bucketed(cut_documents(docs, json_file, ranks_file, id_column, text, longest))
+
+
+def cut_documents(docs: DataFrame, json_file: str, ranks_file: str, id_column: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH) -> DataFrame:
+    """The pieces as ``pack`` has them, in the order of the documents."""
     if longest < 1 or longest & longest - 1:
         raise ValueError("the longest sequence must be a power of two")
 
@@ -116,5 +122,5 @@ KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
 
 
 def bucketed(pieces: DataFrame) -> DataFrame:
-    """The pieces laid out by bucket, in an order hashed from their sequence: batches read from a range are of one length."""
-    return pieces.withColumn("order", F.xxhash64("sequence_id")).repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order").drop("order")
+    """The pieces dealt out by a hash of their sequence, and in each partition one bucket after the other."""
+    return pieces.withColumn("order", F.xxhash64("sequence_id")).repartition("order").sortWithinPartitions("bucket", "order").drop("order")

@@ -102,6 +102,11 @@ def test_packing(awkward, documents):
         assert [p[0] for p in own] == [sum(q[1] for q in own[:k]) for k in range(len(own))] and {p[3] for p in own} == {len(ids)}
     ids = [p[4] for own in pieces.values() for p in own]
     assert len(ids) == len(set(ids))
+    laid = packing.pack(docs, JSON, RANKS).withColumn("part", F.spark_partition_id()).select("part", "bucket").collect()
+    lengths = {}
+    for r in laid:
+        lengths.setdefault(r["part"], []).append(r["bucket"])
+    assert all(own == sorted(own) for own in lengths.values())
     assert packing.pack(awkward, JSON, RANKS).select("doc_id").distinct().count() == awkward.select("doc_id").distinct().count()
     assert packing.pack(docs.limit(0), JSON, RANKS).count() == 0
 
