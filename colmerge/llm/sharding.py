@@ -1,11 +1,11 @@
 """A uniform shuffle into shards of exact size by a hypergeometric communication matrix. DataFrame functions only.
 
-Rows lie in ``blocks`` blocks by a hash of their id. Of each block only its number of rows goes to the driver (``blocks`` numbers, a
-fixed count). There the numbers of rows that each block sends to each shard are drawn exactly: shard sizes are fixed (counts at most
+Rows lie in blocks of about ``BLOCK_ROWS`` rows (``BLOCKS`` blocks at least) by a hash of their id. Of each block only its number of rows goes to the
+driver, and its row of the matrix comes back by broadcast: some bytes for a million rows. There the numbers of rows that each block sends to each shard are drawn exactly: shard sizes are fixed (counts at most
 one apart), and a block's row of the matrix is a multivariate hypergeometric draw from what the shards still lack. Then rows
 
 1. permute inside their block (rank by a hash) and take the shards in the order of the block's matrix row;
-2. are exchanged: each shard is dealt on to ``parts`` parts by a second hash, so no task holds a whole shard;
+2. are exchanged: each shard is dealt on to parts (of about ``BLOCK_ROWS`` rows, ``PARTS`` at least) by a second hash, so no task holds a whole shard;
 3. permute again: a row's slot is the number of rows in the shard's earlier parts, plus its rank by that hash in its part.
 
 Only keys, sizes and checksums travel. Cases: a null text has size 1 and the checksum of the empty text; a null id is a key like any
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from colmerge.llm.common import written
 
-BLOCKS, PARTS = 1024, 64
+BLOCKS, PARTS, BLOCK_ROWS = 1024, 64, 1_000_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -75,7 +75,7 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 11, id_column: str = "doc_id", text: str = "text", blocks: int = BLOCKS, parts: int = PARTS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 11, id_column: str = "doc_id", text: str = "text", blocks: int | None = None, parts: int | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot): every row of ``docs`` in one of ``shards`` shards, at a slot that counts from 0."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -87,7 +87,11 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 11, id_column: str
         F.xxhash64(F.lit(seed), F.col(id_column), F.monotonically_increasing_id()).alias("first"),
     )
     # written once: both passes over the keys must see the same hashes
-    rows = written(rows.withColumn("block", F.pmod(F.col("first"), F.lit(blocks)).cast("int")))
+    rows = written(rows)
+    count = rows.count()
+    blocks = blocks or max(BLOCKS, -(-count // BLOCK_ROWS))
+    parts = parts or max(PARTS, -(-count // (shards * BLOCK_ROWS)))
+    rows = rows.withColumn("block", F.pmod(F.col("first"), F.lit(blocks)).cast("int"))
     sizes = [0] * blocks
     for r in rows.groupBy("block").count().collect():  # one row per block
         sizes[r["block"]] = r["count"]
