@@ -4,11 +4,12 @@ A source of weight ``w`` among ``n`` of ``N`` rows has the mean repetition rate
 inverts the Poisson distribution of that mean at a uniform number hashed from its id and the seed, so it needs no other row and
 no state: the same document gets the same count wherever and whenever it is drawn. A mean above ``MOST_MEAN``, whose first terms
 doubles can't tell from 0, is cut into equal parts below it: a sum of Poisson numbers is one of the summed mean, and each part is
-drawn from a hash of its own. Copies are exploded and put in an order hashed from id, copy and seed, by a range partitioning: a global shuffle.
+drawn from a hash of its own. Copies are exploded and put in an order hashed from id, copy and seed: a global shuffle. As the keys of the order are
+uniform, equal ranges of them are the partitions, and nothing has to be sampled to find their bounds.
 
 Cases: a null source is a source of its own; a source without rows does nothing; with given weights, a source that they don't name
 has weight 0 (weights and epochs below 0 or not finite are an error); a null id draws like an id of its own; repeated rows of one id draw the same count; an empty table gives an empty
-result; other columns pass through, and input columns named ``copy``, ``copies`` or ``shuffle_key`` are replaced.
+result; other columns pass through, whatever their names, but input columns named ``copy``, ``copies`` or ``shuffle_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colmerge.llm.common import shuffle_partitions, unused, written
+
 #: Sources whose rates may be broadcast; beyond, the join is salted over so many parts.
 BROADCAST_SOURCES, SALTS = 10_000, 64
 #: The largest mean that is drawn at once.
@@ -55,39 +58,45 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     return counts.crossJoin(F.broadcast(total)).select("source", "n", F.coalesce(F.try_divide(F.col("weight") * F.col("rows") * F.lit(float(epochs)), F.col("weights") * F.col("n")), F.lit(0.0)).alias("rate"))
 
 
-def _drawn(key: Column, seed: int) -> Column:
-    """The sum of a row's Poisson numbers, one for each part of its mean; the first is drawn at ``__u``."""
+def _drawn(key: Column, parts: Column, cdf: Column, first: Column, seed: int) -> Column:
+    """The sum of a row's Poisson numbers, one for each part of its mean; the first is drawn at ``first``."""
 
     def inverted(u: Column) -> Column:
-        return F.size(F.filter("__cdf", lambda c: u >= c)).cast("long")
+        return F.size(F.filter(cdf, lambda c: u >= c)).cast("long")
 
     def add(total: Column, part: Column) -> Column:
         return total + inverted(uniform(key, part, seed=seed))
 
-    first = inverted(F.col("__u"))
-    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("__parts") - 1), first, add)
-    return F.when(F.col("__parts") > 1, more).otherwise(first)
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), parts - 1), inverted(first), add)
+    return F.when(parts > 1, more).otherwise(inverted(first))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7, id_column: str = "doc_id", source: str = "source", shuffle: bool = True) -> DataFrame:
     """``docs`` repeated to the target mix, with ``copy`` (from 0), ``copies`` and ``shuffle_key``, in the order of ``shuffle_key``."""
     check_weights([*(weights or {}).values(), epochs])
     docs = docs.select(*[c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")])
+    names = unused(docs.columns, "source_of_rate", "parts", "cdf", "drawn_at", "salt", "row_salt", "range")
+    of, parts, cdf, at, salt, row_salt, place = names
     rates = source_rates(docs, weights, alpha, epochs, source).filter(F.col("rate") > 0)
-    parts = F.ceil(F.col("rate") / MOST_MEAN)
-    rates = rates.select(F.col("source").alias("__source"), parts.alias("__parts"), poisson_cdf(F.col("rate") / parts).alias("__cdf"))
+    cut = F.ceil(F.col("rate") / MOST_MEAN)
+    rates = written(rates.select(F.col("source").alias(of), cut.alias(parts), poisson_cdf(F.col("rate") / cut).alias(cdf)))
     key = F.col(source).cast("string")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates), key.eqNullSafe(F.col("__source")))
+        joined = docs.join(F.broadcast(rates), key.eqNullSafe(F.col(of)))
     else:
-        spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = docs.withColumn("__row", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
-        joined = salted.join(spread, (F.col("__row") == F.col("__salt")) & key.eqNullSafe(F.col("__source"))).drop("__row", "__salt")
-    drawn = joined.withColumn("__u", uniform(F.col(id_column), seed=seed)).withColumn("copies", _drawn(F.col(id_column), seed))
-    drawn = drawn.filter("copies > 0").drop("__source", "__parts", "__cdf", "__u")
+        spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn(row_salt, F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread, (F.col(row_salt) == F.col(salt)) & key.eqNullSafe(F.col(of)))
+    drawn = joined.withColumn(at, uniform(F.col(id_column), seed=seed)).withColumn("copies", _drawn(F.col(id_column), F.col(parts), F.col(cdf), F.col(at), seed))
+    drawn = drawn.filter("copies > 0").drop(*names)
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("")), "copy", F.lit(f"{seed}:order"))))
-    return keyed.orderBy("shuffle_key", "copy") if shuffle else keyed
+    if not shuffle:
+        return keyed
+    n = shuffle_partitions(docs.sparkSession)
+    share = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    ranged = keyed.withColumn(place, F.floor(share * n).cast("int")).repartitionById(n, F.col(place))
+    return ranged.sortWithinPartitions("shuffle_key", "copy").drop(place)
 
 
 def check_weights(values: list[float]) -> None:

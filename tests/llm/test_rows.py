@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 import zlib
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -125,6 +127,48 @@ def test_sharding(awkward, documents):
         assert max(counts) - min(counts) <= 1
 
 
+def brute_shards(ids, shards, seed, blocks, parts):
+    """(shard, slot) of each row: hashes, matrix, both permutations, one row after the other."""
+
+    def hashed(*values):
+        h = 42
+        for kind, v in values:
+            h = xxhash.xxh64_intdigest(struct.pack(kind, v), h) if v is not None else h
+        return h - 2**64 if h >= 2**63 else h
+
+    first = [hashed(("<i", seed), ("<q", i), ("<q", k)) for k, i in enumerate(ids)]
+    order = collections.defaultdict(list)
+    for k in sorted(range(len(ids)), key=lambda k: first[k]):
+        order[first[k] % blocks].append(k)
+    matrix = sharding.communication_matrix([len(order[b]) for b in range(blocks)], shards, seed)
+    held = collections.defaultdict(list)
+    for b in range(blocks):
+        of = [s for s in range(shards) for _ in range(matrix[b][s])]
+        for k, s in zip(order[b], of, strict=True):
+            second = hashed(("<i", seed + 1), ("<q", first[k]))
+            held[s].append(((second % 2**64 >> 32) % parts, second, k))
+    return {k: (s, slot) for s, rows in held.items() for slot, (_, _, k) in enumerate(sorted(rows))}
+
+
+def test_sharding_row_by_row(spark):
+    ids = [k * 3 for k in range(400)] + [None, 5, 5]
+    df = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    place = {zlib.crc32(str(k).encode()): k for k in range(len(ids))}
+    for blocks, parts in ((7, 3), (50, 1)):
+        got = {place[r["text_crc32"]]: (r["shard"], r["slot"]) for r in sharding.shard_rows(df, 5, 11, blocks=blocks, parts=parts).collect()}
+        assert got == brute_shards(ids, 5, 11, blocks, parts)
+
+
+def test_sharding_is_uniform(spark):
+    """Where a row comes from tells nothing of its shard or its slot."""
+    n = 8000
+    rows = sharding.shard_rows(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), 8).collect()
+    for cell in (lambda r: r["shard"], lambda r: r["slot"] * 8 // 1000):
+        seen = collections.Counter((r["doc_id"] * 8 // n, cell(r)) for r in rows)
+        chi = sum((seen[a, b] - n / 64) ** 2 / (n / 64) for a in range(8) for b in range(8))
+        assert chi < 49 + 5 * math.sqrt(2 * 49)
+
+
 def test_communication_matrix():
     sizes = [0, 5, 17, 100, 3, 0, 42]
     for seed in range(50):
@@ -156,6 +200,9 @@ def test_mixing(spark, awkward):
     zero = 1 - len([1 for r in drawn if r["doc_id"] % 3 == 0]) / 2000
     assert abs(zero - math.exp(-2.25)) < 0.03
     assert mixing.mix_sources(awkward).columns == [*awkward.columns, "copies", "copy", "shuffle_key"]
+    clash = awkward.select("*", *[F.lit(k).alias(x) for k, x in enumerate(("__source", "__parts", "__cdf", "__u", "PARTS", "cdf", "salt", "range"))])
+    assert mixing.mix_sources(clash).columns == [*clash.columns, "copies", "copy", "shuffle_key"]
+    assert all([r[x] for x in clash.columns[-8:]] == list(range(8)) for r in mixing.mix_sources(clash).collect())
     assert mixing.mix_sources(awkward, {}).count() == 0 == mixing.mix_sources(awkward.limit(0)).count()
 
 
