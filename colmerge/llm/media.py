@@ -2,19 +2,24 @@
 
 ``write_matroska`` lays a payload out as one track of 8-bit mono PCM at 8000 Hz: an EBML header, then a segment of known
 size with info, tracks, clusters of laced simple blocks and cues. A frame has 576 samples, which last 72 ms.
-``read_matroska`` parses any such stream: variable-length ids and sizes (unknown sizes too), nested masters, simple blocks
-and block groups, all four lacings, and cues. It returns a packet table: track, cluster, timestamp, byte range of each frame.
+``read_matroska`` parses streams of this format: variable-length ids and sizes (unknown sizes too), nested masters, simple blocks
+and block groups, all four lacings, and cues. It returns a packet table: track, cluster, timestamp and duration in nanoseconds (by the segment's scale,
+the track's default duration, a group's own duration or, for PCM, the number of samples), byte range and key frame of each frame (in a
+block group: a block without a reference to another). A cue has its time, track, its cluster's byte and that of the block that it names.
 
 Everything is per row: no shuffle, and a task holds one Arrow batch. Cases: a null text counts as empty and becomes one frame
 of padding; equal texts give equal bytes; repeated rows stay; other columns of the input are ignored; an empty table gives
-an empty result. A stream that is cut off or has a broken size raises ``ValueError``.
+an empty result. ``read_matroska`` raises ``ValueError`` for a stream that is cut off or has a broken size, wherever it is cut inside an element. In
+tables such a stream doesn't end the job: its row has the message in ``error`` and nulls for what is read; null media have nulls alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
@@ -29,27 +34,56 @@ FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8, 8
 EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0
 CUES, CUE_POINT, CUE_POSITIONS, CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0x1C53BB6B, 0xBB, 0xB7, 0xB3, 0xF7, 0xF1, 0xF0
 TIMESTAMP, SIMPLE_BLOCK, BLOCK, TIMESTAMP_SCALE, TRACK_NUMBER, CODEC = 0xE7, 0xA3, 0xA1, 0x2AD7B1, 0xD7, 0x86
+DEFAULT_DURATION, BLOCK_DURATION, REFERENCE_BLOCK, SAMPLING, CHANNELS, BIT_DEPTH = 0x23E383, 0x9B, 0xFB, 0xB5, 0x9F, 0x6264
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 #: What ends a segment's child of unknown size.
 TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES}
 LACINGS = {"none": 0, "xiph": 1, "fixed": 2, "ebml": 3}
+#: Nanoseconds of a timestamp's unit, unless the segment says otherwise.
+MILLISECOND = 1_000_000
 
 
 class Packet(NamedTuple):
     track: int
     cluster: int
     timestamp: int
+    duration: int
     start: int
     size: int
     keyframe: bool
 
 
-class Stream(NamedTuple):
-    packets: list[Packet]
-    cues: list[tuple[int, int, int]]
-    codecs: dict[int, str]
-    clusters: list[int]
-    segment: int
+class Cue(NamedTuple):
+    timestamp: int
+    track: int
+    cluster_start: int
+    block_start: int | None
+
+
+@dataclass
+class Track:
+    """What a track says of itself; durations in nanoseconds."""
+
+    codec: str = ""
+    duration: int = 0
+    rate: float = 8000.0
+    channels: int = 1
+    bits: int = 0
+
+    def lasts(self, size: int) -> int:
+        """Nanoseconds of a frame of so many bytes; 0 if the track doesn't tell."""
+        if self.duration or not (self.codec.startswith("A_PCM") and self.bits):
+            return self.duration
+        return round(size * 8 / (self.bits * self.channels) * 1e9 / self.rate)
+
+
+@dataclass
+class Stream:
+    packets: list[Packet] = field(default_factory=list)
+    cues: list[Cue] = field(default_factory=list)
+    tracks: dict[int, Track] = field(default_factory=dict)
+    clusters: dict[int, int] = field(default_factory=dict)  # first byte: first byte of the body
+    blocks: dict[int, tuple[int, int]] = field(default_factory=dict)  # first byte: timestamp, track
 
 
 def _id(x: int) -> bytes:
@@ -90,9 +124,9 @@ def _lace(frames: list[bytes], lacing: str) -> bytes:
 def write_matroska(frames: list[bytes], lacing: str = "fixed") -> bytes:
     """The frames, of 72 ms each, as a Matroska file with one track."""
     header = element(EBML, number(0x4286, 1) + number(0x42F7, 1) + number(0x42F2, 4) + number(0x42F3, 8) + element(0x4282, b"matroska") + number(0x4287, 4) + number(0x4285, 2))
-    info = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(0x4D80, b"media") + element(0x5741, b"media"))
-    audio = element(AUDIO, element(0xB5, np.float32(RATE).astype(">f4").tobytes()) + number(0x9F, 1) + number(0x6264, 8))
-    track = element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(0x73C5, 1) + number(0x83, 2) + number(0x9C, int(lacing != "none")) + element(CODEC, b"A_PCM/INT/LIT") + audio)
+    info = element(INFO, number(TIMESTAMP_SCALE, MILLISECOND) + element(0x4D80, b"media") + element(0x5741, b"media"))
+    audio = element(AUDIO, element(SAMPLING, struct.pack(">f", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
+    track = element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(0x73C5, 1) + number(0x83, 2) + number(0x9C, int(lacing != "none")) + number(DEFAULT_DURATION, FRAME_MS * MILLISECOND) + element(CODEC, b"A_PCM/INT/LIT") + audio)
     parts = [info, element(TRACKS, track)]
     at, cues = sum(map(len, parts)), []
     in_block = 1 if lacing == "none" else FRAMES_PER_BLOCK
@@ -111,24 +145,27 @@ def write_matroska(frames: list[bytes], lacing: str = "fixed") -> bytes:
     return header + element(SEGMENT, b"".join(parts))
 
 
-def _variable(data: bytes, at: int, keep: bool) -> tuple[int, int]:
-    """A variable-length number (``keep``: with its marker bit, as ids have it; else -1 if unknown) and where it ends."""
-    if at >= len(data) or not data[at]:
+def _variable(data: bytes, at: int, end: int, keep: bool) -> tuple[int, int]:
+    """A variable-length number before ``end`` (``keep``: with its marker bit, as ids have it; else -1 if unknown) and where it ends."""
+    if at >= end or not data[at]:
         raise ValueError(f"no variable-length number at byte {at}")
     width = 9 - data[at].bit_length()
-    end = at + width
-    if end > len(data):
-        raise ValueError(f"the stream ends inside a number at byte {at}")
-    n = int.from_bytes(data[at:end], "big")
+    after = at + width
+    if after > end:
+        raise ValueError(f"what holds the number at byte {at} ends inside it")
+    n = int.from_bytes(data[at:after], "big")
     if not keep:
         n -= 1 << 7 * width
         n = -1 if n == (1 << 7 * width) - 1 else n
-    return n, end
+    return n, after
 
 
 def _frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
+    """The sizes of a block's frames, and where the first begins."""
     if lacing == 0:
         return [end - at], at
+    if at >= end:
+        raise ValueError("a laced block without a number of frames")
     count, at = data[at] + 1, at + 1
     if lacing == 2:
         if (end - at) % count:
@@ -138,12 +175,17 @@ def _frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int]
     for k in range(count - 1):
         if lacing == 1:
             n = 0
-            while data[at] == 255:
-                n, at = n + 255, at + 1
-            n, at = n + data[at], at + 1
+            while True:
+                if at >= end:
+                    raise ValueError("a block ends inside its lace")
+                n, at = n + data[at], at + 1
+                if data[at - 1] != 255:
+                    break
         else:
-            n, after = _variable(data, at, False)
+            n, after = _variable(data, at, end, False)
             n, at = (n if k == 0 else sizes[-1] + n - ((1 << 7 * (after - at) - 1) - 1)), after
+        if n < 0:
+            raise ValueError("a frame of a lace has no size")
         sizes.append(n)
     sizes.append(end - at - sum(sizes))
     if sizes[-1] < 0:
@@ -151,53 +193,117 @@ def _frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int]
     return sizes, at
 
 
-def read_matroska(data: bytes, frame_ms: int = FRAME_MS) -> Stream:
-    """The packet table, cues (time, track, cluster's byte), codecs by track, and first bytes of the clusters' bodies."""
-    packets: list[Packet] = []
-    cues: list[tuple[int, int, int]] = []
-    codecs: dict[int, str] = {}
-    clusters: list[int] = []
-    segment, now, track, cue = 0, 0, 0, [0, 0]
-    open_: list[tuple[int, int, bool]] = []  # the masters around: id, end, unknown size
-    at = 0
+class _Reader:
+    """Walks through the elements of a stream and notes what they tell."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, Stream()
+        self.segment = self.now = 0
+        self.scale, self.track = MILLISECOND, Track()
+        self.group_start, self.group_at, self.reference, self.lasts = 0, 0, False, 0
+        self.cue_time, self.cue = 0, {}
+
+    def opened(self, kind: int, at: int, body: int) -> None:
+        if kind == SEGMENT:
+            self.segment = body
+        elif kind == CLUSTER:
+            self.found.clusters[at] = body
+        elif kind == TRACK_ENTRY:
+            self.track = Track()
+        elif kind == BLOCK_GROUP:
+            self.group_start, self.group_at, self.reference, self.lasts = len(self.found.packets), at, False, 0
+        elif kind == CUE_POSITIONS:
+            self.cue = {}
+
+    def closed(self, kind: int) -> None:
+        packets = self.found.packets
+        if kind == BLOCK_GROUP:
+            own = packets[self.group_start :]
+            each = self.lasts // len(own) if own else 0
+            for k, p in enumerate(own):
+                longer = p._replace(timestamp=own[0].timestamp + k * each, duration=each) if each else p
+                packets[self.group_start + k] = longer._replace(keyframe=not self.reference)
+        elif kind == CUE_POSITIONS and CUE_CLUSTER in self.cue:
+            self.found.cues.append(Cue(self.cue_time, self.cue.get(CUE_TRACK, 0), self.segment + self.cue[CUE_CLUSTER], self.cue.get(CUE_RELATIVE)))
+
+    def block(self, kind: int, at: int, body: int, end: int) -> None:
+        data, found = self.data, self.found
+        number_, p = _variable(data, body, end, False)
+        if p + 3 > end:
+            raise ValueError(f"the block at byte {at} ends inside its head")
+        flags, time = data[p + 2], (self.now + int.from_bytes(data[p : p + 2], "big", signed=True)) * self.scale
+        found.blocks[self.group_at if kind == BLOCK else at] = (time, number_)
+        track = found.tracks.get(number_, Track())
+        sizes, p = _frame_sizes(data, p + 3, end, flags >> 1 & 3)
+        for n in sizes:
+            lasts = track.lasts(n)
+            found.packets.append(Packet(number_, len(found.clusters) - 1, time, lasts, p, n, bool(flags & 0x80)))
+            p, time = p + n, time + lasts
+
+    def value(self, kind: int, body: int, end: int) -> None:
+        part = self.data[body:end]
+        n = int.from_bytes(part, "big")
+        if kind == TIMESTAMP:
+            self.now = n
+        elif kind == TIMESTAMP_SCALE:
+            self.scale = n
+        elif kind == TRACK_NUMBER:
+            self.found.tracks[n] = self.track
+        elif kind == CODEC:
+            self.track.codec = part.rstrip(b"\0").decode()
+        elif kind == DEFAULT_DURATION:
+            self.track.duration = n
+        elif kind == SAMPLING:
+            if len(part) not in (4, 8):
+                raise ValueError("a sampling rate that is no float")
+            self.track.rate = float(np.frombuffer(part, f">f{len(part)}")[0]) or RATE
+        elif kind == CHANNELS:
+            self.track.channels = n or 1
+        elif kind == BIT_DEPTH:
+            self.track.bits = n
+        elif kind == REFERENCE_BLOCK:
+            self.reference = True
+        elif kind == BLOCK_DURATION:
+            self.lasts = n * self.scale
+        elif kind == CUE_TIME:
+            self.cue_time = n * self.scale
+        elif kind in (CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE):
+            self.cue[kind] = n
+
+
+def read_matroska(data: bytes) -> Stream:
+    """The packet table, cues and tracks of a stream, and where its clusters and blocks lie."""
+    reader, at = _Reader(data), 0
+    around: list[tuple[int, int, bool]] = []  # the masters that are open: id, end, unknown size
+
+    def close() -> None:
+        reader.closed(around.pop()[0])
+
     while at < len(data):
-        while open_ and at >= open_[-1][1]:
-            open_.pop()
-        kind, body = _variable(data, at, True)
-        size, body = _variable(data, body, False)
+        while around and at >= around[-1][1]:
+            close()
+        kind, body = _variable(data, at, len(data), True)
+        size, body = _variable(data, body, len(data), False)
         if kind in TOP:
-            while open_ and open_[-1][2] and (open_[-1][0] != SEGMENT or kind in (EBML, SEGMENT)):
-                open_.pop()
-        end = (open_[-1][1] if open_ else len(data)) if size < 0 else body + size
-        if end > len(data):
-            raise ValueError(f"element {kind:X} at byte {at} ends behind the stream")
-        at = body if kind in MASTERS else end
+            while around and around[-1][2] and (around[-1][0] != SEGMENT or kind in (EBML, SEGMENT)):
+                close()
+        outer = around[-1][1] if around else len(data)
+        end = outer if size < 0 else body + size
+        if end > outer or body > outer:
+            raise ValueError(f"element {kind:X} at byte {at} ends behind what holds it")
         if kind in MASTERS:
-            open_.append((kind, end, size < 0))
-            if kind == SEGMENT:
-                segment = body
-            elif kind == CLUSTER:
-                clusters.append(body)
+            around.append((kind, end, size < 0))
+            reader.opened(kind, at, body)
         elif kind in (SIMPLE_BLOCK, BLOCK):
-            of, p = _variable(data, body, False)
-            time, flags = now + int.from_bytes(data[p : p + 2], "big", signed=True), data[p + 2]
-            sizes, p = _frame_sizes(data, p + 3, end, flags >> 1 & 3)
-            for k, n in enumerate(sizes):
-                packets.append(Packet(of, len(clusters) - 1, time + k * frame_ms, p, n, bool(flags & 0x80) or kind == BLOCK))
-                p += n
-        elif kind == TIMESTAMP:
-            now = int.from_bytes(data[body:end], "big")
-        elif kind == TRACK_NUMBER:
-            track = int.from_bytes(data[body:end], "big")
-        elif kind == CODEC:
-            codecs[track] = data[body:end].decode()
-        elif kind == CUE_TIME:
-            cue[0] = int.from_bytes(data[body:end], "big")
-        elif kind == CUE_TRACK:
-            cue[1] = int.from_bytes(data[body:end], "big")
-        elif kind == CUE_CLUSTER:
-            cues.append((cue[0], cue[1], segment + int.from_bytes(data[body:end], "big")))
-    return Stream(packets, cues, codecs, clusters, segment)
+            reader.block(kind, at, body, end)
+        else:
+            reader.value(kind, body, end)
+        at = body if kind in MASTERS else end
+    while around:
+        close()
+    found = reader.found
+    found.cues = [c._replace(block_start=found.clusters[c.cluster_start] + c.block_start if c.block_start is not None and c.cluster_start in found.clusters else None) for c in found.cues]
+    return found
 
 
 def payload_frames(text: str | None) -> tuple[int, list[bytes]]:
@@ -220,51 +326,78 @@ def encode_media(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return rows.mapInArrow(encode, "id long, n_bytes long, media binary").withColumnRenamed("id", id_column)
 
 
-def packet_table(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """A row per packet of each media file: track, cluster, timestamp in ms, byte range, key frame. Null media: no rows."""
-
-    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "packet", *Packet._fields]
-        for batch in batches:
-            for key, data in zip(batch.column(0), batch.column(1), strict=True):
-                rows = read_matroska(data.as_py()).packets if data.is_valid else []
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-                yield pa.record_batch([pa.array([key.as_py()] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), *map(pa.array, columns, kinds)], names)
-
-    schema = "id long, packet int, track int, cluster int, timestamp long, start long, size long, keyframe boolean"
-    rows = media.select(F.col(id_column).cast("long").alias("id"), "media")
-    return rows.mapInArrow(packets, schema).withColumnRenamed("id", id_column)
+def payload_of(data: bytes, packets: list[Packet]) -> bytes:
+    """The payload put together from the packets' byte ranges."""
+    view = memoryview(data)
+    return b"".join([view[p.start : p.start + p.size] for p in packets])
 
 
-def read_back(data: bytes) -> tuple[bytes, str]:
-    """The payload put together from the packets' byte ranges, and the features of the stream."""
-    stream = read_matroska(data)
-    view = memoryview(data)
-    payload = b"".join([view[p.start : p.start + p.size] for p in stream.packets])
+def feature_text(stream: Stream, payload: bytes) -> str:
+    """What the packet table, the cues and the samples say of a stream."""
     samples = np.frombuffer(payload, np.uint8)
     loud = np.abs(samples.astype(np.int16) - 128)
     crossings = int(np.count_nonzero(np.diff(samples >= 128)))
-    seekable = sum(any(data[at : at + 4] == _id(CLUSTER) for _, _, at in [cue]) for cue in stream.cues)
-    duration = max((p.timestamp for p in stream.packets), default=-FRAME_MS) + FRAME_MS
-    codec = ",".join(f"{k}={v}" for k, v in sorted(stream.codecs.items()))
-    return payload, f"codec:{codec};clusters:{len(stream.clusters)};packets:{len(stream.packets)};cues:{seekable};ms:{duration};level:{int(loud.sum()) // max(1, len(loud))};peak:{int(loud.max(initial=0))};crossings:{crossings}"
+    clusters = len({p.cluster for p in stream.packets})
+    exact = sum(stream.blocks.get(c.block_start) == (c.timestamp, c.track) for c in stream.cues)
+    lasts = max((p.timestamp + p.duration for p in stream.packets), default=0) // MILLISECOND
+    keys = sum(p.keyframe for p in stream.packets)
+    codec = ",".join(f"{k}={t.codec}" for k, t in sorted(stream.tracks.items()))
+    return f"codec:{codec};clusters:{clusters};packets:{len(stream.packets)};keys:{keys};cues:{exact};ms:{lasts};level:{int(loud.sum()) // max(1, len(loud))};peak:{int(loud.max(initial=0))};crossings:{crossings}"
+
+
+PACKETS = "array<struct<track:int,cluster:int,timestamp:bigint,duration:bigint,start:bigint,size:bigint,keyframe:boolean>>"
+CUE_LIST = "array<struct<timestamp:bigint,track:int,cluster_start:bigint,block_start:bigint>>"
+READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets", "cues", "error"]
+READ_SCHEMA = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets {PACKETS}, cues {CUE_LIST}, error string"
+
+
+def _structs(rows: list[list[tuple] | None], kinds: dict[str, pa.DataType]) -> pa.Array:
+    """Lists of named tuples, or null, as an array of lists of structs."""
+    flat = [x for own in rows if own for x in own]
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(kinds)
+    items = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+    ends = np.cumsum([0, *[len(own or ()) for own in rows]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array([own is None for own in rows]))
+
+
+def _read(data: bytes | None) -> tuple:
+    """The values of ``READ`` for one stream."""
+    if data is None:
+        return (None,) * len(READ)
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        stream = read_matroska(data)
+    except ValueError as e:
+        return (None, None, None, *stored, None, None, None, str(e))
+    payload = payload_of(data, stream.packets)
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature_text(stream, payload), stream.packets, stream.cues, None)
 
 
 def media_features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """What is read back from each media file: payload digests and features, one row per input row."""
+    """(id, n_bytes, and what is read back from each media file: payload digests, features, packets, cues, error), one row per input row."""
+    numbers = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()
+    packet_kinds = dict(zip(Packet._fields, numbers, strict=True))
+    cue_kinds = dict(zip(Cue._fields, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), packet_kinds, cue_kinds, pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(2):
-                data = data.as_buffer().to_pybytes()
-                payload, feature = read_back(data)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    rows = media.select(F.col(id_column).alias("id"), "n_bytes", "media")
-    return rows.mapInArrow(read, schema).withColumnRenamed("id", id_column)
+            rows = [_read(x.as_buffer().to_pybytes() if x.is_valid else None) for x in batch.column(2)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(READ)
+            made = [_structs(list(c), k) if isinstance(k, dict) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "n_bytes", *READ])
+
+    rows = media.select(F.col(id_column).cast("long").alias("id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media")
+    return rows.mapInArrow(read, f"id long, n_bytes long, {READ_SCHEMA}").withColumnRenamed("id", id_column)
+
+
+def packet_table(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """A row per packet of each media file, numbered: track, cluster, timestamp and duration in ns, byte range, key frame. Null or broken media have none."""
+    read = media_features(media, id_column)
+    return read.select(id_column, F.posexplode("packets").alias("packet", "p")).select(id_column, "packet", "p.*")
+
+
+def cue_table(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """A row per cue of each media file: timestamp in ns, track, the bytes where its cluster and its block begin."""
+    read = media_features(media, id_column)
+    return read.select(id_column, F.posexplode("cues").alias("cue", "c")).select(id_column, "cue", "c.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -54,21 +55,104 @@ def test_matroska_round_trip(lacing):
         data = media.write_matroska(frames, lacing)
         stream = media.read_matroska(data)
         assert [data[p.start : p.start + p.size] for p in stream.packets] == frames
-        assert [p.timestamp for p in stream.packets] == [k * media.FRAME_MS for k in range(n)]
+        assert [(p.timestamp, p.duration) for p in stream.packets] == [(k * 72_000_000, 72_000_000) for k in range(n)]
         assert len(stream.clusters) == len(stream.cues) == -(-n // 64)
-        assert all(data[at : at + 4] == bytes.fromhex("1f43b675") for _, _, at in stream.cues)
-        assert stream.codecs == {1: "A_PCM/INT/LIT"}
+        assert all(data[c.cluster_start : c.cluster_start + 4] == bytes.fromhex("1f43b675") and data[c.block_start] == 0xA3 for c in stream.cues)
+        assert [stream.blocks[c.block_start] for c in stream.cues] == [(c.timestamp, 1) for c in stream.cues] == [(k * 64 * 72_000_000, 1) for k in range(len(stream.cues))]
+        assert stream.tracks == {1: media.Track("A_PCM/INT/LIT", 72_000_000, 8000.0, 1, 8)}
 
 
 def test_matroska_unknown_sizes_groups_and_damage():
     block = media.element(media.BLOCK, b"\x81\x00\x05\x00" + b"abc")
     cluster = media._id(media.CLUSTER) + b"\xff" + media.number(media.TIMESTAMP, 100) + media.element(media.BLOCK_GROUP, block)
     data = media._id(media.SEGMENT) + b"\x01" + b"\xff" * 7 + cluster + cluster
-    assert [(p.timestamp, p.cluster, data[p.start : p.start + p.size]) for p in media.read_matroska(data).packets] == [(105, 0, b"abc"), (105, 1, b"abc")]
-    whole = media.write_matroska([b"x" * 576])
-    for cut in (1, 3, 30, 60, len(whole) - 1):
+    assert [(p.timestamp, p.cluster, data[p.start : p.start + p.size]) for p in media.read_matroska(data).packets] == [(105_000_000, 0, b"abc"), (105_000_000, 1, b"abc")]
+    for lacing in media.LACINGS:
+        whole = media.write_matroska([b"x" * 576] * 9, lacing)
+        for cut in range(1, len(whole)):
+            if cut != 40:  # a file that ends behind its head has no segment, and is whole
+                with pytest.raises(ValueError):
+                    media.read_matroska(whole[:cut])
+
+
+def test_matroska_scales_durations_references_and_cues():
+    e, n = media.element, media.number
+    audio = e(media.AUDIO, e(media.SAMPLING, struct.pack(">d", 1000)) + n(media.CHANNELS, 2) + n(media.BIT_DEPTH, 16))
+    tracks = e(media.TRACKS, e(media.TRACK_ENTRY, n(media.TRACK_NUMBER, 1) + e(media.CODEC, b"A_PCM/INT/LIT") + audio) + e(media.TRACK_ENTRY, n(media.TRACK_NUMBER, 2) + e(media.CODEC, b"V_X\0") + n(media.DEFAULT_DURATION, 40)))
+    info = e(media.INFO, n(media.TIMESTAMP_SCALE, 100_000))
+    samples = e(media.SIMPLE_BLOCK, b"\x81\x00\x05\x84\x01" + b"x" * 16)  # fixed lace of two frames of 8 bytes
+    plain = e(media.BLOCK_GROUP, e(media.BLOCK, b"\x82\x00\x06\x00" + b"k"))
+    later = e(media.BLOCK_GROUP, e(media.BLOCK, b"\x82\x00\x07\x04\x01" + b"ab") + n(media.BLOCK_DURATION, 6) + e(media.REFERENCE_BLOCK, b"\xff"))
+    head = n(media.TIMESTAMP, 100)
+    cluster = e(media.CLUSTER, head + samples + plain + later)
+    at = len(info) + len(tracks)
+    point = e(media.CUE_POINT, n(media.CUE_TIME, 106) + e(media.CUE_POSITIONS, n(media.CUE_RELATIVE, len(head + samples)) + n(media.CUE_CLUSTER, at) + n(media.CUE_TRACK, 2)))
+    data = e(media.SEGMENT, info + tracks + cluster + e(media.CUES, point))
+    stream = media.read_matroska(data)
+    told = [(p.track, p.timestamp, p.duration, p.size, p.keyframe) for p in stream.packets]
+    assert told == [(1, 10_500_000, 2_000_000, 8, True), (1, 12_500_000, 2_000_000, 8, True), (2, 10_600_000, 40, 1, True), (2, 10_700_000, 300_000, 1, False), (2, 11_000_000, 300_000, 1, False)]
+    (cue,) = stream.cues
+    assert (cue.timestamp, cue.track) == stream.blocks[cue.block_start] == (10_600_000, 2) and data[cue.block_start] == 0xA0
+
+
+@pytest.mark.parametrize("body", [b"", b"\x81", b"\x81\x00\x00", b"\x81\x00\x00\x02", b"\x81\x00\x00\x02\x01\xff", b"\x81\x00\x00\x02\x01\x09a", b"\x81\x00\x00\x04\x01abc", b"\x81\x00\x00\x06\x01", b"\x81\x00\x00\x06\x01\xff\x00", b"\x81\x00\x00\x06\x02\x81\x80ab", b"\x00"])
+def test_broken_blocks(body):
+    for kind in (media.SIMPLE_BLOCK, media.BLOCK):
+        data = media.element(media.SEGMENT, media.element(media.CLUSTER, media.element(kind, body)))
         with pytest.raises(ValueError):
-            media.read_matroska(whole[:cut])
+            media.read_matroska(data)
+    with pytest.raises(ValueError):  # a child longer than what holds it
+        media.read_matroska(media.element(media.SEGMENT, media._id(media.CLUSTER) + b"\x82" + media._id(media.SIMPLE_BLOCK) + b"\x85") + b"123456")
+
+
+def test_random_bytes_are_refused_or_read():
+    rng = random.Random(9)
+    whole = media.write_matroska([b"x" * 30, b"y"] * 5, "ebml")
+    for _ in range(3000):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        try:
+            assert all(p.size >= 0 and p.start + p.size <= len(data) for p in media.read_matroska(bytes(data)).packets)
+        except ValueError:
+            pass
+
+
+def test_media_and_features_by_hand(spark):
+    """The stored form element by element, and features counted one sample after the other."""
+    text = "é 0" * 1300
+
+    def sized(i, body):
+        n = len(body)
+        width = 1 if n < 127 else 2 if n < 16383 else 3
+        return bytes.fromhex(i) + (n + (1 << 7 * width)).to_bytes(width, "big") + body
+
+    payload = text.encode() + b"\xff" * (-len(text.encode()) % 576)
+    frames = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+    head = sized("1a45dfa3", bytes.fromhex("428681014 2f78101 42f28104 42f38108 428288 6d6174726f736b61 42878104 42858102".replace(" ", "")))
+    info = sized("1549a966", bytes.fromhex("2ad7b1830f4240") + sized("4d80", b"media") + sized("5741", b"media"))
+    audio = sized("e1", bytes.fromhex("b58445fa0000 9f8101 62648108".replace(" ", "")))
+    track = sized("1654ae6b", sized("ae", bytes.fromhex("d78101 73c58101 838102 9c8101 23e38384044aa200".replace(" ", "")) + sized("86", b"A_PCM/INT/LIT") + audio))
+    blocks = b"".join(sized("a3", b"\x81" + (b * 72).to_bytes(2, "big") + b"\x84" + bytes([len(frames[b : b + 8]) - 1]) + b"".join(frames[b : b + 8])) for b in range(0, len(frames), 8))
+    cluster = sized("1f43b675", b"\xe7\x81\x00" + blocks)
+    at = len(info + track)
+    cues = sized("1c53bb6b", sized("bb", b"\xb3\x81\x00" + sized("b7", b"\xf7\x81\x01" + b"\xf1\x81" + bytes([at]) + b"\xf0\x81\x03")))
+    stored = head + sized("18538067", info + track + cluster + cues)
+    row = media.media_features(media.encode_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (row["media_bytes"], row["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    level, crossings = sum(abs(x - 128) for x in payload) // len(payload), sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:], strict=False))
+    assert row["feature"] == f"codec:1=A_PCM/INT/LIT;clusters:1;packets:{len(frames)};keys:{len(frames)};cues:1;ms:{72 * len(frames)};level:{level};peak:{max(abs(x - 128) for x in payload)};crossings:{crossings}"
+    assert [p["size"] for p in row["packets"]] == [576] * len(frames) and [stored[p["start"] :][:576] for p in row["packets"]] == frames
+    assert stored[row["cues"][0]["block_start"]] == 0xA3
+
+
+def test_broken_and_null_media_do_not_end_the_job(spark):
+    whole = media.write_matroska([b"x" * 576])
+    df = spark.createDataFrame([(1, 3, bytearray(whole)), (2, 3, bytearray(whole[:90])), (3, None, None), (None, 1, bytearray(b""))], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in media.media_features(df).collect()}
+    assert rows[1]["error"] is None and rows[2]["error"] and rows[2]["payload_bytes"] is None and rows[2]["media_bytes"] == 90
+    assert rows[3]["media_bytes"] is None and rows[3]["packets"] is None and rows[3]["error"] is None and rows[None]["packets"] == []
+    assert [tuple(r)[:2] for r in media.packet_table(df).collect()] == [(1, 0)] and media.cue_table(df).count() == 1
 
 
 def test_media_table(awkward):
