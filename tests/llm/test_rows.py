@@ -269,6 +269,30 @@ def test_pipeline(spark, tmp_path, documents):
     assert sorted(map(str, again.select("doc_id", "start", "ids").collect())) == sorted(map(str, docs.select("doc_id", "start", "ids").collect()))
 
 
+def test_run_computes_each_stage_once(spark, monkeypatch):
+    counts = {name: spark.sparkContext.accumulator(0) for name, _ in corpus_pipeline.STAGES}
+
+    def counted(name, stage):
+        total = counts[name]
+
+        def count(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield batch
+
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            return out.mapInArrow(count, out.schema)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, counted(name, stage)) for name, stage in corpus_pipeline.STAGES])
+    rows = len(corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())
+    assert counts["packing"].value == rows
+    kept = [counts[name].value for name in ("language", "near_duplicates", "pii")]
+    assert 200 >= kept[0] > kept[1] == kept[2] > 0 and 0.7 * kept[2] < counts["mixing"].value < 1.3 * kept[2]
+
+
 def test_pipeline_rejects_foreign_texts_and_junk_but_no_mixtures(spark, documents):
     rng = random.Random(3)
     words = collections.defaultdict(list)
