@@ -1,4 +1,8 @@
-"""A corpus pipeline of the operators in colmerge.llm: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of the operators in colmerge.llm: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+``run`` writes what each stage but the last returns to the shared folder, and the next one reads it from there: stages read their input more than once,
+and none is computed twice.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colmerge.llm.common import written
 from colmerge.llm.langid import UNDETERMINED, identify, learn
 from colmerge.llm.mixing import mix_sources
 from colmerge.llm.near_duplicates import deduplicated
@@ -39,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths, none across documents."""
+    """Token sequences of power-of-two lengths, none across documents, those of one length together."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -57,6 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        docs = written(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
