@@ -78,6 +78,18 @@ def hex_id(value: Column) -> Column:
     return F.lower(F.hex(value))
 
 
+def byte_prefix(text: Column) -> Column:
+    """The first six bytes of a text as a number: texts in the order of their bytes have numbers in that order."""
+    return F.conv(F.rpad(F.substring(F.hex(text), 1, 12), 12, "0"), 16, 10).cast("long")
+
+
+def same_topic(told: Column, own: Column | str, lenient: bool = True) -> Column:
+    """Whether a message belongs to one's topic; a lenient receiver takes one that names none."""
+    own = F.lit(own) if isinstance(own, str) else own
+    named = F.coalesce(told, F.lit(""))
+    return (named == own) | (F.lit(lenient) & (named == ""))
+
+
 def cell_key(tbl: Column, pk: Column, cid: Column) -> Column:
     return F.concat_ws("|", tbl, pk, cid)
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colmerge.operators.resolve import CELL
-from colmerge.sources.tables import TOMBSTONE
+from colmerge.sources.tables import TOMBSTONE, numbered
+
+#: Ranges into which a log's versions are cut where peers with different offsets are joined to it.
+RANGES = 1024
 
 
 def changes_since(changes: DataFrame, version: int) -> DataFrame:
@@ -15,8 +18,8 @@ def changes_since(changes: DataFrame, version: int) -> DataFrame:
 
 
 def in_order(changes: DataFrame) -> DataFrame:
-    """Changes in the order in which a peer applies them, with the cell as the last key."""
-    return changes.orderBy("db_version", "seq", "tbl", "pk", "cid")
+    """Changes in the order in which a peer applies them: ``place`` counts from 1, with the cell and the site as last keys."""
+    return numbered(changes, [], ["db_version", "seq", "tbl", "pk", "cid", "site_id"], "place").orderBy("place")
 
 
 def with_values(clock: DataFrame, cells: DataFrame) -> DataFrame:
@@ -48,10 +51,26 @@ def peer_lag(vector: DataFrame, known: DataFrame) -> DataFrame:
 def catch_up(changes: DataFrame, known: DataFrame) -> DataFrame:
     """Changes that each peer of ``known`` (peer_id, db_version: what it has seen of this log; 0 or null for nothing) still lacks.
 
-    Equal offsets share their work only in the answer; the join is on nothing but the offset, so peers must be those that ask now.
+    The smallest offset reaches the scan as a filter. Versions are cut into ``RANGES`` ranges, and a peer asks for those from its offset on, so
+    that the join has a key; a row of the join that isn't in the result lies in the range of the offset itself.
     """
     offsets = known.select("peer_id", F.coalesce("db_version", F.lit(0)).alias("seen"))
-    return changes.join(offsets, F.col("db_version") > F.col("seen")).drop("seen")
+    least = offsets.agg(F.min("seen")).first()[0] or 0
+    lacking = changes.filter(F.col("db_version") > least)
+    most = lacking.agg(F.max("db_version")).first()[0] or 0
+    width = most // RANGES + 1
+    asked = offsets.filter(F.col("seen") < most).withColumn("range", F.explode(F.sequence(F.floor(F.col("seen") / width), F.lit(most // width))))
+    met = lacking.withColumn("range", F.floor(F.col("db_version") / width)).join(asked, "range")
+    return met.filter(F.col("db_version") > F.col("seen")).drop("seen", "range")
+
+
+def reset(known: DataFrame, peers: DataFrame | None = None) -> DataFrame:
+    """Offsets of which those of ``peers`` (peer_id; all by default) are null: the next exchange with them starts from the beginning."""
+    none = F.lit(None).cast("long")
+    if peers is None:
+        return known.withColumn("db_version", none)
+    marked = known.join(peers.select("peer_id").distinct().withColumn("__reset", F.lit(True)), "peer_id", "left")
+    return marked.withColumn("db_version", F.when(F.col("__reset"), none).otherwise(F.col("db_version"))).drop("__reset")
 
 
 def advanced(known: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -68,6 +87,17 @@ def global_version(*logs: DataFrame, stored: int = 0) -> DataFrame:
     return found.agg(F.greatest(F.coalesce(F.max("v"), F.lit(0)), F.lit(stored)).cast("long").alias("db_version"))
 
 
+def next_version(*logs: DataFrame, stored: int = 0) -> DataFrame:
+    """One row: the version that the next local write gets, one more than any in use."""
+    return global_version(*logs, stored=stored).select((F.col("db_version") + 1).alias("db_version"))
+
+
+def received(state: DataFrame, delta: DataFrame, stored: int = 0) -> DataFrame:
+    """A delta as the receiver keeps it: all its changes under the receiver's own next version, whatever numbers the sender counts by."""
+    # one row on the right side
+    return delta.drop("db_version").crossJoin(F.broadcast(next_version(state, stored=stored))).select(*delta.columns)
+
+
 def pack(changes: DataFrame, width: int = 1) -> DataFrame:
     """Changesets: (site_id, changeset, changes), an array in order for each range of ``width`` versions of a site."""
     item = F.struct("db_version", "seq", "tbl", "pk", "cid", "val", "col_version", "cl")

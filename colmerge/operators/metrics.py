@@ -28,7 +28,18 @@ def rank_percentiles(rows: DataFrame, value: str, at: dict[str, int], keys: list
     return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("__to") > F.floor(F.col("__all") * p / 100), F.col(value))).alias(name) for name, p in at.items()])
 
 
-def sync_outcome(events: DataFrame) -> DataFrame:
-    """(run_id, outcome, synced): ``Synced`` if any peer synced, ``NoPeers`` if none was seen, else ``TimedOut``; events (run_id, event_type)."""
-    runs = events.groupBy("run_id").agg(F.count_if(F.col("event_type") == "peer_synced").alias("synced"), F.count_if(F.col("event_type") == "peer_connected").alias("seen"))
+def sync_outcome(events: DataFrame, grace: int | None = None, timeout: int | None = None) -> DataFrame:
+    """(run_id, outcome, synced): ``Synced`` if any peer synced, ``NoPeers`` if none was seen, else ``TimedOut``; events (run_id, event_type[, at]).
+
+    With ``timeout``, events later than that after a run's first one don't count; with ``grace``, a run ends that long after its first sync. Both
+    need ``at``, a number.
+    """
+    synced, seen = F.col("event_type") == "peer_synced", F.col("event_type") == "peer_connected"
+    if timeout is not None:
+        begun = events.groupBy("run_id").agg(F.min("at").alias("__begun"))
+        events = events.join(begun, "run_id").filter(F.col("at") <= F.col("__begun") + timeout)
+    if grace is not None:
+        ends = events.filter(synced).groupBy("run_id").agg((F.min("at") + grace).alias("__end"))
+        events = events.join(ends, "run_id", "left").filter(F.col("__end").isNull() | (F.col("at") <= F.col("__end")))
+    runs = events.groupBy("run_id").agg(F.count_if(synced).alias("synced"), F.count_if(seen).alias("seen"))
     return runs.select("run_id", F.when(F.col("synced") > 0, "Synced").when(F.col("seen") == 0, "NoPeers").otherwise("TimedOut").alias("outcome"), "synced")

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.operators.resolve import CELL, ROW, liveness
-from colmerge.operators.state import applied_cells
+from colmerge.operators.resolve import CELL, ROW, rank, should_delete
 from colmerge.sources.tables import TOMBSTONE
 
 
 def notifications(state: DataFrame, delta: DataFrame, policy: Column | str) -> DataFrame:
     """(tbl, pk, kind, changed_columns, column_values): one event for each row that a delta changes.
 
-    Only rows of the delta are looked at. A delete that is delivered again makes no event.
+    Only rows of the delta are looked at, in one aggregation by cell and one by row. A delete that is delivered again makes no event.
     """
+    columns = [*CELL, "val", "site_id", "col_version", "cl"]
     touched = delta.select(*ROW).distinct()
-    old = state.join(touched, ROW, "left_semi")
-    before = liveness(old, policy).select(*ROW, F.col("alive").alias("was"))
-    after = liveness(old.unionByName(delta.select(*old.columns)), policy).select(*ROW, "alive")
-    cells = applied_cells(old, delta).filter("outcome <> 'same'")
-    changed = cells.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("cid", "val"))).alias("column_values"))
-    rows = after.join(before, ROW, "left").join(changed, ROW, "left")
-    was = F.coalesce("was", F.lit(False))
-    kind = F.when(was & ~F.col("alive"), "Delete").when(~was & F.col("alive"), "Insert").when(was & F.col("alive") & F.col("column_values").isNotNull(), "Update")
+    old = state.join(touched, ROW, "left_semi").select(*columns, F.lit(True).alias("known"))
+    both = old.unionByName(delta.select(*columns, F.lit(False).alias("known")))
+    known, dead = F.col("known"), F.col("cid") == TOMBSTONE
+    order = rank(F.col("col_version"), F.col("val"), F.col("site_id"))
+    cells = both.groupBy(*CELL).agg(F.max(F.when(known, order)).alias("old"), F.max(F.when(~known, order)).alias("new"), F.max(F.when(known, F.col("cl"))).alias("old_cl"), F.max("cl").alias("all_cl"))
+    won = ~dead & F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") > F.col("old")))
+    versions = {"old_most": F.when(~dead, F.col("old.col_version")), "old_dead": F.when(dead, F.col("old_cl")), "most": F.when(~dead, F.greatest("old.col_version", "new.col_version")), "dead": F.when(dead, F.col("all_cl"))}
+    # as many changed cells as the table has columns
+    changed = F.array_sort(F.collect_list(F.when(won, F.struct("cid", F.col("new.val").alias("val"))))).alias("changed")
+    rows = cells.groupBy(*ROW).agg(*[F.max(v).alias(name) for name, v in versions.items()], changed)
+    was, alive = (F.col(most).isNotNull() & ~should_delete(F.col(dead_), F.col(most), policy) for most, dead_ in (("old_most", "old_dead"), ("most", "dead")))
+    rows = rows.select(*ROW, was.alias("was"), alive.alias("alive"), F.when(F.size("changed") > 0, F.col("changed")).alias("column_values"))
+    kind = F.when(F.col("was") & ~F.col("alive"), "Delete").when(~F.col("was") & F.col("alive"), "Insert").when(F.col("was") & F.col("alive") & F.col("column_values").isNotNull(), "Update")
     shown = F.when(kind != "Delete", F.col("column_values"))
     names = F.array_join(F.transform(shown, lambda c: c["cid"]), ",")
     return rows.select(*ROW, kind.alias("kind"), names.alias("changed_columns"), shown.alias("column_values")).filter("kind is not null")

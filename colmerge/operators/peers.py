@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmerge.functions.addresses import address_score, last_peer, tier
+from colmerge.sources.tables import numbered
 
 #: Age in seconds and failures beyond which a cached address isn't used, and addresses that a peer keeps.
 MAX_AGE, MAX_FAILURES, KEPT_ADDRESSES = 7 * 86_400, 10, 8
+#: Cooldowns in a range of time in which pauses are looked for at once.
+COOLDOWNS = 1024
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -33,6 +36,21 @@ def group_members(peers: DataFrame, infrastructure: DataFrame, rejected: DataFra
     return peers.filter(F.col("peer_id") != me).join(infrastructure, "peer_id", "left_anti").join(rejected, "peer_id", "left_anti")
 
 
+def verification(events: DataFrame) -> DataFrame:
+    """(peer_id, verified, rejected) of events (peer_id, outcome: verified or rejected, in any order): who was ever rejected stays so, and isn't verified."""
+    told = events.groupBy("peer_id").agg(F.count_if(F.col("outcome") == "verified").alias("v"), F.count_if(F.col("outcome") == "rejected").alias("r"))
+    return told.select("peer_id", ((F.col("v") > 0) & (F.col("r") == 0)).alias("verified"), (F.col("r") > 0).alias("rejected"))
+
+
+def announced(announcements: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(peer_id, identity): the last identity that each verified peer announced (peer_id, position, identity); an empty or null one clears it.
+
+    ``verdicts`` as ``verification`` gives them: others are not listened to.
+    """
+    heard = announcements.join(verdicts.filter("verified").select("peer_id"), "peer_id", "left_semi")
+    return latest(heard, ["peer_id"], ["position"], ["identity"]).filter("identity is not null and identity <> ''")
+
+
 def address_cache(dials: DataFrame) -> DataFrame:
     """(peer_id, address, last_ok_at, last_try_at, fail_count) of dials (peer_id, address, at, position, ok).
 
@@ -49,6 +67,11 @@ def usable(now: Column | int, max_age: int = MAX_AGE, max_failures: int = MAX_FA
     return (F.col("last_ok_at") >= F.lit(now) - max_age) & (F.col("fail_count") < max_failures)
 
 
+def newest_first(cache: DataFrame) -> DataFrame:
+    """Cached addresses with ``place``: each peer's by the time of the last success, newest first, then by address."""
+    return numbered(cache.withColumn("__ago", -F.col("last_ok_at")), ["peer_id"], ["__ago", "address"], "place").drop("__ago")
+
+
 def best_address(addresses: DataFrame) -> DataFrame:
     """(peer_id, address, score): each last peer's best address; of equal ones the first by ``position``."""
     scored = addresses.withColumn("peer_id", last_peer(F.col("address"))).filter(F.col("peer_id").isNotNull()).withColumn("score", address_score(F.col("address")))
@@ -111,15 +134,34 @@ def status(peers: DataFrame, versions: DataFrame, identities: DataFrame, verifie
     return joined.select("peer_id", F.coalesce("stored", "told_version").alias("db_version"), "identity", F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
+def with_sessions(events: DataFrame, pause: int) -> DataFrame:
+    """Events (topic, at, position) with ``session``: the time of the last event before which nothing came for ``pause``, or of the topic's first.
+
+    Pauses are found in ranges of time, whose last events are carried on as one row each, so no task sees a whole topic.
+    """
+    ranged = events.withColumn("range", F.floor(F.col("at") / (pause * COOLDOWNS)))
+    inside, earlier = Window.partitionBy("topic", "range").orderBy("at", "position"), Window.partitionBy("topic").orderBy("range")
+    ends = ranged.groupBy("topic", "range").agg(F.max("at").alias("end"))
+    ends = ends.withColumn("before", F.lag("end").over(earlier)).drop("end")
+    ranged = ranged.withColumn("last", F.lag("at").over(inside)).join(ends, ["topic", "range"])
+    last = F.coalesce("last", "before")
+    ranged = ranged.withColumn("begins", F.when(last.isNull() | (F.col("at") - last >= pause), F.col("at"))).drop("last", "before")
+    carried = ranged.groupBy("topic", "range").agg(F.max("begins").alias("carried"))
+    carried = carried.withColumn("carried", F.max("carried").over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    so_far = F.max("begins").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn("own", so_far).join(carried, ["topic", "range"]).select("topic", "at", "position", F.coalesce("own", "carried").alias("session"))
+
+
 def debounce(events: DataFrame, cooldown: int) -> DataFrame:
     """(topic, fired_at, edge, position): pushes of events (topic, at, position) with one cooldown per topic.
 
-    The first event fires at once. Within the cooldown the last one waits and fires at its end, which starts the next. The recursion is
-    sequential by nature; each task streams its topics in order and holds one waiting event, whatever the length of a topic.
+    The first event fires at once. Within the cooldown the last one waits and fires at its end, which starts the next. After a pause of two cooldowns
+    a topic is as new, so its events are cut there, and each session is folded by itself: a task streams its sessions in order and
+    holds one waiting event. Only a topic that never pauses is one session.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        topic, until, waiting, out = None, None, None, []
+        now, until, waiting, out = None, None, None, []
 
         def emit() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -128,11 +170,11 @@ def debounce(events: DataFrame, cooldown: int) -> DataFrame:
             return batch
 
         for batch in batches:
-            for t, at, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != topic:
+            for topic, at, position, session in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (topic, session) != now:
                     if waiting is not None:
-                        out.append((topic, until, "trailing", waiting))
-                    topic, until, waiting = t, None, None
+                        out.append((now[0], until, "trailing", waiting))
+                    now, until, waiting = (topic, session), None, None
                 if until is not None and waiting is not None and until <= at:
                     out.append((topic, until, "trailing", waiting))
                     until, waiting = until + cooldown, None
@@ -143,8 +185,8 @@ def debounce(events: DataFrame, cooldown: int) -> DataFrame:
                     waiting = position
             yield emit()
         if waiting is not None:
-            out.append((topic, until, "trailing", waiting))
+            out.append((now[0], until, "trailing", waiting))
         yield emit()
 
-    rows = events.select("topic", F.col("at").cast("long"), F.col("position").cast("long"))
-    return rows.repartition("topic").sortWithinPartitions("topic", "at", "position").mapInArrow(fold, "topic string, fired_at long, edge string, position long")
+    rows = with_sessions(events.select("topic", F.col("at").cast("long"), F.col("position").cast("long")), 2 * cooldown)
+    return rows.repartition("topic", "session").sortWithinPartitions("topic", "session", "at", "position").mapInArrow(fold, "topic string, fired_at long, edge string, position long")

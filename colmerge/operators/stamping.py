@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmerge.sources.tables import TOMBSTONE, numbered
+from colmerge.sources.tables import TOMBSTONE, Registry, numbered
+
+#: What the names of the library's own tables begin with.
+INTERNAL = "_colmerge"
+
+
+def syncable(writes: DataFrame, registry: Registry) -> DataFrame:
+    """Writes (tbl, pk, ...) that go to the log: to registered tables that aren't the library's own, with a key that is there and not empty."""
+    named = F.col("tbl").isin(list(registry.tables)) & ~F.startswith("tbl", F.lit(INTERNAL))
+    return writes.filter(named & F.col("pk").isNotNull() & (F.col("pk") != ""))
 
 
 def stamp_writes(writes: DataFrame, clock: DataFrame | None = None, order: str = "event_id", base_version: int = 0) -> DataFrame:
@@ -13,9 +22,9 @@ def stamp_writes(writes: DataFrame, clock: DataFrame | None = None, order: str =
 
     Rows of one statement share ``order``; ``clock`` (tbl, pk, cid, col_version) holds versions from before.
     """
-    cell = Window.partitionBy("tbl", "pk", "cid").orderBy(order)
-    statements = numbered(writes.select(order).distinct().withColumn("__all", F.lit(0)), ["__all"], order, "__db").drop("__all")
-    out = writes.join(statements, order).withColumn("__n", F.row_number().over(cell).cast("long"))
+    statements = numbered(writes.select(order).distinct(), [], order, "__db")
+    # a cell with very many writes is numbered in ranges, not in one task
+    out = numbered(writes.join(statements, order), ["tbl", "pk", "cid"], order, "__n")
     if clock is not None:
         known = clock.select("tbl", "pk", "cid", F.col("col_version").alias("__had"))
         out = out.join(known, ["tbl", "pk", "cid"], "left")

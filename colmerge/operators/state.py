@@ -21,17 +21,21 @@ def applied_cells(state: DataFrame, delta: DataFrame) -> DataFrame:
     return both.withColumn("outcome", outcome).withColumn("w", F.when(won, F.col("new")).otherwise(F.col("old"))).select(*CELL, "w.val", "w.site_id", "w.col_version", "outcome")
 
 
-def merge(state: DataFrame, delta: DataFrame) -> DataFrame:
-    """The new state: winning cells of both, and each row's longest tombstone. The same delta again changes nothing."""
-    both = state.select(*COLUMNS).unionByName(delta.select(*COLUMNS))
+def merged(changes: DataFrame) -> DataFrame:
+    """The state of a log: winning cells, and each row's longest tombstone."""
     order = F.struct("col_version", "val", "site_id", "cl", "seq", "db_version")
-    best = both.groupBy(*CELL).agg(F.max(order).alias("w"))
+    best = changes.groupBy(*CELL).agg(F.max(order).alias("w"))
     return best.select(*CELL, "w.val", "w.site_id", "w.col_version", "w.cl", "w.seq", "w.db_version").select(*COLUMNS)
 
 
-def restamped(changes: DataFrame, version: int) -> DataFrame:
-    """Received changes under the receiver's own version, one for the whole batch."""
-    return changes.withColumn("db_version", F.lit(version).cast("long"))
+def merge(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """The new state of both. The same delta again changes nothing."""
+    return merged(state.select(*COLUMNS).unionByName(delta.select(*COLUMNS)))
+
+
+def applied(state: DataFrame, delta: DataFrame, policy: Column | str) -> DataFrame:
+    """The state after a delta with deletes: rows whose delete wins keep their tombstone alone, rows that live their cells alone."""
+    return compact(merge(state, delta), policy)
 
 
 def compact(state: DataFrame, policy: Column | str) -> DataFrame:
@@ -46,4 +50,4 @@ def as_of(changes: DataFrame, version: int) -> DataFrame:
     return winners(changes.filter(F.col("db_version") <= version))
 
 
-__all__ = ["applied_cells", "as_of", "compact", "merge", "rank", "restamped"]
+__all__ = ["applied", "applied_cells", "as_of", "compact", "merge", "merged", "rank"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmerge.sources.tables import register_views
+from colmerge.functions.values import byte_prefix
+from colmerge.sources.tables import numbered, register_views
 
 
 def point_lookup(rows: DataFrame, key: str, value) -> DataFrame:
@@ -31,3 +32,13 @@ def passthrough(spark: SparkSession, sf_dir: str, sql: str, tables: list[str]) -
 def without_soft_deleted(rows: DataFrame, flag: str = "deleted") -> DataFrame:
     """Rows whose flag column isn't set: what applications use where they can't delete."""
     return rows.filter(~F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+
+
+def by_key(rows: DataFrame, key: str = "pk") -> DataFrame:
+    """Rows with ``place``, in the order of the bytes of their distinct keys (texts)."""
+    return numbered(rows.withColumn("__prefix", byte_prefix(F.col(key))), [], ["__prefix", key], "place").drop("__prefix").orderBy("place")
+
+
+def newest_first(rows: DataFrame, created: Column, key: str) -> DataFrame:
+    """Rows with ``place``, by the time of their creation (whole seconds), newest first, then by key."""
+    return numbered(rows.withColumn("__ago", -created), [], ["__ago", key], "place").drop("__ago").orderBy("place")

@@ -116,6 +116,12 @@ tokens AS (
   WHERE place = 1 AND token NOT IN ('tok7', 'tok13'))"""
 )
 
+_TIED = """
+tied AS (
+  SELECT CAST(user_id AS VARCHAR) AS pk, CASE WHEN event_type = 'error' THEN '__deleted' ELSE event_type END AS cid,
+         CASE WHEN event_type <> 'error' THEN CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR) END AS val, 's' || CAST(event_id % 3 AS VARCHAR) AS site_id, event_id % 5 + 1 AS col_version
+  FROM events)"""
+
 SQL: dict[str, str] = {
     "lww_winner": _with(CLOG, _best("clog", "w")) + "SELECT tbl, pk, cid, val, site_id, col_version, db_version FROM w",
     "lww_site_tiebreak": _with(COARSE, _best("clog", "w")) + "SELECT pk, cid, val, site_id, col_version FROM w",
@@ -127,14 +133,14 @@ SQL: dict[str, str] = {
   SELECT *, row_number() OVER (PARTITION BY pk, cid ORDER BY col_version DESC, coalesce(val, '') DESC, site_id DESC) AS place FROM olog) WHERE place = 1""",
     "converged_cells": _with(ORDERS, _best("olog", "w"), _alive("olog", "r", ">=")) + "SELECT w.pk, cid, val, site_id, col_version FROM w JOIN r ON w.pk = r.pk WHERE alive",
     "materialize_rows": _with(CLOG, _best("clog", "w"), _alive("clog", "r", ">")) + _PIVOT + " FROM w WHERE pk IN (SELECT pk FROM r WHERE alive) GROUP BY pk",
-    "materialize_defaults": _with(CLOG, _best("clog", "w", "site_id = 's1'"), _alive("clog", "r", ">=", "site_id = 's1'"))
+    "materialize_defaults": _with(CLOG, _best("clog", "w"), _alive("clog", "r", ">="))
     + "SELECT pk, "
     + ", ".join(f"coalesce(max(CASE WHEN cid = '{c}' THEN val END), '0') AS {c}" for c in ("signup", "view", "click", "purchase"))
-    + " FROM w WHERE pk IN (SELECT pk FROM r WHERE alive) GROUP BY pk",
+    + ", 'free' AS plan FROM w WHERE pk IN (SELECT pk FROM r WHERE alive) GROUP BY pk",
     "changes_since": _with(CLOG) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM clog WHERE db_version > 100",
     "changes_since_with_values": _with(ORDERS)
     + """SELECT l.pk, l.cid, b.val, l.site_id, l.db_version FROM olog l JOIN base b ON l.pk = b.pk AND l.cid = b.cid
-WHERE l.site_id = 'a' AND l.db_version > 100 AND b.o_orderkey % 13 <> 0
+WHERE l.db_version > 100 AND l.pk NOT IN (SELECT pk FROM olog WHERE cid = '__deleted')
 UNION ALL SELECT pk, cid, NULL, site_id, db_version FROM olog WHERE cid = '__deleted' AND db_version > 100""",
     "apply_changeset": _with(CLOG, _best("clog", "o", "db_version <= 100"), _best("clog", "n", "db_version > 100"))
     + """, j AS (
@@ -156,8 +162,9 @@ m AS (SELECT *, coalesce(max(v) OVER (PARTITION BY pk ORDER BY event_id ROWS BET
        coalesce(bool_or(NOT dead) OVER (PARTITION BY pk ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), FALSE) AS cleared FROM w)
 SELECT event_id, pk, CAST(most + row_number() OVER (PARTITION BY pk, writes ORDER BY event_id) AS BIGINT) AS cl, cleared FROM m WHERE dead""",
     "deferred_insert": _with(CLOG)
-    + """SELECT pk, count(DISTINCT CASE WHEN cid IN ('signup', 'view') THEN cid END) AS n_required, count(DISTINCT CASE WHEN cid IN ('signup', 'view') THEN cid END) = 2 AS complete
-FROM clog WHERE site_id = 's2' AND cid <> '__deleted' GROUP BY pk""",
+    + """, named AS (SELECT pk, CASE WHEN cid = 'purchase' AND CAST(val AS BIGINT) > 9000 THEN 'premium' ELSE cid END AS cid FROM clog WHERE cid <> '__deleted'),
+n AS (SELECT pk, count(DISTINCT CASE WHEN cid IN ('signup', 'view', 'premium') THEN cid END) AS n_required FROM named GROUP BY pk)
+SELECT pk, n_required, n_required = 3 AS complete FROM n""",
     "table_guard": _with(_DIRTY) + "SELECT event_id, tbl, pk, cid FROM dirty WHERE tbl IN ('user_state', 'orders')",
     "column_whitelist": _with(_DIRTY) + "SELECT event_id, tbl, pk, cid FROM dirty WHERE tbl = 'user_state' AND cid IN ('user_id', 'signup', 'view', 'click', 'purchase')",
     "pk_column_guard": _with(_DIRTY) + "SELECT event_id, tbl, pk, cid FROM dirty WHERE tbl = 'user_state' AND cid IN ('signup', 'view', 'click', 'purchase', '__deleted')",
@@ -169,10 +176,25 @@ FROM clog WHERE cid <> '__deleted' GROUP BY pk, cid, col_version HAVING count(*)
     "version_vector": _with(CLOG) + "SELECT site_id, max(db_version) AS db_version, count(*) AS n_changes FROM clog GROUP BY site_id",
     "peer_lag": _with(CLOG)
     + """, vv AS (SELECT site_id, max(db_version) AS v FROM clog GROUP BY site_id),
-known AS (SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, site_id, max(db_version) AS seen FROM clog WHERE event_id % 5 = 0 AND NOT (event_id % 3 = 1 AND site_id = 's2') GROUP BY ALL)
+known AS (
+  SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, CASE WHEN event_id % 3 = 1 AND site_id = 's2' THEN 's1' ELSE site_id END AS site_id, max(db_version - event_id % 7) AS seen
+  FROM clog GROUP BY 1, 2)
 SELECT p.peer_id, vv.site_id, vv.v - coalesce(k.seen, 0) AS lag FROM (SELECT DISTINCT peer_id FROM known) p CROSS JOIN vv LEFT JOIN known k ON k.peer_id = p.peer_id AND k.site_id = vv.site_id""",
-    "catch_up": _with(CLOG) + "SELECT p.peer_id, pk, cid, val, db_version FROM clog, (VALUES ('p0', 0), ('p1', 100), ('p2', 0)) p(peer_id, seen) WHERE site_id = 's1' AND db_version > p.seen",
-    "peer_offsets": _with(CLOG) + "SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, max(db_version) AS db_version FROM clog WHERE event_id % 7 IN (1, 2) GROUP BY 1",
+    "catch_up": _with(CLOG)
+    + "SELECT p.peer_id, pk, cid, val, site_id, db_version FROM clog, (VALUES ('p0', 0), ('p1', 100), ('p2', 0), ('p3', 1000000)) p(peer_id, seen) WHERE db_version > p.seen",
+    "peer_offsets": _with(CLOG) + "SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, max(greatest(db_version - event_id % 7, db_version - event_id % 5)) AS db_version FROM clog GROUP BY 1",
+    "offsets_reset": _with(CLOG)
+    + "SELECT peer_id, CASE WHEN peer_id NOT IN ('p1', 'p4') THEN v END AS db_version FROM (SELECT 'p' || CAST(event_id % 9 AS VARCHAR) AS peer_id, max(db_version) AS v FROM clog GROUP BY 1)",
+    "delta_order": _with(ORDERS) + "SELECT row_number() OVER (ORDER BY db_version, seq, pk, cid, site_id) AS place, pk, cid, site_id, seq, db_version FROM olog WHERE db_version > 100",
+    "next_counter": _with(CLOG, ORDERS) + "SELECT greatest(coalesce(max(v), 0), 7) + 1 AS db_version FROM (SELECT max(db_version) AS v FROM clog UNION ALL SELECT max(db_version) FROM olog)",
+    "restamp_on_receive": _with(CLOG, ORDERS) + "SELECT pk, cid, val, site_id, col_version, (SELECT max(db_version) + 1 FROM clog) AS db_version FROM olog",
+    "apply_with_deletes": _with(CLOG, _best("clog", "w"), _alive("clog", "r", ">="))
+    + """SELECT w.pk, cid, val, site_id, col_version FROM w JOIN r ON w.pk = r.pk WHERE alive
+UNION ALL SELECT c.pk, '__deleted', NULL, max(c.site_id), c.col_version FROM clog c JOIN r ON c.pk = r.pk WHERE NOT alive AND c.cid = '__deleted' AND c.col_version = r.dcl GROUP BY c.pk, c.col_version""",
+    "write_filters": """SELECT event_id, 'user_state' AS tbl, CAST(user_id AS VARCHAR) AS pk FROM events WHERE event_id % 9 > 1 AND event_id % 5 > 1""",
+    "topic_filter": """SELECT event_id, event_id % 4 < 2 OR event_type = 'click' AS lenient, event_id % 4 >= 2 AND event_type = 'click' AS strict FROM events WHERE event_id % 4 < 2 OR event_type = 'click'""",
+    "wire_rejects": _with(ORDERS)
+    + """SELECT CASE WHEN db_version % 3 = 0 THEN 'no object' WHEN db_version % 5 = 0 THEN 'no key' ELSE 'taken' END AS reason, count(*) AS n FROM olog GROUP BY 1""",
     "changeset_pack": _with(CLOG) + "SELECT site_id, db_version // 10 AS changeset, count(*) AS n_changes, min(db_version) AS first_version, max(db_version) AS last_version FROM clog GROUP BY ALL",
     "changeset_unpack": _with(CLOG) + "SELECT site_id, db_version, pk, cid, val, col_version FROM clog",
     "wire_round_trip": _with(ORDERS) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM olog",
@@ -187,10 +209,22 @@ SELECT p.peer_id, vv.site_id, vv.v - coalesce(k.seen, 0) AS lag FROM (SELECT DIS
     "peer_version_latest": _with(PEERS) + "SELECT peer_id, max(position) * 3 AS db_version, max(position) AS position FROM told GROUP BY peer_id",
     "peers_by_identity": _with(PEERS) + "SELECT identity, count(DISTINCT peer_id) AS n_peers, string_agg(DISTINCT peer_id, ',' ORDER BY peer_id) AS peers FROM told WHERE identity IS NOT NULL GROUP BY identity",
     "group_peers": _with(PEERS) + "SELECT DISTINCT peer_id FROM told WHERE peer_id NOT IN ('peer0', 'peer1', 'peer2') AND peer_id NOT IN (SELECT peer_id FROM told WHERE topic = 'error' AND value > 95)",
+    "peer_verification": _with(PEERS)
+    + """SELECT peer_id, bool_or(topic = 'purchase' AND value > 90) AND NOT bool_or(topic = 'error' AND value > 95) AS verified, bool_or(topic = 'error' AND value > 95) AS rejected
+FROM told GROUP BY peer_id""",
+    "identity_announced": _with(PEERS)
+    + """, ok AS (SELECT peer_id FROM told GROUP BY peer_id HAVING bool_or(topic = 'purchase' AND value > 90) AND NOT bool_or(topic = 'error' AND value > 95)),
+last AS (SELECT *, row_number() OVER (PARTITION BY peer_id ORDER BY position DESC) AS place FROM told WHERE peer_id IN (SELECT peer_id FROM ok))
+SELECT peer_id, identity FROM last WHERE place = 1 AND position % 4 <> 0 AND identity IS NOT NULL""",
     "addr_cache_fold": _with(_CACHE) + "SELECT * FROM cache",
     "addr_load_recent": _with(_CACHE) + "SELECT peer_id, address, last_ok_at, fail_count FROM cache WHERE last_ok_at >= 1704240000 - 86400 AND fail_count < 3",
     "addr_gc": _with(_CACHE) + "SELECT peer_id, address, last_ok_at, fail_count FROM cache WHERE last_ok_at < 1704240000 - 86400 OR fail_count >= 3",
-    "addr_classify": _with(PEERS) + "SELECT position, class, CAST(4000 + position % 7 AS BIGINT) AS port, peer_id AS last_peer, address AS with_peer FROM classed",
+    "addr_classify": _with(PEERS)
+    + """SELECT position, class, CAST(4000 + position % 7 AS BIGINT) AS port, peer_id AS last_peer, CASE WHEN position % 4 = 0 THEN address || '/p2p/other' ELSE address END AS with_peer
+FROM classed""",
+    "addr_newest_first": _with(_CACHE)
+    + """SELECT peer_id, address, last_ok_at, row_number() OVER (PARTITION BY peer_id ORDER BY last_ok_at DESC, address) AS place
+FROM cache WHERE last_ok_at >= 1704240000 - 86400 AND fail_count < 3""",
     "addr_rank": _with(PEERS)
     + """, t AS (SELECT peer_id, address, min(position) AS position, min(CASE WHEN position % 5 = 0 THEN 2 WHEN class = 'private' THEN 0 WHEN class = 'public' THEN 1 END) AS tier FROM classed GROUP BY peer_id, address)
 SELECT peer_id, address, CAST(tier AS BIGINT) AS tier, row_number() OVER (PARTITION BY peer_id ORDER BY tier, position) AS place FROM t WHERE tier IS NOT NULL""",
@@ -211,22 +245,31 @@ SELECT n.topic, n.peer_id AS newcomer, o.peer_id AS member FROM m n JOIN m o ON
     + """SELECT peer_id, coalesce(max(CASE WHEN topic = 'signup' THEN position END) * 2, max(position)) AS db_version,
        arg_max(identity, position) FILTER (WHERE identity IS NOT NULL) AS identity, bool_or(topic = 'purchase' AND value > 90) AS verified FROM told GROUP BY peer_id""",
     "diagnostics_counters": "SELECT " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in ("signup", "view", "click", "purchase", "error")) + " FROM events",
-    "sync_outcome": """SELECT event_id // 4 AS run_id, CASE WHEN count(*) FILTER (WHERE value > 90) > 0 THEN 'Synced' WHEN count(*) FILTER (WHERE value > 60 AND value <= 90) = 0 THEN 'NoPeers' ELSE 'TimedOut' END AS outcome,
+    "sync_outcome": """SELECT event_id // 20 AS run_id, CASE WHEN count(*) FILTER (WHERE value > 90) > 0 THEN 'Synced' WHEN count(*) FILTER (WHERE value > 60 AND value <= 90) = 0 THEN 'NoPeers' ELSE 'TimedOut' END AS outcome,
        count(*) FILTER (WHERE value > 90) AS synced FROM events GROUP BY 1""",
+    "sync_outcome_in_time": """WITH timely AS (
+  SELECT * FROM (SELECT event_id // 20 AS run_id, event_id, value, min(event_id) OVER (PARTITION BY event_id // 20) AS begun FROM events) WHERE event_id <= begun + 12),
+ending AS (SELECT *, min(CASE WHEN value > 90 THEN event_id END) OVER (PARTITION BY run_id) + 2 AS at_end FROM timely)
+SELECT run_id, CASE WHEN count(*) FILTER (WHERE value > 90) > 0 THEN 'Synced' WHEN count(*) FILTER (WHERE value > 60 AND value <= 90) = 0 THEN 'NoPeers' ELSE 'TimedOut' END AS outcome,
+       count(*) FILTER (WHERE value > 90) AS synced FROM ending WHERE at_end IS NULL OR event_id <= at_end GROUP BY 1""",
     "latency_percentiles": """SELECT event_type, quantile_cont(c, 0.5) AS p50, quantile_cont(c, 0.95) AS p95, quantile_cont(c, 0.99) AS p99, avg(c) AS mean, max(c) AS most
 FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events) GROUP BY event_type""",
     "latency_rank_percentiles": """SELECT event_type, max(c) FILTER (WHERE place = n * 50 // 100) AS p50, max(c) FILTER (WHERE place = n * 95 // 100) AS p95 FROM (
   SELECT event_type, c, row_number() OVER (PARTITION BY event_type ORDER BY c) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n
   FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events)) GROUP BY event_type""",
     "literal_to_json": """SELECT o_orderkey,
-  CASE o_orderkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"it''s ' || o_orderpriority || '"' WHEN 2 THEN CAST(o_custkey AS VARCHAR) WHEN 3 THEN 'true' ELSE '"x''' || lower(to_hex(o_orderkey)) || '''"' END AS json,
-  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'it''s ' || o_orderpriority WHEN 2 THEN CAST(o_custkey AS VARCHAR) WHEN 3 THEN '1' ELSE 'x''' || lower(to_hex(o_orderkey)) || '''' END AS bound FROM orders""",
+  CASE o_orderkey % 6 WHEN 0 THEN 'null' WHEN 1 THEN '"it''s ' || o_orderpriority || '"' WHEN 2 THEN CAST(o_custkey AS VARCHAR) WHEN 3 THEN 'true' WHEN 4 THEN '-' || o_orderkey || '.5' ELSE '"x''' || lower(to_hex(o_orderkey)) || '''"' END AS json,
+  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'it''s ' || o_orderpriority WHEN 2 THEN CAST(o_custkey AS VARCHAR) WHEN 3 THEN '1' WHEN 4 THEN '-' || o_orderkey || '.5' ELSE 'x''' || lower(to_hex(o_orderkey)) || '''' END AS bound FROM orders""",
     "sql_write_classify": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' END AS kind,
   CASE o_orderkey % 4 WHEN 0 THEN 'orders' WHEN 1 THEN 'tasks' WHEN 2 THEN 'notes' END AS tbl,
   length(CASE o_orderkey % 4 WHEN 0 THEN 'INSERT INTO "orders" (id) VALUES (' || o_orderkey || ')' WHEN 1 THEN '  update tasks SET done = 1 WHERE id = ' || o_orderkey
     WHEN 2 THEN 'DELETE FROM `notes` WHERE id = ' || o_orderkey ELSE 'REPLACE INTO orders VALUES (1)' END) AS n FROM orders""",
     "key_round_trip": "SELECT o_orderkey, 'orders' AS tbl, o_orderpriority || '|' || CAST(o_orderkey AS VARCHAR) AS pk, 'status' AS cid FROM orders",
-    "soft_delete_view": "SELECT o_orderkey, o_totalprice, o_orderdate AS created_at FROM orders WHERE o_orderstatus <> 'F'",
+    "soft_delete_view": """SELECT row_number() OVER (ORDER BY date_trunc('second', o_orderdate) DESC, o_orderkey) AS place, o_orderkey, o_totalprice, o_orderdate AS created_at FROM orders WHERE o_orderstatus <> 'F'""",
+    "rows_by_key": _with(CLOG, _best("clog", "w"), _alive("clog", "r", ">="))
+    + """SELECT row_number() OVER (ORDER BY pk) AS place, pk, max(CASE WHEN cid = 'signup' THEN val END) AS signup FROM w WHERE pk IN (SELECT pk FROM r WHERE alive) GROUP BY pk""",
+    "names_and_ids": "SELECT event_id, lower(hex(props)) AS id, 'my_' || event_type AS prefix FROM events",
+    "message_verified": "SELECT o_orderkey, o_orderkey % 3 <> 0 AS verified FROM orders",
     "bootstrap": _with(ORDERS) + "SELECT pk, cid, val, col_version, seq, db_version FROM olog WHERE site_id = 'a'",
     "gapless_numbering": "SELECT l_orderkey * 8 + l_linenumber AS line, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 8 + l_linenumber) AS n FROM lineitem",
     "state_as_of": _with(CLOG, _best("clog", "w", "db_version <= 100")) + "SELECT pk, cid, val, site_id, col_version FROM w",
@@ -238,19 +281,31 @@ FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "passthrough_window": """SELECT o_custkey, o_orderkey, place, previous FROM (
   SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place,
          lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS previous FROM orders) t WHERE place <= 3""",
-    "stream_lww": """SELECT CAST(user_id AS VARCHAR) AS pk, event_type AS cid, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS val, 's' || CAST(event_id % 4 AS VARCHAR) AS site_id, event_id AS col_version
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS place FROM events WHERE event_type <> 'error') WHERE place = 1""",
+    "stream_lww": _with(_TIED, _best("tied", "w"), _alive("tied", "r", ">=")) + "SELECT w.pk, cid, val, site_id, col_version FROM w JOIN r ON w.pk = r.pk WHERE alive",
+    "stream_notifications": f"SELECT t.*, n_raw FROM ({_NOTIFIED}) t JOIN ("
+    + _with(CLOG)
+    + "SELECT pk, count(*) AS n_raw FROM clog WHERE db_version > 100 GROUP BY pk) r ON t.pk = r.pk",
+    "push_debounce": """WITH RECURSIVE t AS (
+  SELECT topic, list(moment ORDER BY moment, position) AS ats, list(position ORDER BY moment, position) AS positions
+  FROM (SELECT event_type AS topic, date_diff('second', TIMESTAMP '1970-01-01', ts) AS moment, event_id AS position FROM events) GROUP BY topic),
+f AS (
+  SELECT topic, ats, positions, ats[1] AS fired_at, 'leading' AS edge, positions[1] AS position, 1::BIGINT AS k FROM t
+  UNION ALL
+  SELECT topic, ats, positions, CASE WHEN w > k THEN fired_at + 3600 ELSE ats[k + 1] END, CASE WHEN w > k THEN 'trailing' ELSE 'leading' END,
+         CASE WHEN w > k THEN positions[w] ELSE positions[k + 1] END, CASE WHEN w > k THEN w ELSE k + 1 END
+  FROM (SELECT *, len(list_filter(ats, lambda x: x < fired_at + 3600)) AS w FROM f) WHERE w > k OR k < len(ats))
+SELECT topic, fired_at, edge, position FROM f""",
 }
 
 
-def _mac_sql() -> str:
-    """The keyed digest with its two padded keys written out."""
+def _mac_sql(message: str) -> str:
+    """The keyed digest of a text with its two padded keys written out."""
     import hashlib
 
     key = hashlib.sha256(b"passphrase").digest().ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
-    message = "encode(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus)"
-    return f"SELECT o_orderkey, sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message}))) AS mac FROM orders"
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
 
 
-SQL["message_mac"] = _mac_sql()
+SQL["message_mac"] = "SELECT o_orderkey, " + _mac_sql("CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus") + " AS mac FROM orders"
+SQL["topics"] = "SELECT event_type, " + _mac_sql("'topic:' || event_type") + " AS topic FROM (SELECT DISTINCT event_type FROM events)"

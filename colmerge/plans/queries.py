@@ -13,7 +13,7 @@ from colmerge.operators import delta as D
 from colmerge.operators import metrics, notify, peers, resolve, stamping, state, views
 from colmerge.operators.replay import replay
 from colmerge.plans.oracles import SQL
-from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, numbered, shared_folder, table, to_wire, unpivoted
+from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, SnapshotStore, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, numbered, rejected_lines, shared_folder, table, to_wire, unpivoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,7 +75,9 @@ def materialize_rows(spark, d):
 
 @query
 def materialize_defaults(spark, d):
-    return resolve.materialize(clog_events(spark, d).filter("site_id = 's1'"), CELLS, ADD_WINS, {c: "0" for c in CELLS}).drop("tbl")
+    """``plan`` is a column that no row has written."""
+    defaults = {c: "0" for c in CELLS} | {"plan": "free"}
+    return resolve.materialize(clog_events(spark, d), [*CELLS, "plan"], ADD_WINS, defaults).drop("tbl")
 
 
 @query
@@ -85,8 +87,11 @@ def changes_since(spark, d):
 
 @query
 def changes_since_with_values(spark, d):
-    clock = D.changes_since(clog_orders(spark, d), SINCE).filter("site_id = 'a' or cid = '__deleted'").drop("val")
-    rows = table(spark, d, "orders").filter("o_orderkey % 13 <> 0")
+    """The log's own deletes leave cells without a row."""
+    log = clog_orders(spark, d)
+    gone = log.filter(F.col("cid") == TOMBSTONE).select(F.col("pk").cast("long").alias("o_orderkey"))
+    rows = table(spark, d, "orders").join(gone, "o_orderkey", "left_anti")
+    clock = D.changes_since(log, SINCE).drop("val")
     return D.with_values(clock, unpivoted(rows, "o_orderkey", ORDER_CELLS, "orders")).select("pk", "cid", "val", "site_id", "db_version")
 
 
@@ -124,8 +129,11 @@ def tombstone_stamping(spark, d):
 
 @query
 def deferred_insert(spark, d):
-    log = clog_events(spark, d).filter("site_id = 's2'")
-    return resolve.deferred(log, list(USERS.required)).select("pk", "n_required", "complete")
+    """A third required cell is written by dear purchases only."""
+    log = clog_events(spark, d)
+    dear = (F.col("cid") == "purchase") & (F.col("val").cast("long") > 9000)
+    log = log.withColumn("cid", F.when(dear, "premium").otherwise(F.col("cid")))
+    return resolve.deferred(log, [*USERS.required, "premium"]).select("pk", "n_required", "complete")
 
 
 def _dirty(spark, d):
@@ -173,23 +181,80 @@ def version_vector(spark, d):
 
 @query
 def peer_lag(spark, d):
+    """Each peer is some versions behind what it was told, and one hasn't heard of a site."""
     log = clog_events(spark, d)
-    seen = log.withColumn("peer_id", F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string"))).filter("not (peer_id = 'p1' and site_id = 's2')")
-    known = seen.filter(F.col("event_id") % 5 == 0).groupBy("peer_id", "site_id").agg(F.max("db_version").alias("db_version"))
-    return D.peer_lag(D.version_vector(log), known)
+    peer = F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string"))
+    site = F.when((peer == "p1") & (F.col("site_id") == "s2"), "s1").otherwise(F.col("site_id"))
+    told = log.select(peer.alias("peer_id"), site.alias("site_id"), (F.col("db_version") - F.col("event_id") % 7).alias("db_version"))
+    return D.peer_lag(D.version_vector(log), told.groupBy("peer_id", "site_id").agg(F.max("db_version").alias("db_version")))
 
 
 @query
 def catch_up(spark, d):
-    known = spark.createDataFrame([("p0", 0), ("p1", 100), ("p2", None)], "peer_id string, db_version long")
-    return D.catch_up(clog_events(spark, d).filter("site_id = 's1'"), known).select("peer_id", "pk", "cid", "val", "db_version")
+    known = spark.createDataFrame([("p0", 0), ("p1", 100), ("p2", None), ("p3", 1_000_000)], "peer_id string, db_version long")
+    return D.catch_up(clog_events(spark, d), known).select("peer_id", "pk", "cid", "val", "site_id", "db_version")
 
 
 @query
 def peer_offsets(spark, d):
-    log = clog_events(spark, d)
-    told = lambda k: log.filter(F.col("event_id") % 7 == k).groupBy(F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("peer_id")).agg(F.max("db_version").alias("db_version"))
-    return D.advanced(told(1), told(2))
+    log = clog_events(spark, d).withColumn("peer_id", F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")))
+    told = lambda late: log.groupBy("peer_id").agg(F.max(F.col("db_version") - F.col("event_id") % late).alias("db_version"))
+    return D.advanced(told(7), told(5))
+
+
+@query
+def offsets_reset(spark, d):
+    log = clog_events(spark, d).withColumn("peer_id", F.concat(F.lit("p"), (F.col("event_id") % 9).cast("string")))
+    known = log.groupBy("peer_id").agg(F.max("db_version").alias("db_version"))
+    return D.reset(known, spark.createDataFrame([("p1",), ("p4",), ("p4",)], "peer_id string"))
+
+
+@query
+def delta_order(spark, d):
+    return D.in_order(D.changes_since(clog_orders(spark, d), SINCE)).select("place", "pk", "cid", "site_id", *_long("seq"), "db_version")
+
+
+@query
+def next_counter(spark, d):
+    return D.next_version(clog_events(spark, d), clog_orders(spark, d), stored=7)
+
+
+@query
+def restamp_on_receive(spark, d):
+    return D.received(clog_events(spark, d), clog_orders(spark, d)).select("pk", "cid", "val", "site_id", "col_version", "db_version")
+
+
+@query
+def apply_with_deletes(spark, d):
+    log = clog_events(spark, d).drop("event_id")
+    return state.applied(log.filter(F.col("db_version") <= SINCE), D.changes_since(log, SINCE), ADD_WINS).select("pk", "cid", "val", "site_id", "col_version")
+
+
+@query
+def write_filters(spark, d):
+    """Writes to the library's own tables, to unknown ones and without a key among the others."""
+    e = F.col("event_id")
+    tbl = F.when(e % 9 == 0, "_colmerge_clock").when(e % 9 == 1, "elsewhere").otherwise("user_state")
+    pk = F.when(e % 5 == 0, "").when(e % 5 == 1, F.lit(None).cast("string")).otherwise(F.col("user_id").cast("string"))
+    return stamping.syncable(table(spark, d, "events").select("event_id", tbl.alias("tbl"), pk.alias("pk")), REGISTRY)
+
+
+@query
+def topic_filter(spark, d):
+    told = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, F.lit(None).cast("string")).otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select("event_id", told.alias("topic"))
+    lenient, strict = V.same_topic(F.col("topic"), "click"), V.same_topic(F.col("topic"), "click", lenient=False)
+    return rows.select("event_id", lenient.alias("lenient"), strict.alias("strict")).filter("lenient or strict")
+
+
+@query
+def wire_rejects(spark, d):
+    """Every third line is cut, every fifth has no key."""
+    log = to_wire(clog_orders(spark, d).withColumn("pk", F.when(F.col("db_version") % 5 != 0, F.col("pk"))))
+    k = F.get_json_object("value", "$.db_version").cast("long")
+    lines = log.select(F.when(k % 3 == 0, F.concat(F.lit("~"), F.substring("value", 1, 9))).otherwise(F.col("value")).alias("value"))
+    rejected = rejected_lines(lines).groupBy("reason").agg(F.count("*").alias("n"))
+    return rejected.unionByName(from_wire(lines).agg(F.lit("taken").alias("reason"), F.count("*").alias("n")))
 
 
 @query
@@ -288,12 +353,29 @@ def peers_by_identity(spark, d):
     return peers.by_identity(_peer_events(spark, d))
 
 
+def _verdicts(spark, d):
+    """Purchases over 90 verify their peer, errors over 95 reject it."""
+    outcome = F.when((F.col("topic") == "purchase") & (F.col("value") > 90), "verified").when((F.col("topic") == "error") & (F.col("value") > 95), "rejected")
+    return peers.verification(_peer_events(spark, d).select("peer_id", outcome.alias("outcome")))
+
+
 @query
 def group_peers(spark, d):
     everyone = _peer_events(spark, d).select("peer_id").distinct()
     infrastructure = spark.createDataFrame([("peer1",), ("peer2",)], "peer_id string")
-    rejected = _peer_events(spark, d).filter("topic = 'error' and value > 95").select("peer_id").distinct()
-    return peers.group_members(everyone, infrastructure, rejected, "peer0")
+    return peers.group_members(everyone, infrastructure, _verdicts(spark, d).filter("rejected").select("peer_id"), "peer0")
+
+
+@query
+def peer_verification(spark, d):
+    return _verdicts(spark, d)
+
+
+@query
+def identity_announced(spark, d):
+    """Some announcements clear the peer's identity."""
+    told = _peer_events(spark, d).select("peer_id", "position", F.when(F.col("position") % 4 != 0, F.col("identity")).otherwise(F.lit("")).alias("identity"))
+    return peers.announced(told, _verdicts(spark, d))
 
 
 def _dials(spark, d):
@@ -325,7 +407,14 @@ def addr_gc(spark, d):
 @query
 def addr_classify(spark, d):
     a = F.col("address")
-    return _peer_events(spark, d).select("position", A.address_class(a).alias("class"), A.tcp_port(a).cast("long").alias("port"), A.last_peer(a).alias("last_peer"), A.with_peer(a, F.col("peer_id")).alias("with_peer"))
+    peer = F.when(F.col("position") % 4 == 0, "other").otherwise(F.col("peer_id"))
+    return _peer_events(spark, d).select("position", A.address_class(a).alias("class"), A.tcp_port(a).cast("long").alias("port"), A.last_peer(a).alias("last_peer"), A.with_peer(a, peer).alias("with_peer"))
+
+
+@query
+def addr_newest_first(spark, d):
+    rows = peers.address_cache(_dials(spark, d))
+    return peers.newest_first(rows.filter(peers.usable(NOW, AGE, FAILURES))).select("peer_id", "address", *_long("last_ok_at"), "place")
 
 
 @query
@@ -403,10 +492,20 @@ def diagnostics_counters(spark, d):
     return metrics.counters(table(spark, d, "events"), ["signup", "view", "click", "purchase", "error"])
 
 
+def _runs(spark, d):
+    kind = F.when(F.col("value") > 90, "peer_synced").when(F.col("value") > 60, "peer_connected").otherwise("other")
+    return table(spark, d, "events").select(F.floor(F.col("event_id") / 20).cast("long").alias("run_id"), kind.alias("event_type"), F.col("event_id").alias("at"))
+
+
 @query
 def sync_outcome(spark, d):
-    kind = F.when(F.col("value") > 90, "peer_synced").when(F.col("value") > 60, "peer_connected").otherwise("other")
-    return metrics.sync_outcome(table(spark, d, "events").select(F.floor(F.col("event_id") / 4).cast("long").alias("run_id"), kind.alias("event_type")))
+    return metrics.sync_outcome(_runs(spark, d))
+
+
+@query
+def sync_outcome_in_time(spark, d):
+    """With two events' time after the first sync, and twelve in all."""
+    return metrics.sync_outcome(_runs(spark, d), grace=2, timeout=12)
 
 
 @query
@@ -424,7 +523,10 @@ def latency_rank_percentiles(spark, d):
 @query
 def literal_to_json(spark, d):
     k = F.col("o_orderkey")
-    text = F.when(k % 5 == 0, "NULL").when(k % 5 == 1, F.concat(F.lit("'it''s "), "o_orderpriority", F.lit("'"))).when(k % 5 == 2, F.col("o_custkey").cast("string")).when(k % 5 == 3, "TRUE").otherwise(F.concat(F.lit("x'"), F.lower(F.hex(k)), F.lit("'")))
+    text = (
+        F.when(k % 6 == 0, "NULL").when(k % 6 == 1, F.concat(F.lit("'it''s "), "o_orderpriority", F.lit("'"))).when(k % 6 == 2, F.col("o_custkey").cast("string"))
+        .when(k % 6 == 3, "TRUE").when(k % 6 == 4, F.concat(F.lit("-"), k.cast("string"), F.lit(".50"))).otherwise(F.concat(F.lit("x'"), F.lower(F.hex(k)), F.lit("'")))
+    )
     return table(spark, d, "orders").select("o_orderkey", V.literal_to_json(text).alias("json"), V.bound_value(V.literal_to_json(text)).alias("bound"))
 
 
@@ -446,6 +548,25 @@ def message_mac(spark, d):
     return table(spark, d, "orders").select("o_orderkey", V.mac("passphrase", message).alias("mac"))
 
 
+@query
+def message_verified(spark, d):
+    """Every third tag is of another message."""
+    message = F.concat_ws(":", "o_orderkey", "o_orderstatus")
+    tag = V.mac("passphrase", F.when(F.col("o_orderkey") % 3 == 0, F.concat(message, F.lit("!"))).otherwise(message))
+    return table(spark, d, "orders").select("o_orderkey", V.verified("passphrase", message, tag).alias("verified"))
+
+
+@query
+def topics(spark, d):
+    return table(spark, d, "events").select("event_type").distinct().select("event_type", V.topic("passphrase", F.col("event_type")).alias("topic"))
+
+
+@query
+def names_and_ids(spark, d):
+    name = F.concat(F.lit("my-"), "event_type", F.lit("::*"))
+    return table(spark, d, "events").select("event_id", V.hex_id(F.col("props").cast("binary")).alias("id"), V.module_prefix(name).alias("prefix"))
+
+
 @query
 def key_round_trip(spark, d):
     pk = F.concat("o_orderpriority", F.lit("|"), F.col("o_orderkey").cast("string"))
@@ -462,7 +583,13 @@ def push_debounce(spark, d):
 @query
 def soft_delete_view(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "F").alias("deleted"), F.col("o_orderdate").alias("created_at"))
-    return views.without_soft_deleted(rows).select("o_orderkey", "o_totalprice", "created_at")
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', created_at)")
+    return views.newest_first(views.without_soft_deleted(rows), seconds, "o_orderkey").select("place", "o_orderkey", "o_totalprice", "created_at")
+
+
+@query
+def rows_by_key(spark, d):
+    return views.by_key(resolve.materialize(clog_events(spark, d), CELLS, ADD_WINS)).select("place", "pk", "signup")
 
 
 @query
@@ -502,25 +629,48 @@ def replay_fold(spark, d):
     return replay(log, REGISTRY)
 
 
+def _streamed(spark, d):
+    """The events' file as a stream of changes with few versions and values, so that versions and values tie, and deletes."""
+    from colmerge.streaming.live import EVENTS, read_files
+
+    e, dead = F.col("event_id"), F.col("event_type") == "error"
+    version = e % 5 + 1
+    return read_files(spark, d, "events.parquet", EVENTS).select(
+        F.lit("user_state").alias("tbl"), F.col("user_id").cast("string").alias("pk"), F.when(dead, TOMBSTONE).otherwise(F.col("event_type")).alias("cid"),
+        F.when(~dead, F.floor(F.col("value") / 40).cast("long").cast("string")).alias("val"), F.concat(F.lit("s"), (e % 3).cast("string")).alias("site_id"),
+        version.alias("col_version"), version.alias("cl"), F.lit(0).alias("seq"), e.alias("db_version"),
+    )
+
+
 @query
 def stream_lww(spark, d):
-    """The winners that a stream of the events' file folds, in one run over what is there."""
-    from colmerge.streaming.live import EVENTS, read_files, stream_winners
+    """The cells of living rows of the state that a stream folds, in one run over what is there."""
+    from colmerge.streaming.live import stream_state
 
-    raw = read_files(spark, d, "events.parquet", EVENTS)
-    cells = raw.filter("event_type <> 'error'").select(
-        F.lit("user_state").alias("tbl"), F.col("user_id").cast("string").alias("pk"), F.col("event_type").alias("cid"), F.round(F.col("value") * 100).cast("long").cast("string").alias("val"),
-        F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("site_id"), F.col("event_id").alias("col_version"), F.col("event_id").alias("cl"), F.lit(0).alias("seq"), F.col("event_id").alias("db_version"),
-    )
     out = shared_folder(spark)
-    folded = stream_winners(cells).select("pk", "cid", "val", "site_id", "col_version")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/winners")
+        batch.write.mode("overwrite").parquet(f"{out}/state")
 
-    run = folded.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start()
+    run = stream_state(_streamed(spark, d)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/winners")
+    return resolve.converged(spark.read.parquet(f"{out}/state"), ADD_WINS).select("pk", "cid", "val", "site_id", "col_version")
+
+
+@query
+def stream_notifications(spark, d):
+    """What a stream of changes tells on top of the state of the first versions: one event for each row that it changes; beside it, all that came."""
+    from colmerge.streaming.live import apply_stream
+
+    out, log = shared_folder(spark), clog_events(spark, d).drop("event_id")
+    log.filter(F.col("db_version") > SINCE).coalesce(1).write.parquet(f"{out}/in")
+    store = SnapshotStore(spark, f"{out}/store", parts=8)
+    store.write(state.merged(log.filter(F.col("db_version") <= SINCE)))
+    stream = spark.readStream.schema(log.schema).parquet(f"{out}/in")
+    apply_stream(stream, store, f"{out}/told", f"{out}/offsets", DELETE_WINS, raw=f"{out}/raw")
+    events = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/told")
+    raw = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/raw").groupBy("pk").agg(F.count("*").alias("n_raw"))
+    return events.join(raw, "pk").select("pk", "kind", "changed_columns", "n_raw")
 
 
 def queries() -> dict[str, Query]:

@@ -77,17 +77,21 @@ def create_if_missing(spark: SparkSession, name: str, schema: T.StructType) -> N
         spark.createDataFrame([], schema).write.saveAsTable(name)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str, out: str, width: int = 4096) -> DataFrame:
-    """``rows`` with ``out``: 1, 2, ... by ``order`` (a whole number, distinct within the keys) among rows of equal ``keys``.
+def numbered(rows: DataFrame, keys: list[str], order: str | list[str], out: str, width: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``out``: 1, 2, ... by ``order`` (columns that tell rows of equal ``keys`` apart, a whole number first) among rows of equal ``keys``.
 
-    A window over the keys alone would sort all rows of a key in one task. Ranges of ``width`` of the order are numbered apart and
-    shifted by the number of rows in earlier ranges, which are one row each.
+    A window over the keys alone would sort all rows of a key in one task. Ranges of ``width`` of the first number are numbered apart and shifted by
+    the number of rows in earlier ranges, which in turn are summed in ranges of ``width`` ranges. So no task sees more than ``width`` numbers.
     """
-    ranged = rows.withColumn("__range", F.floor(F.col(order) / F.lit(width)))
-    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(order))
+    order = [order] if isinstance(order, str) else order
+    ranged = rows.withColumn("__range", F.floor(F.col(order[0]) / F.lit(width)))
+    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).withColumn("__wide", F.floor(F.col("__range") / F.lit(width)))
+    earlier = Window.partitionBy(*keys).orderBy("__wide").rowsBetween(Window.unboundedPreceding, -1)
+    wide = counts.groupBy(*keys, "__wide").agg(F.sum("__n").alias("__all")).withColumn("__first", F.coalesce(F.sum("__all").over(earlier), F.lit(0))).drop("__all")
+    inside = Window.partitionBy(*keys, "__wide").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(wide, [*keys, "__wide"])
+    shifts = shifts.select(*keys, "__range", (F.col("__inside") + F.col("__first")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
     return ranged.withColumn("__place", place).join(shifts, [*keys, "__range"]).withColumn(out, (F.col("__before") + F.col("__place")).cast("long")).drop("__range", "__before", "__place")
 
 
@@ -150,45 +154,89 @@ def to_wire(changes: DataFrame) -> DataFrame:
     return changes.select(F.to_json(F.struct(*[c.name for c in CHANGELOG]), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("c", F.from_json("value", CHANGELOG))
+
+
 def from_wire(lines: DataFrame) -> DataFrame:
-    """Changes from lines of JSON; lines that aren't JSON are dropped."""
-    return lines.select(F.from_json("value", CHANGELOG).alias("c")).filter("c.pk is not null").select("c.*")
+    """Changes from lines of JSON. Lines that are none are not lost: ``rejected_lines`` has them."""
+    return _parsed(lines).filter("c.tbl is not null and c.pk is not null and c.cid is not null").select("c.*")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(value, reason): lines that are no changes: no JSON object, or one without a table, key or column."""
+    reason = F.when(F.col("value").isNull(), "empty").when(~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False)), "no object")
+    bad = _parsed(lines).filter("coalesce(c.tbl is null or c.pk is null or c.cid is null, true)")
+    return bad.select("value", reason.otherwise("no key").alias("reason"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-")
+    """A new folder under the session's ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset and all is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
 class SnapshotStore:
-    """State written as whole snapshots beside a pointer to the current one; a reader sees the old or the new snapshot, never a mixture."""
+    """State (with ``tbl`` and ``pk``) in parts by a hash of its rows' keys, and pointers that name the folder of each part.
+
+    A write makes new folders only for the parts that it names, then one new pointer. Nothing is overwritten, no number and no folder is used
+    twice, and the largest pointer that was written to its end counts: whenever a write breaks off, a reader sees the state of before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def part(self) -> Column:
+        """The part of a row."""
+        return F.pmod(F.xxhash64("tbl", "pk"), F.lit(self.parts)).cast("int")
+
+    def _files(self, pattern: str) -> list:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        self._system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath() for x in self._system.globStatus(folder) or []]
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _pointer(self) -> dict | None:
+        """The last complete pointer: the marker of success is written when all else is there."""
+        done = sorted(p.getParent().getName() for p in self._files("pointer-*/_SUCCESS"))
+        return json.loads(self.spark.read.text(f"{self.path}/{done[-1]}").first()["value"]) if done else None
 
     def current(self) -> int | None:
-        lines = self._pointer_lines()
-        return json.loads(lines[-1])["snapshot"] if lines else None
-
-    def _pointer_lines(self) -> list[str]:
-        try:
-            return [r["value"] for r in self.spark.read.text(f"{self.path}/pointer").orderBy("value").collect()]  # one line
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-
-    def read(self) -> DataFrame | None:
-        now = self.current()
-        return None if now is None else self.spark.read.parquet(f"{self.path}/{now}")
-
-    def write(self, state: DataFrame) -> int:
-        now = self.current()
-        version = 0 if now is None else now + 1
-        state.write.mode("overwrite").parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(json.dumps({"snapshot": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer")
-        return version
+        pointer = self._pointer()
+        return pointer and pointer["snapshot"]
+
+    def read(self, parts: list[int] | None = None) -> DataFrame | None:
+        """The state, or some parts of it; None before the first write."""
+        pointer = self._pointer()
+        if pointer is None:
+            return None
+        schema = T.StructType.fromJson(pointer["schema"])
+        folders = [f"{self.path}/{folder}/__part={k}" for k, folder in pointer["parts"].items() if parts is None or int(k) in parts]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def write(self, state: DataFrame, parts: list[int] | None = None) -> int:
+        """Puts ``state`` in the place of all parts, or of those named; its rows must lie in them. Returns the snapshot's number."""
+        before = self._pointer() or {"snapshot": -1, "parts": {}}
+        folder = f"data-{uuid.uuid4().hex}"
+        state.withColumn("__part", self.part()).repartition("__part").write.partitionBy("__part").parquet(f"{self.path}/{folder}")
+        kept = {k: f for k, f in before["parts"].items() if parts is not None and int(k) not in parts}
+        new = {p.getName().removeprefix("__part="): folder for p in self._files(f"{folder}/__part=*")}
+        number = before["snapshot"] + 1
+        line = json.dumps({"snapshot": number, "schema": json.loads(state.schema.json()), "parts": kept | new})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/pointer-{number:012d}-{uuid.uuid4().hex}")
+        return number
+
+    def vacuum(self) -> None:
+        """Deletes pointers but the current one and the one before, and folders that neither names. No reader of an older state may be left."""
+        done = sorted(self._files("pointer-*/_SUCCESS"), key=lambda p: p.getParent().getName())
+        kept = [p.getParent() for p in done[-2:]]
+        named = {f for p in kept for f in json.loads(self.spark.read.text(p.toString()).first()["value"])["parts"].values()}
+        for p in self._files("pointer-*") + self._files("data-*"):
+            if p.getName() not in named | {k.getName() for k in kept}:
+                self._system.delete(p, True)
 
 
 def meta_put(meta: DataFrame, key: str, value: str) -> DataFrame:

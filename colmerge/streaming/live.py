@@ -1,7 +1,7 @@
 """Streaming forms: a file stream of changes folded into winners, notifications, views and debounced pushes.
 
 The state of conflict resolution has no end by design (a late change may always win), so no watermark is set. The folds that aggregate are
-streaming aggregations; those that need the state of before are ``foreachBatch`` over the snapshot store, each batch a whole new snapshot.
+streaming aggregations; those that need the state of before are ``foreachBatch`` over the snapshot store, each batch new parts of it and a new pointer.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 
 from colmerge.operators.notify import notifications
 from colmerge.operators.resolve import winners
-from colmerge.operators.state import merge
-from colmerge.sources.tables import CHANGELOG, SnapshotStore
+from colmerge.operators.state import merge, merged
+from colmerge.sources.tables import CHANGELOG, TOMBSTONE, SnapshotStore
 
 EVENTS = StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "double").add("props", "string")
 
@@ -33,43 +33,66 @@ def stream_winners(changes: DataFrame) -> DataFrame:
     return winners(changes)
 
 
+def stream_state(changes: DataFrame) -> DataFrame:
+    """The state so far, tombstones included: as ``stream_winners``, and any operator of converged mode can read it."""
+    return merged(changes)
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hands everything that is there to ``sink``, in batches, and stops. A batch is handed on again after a failure."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def apply_stream(changes: DataFrame, store: SnapshotStore, notified: str, checkpoint: str, policy: str) -> None:
-    """Merges a stream of changes into the store, and writes each batch's notifications under ``notified``.
+def apply_stream(changes: DataFrame, store: SnapshotStore, notified: str, checkpoint: str, policy: str, raw: str | None = None) -> None:
+    """Merges a stream of changes into the store, and writes each batch's notifications under ``notified``, and what came, unresolved, under ``raw``.
 
-    Merging a batch twice gives the same state. Notifications of a batch are overwritten, not added, when it is handed on again.
+    A batch reads and rewrites only those parts of the store that its rows lie in. Merging a batch twice gives the same state. What a batch writes
+    beside it is overwritten, not added, when it is handed on again.
     """
     spark = changes.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
         delta = batch.select(*[f.name for f in CHANGELOG]).persist()
-        state = store.read()
+        parts = [r["part"] for r in delta.select(store.part().alias("part")).distinct().collect()]  # at most as many as the store has
+        if raw:
+            delta.write.mode("overwrite").parquet(f"{raw}/{number}")
+        state = store.read(parts)
         state = spark.createDataFrame([], CHANGELOG) if state is None else state
         notifications(state, delta, policy).write.mode("overwrite").parquet(f"{notified}/{number}")
-        store.write(merge(state, delta))
+        store.write(merge(state, delta), parts)
         delta.unpersist()
 
     run_available(changes, one, checkpoint)
 
 
 class ReactiveRow(StatefulProcessor):
-    """A row of a view that follows its notifications: inserts and updates patch cells, a delete drops the row."""
+    """A row of a view that follows its notifications: inserts and updates patch cells, a delete drops the row.
+
+    A batch's events are folded as they come; what is held is the last write of each cell and the last delete. The output names the delete, so that
+    a sink can drop the row, and the cells that are there.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cells = handle.getMapState("cells", "cid string", "val string, position long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for event in pd.concat(list(rows)).sort_values("position").itertuples():
-            if event.cid == "__deleted":
-                self.cells.clear()
-            else:
-                self.cells.updateValue((event.cid,), (event.val, int(event.position)))
-        now = [(*key, k[0], v[0], int(v[1])) for k, v in self.cells.iterator()]
-        yield pd.DataFrame(now or None, columns=["tbl", "pk", "cid", "val", "position"])
+        last: dict[str, tuple[str | None, int]] = {k[0]: (v[0], int(v[1])) for k, v in self.cells.iterator()}
+        gone = last.pop(TOMBSTONE, (None, -1))[1]
+        deleted = False
+        for part in rows:
+            for event in part.itertuples():
+                position = int(event.position)
+                if event.cid == TOMBSTONE:
+                    gone, deleted = max(gone, position), True
+                elif event.cid not in last or position >= last[event.cid][1]:
+                    last[event.cid] = event.val, position
+        last = {cid: cell for cid, cell in last.items() if cell[1] > gone}
+        kept = last | ({TOMBSTONE: (None, gone)} if gone >= 0 else {})
+        self.cells.clear()
+        for cid, cell in kept.items():
+            self.cells.updateValue((cid,), cell)
+        shown = sorted((kept if deleted else last).items())
+        yield pd.DataFrame([(*key, cid, *cell) for cid, cell in shown] or None, columns=["tbl", "pk", "cid", "val", "position"])
 
     def close(self) -> None:
         pass
@@ -82,7 +105,10 @@ def reactive_view(events: DataFrame) -> DataFrame:
 
 
 class Debounced(StatefulProcessor):
-    """One push at once, the last of those within the cooldown at its end."""
+    """One push at once, the last of those within the cooldown at its end: ``operators.peers.debounce`` by processing time, whenever its timers run.
+
+    A push that waited past its time fires before a newer event is looked at, as of its time. A timer of a cooldown that was followed by another is ignored.
+    """
 
     def __init__(self, cooldown_ms: int):
         self.cooldown = cooldown_ms
@@ -91,28 +117,37 @@ class Debounced(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "until long, waiting string")
 
+    def _fired(self, key: Any, at: int, edge: str, payload: str) -> pd.DataFrame:
+        return pd.DataFrame([(*key, at, edge, payload)], columns=["topic", "fired_at", "edge", "payload"])
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        until, waiting = self.state.get() if self.state.exists() else (None, None)
+        before, waiting = self.state.get() if self.state.exists() else (None, None)
+        until = before
         for part in rows:
             for payload in part["payload"]:
+                if waiting is not None and until <= now:
+                    yield self._fired(key, until, "trailing", waiting)
+                    until, waiting = until + self.cooldown, None
                 if until is None or now >= until:
-                    yield pd.DataFrame([(*key, now, "leading", payload)], columns=["topic", "fired_at", "edge", "payload"])
+                    yield self._fired(key, now, "leading", payload)
                     until, waiting = now + self.cooldown, None
-                    self.handle.registerTimer(until)
                 else:
                     waiting = payload
         self.state.update((until, waiting))
+        if until != before:
+            self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        until, waiting = self.state.get()
+        until, waiting = self.state.get() if self.state.exists() else (None, None)
+        if until is None or expiredTimerInfo.getExpiryTimeInMs() < until:
+            return
         if waiting is None:
             self.state.clear()
             return
-        yield pd.DataFrame([(*key, now, "trailing", waiting)], columns=["topic", "fired_at", "edge", "payload"])
-        self.state.update((now + self.cooldown, None))
-        self.handle.registerTimer(now + self.cooldown)
+        yield self._fired(key, until, "trailing", waiting)
+        self.state.update((until + self.cooldown, None))
+        self.handle.registerTimer(until + self.cooldown)
 
     def close(self) -> None:
         pass

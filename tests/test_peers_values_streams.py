@@ -1,12 +1,16 @@
+import random
 import time
+from itertools import pairwise
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from colmerge.functions import addresses as A
 from colmerge.functions import values as V
 from colmerge.operators import peers, stamping, views
-from colmerge.sources.tables import CHANGELOG, DELETE_WINS, SnapshotStore, TableMeta, create_if_missing, synced_tables
+from colmerge.operators.delta import in_order
+from colmerge.sources.tables import CHANGELOG, DELETE_WINS, SnapshotStore, TableMeta, create_if_missing, numbered, synced_tables
 from colmerge.streaming import live
 
 
@@ -86,6 +90,74 @@ def test_debounce(spark):
     assert peers.debounce(df.limit(0), 10).count() == 0
 
 
+def test_debounce_in_sessions(spark, monkeypatch):
+    """Pauses of any length, in ranges of time much shorter than some of them."""
+    monkeypatch.setattr(peers, "COOLDOWNS", 2)
+    rng = random.Random(4)
+    for _ in range(3):
+        at, events = 0, []
+        for k in range(300):
+            at += rng.choice([0, 1, 3, 9, 10, 11, 19, 20, 21, 45, 300])
+            events.append((rng.choice("ab"), at, k))
+        df = spark.createDataFrame(events, "topic string, at long, position long")
+        assert sorted(tuple(r) for r in peers.debounce(df, 10).collect()) == sorted(brute_debounce(events, 10))
+    sessions = peers.with_sessions(df, 20).groupBy("topic", "session").count().count()
+    assert sessions == sum(b[1] - a[1] >= 20 for t in "ab" for a, b in pairwise([e for e in sorted(events) if e[0] == t])) + 2
+
+
+class Clock:
+    """What a stateful processor is given: one key's state, timers and the time."""
+
+    def __init__(self):
+        self.now, self.value, self.timers = 0, None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.expired
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_debounced_stream_with_late_timers(seed):
+    """Timers that run long after their time give the same pushes as the batch form."""
+    rng, clock, processor = random.Random(seed), Clock(), live.Debounced(10)
+    processor.init(clock)
+    events, out = [], []
+    for k in range(60):
+        clock.now += rng.choice([0, 1, 4, 9, 10, 11, 20, 35])
+        if rng.random() < 0.4:
+            for t in sorted(t for t in clock.timers if t <= clock.now):
+                clock.timers.remove(t)
+                clock.expired = t
+                out += list(processor.handleExpiredTimer(("x",), clock, clock))
+        events.append(("x", clock.now, k))
+        out += list(processor.handleInputRows(("x",), iter([pd.DataFrame({"payload": [k]})]), clock))
+    while clock.timers:
+        clock.now = clock.expired = clock.timers.pop(clock.timers.index(min(clock.timers)))
+        out += list(processor.handleExpiredTimer(("x",), clock, clock))
+    assert sorted(tuple(r) for f in out for r in f.itertuples(index=False)) == sorted(brute_debounce(events, 10))
+    assert clock.value is None
+
+
 def test_address_cache(spark):
     dials = [("p", "a", 1, 1, True), ("p", "a", 2, 2, False), ("p", "a", 3, 3, False), ("p", "b", 4, 4, False)]
     df = spark.createDataFrame(dials, "peer_id string, address string, at long, position long, ok boolean")
@@ -111,7 +183,14 @@ def test_catalog_and_views(spark):
     assert synced_tables(spark) == ["notes"]
     assert views.point_lookup(spark.range(5), "id", 3).count() == 1
     spark.catalog.dropTempView("notes_clock")
-    assert callable(create_if_missing)
+    assert "made_once" not in [t.name for t in spark.catalog.listTables()]
+    for _ in range(2):  # the second time it is there, with its row
+        create_if_missing(spark, "made_once", CHANGELOG)
+        assert spark.table("made_once").schema == CHANGELOG
+        rows = spark.table("made_once").count()
+        spark.createDataFrame([("t", "r", "c", "v", "s", 1, 1, 0, 1)], CHANGELOG).write.insertInto("made_once")
+    assert rows == 1
+    spark.sql("DROP TABLE made_once")
 
 
 def test_streamed_state_equals_batch(spark, tmp_path):
@@ -120,10 +199,11 @@ def test_streamed_state_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows[n::3], CHANGELOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     from colmerge.operators.state import merge
 
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = SnapshotStore(spark, str(tmp_path / "store"), parts=5)
     stream = live.read_files(spark, str(tmp_path / "in"), "*.parquet", CHANGELOG)
-    live.apply_stream(stream, store, str(tmp_path / "told"), str(tmp_path / "at"), DELETE_WINS)
+    live.apply_stream(stream, store, str(tmp_path / "told"), str(tmp_path / "at"), DELETE_WINS, raw=str(tmp_path / "raw"))
     whole = spark.createDataFrame(rows, CHANGELOG)
+    assert sorted(map(str, spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "raw")).collect())) == sorted(map(str, whole.collect()))
     assert sorted(map(str, store.read().collect())) == sorted(map(str, merge(whole, whole).collect()))
     assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "told")).count() >= 4
 
@@ -134,7 +214,7 @@ def test_reactive_view_and_debounced_stream(spark, tmp_path):
     events = spark.readStream.schema("tbl string, pk string, cid string, val string, position long").parquet(str(tmp_path / "in"))
     run = live.reactive_view(events).writeStream.outputMode("update").format("memory").queryName("reactive").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
-    assert sorted(map(tuple, spark.table("reactive").collect())) == [("t", "q", "a", "3", 3), ("t", "r", "b", "5", 5)]
+    assert sorted(map(tuple, spark.table("reactive").collect())) == [("t", "q", "a", "3", 3), ("t", "r", "__deleted", None, 4), ("t", "r", "b", "5", 5)]
     spark.createDataFrame([("x", "1"), ("x", "2"), ("x", "3")], "topic string, payload string").coalesce(1).write.parquet(str(tmp_path / "push"))
     pushed = spark.readStream.schema("topic string, payload string").parquet(str(tmp_path / "push"))
     run = live.debounced(pushed, 500).writeStream.outputMode("append").format("memory").queryName("pushes").option("checkpointLocation", str(tmp_path / "d")).start()
@@ -152,3 +232,59 @@ def test_windowed_counts(spark, tmp_path):
     run = out.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_reactive_row_over_batches():
+    class Cells(dict):
+        def iterator(self):
+            return [((k,), v) for k, v in self.items()]
+
+        def updateValue(self, key, value):
+            self[key[0]] = value
+
+    row = live.ReactiveRow()
+    row.cells = Cells()
+
+    def told(*events):
+        parts = [pd.DataFrame([e], columns=["cid", "val", "position"]) for e in events]
+        (out,) = row.handleInputRows(("t", "r"), iter(parts), None)
+        return [tuple(x)[2:] for x in out.itertuples(index=False)]
+
+    assert told(("a", "1", 1), ("b", "2", 3), ("b", "old", 2)) == [("a", "1", 1), ("b", "2", 3)]
+    assert told(("__deleted", None, 4)) == [("__deleted", None, 4)]  # a sink hears of the delete
+    assert told(("a", "late", 2)) == []
+    assert told(("b", "new", 7), ("__deleted", None, 6), ("a", "x", 5)) == [("__deleted", None, 6), ("b", "new", 7)]
+    assert told(("a", "y", 8)) == [("a", "y", 8), ("b", "new", 7)]
+
+
+def test_numbered_in_small_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice([3, 2**40, -5, k]), k) for k in range(300)]
+    for width in (2, 7, 1 << 16):
+        got = numbered(spark.createDataFrame(rows, "g string, x long, k long"), ["g"], ["x", "k"], "n", width).collect()
+        for g in "ab":
+            assert [r["k"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["n"])] == [k for _, _, k in sorted(r for r in rows if r[0] == g)]
+            assert sorted(r["n"] for r in got if r["g"] == g) == list(range(1, 1 + sum(r[0] == g for r in rows)))
+
+
+def test_ordered_results(spark):
+    keys = ["b", "a", "", "é", "aaaaaaaaab", "aaaaaaaaaa", "Z"]
+    got = views.by_key(spark.createDataFrame([(k,) for k in keys], "pk string")).collect()
+    assert [r["pk"] for r in got] == sorted(keys, key=str.encode) and [r["place"] for r in got] == list(range(1, 8))
+    got = views.newest_first(spark.createDataFrame([("x", 5), ("y", 9), ("w", 9)], "pk string, at long"), F.col("at"), "pk").collect()
+    assert [r["pk"] for r in got] == ["w", "y", "x"]
+    log = [("t", "r2", "c", "1", "s", 1, 1, 1, 7), ("t", "r1", "c", "1", "s", 1, 1, 1, 7), ("t", "r3", "c", "1", "s", 1, 1, 0, 7), ("t", "r9", "c", "1", "s", 1, 1, 5, 2)]
+    got = in_order(spark.createDataFrame(log, CHANGELOG)).collect()
+    assert [(r["pk"], r["place"]) for r in got] == [("r9", 1), ("r3", 2), ("r1", 3), ("r2", 4)]
+
+
+def test_catch_up_in_ranges(spark, monkeypatch):
+    from colmerge.operators import delta
+
+    monkeypatch.setattr(delta, "RANGES", 3)
+    log = spark.createDataFrame([("t", str(k), "c", "1", "s", 1, 1, 0, k) for k in range(1, 21)], CHANGELOG)
+    known = {"a": 0, "b": 7, "c": 20, "d": None, "e": 19}
+    got = delta.catch_up(log, spark.createDataFrame(list(known.items()), "peer_id string, db_version long")).select("peer_id", "db_version").collect()
+    assert sorted(map(tuple, got)) == sorted((p, v) for p, seen in known.items() for v in range((seen or 0) + 1, 21))
+    assert delta.catch_up(log.limit(0), spark.createDataFrame([("a", 0)], "peer_id string, db_version long")).count() == 0
+    assert [r["db_version"] for r in delta.reset(spark.createDataFrame([("a", 3)], "peer_id string, db_version long")).collect()] == [None]

@@ -5,13 +5,14 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from colmerge.operators.delta import changes_since, fan_out, pack, unpack
+from colmerge.operators.delta import changes_since, fan_out, next_version, pack, received, unpack
 from colmerge.operators.notify import notifications
 from colmerge.operators.replay import replay
 from colmerge.operators.resolve import converged, liveness, materialize, valid, winners
-from colmerge.operators.state import applied_cells, compact, merge
-from colmerge.sources.tables import ADD_WINS, CHANGELOG, DELETE_WINS, TOMBSTONE, Registry, SnapshotStore, TableMeta, from_wire, meta_put, to_wire
+from colmerge.operators.state import applied, applied_cells, compact, merge
+from colmerge.sources.tables import ADD_WINS, CHANGELOG, DELETE_WINS, TOMBSTONE, Registry, SnapshotStore, TableMeta, from_wire, meta_put, rejected_lines, to_wire
 
 TASKS = TableMeta("tasks", "id", ("id", "title", "done"), required=("title", "done"))
 NAMES = [f.name for f in CHANGELOG]
@@ -148,7 +149,9 @@ def test_modes_agree_without_deletes_and_partial_rows(spark):
 def test_wire_meta_and_snapshots(spark, tmp_path):
     rows = log(spark, cell("a|b", "title", 'x"y', "A", 1), cell("a", TOMBSTONE, None, "A", 2))
     assert sorted(map(str, from_wire(to_wire(rows)).collect())) == sorted(map(str, rows.collect()))
-    assert from_wire(spark.createDataFrame([("no json",)], "value string")).count() == 0
+    lines = spark.createDataFrame([("no json",), ('{"tbl": "t"}',), ("[1]",), (None,)], "value string").unionByName(to_wire(rows))
+    assert from_wire(lines).count() == 2
+    assert sorted((r["reason"], r["value"] or "") for r in rejected_lines(lines).collect()) == [("empty", ""), ("no key", '{"tbl": "t"}'), ("no object", "[1]"), ("no object", "no json")]
     meta = meta_put(meta_put(spark.createDataFrame([], "key string, value string"), "k", "1"), "k", "2")
     assert [tuple(r) for r in meta.collect()] == [("k", "2")]
     store = SnapshotStore(spark, str(tmp_path / "s"))
@@ -157,6 +160,55 @@ def test_wire_meta_and_snapshots(spark, tmp_path):
     assert store.current() == 1
 
 
+def shown(store):
+    return sorted(map(str, store.read().collect()))
+
+
+def test_a_write_that_breaks_off_changes_nothing(spark, tmp_path):
+    one, two, three = (log(spark, *[cell(f"r{k}", "title", f"{name}{k}", "A", n) for k in range(20)]) for n, name in enumerate(("a", "b", "c"), 1))
+    store = SnapshotStore(spark, str(tmp_path / "s"), parts=4)
+    assert (store.read(), store.current(), store.write(one), store.current()) == (None, None, 0, 0)
+    before = shown(store)
+    # the data are there, the pointer is not
+    (tmp_path / "s" / "data-0000").mkdir()
+    two.write.mode("overwrite").parquet(str(tmp_path / "s" / "data-0000" / "__part=0"))
+    assert shown(SnapshotStore(spark, store.path, 4)) == before
+    # the pointer is begun, and has its line but not the marker of success
+    broken = tmp_path / "s" / "pointer-000000000001-0000"
+    broken.mkdir()
+    assert shown(store) == before and store.current() == 0
+    (broken / "part-00000.txt").write_text('{"snapshot": 1, "schema": {}, "parts": {}}')
+    assert shown(store) == before
+    # the next write takes effect, whatever lies about
+    assert store.write(two) == 1 and shown(store) == sorted(map(str, two.collect()))
+    assert store.write(three) == 2
+    store.vacuum()
+    assert shown(store) == sorted(map(str, three.collect())) and len(list((tmp_path / "s").glob("data-*"))) == 2 and store.write(one) == 3
+
+
+def test_parts_are_written_apart(spark, tmp_path):
+    rows = log(spark, *[cell(f"r{k}", "title", "x", "A", 1) for k in range(40)])
+    store = SnapshotStore(spark, str(tmp_path / "s"), parts=4)
+    store.write(rows)
+    old = store._pointer()["parts"]
+    mine = rows.filter(store.part() == 2)
+    store.write(mine.withColumn("val", F.lit("y")), [2])
+    new = store._pointer()["parts"]
+    assert {k for k in old if old[k] != new[k]} == {"2"}
+    assert store.read().filter("val = 'y'").count() == mine.count() == store.read([2]).count() and store.read().count() == 40
+    store.write(rows.limit(0), [2])
+    assert store.read([2]).count() == 0 and store.read().count() == 40 - mine.count()
+
+
+def test_received_changes_get_one_version(spark):
+    state, delta = log(spark, cell("a", "title", "x", "A", 1, 9)), log(spark, cell("b", "title", "x", "B", 4, 77), cell("c", "title", "x", "B", 4, 78))
+    kept = merge(state, received(state, delta))
+    assert {r["pk"]: r["db_version"] for r in kept.collect()} == {"a": 9, "b": 10, "c": 10}
+    assert next_version(kept).first()[0] == 11 and changes_since(kept, 9).count() == 2
+    dead = log(spark, cell("a", TOMBSTONE, None, "B", 3))
+    assert [(r["pk"], r["cid"]) for r in applied(state, dead, ADD_WINS).collect()] == [("a", TOMBSTONE)]
+
+
 def test_fan_out_and_empty(spark):
     sets = spark.createDataFrame([("A", 1), ("B", 1)], "site_id string, changeset long")
     peers = spark.createDataFrame([("p", "A", False, False), ("q", "C", False, False), ("r", "D", True, False)], "peer_id string, site_id string, infrastructure boolean, rejected boolean")
