@@ -85,14 +85,15 @@ def learn(labelled: DataFrame, label: str = "lang", text: str = "text") -> Model
 
     rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).filter("label is not null and text is not null")
     sums = rows.mapInArrow(count, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n"))
-    # BINS numbers per language at most, whatever the size of the corpus
-    found = sums.limit(MOST_LANGUAGES * BINS + 1).toPandas()
-    languages = sorted(found["label"].unique())
+    # BINS numbers per language at most, whatever the size of the corpus; as Arrow columns, 20 bytes or so for each number
+    found = sums.limit(MOST_LANGUAGES * BINS + 1).toArrow().combine_chunks()
+    languages = sorted(pc.unique(found["label"]).to_pylist())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = np.full((BINS, len(languages)), SMOOTHING)
-    if languages:
-        table[found["bin"], found["label"].map({x: k for k, x in enumerate(languages)})] += found["n"]
+    for k, name in enumerate(languages):
+        own = found.filter(pc.equal(found["label"], name))
+        table[own["bin"].to_numpy(), k] += own["n"].to_numpy()
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
