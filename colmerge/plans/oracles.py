@@ -282,6 +282,7 @@ FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
   SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place,
          lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS previous FROM orders) t WHERE place <= 3""",
     "stream_lww": _with(_TIED, _best("tied", "w"), _alive("tied", "r", ">=")) + "SELECT w.pk, cid, val, site_id, col_version FROM w JOIN r ON w.pk = r.pk WHERE alive",
+    "stream_event_counts": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_notifications": f"SELECT t.*, n_raw FROM ({_NOTIFIED}) t JOIN ("
     + _with(CLOG)
     + "SELECT pk, count(*) AS n_raw FROM clog WHERE db_version > 100 GROUP BY pk) r ON t.pk = r.pk",

@@ -673,6 +673,21 @@ def stream_notifications(spark, d):
     return events.join(raw, "pk").select("pk", "kind", "changed_columns", "n_raw")
 
 
+@query
+def stream_event_counts(spark, d):
+    """The stream of events counted by kind and day, with a watermark."""
+    from colmerge.streaming.live import EVENTS, read_files, windowed_counts
+
+    out = shared_folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumnRenamed("starts", "day").write.mode("overwrite").parquet(f"{out}/counts")
+
+    run = windowed_counts(read_files(spark, d, "events.parquet", EVENTS), "1 day", "1 day").writeStream.outputMode("complete").foreachBatch(keep)
+    run.option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/counts")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

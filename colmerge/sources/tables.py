@@ -221,7 +221,8 @@ class SnapshotStore:
         """Puts ``state`` in the place of all parts, or of those named; its rows must lie in them. Returns the snapshot's number."""
         before = self._pointer() or {"snapshot": -1, "parts": {}}
         folder = f"data-{uuid.uuid4().hex}"
-        state.withColumn("__part", self.part()).repartition("__part").write.partitionBy("__part").parquet(f"{self.path}/{folder}")
+        # dealt out by part, and a large part again to several tasks
+        state.withColumn("__part", self.part()).hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{self.path}/{folder}")
         kept = {k: f for k, f in before["parts"].items() if parts is not None and int(k) not in parts}
         new = {p.getName().removeprefix("__part="): folder for p in self._files(f"{folder}/__part=*")}
         number = before["snapshot"] + 1

@@ -159,6 +159,12 @@ def debounced(events: DataFrame, cooldown_ms: int) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, size: str, late: str) -> DataFrame:
-    """Events per kind and time window, with a watermark: for operational counters, whose state may end."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n"))
+    """(starts, event_type, n): events per kind and time window, with a watermark: for operational counters, whose state may end.
+
+    Times are without a zone; they are read as UTC, whatever the session's zone is, so that days begin at midnight.
+    """
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    timed = events.withColumn("at", F.timestamp_micros(micros)).withWatermark("at", late)
+    counts = timed.groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n"))
+    starts = F.expr("timestampadd(MICROSECOND, unix_micros(window.start), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    return counts.select(starts.alias("starts"), "event_type", "n")
