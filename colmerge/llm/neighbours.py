@@ -5,8 +5,8 @@
    ``functions`` such hashes make a bucket, by default one, whatever the number of rows.
 3. Each class goes to its bucket in each table. A query goes to the ``probes`` buckets of each table whose axes lie nearest to it, by default
    to a fixed share of all buckets (``shared_probes``). So neither more rows nor longer hashes or vectors make it search a smaller share.
-4. Where both meet, distances are taken on the original vectors in double precision, and each query's nearest go on. A bucket of over
-   ``SPLIT`` vectors or ``ASKED`` queries is cut by hash into a grid of parts; vectors go to each part of the queries, and queries to each part
+4. Where both meet, distances are taken on the original vectors in double precision, and each query's nearest go on. A bucket of more vectors
+   than half a task's share (``SPLIT`` at most) or over ``ASKED`` queries is cut by hash into a grid of parts; vectors go to each part of the queries, and queries to each part
    of the vectors. A task holds one part's queries and streams its vectors. Pairs are never listed.
 5. A query that found fewer than it should is searched again in all buckets of one table, so over all rows; ``again`` marks its rows.
 
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import written
+from colmerge.llm.common import shuffle_partitions, written
 from colmerge.llm.textvec import mix
 
 TABLES, PROBES, CHUNK, BLOCK = 4, 32, 8192, 1024
-#: Vectors and queries of a bucket beyond which it is cut.
-SPLIT, ASKED = 1 << 18, 1 << 15
+#: Vectors of a bucket beyond which it is cut: half of a task's share of all, but within these bounds; and queries.
+LEAST_SPLIT, SPLIT, ASKED = 512, 1 << 18, 1 << 15
 #: The share of a table's buckets that a query goes to, and that for vectors of more than ``NARROW`` axes, which need more for the same recall.
 SHARE, WIDE_SHARE, NARROW = 0.25, 0.4, 128
 
@@ -157,7 +157,9 @@ def _met(queries: DataFrame, candidates: DataFrame, k: int, kind: type) -> DataF
         counts = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
         return counts.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias(name))
 
-    grid = sizes(candidates, "across", SPLIT).join(sizes(queries, "down", ASKED), "key", "full")
+    share = candidates.select(F.sum(F.size("keys"))).first()[0] or 0
+    most = min(SPLIT, max(LEAST_SPLIT, share // (2 * shuffle_partitions(candidates.sparkSession))))
+    grid = sizes(candidates, "across", most).join(sizes(queries, "down", ASKED), "key", "full")
     across, down = F.coalesce("across", F.lit(1)), F.coalesce("down", F.lit(1))
 
     def dealt(rows: DataFrame, own: Column, others: Column, cell) -> DataFrame:
