@@ -40,6 +40,8 @@ from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, lower_a
 ROWS, MISS, PRUNED, MANTISSA = 6, 1e-7, 1e-9, 10
 #: Members of a block, and shingles of all its members (16 MB), on average; a single longer set is a block's own.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+#: Members that meet one copy of their head in the first pass, on average.
+PART = 64
 #: Parts into which a component's classes are dealt where they learn its first document.
 SALTS = 16
 
@@ -241,9 +243,9 @@ def verified(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return whole.repartition("group").sortWithinPartitions("group", "side").mapInArrow(verify, "a long, b long")
 
 
-def _blocks(count: Column, shingles: Column) -> Column:
-    """The number of blocks of a part with so many classes and shingles."""
-    return F.ceil(F.greatest(count / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+def _blocks(count: Column, shingles: Column, block: int) -> Column:
+    """The number of blocks for so many classes and shingles."""
+    return F.ceil(F.greatest(count / F.lit(block), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
 
 
 def head_groups(met: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -251,7 +253,7 @@ def head_groups(met: DataFrame, sizes: DataFrame) -> DataFrame:
     shared = met.filter("row <> head").groupBy("row", "head").agg(F.count("*").alias("n"))
     chosen = shared.groupBy("row").agg(F.max_by("head", F.struct("n", (-F.col("head")).alias("first"))).alias("head")).join(sizes, "row")
     # written, here and below: then both sides of the join are dealt out, and Spark can split a key that very many rows have
-    parts = written(chosen.groupBy("head").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("parts")))
+    parts = written(chosen.groupBy("head").agg(_blocks(F.count("*"), F.sum("n_shingles"), PART).alias("parts")))
     members = chosen.join(parts, "head").select(F.xxhash64("head", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).alias("group"), F.lit(2).alias("side"), "row")
     heads = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("head", "part").alias("group"), F.lit(1).alias("side"), F.col("head").alias("row"))
     return members.unionByName(heads).withColumn("component", F.col("row"))
@@ -264,8 +266,8 @@ def rest_groups(known: DataFrame) -> DataFrame:
     known = written(known.join(bands, "band"))
     units = known.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     # classes are numbered from 0, so -1 names what the small components share
-    units = written(units.withColumn("unit", F.when(_blocks(F.col("n"), F.col("s")) > 1, F.col("component")).otherwise(F.lit(-1).cast("long"))))
-    blocks = written(units.groupBy("band", "unit").agg(_blocks(F.sum("n"), F.sum("s")).alias("blocks")))
+    units = written(units.withColumn("unit", F.when(_blocks(F.col("n"), F.col("s"), BLOCK) > 1, F.col("component")).otherwise(F.lit(-1).cast("long"))))
+    blocks = written(units.groupBy("band", "unit").agg(_blocks(F.sum("n"), F.sum("s"), BLOCK).alias("blocks")))
     low, high = (blocks.select("band", F.col("unit").alias(f"{side}_unit"), F.col("blocks").alias(f"{side}_blocks")) for side in ("low", "high"))
     pairs = low.join(high, "band").filter("low_unit < high_unit or (low_unit = -1 and high_unit = -1)")
     ends = F.array(F.struct(F.col("low_unit").alias("unit"), F.lit(1).alias("end")), F.struct(F.col("high_unit").alias("unit"), F.lit(2).alias("end")))
