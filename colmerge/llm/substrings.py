@@ -9,7 +9,9 @@
 By symmetry a repeated run holds an anchor in each document where it lies, so no run is lost, and a false anchor (32 bits and a bucket) only costs a
 look: what is removed is decided by the digests of the words alone. Everything is judged on the input texts.
 
-Hot passages: what a task sees twice it settles itself and passes on once, so a bucket gets one entry of a run from each task at most. The number of
+Hot passages: what a task sees twice it settles itself and passes on once, so a bucket gets one entry of a run from each task at most. Runs that hold
+part of a hot passage and words of their own are all different; so that they don't all go to the passage's bucket, a run's bucket is chosen by its words
+that aren't hot, if it has any. What is hot is told by a sample, which decides nothing but the bucket, the same for equal runs. The number of
 buckets follows the bytes of text (``BUCKET_BYTES`` each). Rows of one id and text are one row with a count before anything is exchanged. Rows are
 known by 128 bits of id and text, so it doesn't matter in which order a lost part of the input comes again; the same exchange serves all three passes.
 
@@ -20,8 +22,8 @@ documents of their own; other columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import compress
+from collections.abc import Callable, Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,12 @@ from colmerge.llm.common import content_keys, shuffle_partitions
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, mix, slices, text_column
 
 #: Words that a task gathers at least and at most before it packs them, and words for each bucket between; settled entries to a row.
-GATHER, MOST_GATHERED, PER_BUCKET, PER_ROW = 2_000_000, 16_000_000, 32, 1 << 16
+GATHER, MOST_GATHERED, PER_BUCKET, PER_ROW = 2_000_000, 16_000_000, 32, 1 << 11
 #: Bytes of text whose blocks or runs go to one bucket, on average.
 BUCKET_BYTES = 32 << 20
+#: Rows of a sample at least, and their least share: a block in so many rows that their runs fill a bucket is met ``HITS`` times in it on average. Most
+#: blocks that are told hot, and the bit that puts them behind the others.
+SAMPLE, HITS, MOST_HOT, HOT = 4000, 20, 1 << 20, np.uint64(1 << 63)
 KEY = ["key_a", "key_b"]
 BUCKET_SCHEMA = "bucket int, once binary, many binary, runs binary, settled binary"
 FOUND_SCHEMA = "key_a long, key_b long, start int, length int"
@@ -157,7 +162,29 @@ def anchors(docs: DataFrame, n: int, n_buckets: int, bits: int = 32) -> DataFram
         hit = c["runs"][_among(c["runs"]["hash"], _twice(c["once"], c["many"]))]
         return _found(np.concatenate([_runs(np.stack([hit["key_a"], hit["key_b"]], axis=1), size, hit["start"]), c["settled"]]))
 
-    return docs.mapInArrow(gather, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(meet, FOUND_SCHEMA)
+    return _by_bucket(docs.mapInArrow(gather, BUCKET_SCHEMA), meet)
+
+
+def _by_bucket(packed: DataFrame, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``meet`` of each bucket's rows. The buckets are dealt out in turn, so that each task has equally many."""
+    n = shuffle_partitions(packed.sparkSession)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for at, end in pairwise(cuts):
+                if end > at:
+                    if bucket[at] != now and held:
+                        yield from meet(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    now = bucket[at]
+                    held.append(batch.slice(at, end - at))
+        if held:
+            yield from meet(pa.Table.from_batches(held)).to_batches()
+
+    return packed.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").mapInArrow(met, FOUND_SCHEMA)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -189,11 +216,33 @@ def run_digests(words: Words, starts: np.ndarray, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(found), DIGEST)
 
 
-def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
+def hot_blocks(docs: DataFrame, n: int, n_rows: int) -> np.ndarray:
+    """Sorted hashes of blocks that very many rows of (text) hold, by a sample."""
+    size = (n + 1) // 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(text_column(batch, "text")):
+                words = Words(data, offsets)
+                starts, row = gram_starts(words.first, size)
+                if len(starts):
+                    hashes = gram_at(gram_sums(words.hashes()), starts, size, 21)
+                    once = np.unique(np.stack([hashes, row.astype(np.uint64)], axis=1), axis=0)[:, 0]
+                    values, times = np.unique(once, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(times)], ["block", "n"])
+
+    share = max(SAMPLE / max(1, n_rows), HITS * size * DIGEST.itemsize / BUCKET_BYTES)
+    counts = docs.sample(min(1.0, share), 3).mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= HITS).orderBy(F.desc("n")).limit(MOST_HOT).select("block").toArrow()
+    return np.sort(found["block"].to_numpy().astype(np.uint64))
+
+
+def repeats(docs: DataFrame, n: int, n_buckets: int, hot: np.ndarray) -> DataFrame:
     """(key_a, key_b, start, length): starts of runs of n words, of (key_a, key_b, ..., text, anchors), that occur anywhere else; length: so many starts."""
     size = (n + 1) // 2
     reach = n - size
     gathered = min(MOST_GATHERED, max(GATHER, PER_BUCKET * n_buckets)) // 2
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -217,9 +266,9 @@ def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
             # entries go with their runs: runs ordered by bucket, entries in the same order
             lengths, at = np.diff(ends)[by], ends[:-1][by]
             entry = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            shared = order[groups[:-1][times > 1]]
-            shared = shared[np.argsort(bucket[shared], kind="stable")]
-            yield from _packed(n_buckets, (lead[entry], digest[entry]), (bucket[shared], digests[shared]), (lead[at], _runs(keys[rows[at]], lengths, starts[at])), settled)
+            many = order[groups[:-1][times > 1]]
+            many = many[np.argsort(bucket[many], kind="stable")]
+            yield from _packed(n_buckets, (lead[entry], digest[entry]), (bucket[many], digests[many]), (lead[at], _runs(keys[rows[at]], lengths, starts[at])), settled)
 
         held = rows_held = 0
         for batch in batches:
@@ -243,7 +292,8 @@ def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
                     continue
                 grams = np.full(total, np.uint64(2**64 - 1))
                 inside = np.arange(max(0, total - size + 1))
-                grams[: len(inside)] = gram_at(gram_sums(words.hashes()), inside, size, 21)
+                blocks = gram_at(gram_sums(words.hashes()), inside, size, 21)
+                grams[: len(inside)] = np.where(_among(blocks, shared.value), blocks | HOT, blocks & ~HOT)
                 least = mix(_sliding_min(grams, reach + 1)[start], 22)
                 of = np.searchsorted(first, start, side="right") - 1
                 kept.append((run_digests(words, start, n), least, rows_held + of, (start - first[of]).astype(np.int64)))
@@ -271,20 +321,21 @@ def repeats(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
         of = c["runs"][run[ends[:-1]]]
         return _found(np.concatenate([_runs(np.stack([of["key_a"], of["key_b"]], axis=1), np.diff(ends), starts[ends[:-1]]), c["settled"]]))
 
-    return docs.mapInArrow(gather, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(meet, FOUND_SCHEMA)
+    return _by_bucket(docs.mapInArrow(gather, BUCKET_SCHEMA), meet)
 
 
 def remove_repeats(docs: DataFrame, n: int = 50, id_column: str = "doc_id", text: str = "text", anchor_bits: int = 32) -> DataFrame:
     """A row per input row: the id, ``n_words``, ``n_removed``, and ``kept_text``, the words that stay, joined by single spaces."""
     body = F.col(text).cast("string")
-    n_bytes = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()
     n_buckets = max(4 * shuffle_partitions(docs.sparkSession), n_bytes // BUCKET_BYTES)
+    hot = hot_blocks(docs.select(body.alias("text")), n, n_rows)
     rows = docs.select(*content_keys(id_column, text), F.col(id_column).alias("id"), body.alias("text"))
     keyed = rows.groupBy(*KEY).agg(F.first("id").alias("id"), F.count("*").alias("times"), F.first("text").alias("text"))
     # all passes read all columns of the rows, so that they share one exchange
     marks = anchors(keyed, n, n_buckets, anchor_bits).groupBy(*KEY).agg(F.collect_list("start").alias("anchors"))
     marked = keyed.join(marks, KEY, "left").select(*KEY, "id", "times", "text", "anchors")
-    runs = repeats(marked, n, n_buckets).groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    runs = repeats(marked, n, n_buckets, hot).groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colmerge.llm import near_duplicates as nd
-from colmerge.llm import neighbours
+from colmerge.llm import neighbours, substrings
 from colmerge.llm.components import components
 from colmerge.llm.neighbours import nearest_neighbours
 from colmerge.llm.substrings import remove_repeats
@@ -240,6 +240,29 @@ def test_substrings_of_an_input_that_is_dealt_anew_for_each_pass(spark):
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 35)
 
 
+def test_a_hot_passage_fills_no_bucket(spark, monkeypatch):
+    """A passage shorter than a run, in every row among other words: its runs are all different and must not meet in one bucket."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, " ".join([*(f"u{rng.randrange(10**9)}" for _ in range(6)), passage, *(f"v{rng.randrange(10**9)}" for _ in range(34))])) for k in range(800)]
+    rows += [(900 + k, rows[3][1] + " end") for k in range(2)]
+    df, largest = spark.createDataFrame(rows, "doc_id long, text string"), []
+    by_bucket = substrings._by_bucket
+
+    def spy(packed, meet):
+        largest.append(packed.groupBy("bucket").agg(F.sum(F.length("once")).alias("n")).agg(F.max("n") / F.sum("n")).first()[0])
+        return by_bucket(packed, meet)
+
+    monkeypatch.setattr(substrings, "_by_bucket", spy)
+    got = remove_repeats(df, 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 35)
+    assert largest[1] < 0.15  # 16 buckets
+    monkeypatch.setattr(substrings, "hot_blocks", lambda *_: np.zeros(0, np.uint64))
+    got = remove_repeats(df, 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 35)
+    assert largest[3] > 0.15
+
+
 def test_substrings_with_ids_of_text(spark):
     rows = [("abc", None), (None, "abc"), ("abc", ""), (None, None), ("abc", "abc")]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), 1).collect()
