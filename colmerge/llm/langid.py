@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from colmerge.llm.common import unused
 from colmerge.llm.textvec import slices, text_column
 
 BINS = 1 << 14
@@ -193,7 +194,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # the text goes to the tasks once, even if it is kept
     passed = given if text in given else [*given, text]
-    rows = docs.select(*passed, F.when(body.rlike(r"\p{L}"), True).alias("__letters"))
+    rows = docs.select(*passed, F.when(body.rlike(r"\p{L}"), True).alias(*unused(docs.columns, "letters")))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

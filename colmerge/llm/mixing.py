@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from colmerge.llm.common import shuffle_partitions, unused, written
 
-#: Sources whose rates may be broadcast; beyond, the join is salted over so many parts.
-BROADCAST_SOURCES, SALTS = 10_000, 64
+#: Sources whose rates may be broadcast (8 KB each at most); beyond, the join is salted over so many parts.
+BROADCAST_SOURCES, SALTS = 2_000, 64
 #: The largest mean that is drawn at once.
 MOST_MEAN = 700.0
 

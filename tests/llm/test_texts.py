@@ -251,6 +251,8 @@ def test_language_awkward(awkward):
     nothing = langid.identify(awkward, langid.learn(awkward.filter("lang = 'none'")))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"} and nothing.count() == awkward.count()
     assert langid.identify(awkward.limit(0), model).count() == 0
+    clash = awkward.withColumn("letters", F.lit(7)).withColumn("__letters", F.lit(8)).withColumn("LANG_MIX_", F.lit(9))
+    assert {(r["letters"], r["__letters"], r["LANG_MIX_"]) for r in langid.identify(clash, model).collect()} == {(7, 8, 9)}
 
 
 def test_words_and_slices():
