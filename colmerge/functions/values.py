@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import urlparse
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,8 +122,7 @@ def verified(passphrase: str, message: Column, tag: Column) -> Column:
     return mac(passphrase, message) == tag
 
 
-def database_path(url: str) -> str:
-    """The file behind a database URL; memory databases have none."""
-    parts = urlparse(url)
-    path = re.sub(r"\?.*$", "", url.split(":", 1)[1] if parts.scheme else url)
-    return "" if ":memory:" in path else path.removeprefix("//")
+def database_path(url: Column) -> Column:
+    """The file behind a database URL, without scheme and parameters; memory databases have none."""
+    path = F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), r"\?.*$", "")
+    return F.when(F.contains(path, F.lit(":memory:")) | (path == ""), "").otherwise(F.regexp_replace(path, "^//", ""))

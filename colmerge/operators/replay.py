@@ -84,5 +84,6 @@ def replay(changes: DataFrame, registry: Registry) -> DataFrame:
             yield done()
 
     known = changes.filter(F.col("tbl").isin(list(metas))).select("tbl", "pk", "arrival", "seq", "cid", "val", "site_id", "col_version", "cl")
-    ordered = known.repartition("tbl", "pk").sortWithinPartitions("tbl", "pk", "arrival", "seq", "cid")
+    # the last keys fix what a batch with several deletes of a row, or several values of a cell, means: the least delete, the largest value
+    ordered = known.repartition("tbl", "pk").sortWithinPartitions("tbl", "pk", "arrival", "seq", "cid", "col_version", "val", "site_id")
     return ordered.mapInArrow(fold, "tbl string, pk string, cid string, val string, col_version long, site_id string")

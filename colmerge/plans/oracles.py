@@ -299,6 +299,38 @@ SELECT topic, fired_at, edge, position FROM f""",
 }
 
 
+def _replay_sql() -> str:
+    """Batches applied one after the other: the state of a row is each cell's value and clock, whether it is there, and its tombstone."""
+    cells = ("signup", "view", "click", "purchase")
+    batch = ", ".join(f"max(CASE WHEN cid = '{c}' THEN struct_pack(v := col_version, val := val, site := site_id) END) AS {c}" for c in cells)
+    empty = ", ".join(f"NULL::VARCHAR AS x_{c}, NULL::BIGINT AS v_{c}, NULL::VARCHAR AS s_{c}" for c in cells)
+    won = ", ".join(f"g.{c} IS NOT NULL AND (r.v_{c} IS NULL OR (g.{c}.v, g.{c}.val, g.{c}.site) > (r.v_{c}, coalesce(r.x_{c}, ''), r.s_{c})) AS w_{c}" for c in cells)
+    most = "greatest(0, coalesce(tomb, 0), " + ", ".join(f"coalesce(v_{c}, 0)" for c in cells) + ")"
+    any_won = " OR ".join(f"w_{c}" for c in cells)
+    default = {"view": "'0'"}
+    new = ", ".join(
+        f"CASE WHEN dies THEN NULL WHEN sets AND w_{c} THEN b_{c}.val WHEN sets AND NOT there THEN {default.get(c, 'NULL')} ELSE x_{c} END AS x_{c}, "
+        f"CASE WHEN dies THEN NULL WHEN sets AND w_{c} THEN b_{c}.v ELSE v_{c} END AS v_{c}, CASE WHEN dies THEN NULL WHEN sets AND w_{c} THEN b_{c}.site ELSE s_{c} END AS s_{c}"
+        for c in cells
+    )
+    shown = " UNION ALL ".join(f"SELECT pk, '{c}' AS cid, x_{c} AS val, coalesce(v_{c}, 0) AS col_version, coalesce(s_{c}, '') AS site_id FROM r WHERE k = n AND there AND x_{c} IS NOT NULL" for c in cells)
+    return f"""WITH RECURSIVE {CLOG},
+batches AS (SELECT pk, event_id // 4 AS arrival, min(CASE WHEN cid = '__deleted' THEN col_version END) AS gone, {batch} FROM clog GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY arrival) AS k, count(*) OVER (PARTITION BY pk) AS n FROM batches),
+r AS (
+  SELECT pk, 0::BIGINT AS k, n, FALSE AS there, NULL::BIGINT AS tomb, {empty} FROM g WHERE k = 1
+  UNION ALL
+  SELECT pk, k + 1, n, CASE WHEN dies THEN FALSE ELSE there OR sets END, CASE WHEN dies THEN gone ELSE tomb END, {new}
+  FROM (SELECT *, gone IS NOT NULL AND gone >= {most} AS dies, gone IS NULL AND ({any_won}) AND (there OR w_signup) AS sets
+    FROM (SELECT r.*, g.gone, {", ".join(f"g.{c} AS b_{c}" for c in cells)}, {won} FROM r JOIN g ON g.pk = r.pk AND g.k = r.k + 1)))
+{shown}"""
+
+
+SQL["replay_fold"] = _replay_sql()
+SQL["meta_upsert"] = """SELECT r_name AS key, CASE WHEN r_name = 'ASIA' THEN 'changed' ELSE CAST(r_regionkey AS VARCHAR) END AS value FROM region UNION ALL SELECT 'NOWHERE', 'new'"""
+SQL["database_paths"] = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/data/' || o_orderkey || '.db' ELSE o_orderkey || '.db' END AS path FROM orders"""
+
+
 def _mac_sql(message: str) -> str:
     """The keyed digest of a text with its two padded keys written out."""
     import hashlib

@@ -13,7 +13,7 @@ from colmerge.operators import delta as D
 from colmerge.operators import metrics, notify, peers, resolve, stamping, state, views
 from colmerge.operators.replay import replay
 from colmerge.plans.oracles import SQL
-from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, SnapshotStore, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, numbered, rejected_lines, shared_folder, table, to_wire, unpivoted
+from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, SnapshotStore, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, numbered, rejected_lines, shared_folder, table, to_wire, unpivoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,8 +625,23 @@ def passthrough_window(spark, d):
 
 @query
 def replay_fold(spark, d):
+    """Batches of four events; a row is made when a batch has its sign-up, as views have a default."""
+    users = TableMeta("user_state", "user_id", ("user_id", *CELLS), required=("signup", "view"), defaults={"view": "0"})
     log = clog_events(spark, d).withColumn("arrival", F.floor(F.col("event_id") / 4))
-    return replay(log, REGISTRY)
+    return replay(log, Registry(users)).select("pk", "cid", "val", "col_version", "site_id")
+
+
+@query
+def meta_upsert(spark, d):
+    meta = table(spark, d, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    return meta_put(meta_put(meta, "ASIA", "changed"), "NOWHERE", "new")
+
+
+@query
+def database_paths(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    url = F.when(F.col("o_orderkey") % 3 == 0, "sqlite::memory:").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("sqlite:///data/"), k, F.lit(".db?mode=rwc"))).otherwise(F.concat(F.lit("sqlite://"), k, F.lit(".db")))
+    return table(spark, d, "orders").select("o_orderkey", V.database_path(url).alias("path"))
 
 
 def _streamed(spark, d):

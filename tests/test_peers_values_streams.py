@@ -43,8 +43,8 @@ def test_keys_digests_paths(spark):
 
     assert one(spark, "héllo", lambda x: V.mac("pass", x)) == hmac.new(hashlib.sha256(b"pass").digest(), "héllo".encode(), "sha256").hexdigest()
     assert one(spark, "a-b::*", V.module_prefix) == "a_b"
-    assert V.database_path("sqlite:///tmp/x.db?mode=rwc") == "/tmp/x.db"
-    assert V.database_path("sqlite::memory:") == ""
+    told = {"sqlite:///tmp/x.db?mode=rwc": "/tmp/x.db", "sqlite::memory:": "", "sqlite://x.db": "x.db", "/a/b.db": "/a/b.db", "b.db?x=1": "b.db", ":memory:": ""}
+    assert {url: one(spark, url, V.database_path) for url in told} == told
 
 
 @pytest.mark.parametrize(
