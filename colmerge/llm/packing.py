@@ -3,7 +3,8 @@
 A document of n ids (with the closing id) gives ``n // MAX_LENGTH`` pieces of ``MAX_LENGTH`` and one piece for each set bit of the rest, longest
 first. A sequence is one piece, so no sequence crosses documents and none is padded. Sequences of equal length form a bucket (``bucket`` is the
 exponent): the pieces are dealt out by a hash, so that no bucket lies in one task, and each partition has its sequences of one length one after
-the other, in an order hashed anew, so batches read from it are of one length and mixed. That exchange of the pieces is the only one.
+the other, in an order hashed from their ids, so batches read from it are of one length and mixed. That exchange of the pieces is the only one. Where a
+piece goes, and its number there, depend on what it holds alone, not on the order in which documents come (again).
 
 Ids come from the tokenizer file by way of distinct pre-tokens: a byte-level BPE token begins with a space or holds none (a run of white space
 apart), so a text may be cut before every single space, and each distinct part is encoded once per worker. The memory of parts is bounded; it
@@ -83,11 +84,11 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 def pack(docs: DataFrame, json_file: str, ranks_file: str, id_column: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH) -> DataFrame:
     """A row per piece, laid out by bucket: id, start, length, bucket, doc_tokens, ids (little-endian 32-bit), sequence_id and offset (always 0)."""
-    return bucketed(cut_documents(docs, json_file, ranks_file, id_column, text, longest))
+    return bucketed(cut_documents(docs, json_file, ranks_file, id_column, text, longest), id_column)
 
 
 def cut_documents(docs: DataFrame, json_file: str, ranks_file: str, id_column: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH) -> DataFrame:
-    """The pieces as ``pack`` has them, in the order of the documents."""
+    """The pieces of ``pack``, before they are laid out and numbered."""
     if longest < 1 or longest & longest - 1:
         raise ValueError("the longest sequence must be a power of two")
 
@@ -111,16 +112,17 @@ def cut_documents(docs: DataFrame, json_file: str, ranks_file: str, id_column: s
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    pieces = rows.mapInArrow(cut, SCHEMA)
-    # unique, and its bucket can be read from it: 16 buckets at most are in use
-    pieces = pieces.withColumn("sequence_id", F.monotonically_increasing_id() * 32 + F.col("bucket"))
-    return pieces.withColumn("offset", F.lit(0).cast("long")).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(cut, SCHEMA).withColumnRenamed("id", id_column)
 
 
 NAMES = ["id", "start", "length", "bucket", "doc_tokens", "ids"]
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
 
-def bucketed(pieces: DataFrame) -> DataFrame:
-    """The pieces dealt out by a hash of their sequence, and in each partition one bucket after the other."""
-    return pieces.withColumn("order", F.xxhash64("sequence_id")).repartition("order").sortWithinPartitions("bucket", "order").drop("order")
+def bucketed(pieces: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The pieces dealt out by a hash of what they hold, in each partition one bucket after the other, with ``sequence_id`` and ``offset``."""
+    order = F.xxhash64(id_column, "start", "doc_tokens", "ids")
+    laid = pieces.withColumn("order", order).repartition("order").sortWithinPartitions("bucket", "order", id_column, "start").drop("order")
+    # unique, and its bucket can be read from it: 16 buckets at most are in use
+    numbered = laid.withColumn("sequence_id", F.monotonically_increasing_id() * 32 + F.col("bucket"))
+    return numbered.withColumn("offset", F.lit(0).cast("long"))
