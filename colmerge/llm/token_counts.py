@@ -9,6 +9,9 @@ a text's tokens are those of its pre-tokens (a run of spaces and the word behind
    (a fixed number, so a broadcast of proven size) are joined inside the scan; the rest of each document's frequencies
    goes through a shuffled join on the pre-token. Ids of documents are never made.
 
+Rows are known by 128 bits of id and text, so it doesn't matter in which order a lost part of the input comes again; rows that repeat both are summed
+together and told apart by their number at the end.
+
 Cases: a null text counts as empty (0 tokens); repeated rows, also of one ``doc_id``, stay separate rows; other columns of
 the input are ignored; an empty table gives an empty result; a text without spaces is one pre-token, whatever its length.
 """
@@ -23,13 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import written
+from colmerge.llm.common import content_keys, written
 from colmerge.llm.textvec import text_column
 
 #: Pre-tokens of the broadcast head, and the longest of them in characters: so many entries hold 24 million characters at most.
 HEAD_ROWS, HEAD_CHARS = 300_000, 80
 #: Distinct pre-tokens that a task gathers before it hands them on.
 GATHER = 300_000
+KEY = ["key_a", "key_b"]
 #: A pre-token: a run of spaces and what follows up to the next space. U+2581 is the tokenizer's own sign for a space.
 PRE_TOKEN = regex.compile(r"[ ▁]*[^ ▁]+|[ ▁]+")
 
@@ -90,7 +94,7 @@ def counted_pre_tokens(distinct: DataFrame, model: str) -> DataFrame:
 def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text", head_rows: int = HEAD_ROWS) -> DataFrame:
     """One row per input row: the id, ``n_bytes`` (UTF-8), ``n_pre_tokens`` and ``n_tokens`` by the tokenizer file ``model``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(*content_keys(id_column, text), F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     counts = written(counted_pre_tokens(distinct_pre_tokens(docs), model))
     # the head ends at a step of the logarithm of frequency, so choosing it needs only the number of rows at each step
     step = F.floor(F.log2("n") * 16)
@@ -124,15 +128,20 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
                 ends.append(len(items))
             entries = pa.StructArray.from_arrays([pa.array(items, pa.string()), pa.array(times, pa.int64())], ["pre_token", "n"])
             left = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sums, pa.int64()), left], ["id", "n_bytes", "n_pre_tokens", "n_head", "rest"])
+            made = [pa.array(x, pa.int64()) for x in (sizes, numbers, sums)]
+            yield pa.record_batch([*batch.columns[:3], *made, left], ["key_a", "key_b", "id", "n_bytes", "n_pre_tokens", "n_head", "rest"])
 
-    schema = "id long, n_bytes long, n_pre_tokens long, n_head long, rest array<struct<pre_token:string,n:long>>"
-    rows = docs.mapInArrow(per_document, schema).withColumn("row", F.monotonically_increasing_id())
+    schema = "key_a long, key_b long, id long, n_bytes long, n_pre_tokens long, n_head long, rest array<struct<pre_token:string,n:long>>"
+    rows = docs.mapInArrow(per_document, schema)
     # one pass feeds both sides: each row's own part is an entry without a pre-token, spread over the join by a key of its own
-    own = F.array(F.struct(F.concat(F.lit("▁"), F.col("row")).alias("pre_token"), F.lit(0).cast("long").alias("n")))
-    parts = rows.select("row", F.when(F.size("rest") > 0, F.col("rest")).otherwise(own).alias("rest"), "id", "n_bytes", "n_pre_tokens", "n_head")
-    parts = parts.select("row", "id", "n_bytes", "n_pre_tokens", "n_head", F.posexplode("rest").alias("k", "part"))
-    parts = parts.select("row", F.when(F.col("k") == 0, F.struct("id", "n_bytes", "n_pre_tokens", "n_head")).alias("own"), "part.pre_token", "part.n")
+    own = F.array(F.struct(F.concat(F.lit("▁"), "key_a").alias("pre_token"), F.lit(0).cast("long").alias("n")))
+    parts = rows.select(*KEY, F.when(F.size("rest") > 0, F.col("rest")).otherwise(own).alias("rest"), "id", "n_bytes", "n_pre_tokens", "n_head")
+    parts = parts.select(*KEY, "id", "n_bytes", "n_pre_tokens", "n_head", F.posexplode("rest").alias("k", "part"))
+    parts = parts.select(*KEY, F.when(F.col("k") == 0, F.struct("id", "n_bytes", "n_pre_tokens", "n_head")).alias("own"), "part.pre_token", "part.n")
     joined = parts.join(counts.select("pre_token", "n_pieces"), "pre_token", "left")
-    summed = joined.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum(F.col("n") * F.coalesce("n_pieces", F.lit(0))).alias("n_rest"))
-    return summed.select(F.col("own.id").alias(id_column), "own.n_bytes", "own.n_pre_tokens", (F.col("own.n_head") + F.col("n_rest")).alias("n_tokens"))
+    pieces = F.sum(F.col("n") * F.coalesce("n_pieces", F.lit(0))).alias("n_rest")
+    summed = joined.groupBy(*KEY).agg(F.first("own", ignorenulls=True).alias("own"), F.count("own").alias("times"), pieces)
+    # the sum is that of ``times`` equal rows
+    tokens = (F.col("own.n_head") + F.expr("n_rest div times")).alias("n_tokens")
+    each = summed.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.col("own.id").alias(id_column), "own.n_bytes", "own.n_pre_tokens", tokens)

@@ -32,6 +32,8 @@ def test_token_counts(spark, awkward, documents, head):
     docs = awkward.select("doc_id", "text").unionByName(documents.limit(60).select("doc_id", "text"))
     got = rows_of(token_counts.token_counts(docs, MODEL, head_rows=head), "n_bytes", "n_tokens")
     assert got == sorted(((i, len(t.encode()), len(processor.encode(t))) for i, t in texts_of(docs)), key=str)
+    dealt = docs.withColumn("r", F.rand()).repartition(5, "r").drop("r")  # other rows meet in each evaluation
+    assert rows_of(token_counts.token_counts(dealt, MODEL, head_rows=head), "n_bytes", "n_tokens") == got
     assert token_counts.token_counts(docs.limit(0), MODEL).count() == 0
 
 
@@ -191,6 +193,11 @@ def test_packing(awkward, documents):
     for r in laid:
         lengths.setdefault(r["part"], []).append(r["bucket"])
     assert all(own == sorted(own) for own in lengths.values())
+    dealt = docs.withColumn("r", F.rand()).repartition(3, "r").drop("r")
+    wanted = [(i, *p[:4]) for i, own in pieces.items() for p in own]
+    numbers = packing.pack(dealt, JSON, RANKS).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], bytes(r["ids"]), r["doc_tokens"]) for r in numbers) == sorted((i, a, n, bytes(x), t) for i, a, n, x, t in wanted)
+    assert {(r["doc_id"], r["start"], r["sequence_id"]) for r in numbers} == {(i, p[0], p[4]) for i, own in pieces.items() for p in own}
     assert packing.pack(awkward, JSON, RANKS).select("doc_id").distinct().count() == awkward.select("doc_id").distinct().count()
     assert packing.pack(docs.limit(0), JSON, RANKS).count() == 0
 
