@@ -154,19 +154,20 @@ def to_wire(changes: DataFrame) -> DataFrame:
     return changes.select(F.to_json(F.struct(*[c.name for c in CHANGELOG]), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("c", F.from_json("value", CHANGELOG))
+def _keyed(change: Column) -> Column:
+    return change.isNotNull() & change["tbl"].isNotNull() & change["pk"].isNotNull() & change["cid"].isNotNull()
 
 
 def from_wire(lines: DataFrame) -> DataFrame:
     """Changes from lines of JSON. Lines that are none are not lost: ``rejected_lines`` has them."""
-    return _parsed(lines).filter("c.tbl is not null and c.pk is not null and c.cid is not null").select("c.*")
+    # each line is parsed once, though its parse is tested and unfolded
+    return lines.select(F.inline(F.filter(F.array(F.from_json("value", CHANGELOG)), _keyed)))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """(value, reason): lines that are no changes: no JSON object, or one without a table, key or column."""
     reason = F.when(F.col("value").isNull(), "empty").when(~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False)), "no object")
-    bad = _parsed(lines).filter("coalesce(c.tbl is null or c.pk is null or c.cid is null, true)")
+    bad = lines.filter(F.size(F.filter(F.array(F.from_json("value", CHANGELOG)), _keyed)) == 0)
     return bad.select("value", reason.otherwise("no key").alias("reason"))
 
 
