@@ -87,6 +87,25 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.exact_search import top_k
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+#: SQL of op13: every query against every row.
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 #: SQL of op7: the same rates, hashes and inversion. A sum runs in the same order as the operator's.
 OP7_SQL = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -108,8 +127,8 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours, op13_exact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op13_exact_search": OP13_SQL}
