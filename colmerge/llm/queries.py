@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.alignment import align
+
+    def digest(groups: Column) -> Column:
+        return F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    return align(documents(spark, sf_dir), *files, shown=digest).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colmerge.llm.exact_search import top_k
 
@@ -127,7 +137,7 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours, op13_exact_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours, op12_alignment, op13_exact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
