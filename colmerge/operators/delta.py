@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colmerge.operators.ordering import placed
 from colmerge.operators.resolve import CELL
-from colmerge.sources.tables import TOMBSTONE, numbered
+from colmerge.sources.tables import TOMBSTONE
 
 #: Ranges into which a log's versions are cut where peers with different offsets are joined to it.
 RANGES = 1024
@@ -19,7 +20,7 @@ def changes_since(changes: DataFrame, version: int) -> DataFrame:
 
 def in_order(changes: DataFrame) -> DataFrame:
     """Changes in the order in which a peer applies them: ``place`` counts from 1, with the cell and the site as last keys."""
-    return numbered(changes, [], ["db_version", "seq", "tbl", "pk", "cid", "site_id"], "place").orderBy("place")
+    return placed(changes, ["db_version", "seq", "tbl", "pk", "cid", "site_id"], "place").orderBy("place")
 
 
 def with_values(clock: DataFrame, cells: DataFrame) -> DataFrame:

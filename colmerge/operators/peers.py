@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmerge.functions.addresses import address_score, last_peer, tier
-from colmerge.sources.tables import numbered
+from colmerge.operators.ordering import numbered
 
 #: Age in seconds and failures beyond which a cached address isn't used, and addresses that a peer keeps.
 MAX_AGE, MAX_FAILURES, KEPT_ADDRESSES = 7 * 86_400, 10, 8

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.sources.tables import TOMBSTONE, Registry, numbered
+from colmerge.operators.ordering import numbered, placed, scanned
+from colmerge.operators.resolve import CELL, ROW
+from colmerge.sources.shared import matched
+from colmerge.sources.tables import TOMBSTONE, Registry
 
 #: What the names of the library's own tables begin with.
 INTERNAL = "_colmerge"
@@ -20,29 +23,26 @@ def syncable(writes: DataFrame, registry: Registry) -> DataFrame:
 def stamp_writes(writes: DataFrame, clock: DataFrame | None = None, order: str = "event_id", base_version: int = 0) -> DataFrame:
     """``writes`` (tbl, pk, cid, order, ...) with ``col_version`` (one more than the cell had) and ``db_version`` (one per statement).
 
-    Rows of one statement share ``order``; ``clock`` (tbl, pk, cid, col_version) holds versions from before.
+    Rows of one statement share ``order``; ``clock`` (tbl, pk, cid, col_version) holds versions from before. Nulls are keys and statements like any others.
     """
-    statements = numbered(writes.select(order).distinct(), [], order, "__db")
-    # a cell with very many writes is numbered in ranges, not in one task
-    out = numbered(writes.join(statements, order), ["tbl", "pk", "cid"], order, "__n")
+    statements = placed(writes.select(order).distinct(), [order], "__db")
+    out = numbered(matched(writes, statements, [order]), CELL, order, "__n")
+    had = F.lit(0)
     if clock is not None:
-        known = clock.select("tbl", "pk", "cid", F.col("col_version").alias("__had"))
-        out = out.join(known, ["tbl", "pk", "cid"], "left")
-    else:
-        out = out.withColumn("__had", F.lit(0).cast("long"))
-    return out.withColumn("col_version", F.col("__n") + F.coalesce("__had", F.lit(0))).withColumn("db_version", F.col("__db") + base_version).drop("__n", "__db", "__had")
+        out, had = matched(out, clock.select(*CELL, F.col("col_version").alias("__had")), CELL), F.coalesce("__had", F.lit(0))
+    return out.withColumn("col_version", (F.col("__n") + had).cast("long")).withColumn("db_version", F.col("__db") + base_version).drop("__n", "__db", "__had")
 
 
 def stamp_deletes(writes: DataFrame, order: str = "event_id") -> DataFrame:
     """The deletes among ``writes`` with ``cl`` and ``cleared`` (a later write of the row removes the tombstone).
 
-    ``cl`` is one more than the latest version of any of the row's cells; a repeated delete counts on from the standing tombstone.
+    ``cl`` is one more than the latest version of any of the row's cells; a repeated delete counts on from the standing tombstone. All are running
+    values over a row's history, which is scanned in ranges.
     """
-    dead = F.col("cid") == TOMBSTONE
-    row = Window.partitionBy("tbl", "pk").orderBy(order)
-    before, rest = row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(1, Window.unboundedFollowing)
-    versions = writes.withColumn("__v", F.when(~dead, F.row_number().over(Window.partitionBy("tbl", "pk", "cid").orderBy(order))))
-    versions = versions.withColumn("__most", F.coalesce(F.max("__v").over(before), F.lit(0)))
-    versions = versions.withColumn("__writes", F.sum(F.when(dead, 0).otherwise(1)).over(row)).withColumn("cleared", F.coalesce(F.max((~dead).cast("int")).over(rest), F.lit(0)) == 1)
-    again = F.row_number().over(Window.partitionBy("tbl", "pk", "__writes").orderBy(order))
-    return versions.filter(dead).withColumn("cl", (F.col("__most") + again).cast("long")).drop("__v", "__most", "__writes", "col_version")
+    alive = (F.col("cid") != TOMBSTONE).cast("int")
+    versions = scanned(writes, CELL, [order], {"__v": ("sum", F.lit(1).cast("long"))}).withColumn("__v", F.when(F.col("cid") != TOMBSTONE, F.col("__v")))
+    history = scanned(versions, ROW, [order], {"__most": ("max", F.col("__v")), "__writes": ("sum", alive)}).drop("__v")
+    deletes = numbered(history.filter(F.col("cid") == TOMBSTONE), [*ROW, "__writes"], order, "__again")
+    rows = writes.groupBy(*ROW).agg(F.sum(alive).alias("__all"))
+    deletes = matched(deletes, rows, ROW).withColumn("cleared", F.col("__all") > F.col("__writes"))
+    return deletes.withColumn("cl", (F.coalesce("__most", F.lit(0)) + F.col("__again")).cast("long")).drop("__most", "__writes", "__again", "__all", "col_version")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmerge.functions.values import byte_prefix
-from colmerge.sources.tables import numbered, register_views
+from colmerge.operators.ordering import placed
+from colmerge.sources.tables import register_views
 
 
 def point_lookup(rows: DataFrame, key: str, value) -> DataFrame:
@@ -35,10 +35,10 @@ def without_soft_deleted(rows: DataFrame, flag: str = "deleted") -> DataFrame:
 
 
 def by_key(rows: DataFrame, key: str = "pk") -> DataFrame:
-    """Rows with ``place``, in the order of the bytes of their distinct keys (texts)."""
-    return numbered(rows.withColumn("__prefix", byte_prefix(F.col(key))), [], ["__prefix", key], "place").drop("__prefix").orderBy("place")
+    """Rows with ``place``, in the order of the bytes of their keys (texts)."""
+    return placed(rows, [key], "place").orderBy("place")
 
 
 def newest_first(rows: DataFrame, created: Column, key: str) -> DataFrame:
     """Rows with ``place``, by the time of their creation (whole seconds), newest first, then by key."""
-    return numbered(rows.withColumn("__ago", -created), [], ["__ago", key], "place").drop("__ago").orderBy("place")
+    return placed(rows.withColumn("__ago", -created), ["__ago", key], "place").drop("__ago").orderBy("place")

@@ -13,7 +13,8 @@ from colmerge.operators import delta as D
 from colmerge.operators import metrics, notify, peers, resolve, stamping, state, views
 from colmerge.operators.replay import replay
 from colmerge.plans.oracles import SQL
-from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, SnapshotStore, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, numbered, rejected_lines, shared_folder, table, to_wire, unpivoted
+from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, SnapshotStore, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, rejected_lines, table, to_wire, unpivoted
+from colmerge.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

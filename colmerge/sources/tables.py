@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colmerge.operators.ordering import numbered
+
 #: The change log: one row per changed cell. ``cid`` is ``TOMBSTONE`` for a deleted row; ``val`` is JSON text or null.
 CHANGELOG = T.StructType([T.StructField(name, T.StringType()) for name in ("tbl", "pk", "cid", "val", "site_id")])
 CHANGELOG.add("col_version", "long").add("cl", "long").add("seq", "integer").add("db_version", "long")
@@ -77,24 +78,6 @@ def create_if_missing(spark: SparkSession, name: str, schema: T.StructType) -> N
         spark.createDataFrame([], schema).write.saveAsTable(name)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str | list[str], out: str, width: int = 1 << 16) -> DataFrame:
-    """``rows`` with ``out``: 1, 2, ... by ``order`` (columns that tell rows of equal ``keys`` apart, a whole number first) among rows of equal ``keys``.
-
-    A window over the keys alone would sort all rows of a key in one task. Ranges of ``width`` of the first number are numbered apart and shifted by
-    the number of rows in earlier ranges, which in turn are summed in ranges of ``width`` ranges. So no task sees more than ``width`` numbers.
-    """
-    order = [order] if isinstance(order, str) else order
-    ranged = rows.withColumn("__range", F.floor(F.col(order[0]) / F.lit(width)))
-    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).withColumn("__wide", F.floor(F.col("__range") / F.lit(width)))
-    earlier = Window.partitionBy(*keys).orderBy("__wide").rowsBetween(Window.unboundedPreceding, -1)
-    wide = counts.groupBy(*keys, "__wide").agg(F.sum("__n").alias("__all")).withColumn("__first", F.coalesce(F.sum("__all").over(earlier), F.lit(0))).drop("__all")
-    inside = Window.partitionBy(*keys, "__wide").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(wide, [*keys, "__wide"])
-    shifts = shifts.select(*keys, "__range", (F.col("__inside") + F.col("__first")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
-    return ranged.withColumn("__place", place).join(shifts, [*keys, "__range"]).withColumn(out, (F.col("__before") + F.col("__place")).cast("long")).drop("__range", "__before", "__place")
-
-
 def clog_events(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """The events as a change log of four sites: a user is a row, an event type a column, an error a delete. Adds ``event_id``."""
     value = F.floor(F.col("value") / 20) if coarse else F.round(F.col("value") * 100)
@@ -171,16 +154,6 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return bad.select("value", reason.otherwise("no key").alias("reason"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset and all is one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="shared-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 class SnapshotStore:
     """State (with ``tbl`` and ``pk``) in parts by a hash of its rows' keys, and pointers that name the folder of each part.
 
