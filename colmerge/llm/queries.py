@@ -87,6 +87,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colmerge.llm.prefix_trie import ordered_turns, prefix_trie, sequences
+
+    turns = ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    shared = F.crc32(F.col("c").cast("string").cast("binary")) % 9
+    return prefix_trie(sequences(turns, shared, F.col("c") - F.col("c") % 5, most=8))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colmerge.llm.alignment import align
 
@@ -104,6 +112,38 @@ def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+#: SQL of op11: CRC-32 bit by bit; a prefix's key is its turns' digests in order; a node's weights go to all nodes on the path of its smallest member.
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+         md5(concat(len(coalesce(role, '')), ':', role, text)) AS said, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, c - c % 5 AS b, max(p) AS n, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h
+  FROM t GROUP BY c),
+convs AS (SELECT o.*, least(h, coalesce((SELECT m.n FROM own m WHERE m.c = o.b), 0)) AS k FROM own o),
+steps AS (
+  SELECT o.c, t.p AS depth, t.said, t.size FROM convs o JOIN t ON t.c = o.b AND t.p <= o.h
+  UNION ALL SELECT o.c, o.k + t.p - o.h, t.said, t.size FROM convs o JOIN t ON t.c = o.c AND t.p > o.h),
+paths AS (
+  SELECT c, depth, string_agg(said, ',') OVER (PARTITION BY c ORDER BY depth) AS key, size,
+         string_agg(said, ',') OVER (PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up
+  FROM steps UNION ALL SELECT c, 0, '', 0, NULL FROM own),
+nodes AS (SELECT key, any_value(coalesce(up, '')) AS up, max(depth) AS depth, max(size) AS size, count(*) AS n, min(c) AS c FROM paths GROUP BY key),
+children AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+sums AS (
+  SELECT a.key, sum((n.n - 1) * n.size)::BIGINT AS saved, count_if(m.key IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children m ON m.key = n.key JOIN paths a ON a.c = n.c AND a.depth <= n.depth GROUP BY a.key),
+ends AS (
+  SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha
+  FROM paths JOIN (SELECT c AS last, max(depth) AS most FROM paths GROUP BY c) ON c = last AND depth = most GROUP BY key)
+SELECT n.c AS conv_id, n.depth::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(m.n_children, 0) AS n_children, s.leaves::BIGINT AS n_leaves,
+       s.saved AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON n.depth > 0 AND u.key = n.up LEFT JOIN children m ON m.key = n.key JOIN sums s ON s.key = n.key LEFT JOIN ends e ON e.key = n.key
+"""
+
 #: SQL of op13: every query against every row.
 OP13_SQL = """
 WITH v AS (
@@ -137,8 +177,8 @@ FROM numbers, LATERAL (SELECT unnest(range(0, copies)) AS copy) t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours, op12_alignment, op13_exact_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_pii, op4_language, op5_near_duplicates, op6_sharding, op7_mixing, op8_packing, op9_substrings, op10_neighbours, op11_prefix_trie, op12_alignment, op13_exact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op13_exact_search": OP13_SQL}
+    return {"op7_mixing": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_exact_search": OP13_SQL}
