@@ -44,12 +44,14 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], running: dict[st
     values = {f"__scan_v{k}": (kind, value) for k, (kind, value) in enumerate(running.values())}
     rows = rows.withColumns({name: value for name, (_, value) in values.items()})
     laid = laid_out(rows, [*keys, *order]).withColumn("__scan_key", F.struct(F.lit(0), *keys))
-    # one row a range: its first and last key; and what the rows of its last key sum up to
-    ends = laid.groupBy("__scan_part").agg(F.min("__scan_key").alias("__scan_first"), F.max("__scan_key").alias("__scan_last"))
-    last = laid.join(F.broadcast(ends), "__scan_part").filter(F.col("__scan_key") == F.col("__scan_last"))
-    totals = last.groupBy("__scan_part", F.col("__scan_last").alias("__scan_key")).agg(*[_COMBINED[kind](name).alias(name) for name, (kind, _) in values.items()])
-    asked = ends.select("__scan_part", F.col("__scan_first").alias("__scan_key"), F.lit(0).alias("__scan_side"))
-    both = asked.unionByName(totals.withColumn("__scan_side", F.lit(1)), allowMissingColumns=True)
+    # one row a range: its first key, its last one, and what the rows of its last key sum up to
+    asked = laid.filter("__scan_at = 0").select("__scan_part", "__scan_key", F.lit(0).alias("__scan_side"))
+    sizes = laid.groupBy("__scan_part").agg(F.max("__scan_at").alias("__scan_most"))
+    last = laid.join(F.broadcast(sizes), "__scan_part").filter("__scan_at = __scan_most").select("__scan_part", F.col("__scan_key").alias("__scan_last"))
+    same = laid.join(F.broadcast(last), "__scan_part").filter("__scan_key = __scan_last")
+    totals = same.groupBy("__scan_part").agg(*[_COMBINED[kind](name).alias(name) for name, (kind, _) in values.items()])
+    totals = totals.join(last.withColumnRenamed("__scan_last", "__scan_key"), "__scan_part").withColumn("__scan_side", F.lit(1))
+    both = asked.unionByName(totals, allowMissingColumns=True)
     # a range's first key comes before its last, so that its own rows aren't carried over to it
     earlier = Window.partitionBy("__scan_key").orderBy("__scan_part", "__scan_side").rowsBetween(Window.unboundedPreceding, -1)
     carried = both.withColumns({f"{name}c": _COMBINED[kind](name).over(earlier) for name, (kind, _) in values.items()}).filter("__scan_side = 0")

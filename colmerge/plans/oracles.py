@@ -194,7 +194,7 @@ UNION ALL SELECT c.pk, '__deleted', NULL, max(c.site_id), c.col_version FROM clo
     "write_filters": """SELECT event_id, 'user_state' AS tbl, CAST(user_id AS VARCHAR) AS pk FROM events WHERE event_id % 9 > 1 AND event_id % 5 > 1""",
     "topic_filter": """SELECT event_id, event_id % 4 < 2 OR event_type = 'click' AS lenient, event_id % 4 >= 2 AND event_type = 'click' AS strict FROM events WHERE event_id % 4 < 2 OR event_type = 'click'""",
     "wire_rejects": _with(ORDERS)
-    + """SELECT CASE WHEN db_version % 3 = 0 THEN 'no object' WHEN db_version % 5 = 0 THEN 'no key' ELSE 'taken' END AS reason, count(*) AS n FROM olog GROUP BY 1""",
+    + """SELECT CASE WHEN db_version % 3 = 0 THEN 'no object' WHEN db_version % 7 = 0 THEN 'unreadable' WHEN db_version % 5 = 0 THEN 'no key' WHEN db_version % 11 = 0 THEN 'no version' ELSE 'taken' END AS reason, count(*) AS n FROM olog GROUP BY 1""",
     "changeset_pack": _with(CLOG) + "SELECT site_id, db_version // 10 AS changeset, count(*) AS n_changes, min(db_version) AS first_version, max(db_version) AS last_version FROM clog GROUP BY ALL",
     "changeset_unpack": _with(CLOG) + "SELECT site_id, db_version, pk, cid, val, col_version FROM clog",
     "wire_round_trip": _with(ORDERS) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM olog",
@@ -283,6 +283,9 @@ FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
          lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS previous FROM orders) t WHERE place <= 3""",
     "stream_lww": _with(_TIED, _best("tied", "w"), _alive("tied", "r", ">=")) + "SELECT w.pk, cid, val, site_id, col_version FROM w JOIN r ON w.pk = r.pk WHERE alive",
     "stream_event_counts": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "state_log": _with(CLOG)
+    + """SELECT pk, cid, val, site_id, col_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY pk, cid ORDER BY col_version DESC, val DESC NULLS LAST, site_id DESC) AS place FROM clog) WHERE place = 1""",
     "stream_notifications": f"SELECT t.*, n_raw FROM ({_NOTIFIED}) t JOIN ("
     + _with(CLOG)
     + "SELECT pk, count(*) AS n_raw FROM clog WHERE db_version > 100 GROUP BY pk) r ON t.pk = r.pk",

@@ -11,10 +11,12 @@ from colmerge.functions import addresses as A
 from colmerge.functions import values as V
 from colmerge.operators import delta as D
 from colmerge.operators import metrics, notify, peers, resolve, stamping, state, views
+from colmerge.operators.ordering import numbered
 from colmerge.operators.replay import replay
 from colmerge.plans.oracles import SQL
-from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, SnapshotStore, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, rejected_lines, table, to_wire, unpivoted
 from colmerge.sources.shared import shared_folder
+from colmerge.sources.statelog import StateLog
+from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, rejected_lines, table, to_wire, unpivoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,10 +252,10 @@ def topic_filter(spark, d):
 
 @query
 def wire_rejects(spark, d):
-    """Every third line is cut, every fifth has no key."""
+    """Every third line is cut, every fifth has no key, every seventh a version that is no number, every eleventh none at all."""
     log = to_wire(clog_orders(spark, d).withColumn("pk", F.when(F.col("db_version") % 5 != 0, F.col("pk"))))
     k = F.get_json_object("value", "$.db_version").cast("long")
-    lines = log.select(F.when(k % 3 == 0, F.concat(F.lit("~"), F.substring("value", 1, 9))).otherwise(F.col("value")).alias("value"))
+    lines = log.select(F.when(k % 3 == 0, F.concat(F.lit("~"), F.substring("value", 1, 9))).when(k % 7 == 0, F.regexp_replace("value", '"col_version":[0-9]+', '"col_version":"x"')).when(k % 11 == 0, F.regexp_replace("value", '"col_version":[0-9]+', '"col_version":null')).otherwise(F.col("value")).alias("value"))
     rejected = rejected_lines(lines).groupBy("reason").agg(F.count("*").alias("n"))
     return rejected.unionByName(from_wire(lines).agg(F.lit("taken").alias("reason"), F.count("*").alias("n")))
 
@@ -676,17 +678,30 @@ def stream_lww(spark, d):
 @query
 def stream_notifications(spark, d):
     """What a stream of changes tells on top of the state of the first versions: one event for each row that it changes; beside it, all that came."""
-    from colmerge.streaming.live import apply_stream
+    from colmerge.streaming.live import apply_stream, told
 
     out, log = shared_folder(spark), clog_events(spark, d).drop("event_id")
     log.filter(F.col("db_version") > SINCE).coalesce(1).write.parquet(f"{out}/in")
-    store = SnapshotStore(spark, f"{out}/store", parts=8)
-    store.write(state.merged(log.filter(F.col("db_version") <= SINCE)))
-    stream = spark.readStream.schema(log.schema).parquet(f"{out}/in")
-    apply_stream(stream, store, f"{out}/told", f"{out}/offsets", DELETE_WINS, raw=f"{out}/raw")
-    events = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/told")
-    raw = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/raw").groupBy("pk").agg(F.count("*").alias("n_raw"))
-    return events.join(raw, "pk").select("pk", "kind", "changed_columns", "n_raw")
+    store = _log_of_levels(spark, log.filter(F.col("db_version") <= SINCE), f"{out}/store")
+    apply_stream(spark.readStream.schema(log.schema).parquet(f"{out}/in"), store, f"{out}/told", f"{out}/offsets", DELETE_WINS, raw=f"{out}/raw")
+    raw = told(store, f"{out}/raw").groupBy("pk").agg(F.count("*").alias("n_raw"))
+    return told(store, f"{out}/told").join(raw, "pk").select("pk", "kind", "changed_columns", "n_raw")
+
+
+def _log_of_levels(spark, log: DataFrame, path: str) -> StateLog:
+    """A log of state that came in eleven batches, with levels so small that it has several."""
+    store = StateLog(spark, path, ratio=3, least=16, bucket_rows=64)
+    for k in range(11):
+        store.commit(log.filter(F.col("db_version") % 11 == k))
+        store.fold()
+    return store
+
+
+@query
+def state_log(spark, d):
+    """The state of a log that came in batches and was folded in part, against the whole log's."""
+    store = _log_of_levels(spark, clog_events(spark, d), shared_folder(spark))
+    return store.read().select("pk", "cid", "val", "site_id", "col_version")
 
 
 @query

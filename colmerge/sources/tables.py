@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,21 +139,34 @@ def to_wire(changes: DataFrame) -> DataFrame:
     return changes.select(F.to_json(F.struct(*[c.name for c in CHANGELOG]), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def _keyed(change: Column) -> Column:
-    return change.isNotNull() & change["tbl"].isNotNull() & change["pk"].isNotNull() & change["cid"].isNotNull()
+#: What a line is read as: a change, and the line itself if a field of it can't be read.
+WIRE = T.StructType([*CHANGELOG.fields, T.StructField("__unread", T.StringType())])
+_NEEDED = ("tbl", "pk", "cid", "site_id", "col_version", "db_version")
+
+
+def _read(value: str = "value") -> Column:
+    return F.from_json(value, WIRE, {"columnNameOfCorruptRecord": "__unread"})
+
+
+def _whole(change: Column) -> Column:
+    """Whether a change has all that it needs, and nothing in it was unreadable."""
+    return change.isNotNull() & change["__unread"].isNull() & reduce(and_, [change[name].isNotNull() for name in _NEEDED])
 
 
 def from_wire(lines: DataFrame) -> DataFrame:
     """Changes from lines of JSON. Lines that are none are not lost: ``rejected_lines`` has them."""
     # each line is parsed once, though its parse is tested and unfolded
-    return lines.select(F.inline(F.filter(F.array(F.from_json("value", CHANGELOG)), _keyed)))
+    return lines.select(F.inline(F.filter(F.array(_read()), _whole))).drop("__unread")
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
-    """(value, reason): lines that are no changes: no JSON object, or one without a table, key or column."""
+    """(value, reason): lines that are no changes: no JSON object, one with a field that can't be read, or without a table, key or column, or without site or versions."""
+    change = F.col("__change")
+    bad = lines.select("value", F.filter(F.array(_read()), lambda c: ~F.coalesce(_whole(c), F.lit(False))).alias("__changes")).filter(F.size("__changes") > 0)
+    bad = bad.withColumn("__change", F.col("__changes")[0])
+    unkeyed = change["tbl"].isNull() | change["pk"].isNull() | change["cid"].isNull()
     reason = F.when(F.col("value").isNull(), "empty").when(~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False)), "no object")
-    bad = lines.filter(F.size(F.filter(F.array(F.from_json("value", CHANGELOG)), _keyed)) == 0)
-    return bad.select("value", reason.otherwise("no key").alias("reason"))
+    return bad.select("value", reason.when(change["__unread"].isNotNull(), "unreadable").when(unkeyed, "no key").otherwise("no version").alias("reason"))
 
 
 class SnapshotStore:

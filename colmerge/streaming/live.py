@@ -1,7 +1,7 @@
 """Streaming forms: a file stream of changes folded into winners, notifications, views and debounced pushes.
 
 The state of conflict resolution has no end by design (a late change may always win), so no watermark is set. The folds that aggregate are
-streaming aggregations; those that need the state of before are ``foreachBatch`` over the snapshot store, each batch new parts of it and a new pointer.
+streaming aggregations; those that need the state of before are ``foreachBatch`` over the log of state, each batch a run of it and a new pointer.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql.types import StructType
 
 from colmerge.operators.notify import notifications
 from colmerge.operators.resolve import winners
-from colmerge.operators.state import merge, merged
-from colmerge.sources.tables import CHANGELOG, TOMBSTONE, SnapshotStore
+from colmerge.operators.state import merged
+from colmerge.sources.statelog import StateLog
+from colmerge.sources.tables import CHANGELOG, TOMBSTONE
 
 EVENTS = StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "double").add("props", "string")
 
@@ -43,28 +44,42 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def apply_stream(changes: DataFrame, store: SnapshotStore, notified: str, checkpoint: str, policy: str, raw: str | None = None) -> None:
-    """Merges a stream of changes into the store, and writes each batch's notifications under ``notified``, and what came, unresolved, under ``raw``.
+def apply_stream(changes: DataFrame, log: StateLog, notified: str, checkpoint: str, policy: str, raw: str | None = None) -> None:
+    """Commits a stream of changes to the log, and writes each batch's notifications under ``notified``, and what came, unresolved, under ``raw``.
 
-    A batch reads and rewrites only those parts of the store that its rows lie in. Merging a batch twice gives the same state. What a batch writes
-    beside it is overwritten, not added, when it is handed on again.
+    The log's ledger has the last batch of each stream (by the id in its checkpoint), and changes in one step with the state. A batch is told against the state
+    before it, then committed. Handed on again before that, it is told once more, in the place of what was written; after that, it is left
+    alone, and what it told stands. ``told`` reads what belongs to committed batches.
     """
     spark = changes.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        delta = batch.select(*[f.name for f in CHANGELOG]).persist()
-        parts = [r["part"] for r in delta.select(store.part().alias("part")).distinct().collect()]  # at most as many as the store has
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if number <= log.committed(stream):
+            return
+        delta = batch.select(*CHANGELOG.names).persist()
         if raw:
-            delta.write.mode("overwrite").parquet(f"{raw}/{number}")
-        state = store.read(parts)
-        state = spark.createDataFrame([], CHANGELOG) if state is None else state
-        notifications(state, delta, policy).write.mode("overwrite").parquet(f"{notified}/{number}")
-        store.write(merge(state, delta), parts)
+            delta.write.mode("overwrite").parquet(f"{raw}/stream={stream}/batch={number}")
+        notifications(log.read(delta.select("tbl", "pk")), delta, policy).write.mode("overwrite").parquet(f"{notified}/stream={stream}/batch={number}")
+        log.commit(delta, number, stream)
+        log.fold()
         delta.unpersist()
 
     run_available(changes, one, checkpoint)
 
 
+def told(log: StateLog, folder: str) -> DataFrame | None:
+    """What ``apply_stream`` wrote under a folder for the batches that are committed, with ``stream`` and ``batch``; None if there are none."""
+    last = log.ledger()
+    if not last:
+        return None
+    rows = log.spark.read.option("basePath", folder).parquet(*[f"{folder}/stream={stream}" for stream in last])
+    done = F.lit(False)
+    for stream, batch in last.items():
+        done = done | ((F.col("stream") == stream) & (F.col("batch") <= batch))
+    return rows.filter(done)
+
+
 class ReactiveRow(StatefulProcessor):
     """A row of a view that follows its notifications: inserts and updates patch cells, a delete drops the row.
 

@@ -10,7 +10,7 @@ from colmerge.functions import addresses as A
 from colmerge.functions import values as V
 from colmerge.operators import peers, stamping, views
 from colmerge.operators.delta import in_order
-from colmerge.sources.tables import CHANGELOG, DELETE_WINS, SnapshotStore, TableMeta, create_if_missing, synced_tables
+from colmerge.sources.tables import CHANGELOG, TableMeta, create_if_missing, synced_tables
 from colmerge.streaming import live
 
 
@@ -193,21 +193,6 @@ def test_catalog_and_views(spark):
     spark.sql("DROP TABLE made_once")
 
 
-def test_streamed_state_equals_batch(spark, tmp_path):
-    rows = [("tasks", f"r{k % 4}", "__deleted" if k % 13 == 12 else "title", None if k % 13 == 12 else str(k), "AB"[k % 2], k % 5 + 1, k % 5 + 1, 0, k) for k in range(60)]
-    for n in range(3):
-        spark.createDataFrame(rows[n::3], CHANGELOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    from colmerge.operators.state import merge
-
-    store = SnapshotStore(spark, str(tmp_path / "store"), parts=5)
-    stream = live.read_files(spark, str(tmp_path / "in"), "*.parquet", CHANGELOG)
-    live.apply_stream(stream, store, str(tmp_path / "told"), str(tmp_path / "at"), DELETE_WINS, raw=str(tmp_path / "raw"))
-    whole = spark.createDataFrame(rows, CHANGELOG)
-    assert sorted(map(str, spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "raw")).collect())) == sorted(map(str, whole.collect()))
-    assert sorted(map(str, store.read().collect())) == sorted(map(str, merge(whole, whole).collect()))
-    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "told")).count() >= 4
-
-
 def test_reactive_view_and_debounced_stream(spark, tmp_path):
     rows = [("t", "r", "a", "1", 1), ("t", "r", "b", "2", 2), ("t", "q", "a", "3", 3), ("t", "r", "__deleted", None, 4), ("t", "r", "b", "5", 5)]
     spark.createDataFrame(rows, "tbl string, pk string, cid string, val string, position long").coalesce(1).write.parquet(str(tmp_path / "in"))

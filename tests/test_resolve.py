@@ -152,6 +152,11 @@ def test_wire_meta_and_snapshots(spark, tmp_path):
     lines = spark.createDataFrame([("no json",), ('{"tbl": "t"}',), ("[1]",), (None,)], "value string").unionByName(to_wire(rows))
     assert from_wire(lines).count() == 2
     assert sorted((r["reason"], r["value"] or "") for r in rejected_lines(lines).collect()) == [("empty", ""), ("no key", '{"tbl": "t"}'), ("no object", "[1]"), ("no object", "no json")]
+    line = to_wire(rows).first()["value"]
+    for old, new, reason in (('"col_version":1', '"col_version":"abc"', "unreadable"), ('"cl":1', '"cl":{}', "unreadable"), ('"col_version":1', '"col_version":null', "no version"), ('"site_id":"A"', '"site_id":null', "no version")):
+        assert old in line
+        bad = spark.createDataFrame([(line.replace(old, new),)], "value string")
+        assert from_wire(bad).count() == 0 and [r["reason"] for r in rejected_lines(bad).collect()] == [reason]
     meta = meta_put(meta_put(spark.createDataFrame([], "key string, value string"), "k", "1"), "k", "2")
     assert [tuple(r) for r in meta.collect()] == [("k", "2")]
     store = SnapshotStore(spark, str(tmp_path / "s"))
