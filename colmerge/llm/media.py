@@ -271,8 +271,26 @@ class _Reader:
             self.cue[kind] = n
 
 
+#: Least and largest values of the columns of packets and cues.
+_SMALL, _LARGE = (-(1 << 31), (1 << 31) - 1), (-(1 << 63), (1 << 63) - 1)
+_RANGES = {Packet: (_SMALL, _SMALL, _LARGE, _LARGE, _LARGE, _LARGE), Cue: (_LARGE, _SMALL, _LARGE, _LARGE)}
+
+
 def read_matroska(data: bytes) -> Stream:
-    """The packet table, cues and tracks of a stream, and where its clusters and blocks lie."""
+    """The packet table, cues and tracks of a stream, and where its clusters and blocks lie; ``ValueError`` for a broken one, or one with numbers beyond the tables' columns."""
+    try:
+        found = _walked(data)
+    except OverflowError as e:
+        raise ValueError(f"a number out of range: {e}") from None
+    for kind, rows in ((Packet, found.packets), (Cue, found.cues)):
+        for name, (least, most), column in zip(kind._fields, _RANGES[kind], zip(*rows, strict=True), strict=False):
+            known = [x for x in column if x is not None]
+            if known and not least <= min(known) <= max(known) <= most:
+                raise ValueError(f"a {kind.__name__.lower()}'s {name} is out of range")
+    return found
+
+
+def _walked(data: bytes) -> Stream:
     reader, at = _Reader(data), 0
     around: list[tuple[int, int, bool]] = []  # the masters that are open: id, end, unknown size
 

@@ -120,6 +120,52 @@ def test_random_bytes_are_refused_or_read():
             pass
 
 
+def out_of_range():
+    """Streams that are well formed but hold numbers beyond what the tables can."""
+    e, n = media.element, media.number
+    block = e(media.SIMPLE_BLOCK, b"\x81\x00\x05\x80abc")
+
+    def stream(*parts):
+        return e(media.SEGMENT, b"".join(parts))
+
+    def audio(rate):
+        return e(media.AUDIO, e(media.SAMPLING, struct.pack(">d", rate)) + n(media.BIT_DEPTH, 8))
+
+    def track(*parts):
+        return e(media.TRACKS, e(media.TRACK_ENTRY, n(media.TRACK_NUMBER, 1) + e(media.CODEC, b"A_PCM/INT/LIT") + b"".join(parts)))
+
+    cluster = e(media.CLUSTER, n(media.TIMESTAMP, 1) + block)
+    yield stream(e(media.CLUSTER, e(media.TIMESTAMP, (1 << 70).to_bytes(9, "big")) + block))
+    yield stream(e(media.CLUSTER, n(media.TIMESTAMP, 0) + e(media.SIMPLE_BLOCK, (1 << 40 | 1 << 42).to_bytes(6, "big") + b"\x00\x05\x80abc")))
+    yield stream(e(media.INFO, n(media.TIMESTAMP_SCALE, 1 << 62)), e(media.CLUSTER, n(media.TIMESTAMP, 1 << 40) + block))
+    yield stream(track(audio(1e-300)), cluster)
+    yield stream(track(audio(float("nan"))), cluster)
+    yield stream(track(n(media.DEFAULT_DURATION, 1 << 63)), cluster)
+    point = e(media.CUE_POSITIONS, n(media.CUE_CLUSTER, 1) + n(media.CUE_TRACK, 1 << 40))
+    yield stream(cluster, e(media.CUES, e(media.CUE_POINT, n(media.CUE_TIME, 1) + point)))
+    yield stream(cluster, e(media.CUES, e(media.CUE_POINT, e(media.CUE_TIME, (1 << 80).to_bytes(11, "big")) + e(media.CUE_POSITIONS, n(media.CUE_CLUSTER, 1)))))
+
+
+def test_numbers_out_of_range_are_refused():
+    for data in out_of_range():
+        with pytest.raises(ValueError):
+            media.read_matroska(data)
+
+
+def test_no_damage_ends_the_job(spark):
+    rng, rows = random.Random(10), list(out_of_range())
+    streams = [media.write_matroska([b"x" * 30, b"y"] * 5, lacing) for lacing in media.LACINGS]
+    for k in range(10_000):
+        data = bytearray(streams[k % len(streams)])
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        rows.append(bytes(data))
+    table = spark.createDataFrame([(k, 1, bytearray(x)) for k, x in enumerate(rows)], "doc_id long, n_bytes long, media binary").repartition(4)
+    got = media.media_features(table).select("doc_id", "error", "payload_bytes").collect()
+    assert len(got) == len(rows) and all((r["error"] is None) != (r["payload_bytes"] is None) for r in got)
+    assert all(r["error"] for r in got if r["doc_id"] < 8)
+
+
 def test_media_and_features_by_hand(spark):
     """The stored form element by element, and features counted one sample after the other."""
     text = "é 0" * 1300
