@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmerge.functions.addresses import address_score, last_peer, tier
-from colmerge.operators.ordering import numbered
+from colmerge.operators.intervals import intervals_at
+from colmerge.operators.ordering import numbered, scanned
 
 #: Age in seconds and failures beyond which a cached address isn't used, and addresses that a peer keeps.
 MAX_AGE, MAX_FAILURES, KEPT_ADDRESSES = 7 * 86_400, 10, 8
@@ -102,14 +103,27 @@ def replaced(snapshots: DataFrame) -> DataFrame:
     return latest(snapshots, ["peer_id"], ["position"], ["addresses"]).select("peer_id", F.explode("addresses").alias("address"))
 
 
-def introductions(members: DataFrame) -> DataFrame:
-    """(topic, newcomer, member): whom a newcomer meets on its topic: members (topic, peer_id, joined) who came before.
+def sessions(announcements: DataFrame, departures: DataFrame) -> DataFrame:
+    """(topic, member, joined, until): from a peer's first announcement (topic, peer_id, position) on a topic to its next departure (peer_id, position), from all topics; null: it stays.
 
-    The rows are the messages that are sent; a topic's members are those present, not all that ever were.
+    The next departure is a running value over a peer's events, latest first, in ranges.
     """
-    new, old = members.alias("n"), members.alias("o")
-    met = new.join(old, (F.col("n.topic") == F.col("o.topic")) & (F.col("o.joined") < F.col("n.joined")) & (F.col("o.peer_id") != F.col("n.peer_id")))
-    return met.select(F.col("n.topic").alias("topic"), F.col("n.peer_id").alias("newcomer"), F.col("o.peer_id").alias("member"))
+    told = announcements.select("topic", "peer_id", "position", F.lit(None).cast("long").alias("left"))
+    left = departures.select(F.lit(None).cast("string").alias("topic"), "peer_id", "position", F.col("position").cast("long").alias("left"))
+    events = told.unionByName(left).withColumn("latest", -F.col("position"))
+    events = scanned(events, ["peer_id"], ["latest"], {"until": ("min", F.col("left"))}, before=True)
+    joined = events.filter("left is null").groupBy("topic", F.col("peer_id").alias("member"), "until").agg(F.min("position").alias("joined"))
+    return joined.select("topic", "member", "joined", "until")
+
+
+def introductions(announcements: DataFrame, departures: DataFrame) -> DataFrame:
+    """(topic, newcomer, position, member): whom each announcement meets: the others on its topic who came before and haven't left.
+
+    An interval join of announcements and sessions; its rows are the messages that are sent.
+    """
+    there = sessions(announcements, departures).withColumn("after", F.col("joined") + 1)
+    met = intervals_at(announcements.select("topic", F.col("peer_id").alias("newcomer"), "position"), there, ["topic"], "position", "after", "until")
+    return met.filter("newcomer <> member").select("topic", "newcomer", "position", "member")
 
 
 def present(events: DataFrame) -> DataFrame:

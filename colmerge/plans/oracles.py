@@ -208,12 +208,12 @@ UNION ALL SELECT c.pk, '__deleted', NULL, max(c.site_id), c.col_version FROM clo
     "fanout": _with(CLOG) + "SELECT DISTINCT c.site_id, c.db_version // 10 AS changeset, p.peer_id FROM clog c, (VALUES ('p0', 's0'), ('p1', 's1'), ('p4', 's4')) p(peer_id, own) WHERE c.site_id <> p.own",
     "peer_version_latest": _with(PEERS) + "SELECT peer_id, max(position) * 3 AS db_version, max(position) AS position FROM told GROUP BY peer_id",
     "peers_by_identity": _with(PEERS) + "SELECT identity, count(DISTINCT peer_id) AS n_peers, string_agg(DISTINCT peer_id, ',' ORDER BY peer_id) AS peers FROM told WHERE identity IS NOT NULL GROUP BY identity",
-    "group_peers": _with(PEERS) + "SELECT DISTINCT peer_id FROM told WHERE peer_id NOT IN ('peer0', 'peer1', 'peer2') AND peer_id NOT IN (SELECT peer_id FROM told WHERE topic = 'error' AND value > 95)",
+    "group_peers": _with(PEERS) + "SELECT DISTINCT peer_id FROM told WHERE peer_id NOT IN ('peer0', 'peer1', 'peer2') AND peer_id NOT IN (SELECT peer_id FROM told WHERE topic = 'error' AND value > 95 AND CAST(peer_id[5:] AS INT) % 3 = 0)",
     "peer_verification": _with(PEERS)
-    + """SELECT peer_id, bool_or(topic = 'purchase' AND value > 90) AND NOT bool_or(topic = 'error' AND value > 95) AS verified, bool_or(topic = 'error' AND value > 95) AS rejected
+    + """SELECT peer_id, bool_or(topic = 'purchase' AND value > 90) AND NOT bool_or(topic = 'error' AND value > 95 AND CAST(peer_id[5:] AS INT) % 3 = 0) AS verified, bool_or(topic = 'error' AND value > 95 AND CAST(peer_id[5:] AS INT) % 3 = 0) AS rejected
 FROM told GROUP BY peer_id""",
     "identity_announced": _with(PEERS)
-    + """, ok AS (SELECT peer_id FROM told GROUP BY peer_id HAVING bool_or(topic = 'purchase' AND value > 90) AND NOT bool_or(topic = 'error' AND value > 95)),
+    + """, ok AS (SELECT peer_id FROM told GROUP BY peer_id HAVING bool_or(topic = 'purchase' AND value > 90) AND NOT bool_or(topic = 'error' AND value > 95 AND CAST(peer_id[5:] AS INT) % 3 = 0)),
 last AS (SELECT *, row_number() OVER (PARTITION BY peer_id ORDER BY position DESC) AS place FROM told WHERE peer_id IN (SELECT peer_id FROM ok))
 SELECT peer_id, identity FROM last WHERE place = 1 AND position % 4 <> 0 AND identity IS NOT NULL""",
     "addr_cache_fold": _with(_CACHE) + "SELECT * FROM cache",
@@ -236,8 +236,11 @@ SELECT peer_id, address, score FROM (SELECT *, row_number() OVER (PARTITION BY p
     "addr_snapshot_replace": _with(PEERS) + "SELECT peer_id, arg_max(address, position) || unnest(['', '/x']) AS address FROM told GROUP BY peer_id",
     "peer_counts": _with(PEERS) + "SELECT count(DISTINCT peer_id) AS peers, count(DISTINCT CASE WHEN identity IS NOT NULL THEN peer_id END) AS known, count(DISTINCT topic) AS topics FROM told",
     "presence_intro": _with(PEERS)
-    + """, m AS (SELECT topic, peer_id, min(position) AS joined FROM told GROUP BY ALL)
-SELECT n.topic, n.peer_id AS newcomer, o.peer_id AS member FROM m n JOIN m o ON n.topic = o.topic AND o.joined < n.joined AND o.peer_id <> n.peer_id""",
+    + """, e AS (
+  SELECT *, min(CASE WHEN value < 30 THEN position END) OVER (PARTITION BY peer_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM told),
+s AS (SELECT topic, peer_id, until, min(position) AS joined FROM e WHERE value >= 30 GROUP BY ALL)
+SELECT a.topic, a.peer_id AS newcomer, a.position, s.peer_id AS member
+FROM e a JOIN s ON a.value >= 30 AND a.topic = s.topic AND s.joined < a.position AND (s.until IS NULL OR a.position < s.until) AND s.peer_id <> a.peer_id""",
     "presence_members": _with(PEERS) + "SELECT topic, peer_id FROM told GROUP BY topic, peer_id HAVING max(position) % 3 <> 0",
     "token_registry": _with(_TOKENS) + "SELECT * FROM tokens",
     "token_fanout": _with(_TOKENS) + "SELECT t.* FROM tokens t, (VALUES ('click', 'peer1'), ('view', 'peer3')) n(topic, sender) WHERE t.topic = n.topic AND t.peer_id <> n.sender",

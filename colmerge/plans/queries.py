@@ -357,8 +357,8 @@ def peers_by_identity(spark, d):
 
 
 def _verdicts(spark, d):
-    """Purchases over 90 verify their peer, errors over 95 reject it."""
-    outcome = F.when((F.col("topic") == "purchase") & (F.col("value") > 90), "verified").when((F.col("topic") == "error") & (F.col("value") > 95), "rejected")
+    """Purchases over 90 verify their peer, errors over 95 reject every third one."""
+    outcome = F.when((F.col("topic") == "purchase") & (F.col("value") > 90), "verified").when((F.col("topic") == "error") & (F.col("value") > 95) & (F.substring("peer_id", 5, 9).cast("int") % 3 == 0), "rejected")
     return peers.verification(_peer_events(spark, d).select("peer_id", outcome.alias("outcome")))
 
 
@@ -453,8 +453,9 @@ def peer_counts(spark, d):
 
 @query
 def presence_intro(spark, d):
-    members = _peer_events(spark, d).groupBy("topic", "peer_id").agg(F.min("position").alias("joined"))
-    return peers.introductions(members)
+    """Events of low value are departures, the others announcements."""
+    events = _peer_events(spark, d)
+    return peers.introductions(events.filter("value >= 30"), events.filter("value < 30"))
 
 
 @query
