@@ -197,6 +197,7 @@ UNION ALL SELECT c.pk, '__deleted', NULL, max(c.site_id), c.col_version FROM clo
     + """SELECT CASE WHEN db_version % 3 = 0 THEN 'no object' WHEN db_version % 7 = 0 THEN 'unreadable' WHEN db_version % 5 = 0 THEN 'no key' WHEN db_version % 11 = 0 THEN 'no version' ELSE 'taken' END AS reason, count(*) AS n FROM olog GROUP BY 1""",
     "changeset_pack": _with(CLOG) + "SELECT site_id, db_version // 10 AS changeset, count(*) AS n_changes, min(db_version) AS first_version, max(db_version) AS last_version FROM clog GROUP BY ALL",
     "changeset_unpack": _with(CLOG) + "SELECT site_id, db_version, pk, cid, val, col_version FROM clog",
+    "frames_round_trip": _with(ORDERS) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM olog",
     "wire_round_trip": _with(ORDERS) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM olog",
     "notifications": _NOTIFIED,
     "notification_filter_row": f"SELECT * FROM ({_NOTIFIED}) WHERE pk = '7'",

@@ -277,6 +277,16 @@ def wire_round_trip(spark, d):
     return from_wire(to_wire(clog_orders(spark, d))).select("pk", "cid", "val", "site_id", "col_version", *_long("seq"), "db_version")
 
 
+@query
+def frames_round_trip(spark, d):
+    """The log as frames of up to 500 changes, in files that are cut at 64 KiB, and back."""
+    from colmerge.sources.frames import frame_lines, read_frames, to_frames, write_frames
+
+    out = shared_folder(spark)
+    write_frames(to_frames(clog_orders(spark, d), 500), out, split=1 << 16)
+    return from_wire(frame_lines(read_frames(spark, out))).select("pk", "cid", "val", "site_id", "col_version", *_long("seq"), "db_version")
+
+
 @query
 def notifications(spark, d):
     log = clog_events(spark, d).drop("event_id")
