@@ -7,13 +7,14 @@
    a pair at the threshold is missed with a probability of ``MISS``.
 4. First pass: a band's first class is its head. Each class is verified against one head, the one with which it shares most bands. So a group
    of near copies costs one look at each of them, however large it is.
-5. Second pass: only bands whose classes the first pass left in two or more components are looked at again, and in them only classes of different
-   components meet: a component of many classes is cut into blocks of its own, the small ones share blocks, and two blocks of bounded size form
-   a group. Bands with the same classes are looked at once.
-6. Where classes meet, the share of equal registers, less those that agree by chance given the sizes of the two sets, orders the pairs and prunes those
-   that are unlikely (a pair at the threshold with a probability of ``PRUNED``); the others are verified on whole sets unless connected already.
-   The components of the verified links are the result: pairs within a component need no check of their own, so no link between components is lost
-   (but with the two probabilities stated) and no pairs are listed.
+5. Second pass: only classes of bands that the first pass left in two or more components are looked at again. Two of them meet where they have one
+   of their rarest shingles in common, which every pair at the threshold has (``prefix_keys``), and only if their components differ: a component of many
+   classes is cut into blocks of its own, the small ones share blocks, and two blocks of bounded size form a group. Keys with the same
+   classes are looked at once.
+6. Where classes meet, pairs whose sizes allow it and that aren't connected yet are verified on whole sets, in the order of the share of equal registers,
+   less those that agree by chance given the sizes of the two sets. Registers order the pairs and rule none out. The components of the
+   verified links are the result: pairs within a component need no check of their own, so no link between components is lost (but with the
+   bands' probability) and no pairs are listed.
 
 Cases: documents without words (null text too) have an empty set and are linked with nothing; with fewer words than a shingle has, the
 whole sequence is the one shingle; repeated rows are copies; a null id is never smallest unless all ids of the component are null; an empty table
@@ -36,8 +37,8 @@ from colmerge.llm.common import content_keys, unused, written
 from colmerge.llm.components import components
 from colmerge.llm.textvec import Words, gram_at, gram_starts, gram_sums, lower_ascii, mix, slices, text_column
 
-#: Registers in a band, the chances to miss a pair at the threshold by bands and by pruning, mantissa bits of a register.
-ROWS, MISS, PRUNED, MANTISSA = 6, 1e-7, 1e-9, 10
+#: Registers in a band, the chance to miss a pair at the threshold by bands, mantissa bits of a register, counts that tell how rare shingles are.
+ROWS, MISS, MANTISSA, RARITIES = 6, 1e-7, 10, 1 << 20
 #: Members of a block, and shingles of all its members (16 MB), on average; a single longer set is a block's own.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Members that meet one copy of their head in the first pass, on average.
@@ -130,18 +131,6 @@ def estimate(agree: np.ndarray, k: int, sizes: np.ndarray | float = 1.0, others:
     return ((agree / k) - chance) / (1 - chance)
 
 
-@lru_cache(maxsize=8)
-def least_agreeing(threshold: float, k: int) -> int:
-    """The number of equal registers that a pair at the threshold has at least, but for a probability of ``PRUNED``."""
-    below, c = 0.0, 0
-    while True:
-        log = math.lgamma(k + 1) - math.lgamma(c + 1) - math.lgamma(k - c + 1) + c * math.log(threshold) + (k - c) * math.log(1 - threshold)
-        below += math.exp(log)
-        if below > PRUNED:
-            return c
-        c += 1
-
-
 def signatures(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(key_a, key_b, id, n_shingles, set_a, set_b, bands) of (key_a, key_b, id, text): 128 bits name the set; an empty set has no bands."""
     k = ROWS * bands_for(threshold)
@@ -192,29 +181,31 @@ def _linked(sides: np.ndarray, components: np.ndarray, sets: list[np.ndarray], t
             parent[x] = x = parent[parent[x]]
         return x
 
+    # numbers of the group's distinct shingles, so that those that a set shares with others are counted in one step
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(numbers), bool)
     same = sides[0] == 0
     left = np.arange(len(sets)) if same else np.flatnonzero(sides == 1)
     right = left if same else np.flatnonzero(sides == 2)
-    least = least_agreeing(threshold, k) / k
     found = []
-    for at in range(0, len(left), 64):
-        part = left[at : at + 64]
-        agree = np.stack([(codes[right] == codes[i]).sum(axis=1) for i in part]) if len(right) else np.zeros((len(part), 0))
-        likely = estimate(agree, k, sizes[part][:, None], sizes[right])
-        smaller, larger = np.minimum(sizes[part][:, None], sizes[right]), np.maximum(sizes[part][:, None], sizes[right])
-        # agreement by chance adds registers, so the number itself is compared
-        wanted = (agree / k >= least) & (smaller >= threshold * larger - 1e-9) & (components[part][:, None] != components[right])
-        if same:
-            wanted &= part[:, None] < right
-        i, j = np.nonzero(wanted)
-        for o in np.argsort(-likely[i, j], kind="stable"):
-            a, b = int(part[i[o]]), int(right[j[o]])
-            x, y = find(int(components[a])), find(int(components[b]))
+    for i in left:
+        others = right[(right > i) | (not same)]
+        others = others[[find(int(c)) != find(int(components[i])) for c in components[others]]] if len(others) else others
+        smaller, larger = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+        others = others[smaller >= threshold * larger - 1e-9]
+        if not len(others):
+            continue
+        # the most alike come first, as their links spare most others; the exact count decides
+        likely = estimate((codes[others] == codes[i]).sum(axis=1), k, sizes[i], sizes[others])
+        others = others[np.argsort(-likely, kind="stable")]
+        mark[numbers[first[i] : first[i + 1]]] = True
+        both = np.array([np.count_nonzero(mark[numbers[first[j] : first[j + 1]]]) for j in others])
+        mark[numbers[first[i] : first[i + 1]]] = False
+        for j in others[both >= threshold * (sizes[i] + sizes[others] - both) - 1e-9]:
+            x, y = find(int(components[i])), find(int(components[j]))
             if x != y:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9:
-                    parent[x] = y
-                    found.append((int(components[a]), int(components[b])))
+                parent[x] = y
+                found.append((int(components[i]), int(components[j])))
     return found
 
 
@@ -259,8 +250,55 @@ def head_groups(met: DataFrame, sizes: DataFrame) -> DataFrame:
     return members.unionByName(heads).withColumn("component", F.col("row"))
 
 
+def prefix_keys(shingles: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(band, row): for each of ``rows`` (row) the hashes of its rarest shingles, so many that two sets at the threshold have one of them in common.
+
+    Of ``size`` shingles such a set shares ``threshold * size`` at least, so one of any other ``size - threshold * size`` + 1 is shared; with one order of all
+    shingles, the first shared one is among the first so many of both. Any order is right; rare ones first let few meet. How rare a
+    shingle is tells a table of ``RARITIES`` counts over these rows, summed by task and then in all.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(RARITIES, np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                np.add.at(sums, _rarity_bins(np.frombuffer(data.as_buffer(), np.uint64)), 1)
+        used = np.flatnonzero(sums)
+        for low in range(0, len(used), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(used[low : low + (1 << 16)]), pa.array(sums[used[low : low + (1 << 16)]])], ["bin", "n"])
+
+    own = written(shingles.join(rows, "row", "left_semi").select("row", "shingles"))
+    counted = own.select("shingles").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # RARITIES rows at most
+    table = np.zeros(RARITIES, np.int64)
+    table[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    shared = shingles.sparkSession.sparkContext.broadcast(table)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            keys = [np.zeros(0, np.int64)]
+            for data in batch.column(1):
+                hashes = np.frombuffer(data.as_buffer(), np.uint64)
+                prefix = len(hashes) - math.ceil(threshold * len(hashes) - 1e-9) + 1
+                keys.append(hashes[np.lexsort((hashes, rarity[_rarity_bins(hashes)]))[:prefix]].view(np.int64))
+            whole = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(whole)], ["band", "row"])
+
+    return own.mapInArrow(choose, "band long, row long")
+
+
+def _rarity_bins(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes, 12) % np.uint64(RARITIES)).astype(np.int64)
+
+
+def split_rows(known: DataFrame) -> DataFrame:
+    """(row): classes of ``known`` (band, row, component) of which a band is held by several components."""
+    bands = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    return known.join(written(bands), "band", "left_semi").select("row").distinct()
+
+
 def rest_groups(known: DataFrame) -> DataFrame:
-    """Groups of the second pass from ``known`` (band, row, component, n_shingles): classes of a band that different components hold."""
+    """Groups of the second pass from ``known`` (band, row, component, n_shingles; ``band`` is any key): classes of a key that different components hold."""
     bands = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("row") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("row")).alias("xor"))
     bands = written(bands.filter("low <> high").groupBy("n", "sum", "xor").agg(F.min("band").alias("band")).select("band"))
     known = written(known.join(bands, "band"))
@@ -302,8 +340,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_colu
     members = met.select("row").distinct().join(classes.select("row", "first.key_a", "first.key_b"), "row")
     shingles = written(shingle_table(keyed.select("key_a", "key_b", "text"), members, n))
     once = components(verified(head_groups(met, sizes), shingles, threshold)).withColumnsRenamed({"node": "row"})
-    known = sizes.join(once, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    twice = components(verified(rest_groups(met.select("band", "row").join(known, "row")), shingles, threshold)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    known = written(sizes.join(once, "row", "left").withColumn("component", F.coalesce("component", "row")))
+    again = written(split_rows(met.select("band", "row").join(known, "row")))
+    twice = components(verified(rest_groups(prefix_keys(shingles, again, threshold).join(known, "row")), shingles, threshold)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     named = classes.select("set_a", "set_b", "row", "first").join(once, "row", "left").withColumn("component", F.coalesce("component", "row"))
     named = written(named.join(written(twice), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"))
     best = named.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n")).filter("n > 1")

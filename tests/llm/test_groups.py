@@ -159,11 +159,65 @@ def test_registers_that_agree_by_chance_are_taken_off(size, other):
     assert abs(nd.estimate(agree, k, size, other).mean()) < 8 * error < raw  # without the correction it would be off by raw
 
 
-def test_pruning_loses_no_more_than_stated():
-    k = 6 * nd.bands_for(0.85)
-    least = nd.least_agreeing(0.85, k)
-    below = sum(math.comb(k, c) * 0.85**c * 0.15 ** (k - c) for c in range(least))
-    assert below <= nd.PRUNED < below + math.comb(k, least) * 0.85**least * 0.15 ** (k - least)
+def test_registers_rule_no_pair_out(monkeypatch):
+    """Whatever the registers say, each pair at the threshold is linked."""
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(60, rng.integers(25, 50), replace=False)).astype(np.uint64) for _ in range(60)]
+    monkeypatch.setattr(nd, "estimate", lambda agree, *_: rng.random(len(agree)))
+    monkeypatch.setattr(nd, "registers", lambda hashes, first, k: np.arange((len(first) - 1) * k).reshape(-1, k))
+    for sides in (np.zeros(60, int), np.repeat([1, 2], 30)):
+        links = nd._linked(sides, np.arange(60), sets, 0.65, 12)
+        told = [(i, j) for i in range(60) for j in range(i) if (sides[i] == 0 or sides[i] != sides[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.65 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+        whole = {frozenset(x) for x in groups_of(told, 60)}
+        assert len(told) > 20 and {frozenset(x) for x in groups_of(links, 60)} == whole
+
+
+def groups_of(links, n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    out = collections.defaultdict(list)
+    for k in range(n):
+        out[find(k)].append(k)
+    return out.values()
+
+
+def test_pairs_at_the_threshold_have_a_rare_shingle_in_common(spark):
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**64, 80, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, 70, replace=False), rng.integers(0, 2**64, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(60)] + [common[:1], common[:2], common[:1]]
+    table = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "row long, shingles binary").repartition(3)
+    for threshold in (0.6, 0.85, 1.0):
+        keys = collections.defaultdict(set)
+        for r in nd.prefix_keys(table, table.select("row"), threshold).collect():
+            keys[r["row"]].add(r["band"])
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= threshold * len(np.union1d(sets[i], sets[j])) - 1e-9]
+        assert near and all(keys[i] & keys[j] for i, j in near)
+        assert all(len(keys[k]) == len(x) - math.ceil(threshold * len(x) - 1e-9) + 1 for k, x in enumerate(sets))
+
+
+def test_texts_just_below_the_threshold_hardly_meet(spark):
+    """A family of which no two are alike enough: what meets in the second pass grows with the family, not with its square."""
+    rng, counts = random.Random(7), []
+    words = [f"w{k}" for k in range(200)]
+    for size in (200, 400):
+        texts = []
+        for k in range(size):
+            own = list(words)
+            for at in rng.sample(range(200), 14):
+                own[at] = f"x{k}y{at}"
+            texts.append((k, k, k, " ".join(own)))
+        keyed = spark.createDataFrame(texts, "key_a long, key_b long, id long, text string")
+        known = keyed.selectExpr("id as row", "id as component", "198L as n_shingles")
+        shingles = nd.shingle_table(keyed, keyed.selectExpr("id as row", "key_a", "key_b"), 3)
+        counts.append(nd.rest_groups(nd.prefix_keys(shingles, known.select("row"), 0.85).join(known, "row")).count())
+    assert counts[1] <= 2.2 * counts[0] + 100 and counts[1] < 400
 
 
 def test_components(spark):
