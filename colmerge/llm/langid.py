@@ -6,7 +6,8 @@ language over all labelled rows, by partial sums in the tasks. The model is one
 Prediction: a word's likelihood under a language is the product of its trigrams' probabilities. Expectation-maximisation estimates the
 proportions of the languages over the document's words, until a round raises the log-likelihood by no more than ``TOLERANCE``. Languages are
 ranked by proportion; for the first 1, 2, ... of them the mixture is fitted again, and the set with the best penalised likelihood (-2 log-likelihood
-+ number of free proportions * log words) is chosen. A document's search ends after ``PATIENCE`` sets in a row that are no better, or with all languages.
++ number of free proportions * log words) is chosen. A document's search ends where no larger set can be better: the likelihood of any mixture is bounded from the
+one of all languages (the log-likelihood is concave in the proportions), and the penalty grows with the set.
 
 Whether a text is in the learned languages at all is told by its evidence: the mixture's log-likelihood per trigram, less that of a background in which
 all bins are as likely. ``least_evidence`` learns from the labelled rows' counts how much of it there must be.
@@ -34,7 +35,7 @@ BINS = 1 << 14
 SMOOTHING = 0.5
 #: Languages that one model may have: a hard error beyond, as the model is held by every task.
 MOST_LANGUAGES = 1000
-TOLERANCE, PATIENCE = 1e-3, 3
+TOLERANCE = 1e-3
 #: Standard errors that a text's evidence must lie below the least to count as foreign, so that short texts aren't rejected by chance.
 SURE = 3.0
 UNDETERMINED = "und"
@@ -118,6 +119,17 @@ def _fit(likely: np.ndarray, words: np.ndarray, share: np.ndarray) -> tuple[np.n
     return share, total
 
 
+def _most_likely(likely: np.ndarray, words: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """A bound on the log-likelihood of each document under any mixture, from that of ``share``.
+
+    With gradients g, no mixture's likelihood is more than (max g / n) ** n times that of ``share``: by Jensen, for n words.
+    """
+    first = np.cumsum(words) - words
+    sums = (likely * np.repeat(share, words, axis=0)).sum(axis=1)
+    gradient = np.add.reduceat(likely / sums[:, None], first, axis=0).max(axis=1)
+    return np.add.reduceat(np.log(sums), first) + words * np.log(gradient / words)
+
+
 def least_evidence(model: Model) -> tuple[float, float]:
     """(evidence that a text in the learned languages has at least, standard deviation of one trigram's).
 
@@ -162,8 +174,11 @@ def fitted(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndar
     likelihood = single.max(axis=1)
     cost = -2 * likelihood
     order = np.argsort(-full, axis=1, kind="stable")
-    at, worse = np.arange(len(used)), np.zeros(len(used), int)
+    at, most = np.arange(len(used)), _most_likely(likely, words, full) + fixed
     for k in range(2, len(model.languages) + 1):
+        # sets of k or more languages that may still be better, by more than rounding
+        open_ = -2 * most[at] + (k - 1) * np.log(words[at]) < cost[at] - 1e-9 * np.abs(cost[at])
+        likely, at = likely[np.repeat(open_, words[at])], at[open_]
         if not len(at):
             break
         chosen = order[at, :k]
@@ -174,9 +189,6 @@ def fitted(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndar
         found = at[better]
         cost[found], best[found], likelihood[found] = now[better], 0.0, (total + fixed[at])[better]
         best[found[:, None], chosen[better]] = share[better]
-        worse[at] = np.where(better, 0, worse[at] + 1)
-        open_ = worse[at] < PATIENCE
-        likely, at = likely[np.repeat(open_, words[at])], at[open_]
     shares[used], sizes = best, np.bincount(row, minlength=len(shares))
     evidence[used] = likelihood / sizes[used] + np.log(BINS)
     return shares, evidence, sizes

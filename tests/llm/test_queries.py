@@ -75,7 +75,7 @@ def test_op3(spark, texts):
 
 
 def brute_mixture(text, logs):
-    """Shares of the languages by expectation-maximisation in plain loops, and a choice of languages by penalised likelihood."""
+    """Shares of the languages by expectation-maximisation in plain loops, and the best of all sets by rank by penalised likelihood."""
     words = []
     for word in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
         word = re.sub(rb"[A-Z]", lambda m: m[0].lower(), word)
@@ -99,18 +99,14 @@ def brute_mixture(text, logs):
     n = logs.shape[1]
     single = [sum(w[k] for w in words) for k in range(n)]
     full, _ = fit(range(n), [1 / n] * n)
-    best, cost, worse = {max(range(n), key=lambda k: single[k]): 1.0}, -2 * max(single), 0
+    best, cost = {max(range(n), key=lambda k: single[k]): 1.0}, -2 * max(single)
     order = sorted(range(n), key=lambda k: -full[k])
     for size in range(2, n + 1):
         start = [max(full[k], 1e-9) for k in order[:size]]
         share, total = fit(order[:size], [s / sum(start) for s in start])
         now = -2 * total + (size - 1) * math.log(len(words))
         if now < cost:
-            best, cost, worse = dict(zip(order[:size], share, strict=True)), now, 0
-        else:
-            worse += 1
-        if worse == langid.PATIENCE:
-            break
+            best, cost = dict(zip(order[:size], share, strict=True)), now
     return best
 
 

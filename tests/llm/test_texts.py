@@ -320,3 +320,29 @@ def test_words_and_slices():
             w = textvec.Words(data, offsets)
             got = [[bytes(data[s:e]).decode() for s, e in zip(w.start[a:b], w.end[a:b], strict=True)] for a, b in zip(w.first, w.first[1:], strict=False)]
             assert got == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts[at:end]]
+
+
+def test_no_set_of_languages_is_more_likely_than_the_bound():
+    rng = np.random.default_rng(6)
+    for n_words in (1, 2, 7, 60):
+        likely = rng.random((n_words, 5)) ** 4
+        words = np.array([n_words])
+        full, total = langid._fit(likely, words, np.full((1, 5), 0.2))
+        bound = langid._most_likely(likely, words, full)
+        assert bound[0] >= total[0] - 1e-9
+        for share in rng.dirichlet([0.3] * 5, 300):
+            assert np.log(likely @ share).sum() <= bound[0] + 1e-9
+
+
+def test_a_better_set_behind_worse_ones_is_found():
+    """Seven languages of which single ones and small sets explain a text badly, so that several sets in a row are no better."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(chr(97 + (7 * k + x) % 26) if x else " " for x in rng.integers(0, 5, 900)) for k in range(7)]
+    logs = np.full((langid.BINS, 7), 0.5)
+    for k, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        np.add.at(logs[:, k], langid.trigrams(data, np.array([0, len(data)]))[0], 1)
+    model = langid.Model([f"l{k}" for k in range(7)], np.log(logs / logs.sum(axis=0)).astype(np.float32))
+    data = np.frombuffer(" ".join(t[:60] for t in texts).encode(), np.uint8)
+    shares = langid.mixtures(data, np.array([0, len(data)]), model)[0]
+    assert (shares > 0.05).sum() >= 6
