@@ -180,6 +180,9 @@ known AS (
   SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, CASE WHEN event_id % 3 = 1 AND site_id = 's2' THEN 's1' ELSE site_id END AS site_id, max(db_version - event_id % 7) AS seen
   FROM clog GROUP BY 1, 2)
 SELECT p.peer_id, vv.site_id, vv.v - coalesce(k.seen, 0) AS lag FROM (SELECT DISTINCT peer_id FROM known) p CROSS JOIN vv LEFT JOIN known k ON k.peer_id = p.peer_id AND k.site_id = vv.site_id""",
+    "stored_changes_since": _with(CLOG) + "SELECT pk, cid, val, site_id, col_version, seq, db_version FROM clog WHERE db_version > 100",
+    "stored_catch_up": _with(CLOG)
+    + "SELECT p.peer_id, pk, cid, val, site_id, db_version FROM clog, (VALUES ('p1', 100), ('p2', 130), ('p3', 1000000)) p(peer_id, seen) WHERE db_version > p.seen",
     "catch_up": _with(CLOG)
     + "SELECT p.peer_id, pk, cid, val, site_id, db_version FROM clog, (VALUES ('p0', 0), ('p1', 100), ('p2', 0), ('p3', 1000000)) p(peer_id, seen) WHERE db_version > p.seen",
     "peer_offsets": _with(CLOG) + "SELECT 'p' || CAST(event_id % 3 AS VARCHAR) AS peer_id, max(greatest(db_version - event_id % 7, db_version - event_id % 5)) AS db_version FROM clog GROUP BY 1",

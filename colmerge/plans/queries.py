@@ -17,6 +17,7 @@ from colmerge.plans.oracles import SQL
 from colmerge.sources.shared import shared_folder
 from colmerge.sources.statelog import StateLog
 from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, rejected_lines, table, to_wire, unpivoted
+from colmerge.sources.versionlog import VersionLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,6 +199,25 @@ def catch_up(spark, d):
     return D.catch_up(clog_events(spark, d), known).select("peer_id", "pk", "cid", "val", "site_id", "db_version")
 
 
+def _stored_log(spark, d) -> VersionLog:
+    """The events' log in ranges of 64 versions, appended in three parts."""
+    log, store = clog_events(spark, d).drop("event_id"), VersionLog(spark, shared_folder(spark), width=64)
+    for k in range(3):
+        store.append(log.filter(F.col("db_version") % 3 == k))
+    return store
+
+
+@query
+def stored_changes_since(spark, d):
+    return _stored_log(spark, d).since(SINCE).select("pk", "cid", "val", "site_id", "col_version", *_long("seq"), "db_version")
+
+
+@query
+def stored_catch_up(spark, d):
+    known = spark.createDataFrame([("p1", 100), ("p2", 130), ("p3", 1_000_000)], "peer_id string, db_version long")
+    return _stored_log(spark, d).catch_up(known).select("peer_id", "pk", "cid", "val", "site_id", "db_version")
+
+
 @query
 def peer_offsets(spark, d):
     log = clog_events(spark, d).withColumn("peer_id", F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 
@@ -10,39 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colmerge.sources.pointers import Pointed
 from colmerge.sources.tables import CHANGELOG
 
 
-class StateLog:
+class StateLog(Pointed):
     """State in runs: each commit adds one, of the cells that it brings; reads merge the runs; folding merges runs of one level into one of a higher level.
 
     A run's level is the logarithm, by ``ratio``, of its number of rows over ``least``. Once a level has ``ratio`` runs, ``fold`` merges them. So each row is
     rewritten once a level, and a read merges at most ``ratio`` runs a level. A run lies in buckets by a hash of its rows' keys, a power of two of
     them that follows its size; a read for some keys opens only their buckets.
 
-    A pointer names the runs, and the last batch of each stream that has been committed: state and ledger change in one step, the writing of the next
-    pointer. No number and no folder is used twice, and the largest pointer that was written to its end counts: whenever a write breaks off, a reader
-    sees the state and the ledger of before. One writer at a time.
+    A pointer names the runs, and the last batch of each stream that has been committed: state and ledger change in one step.
     """
 
     def __init__(self, spark: SparkSession, path: str, ratio: int = 4, least: int = 1 << 16, bucket_rows: int = 1 << 20):
         if ratio < 2:
             raise ValueError("the ratio of levels must be 2 at least")
-        self.spark, self.path, self.ratio, self.least, self.bucket_rows = spark, path.rstrip("/"), ratio, least, bucket_rows
+        super().__init__(spark, path)
+        self.ratio, self.least, self.bucket_rows = ratio, least, bucket_rows
 
-    def _files(self, pattern: str) -> list:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        self._system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [x.getPath() for x in self._system.globStatus(folder) or []]
+    def _named(self, pointer: dict) -> set[str]:
+        return {run["folder"] for run in pointer["runs"]}
 
     def _pointer(self) -> dict:
-        done = sorted(p.getParent().getName() for p in self._files("pointer-*/_SUCCESS"))
-        return json.loads(self.spark.read.text(f"{self.path}/{done[-1]}").first()["value"]) if done else {"number": -1, "runs": [], "ledger": {}}
-
-    def _point(self, pointer: dict) -> None:
-        pointer["number"] += 1
-        line = self.spark.createDataFrame([(json.dumps(pointer),)], "value string").coalesce(1)
-        line.write.text(f"{self.path}/pointer-{pointer['number']:012d}-{uuid.uuid4().hex}")
+        return {"runs": [], "ledger": {}} | super()._pointer()
 
     def _level(self, rows: int) -> int:
         return max(0, math.floor(math.log(max(rows, 1) / self.least, self.ratio)) + 1) if rows > self.least else 0
@@ -127,12 +118,3 @@ class StateLog:
             wrote += new["rows"]
             pointer["runs"] = [new, *(run for run in pointer["runs"] if run not in old)]
             self._point(pointer)
-
-    def vacuum(self) -> None:
-        """Deletes pointers but the current one and the one before, and runs that neither names. No reader of an older state may be left."""
-        done = sorted(self._files("pointer-*/_SUCCESS"), key=lambda p: p.getParent().getName())
-        kept = [p.getParent() for p in done[-2:]]
-        named = {run["folder"] for p in kept for run in json.loads(self.spark.read.text(p.toString()).first()["value"])["runs"]}
-        for p in self._files("pointer-*") + self._files("run-*"):
-            if p.getName() not in named | {k.getName() for k in kept}:
-                self._system.delete(p, True)
