@@ -10,7 +10,7 @@
 5. Second pass: only classes of bands that the first pass left in two or more components are looked at again. Two of them meet where they have one
    of their rarest shingles in common, which every pair at the threshold has (``prefix_keys``), and only if their components differ: a component of many
    classes is cut into blocks of its own, the small ones share blocks, and two blocks of bounded size form a group. Keys with the same
-   classes are looked at once.
+   classes are looked at once. Sets come only to groups in which a class has a band in common with one of another component.
 6. Where classes meet, pairs whose sizes allow it and that aren't connected yet are verified on whole sets, in the order of the share of equal registers,
    less those that agree by chance given the sizes of the two sets. Registers order the pairs and rule none out. The components of the
    verified links are the result: pairs within a component need no check of their own, so no link between components is lost (but with the
@@ -234,6 +234,41 @@ def verified(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return whole.repartition("group").sortWithinPartitions("group", "side").mapInArrow(verify, "a long, b long")
 
 
+def promising(groups: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``groups`` that have, in their group, a class of another component with a band in common and a size that the threshold allows.
+
+    ``signs`` has (row, n_shingles, bands). Bands are a small part of a set, so sets travel only to where they are looked at.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def done() -> pa.RecordBatch:
+            sides, rows, names, sizes = (np.array([x[c] for x in held]) for c in range(4))
+            bands = np.stack([x[4] for x in held]) if held else np.zeros((0, 1))
+            kept = np.zeros(len(held), bool)
+            for i in range(len(held)):
+                other = (names != names[i]) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i]) - 1e-9)
+                if sides[i]:
+                    other &= sides != sides[i]
+                other = np.flatnonzero(other)
+                kept[i] = (bands[other] == bands[i]).any()
+            return pa.RecordBatch.from_arrays([pa.array([group] * int(kept.sum()), pa.int64()), *[pa.array(np.asarray(c[kept], np.int64)).cast(k) for c, k in ((sides, pa.int32()), (rows, pa.int64()), (names, pa.int64()))]], ["group", "side", "row", "component"])
+
+        for batch in batches:
+            keys, bands = batch.column(0).to_pylist(), batch.column(5)
+            columns = [batch.column(c).to_pylist() for c in range(1, 5)]
+            for k, key in enumerate(keys):
+                if key != group:
+                    yield done()
+                    group, held = key, []
+                held.append((*[c[k] for c in columns], bands[k].values.to_numpy()))
+        yield done()
+
+    whole = groups.join(signs, "row").select("group", "side", "row", "component", "n_shingles", "bands")
+    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(choose, "group long, side int, row long, component long")
+
+
 def _blocks(count: Column, shingles: Column, block: int) -> Column:
     """The number of blocks for so many classes and shingles."""
     return F.ceil(F.greatest(count / F.lit(block), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
@@ -342,7 +377,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_colu
     once = components(verified(head_groups(met, sizes), shingles, threshold)).withColumnsRenamed({"node": "row"})
     known = written(sizes.join(once, "row", "left").withColumn("component", F.coalesce("component", "row")))
     again = written(split_rows(met.select("band", "row").join(known, "row")))
-    twice = components(verified(rest_groups(prefix_keys(shingles, again, threshold).join(known, "row")), shingles, threshold)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    groups = rest_groups(prefix_keys(shingles, again, threshold).join(known, "row"))
+    groups = promising(groups, classes.select("row", "n_shingles", "bands"), threshold)
+    twice = components(verified(groups, shingles, threshold)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     named = classes.select("set_a", "set_b", "row", "first").join(once, "row", "left").withColumn("component", F.coalesce("component", "row"))
     named = written(named.join(written(twice), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"))
     best = named.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("n")).filter("n > 1")

@@ -380,3 +380,17 @@ def test_neighbours_awkward(spark):
     five = 5**0.5
     assert got == [(0, 1, 200, five), (0, 2, 202, five), (0, 3, 203, 6**0.5), (200, 1, 203, 1.0), (200, 2, 0, five), (200, 3, 202, 4.0), (500, 1, 501, 1.0)]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_only_classes_with_a_band_in_common_are_promising(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([1, 2]) if g % 2 else 0, 100 * g + k, 100 * g + k // 2, rng.randrange(80, 121), [rng.randrange(12) + 100 * b for b in range(3)]) for g in range(8) for k in range(20)]
+    table = spark.createDataFrame(rows, "group long, side int, row long, component long, n_shingles long, bands array<long>")
+    got = nd.promising(table.select("group", "side", "row", "component"), table.select("row", "n_shingles", "bands"), 0.9).collect()
+
+    def meet(a, b):
+        sides = a[0] == b[0] and (a[1] == 0 or a[1] != b[1])
+        return sides and a[3] != b[3] and min(a[4], b[4]) >= 0.9 * max(a[4], b[4]) and any(x == y for x, y in zip(a[5], b[5], strict=True))
+
+    assert sorted(map(tuple, got)) == sorted(a[:4] for a in rows if any(meet(a, b) for b in rows))
+    assert 0 < len(got) < len(rows)
