@@ -307,6 +307,7 @@ f AS (
   FROM (SELECT *, len(list_filter(ats, lambda x: x < fired_at + 3600)) AS w FROM f) WHERE w > k OR k < len(ats))
 SELECT topic, fired_at, edge, position FROM f""",
 }
+SQL |= {"stream_debounce": SQL["push_debounce"], "stream_sync_outcome": SQL["sync_outcome_in_time"], "stream_view_from_snapshot": SQL["reactive_table"]}
 
 
 def _replay_sql() -> str:

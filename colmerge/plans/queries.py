@@ -750,6 +750,71 @@ def stream_event_counts(spark, d):
     return spark.read.parquet(f"{out}/counts")
 
 
+def _in_slices(spark, rows: DataFrame, at: str, folder: str, n: int = 3) -> DataFrame:
+    """A stream of the rows in files by slices of time, and of one row long after all others, which lets the watermark pass them."""
+    bounds = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    width = (bounds["high"] - bounds["low"]).total_seconds() / n + 1
+    seconds = F.unix_micros(at) / 1_000_000 - F.unix_micros(F.lit(bounds["low"])) / 1_000_000
+    for k in range(n):
+        rows.filter(F.floor(seconds / width) == k).coalesce(1).write.mode("append").parquet(folder)
+    rows.limit(1).withColumn(at, F.lit(bounds["high"]) + F.expr("INTERVAL 900 DAYS")).withColumn("position", F.lit(-1).cast("long")).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _appended(stream: DataFrame, out: str) -> DataFrame:
+    """All that a stream in append mode gives."""
+    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query
+def stream_debounce(spark, d):
+    """Debounced pushes of a stream, by the events' times."""
+    from colmerge.streaming.live import debounced_by_time
+
+    out = shared_folder(spark)
+    at = F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("topic"), at.alias("at"), F.col("event_id").alias("position"))
+    pushes = _appended(debounced_by_time(_in_slices(spark, rows, "at", f"{out}/in"), 3_600_000, "1 hour"), out)
+    return pushes.filter("position >= 0").select("topic", (F.col("fired_at") / 1000).cast("long").alias("fired_at"), "edge", "position")
+
+
+@query
+def stream_sync_outcome(spark, d):
+    """Outcomes of runs as a stream tells them, an event a second; from the second day on, as a stream begins with a watermark at time 0."""
+    from colmerge.streaming.live import outcomes_by_time
+
+    out = shared_folder(spark)
+    rows = _runs(spark, d).select("run_id", "event_type", F.timestamp_seconds(F.col("at") + 86_400).alias("at"), F.col("at").cast("long").alias("position"))
+    return _appended(outcomes_by_time(_in_slices(spark, rows, "at", f"{out}/in"), 2000, 12_000, "1 minute"), out)
+
+
+@query
+def stream_view_from_snapshot(spark, d):
+    """A view that loads the cells of the first half of the events and follows the second."""
+    from colmerge.streaming.live import reactive_view, read_files
+
+    out = shared_folder(spark)
+    events = clog_events(spark, d).select("tbl", "pk", "cid", "val", F.col("event_id").alias("position"))
+    half = events.count() // 2
+    first, rest = events.filter(F.col("position") < half), events.filter(F.col("position") >= half)
+    last = first.groupBy("tbl", "pk", "cid").agg(F.max_by("val", "position").alias("val"), F.max("position").alias("position"))
+    start = notify.fold_view(first).drop("val").join(last, ["tbl", "pk", "cid"])
+    for k in range(2):
+        rest.filter(F.col("position") % 2 == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/view/batch={number}")
+
+    view = reactive_view(read_files(spark, f"{out}/in", "*.parquet", events.schema, 2), start)
+    view.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.parquet(f"{out}/view")
+    newest = told.groupBy("tbl", "pk").agg(F.max("batch").alias("batch"))
+    followed = told.join(newest, ["tbl", "pk", "batch"]).filter(F.col("cid") != TOMBSTONE)
+    return followed.select("pk", "cid", "val").unionByName(start.join(newest, ["tbl", "pk"], "left_anti").select("pk", "cid", "val"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

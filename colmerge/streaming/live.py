@@ -24,6 +24,13 @@ from colmerge.sources.tables import CHANGELOG, TOMBSTONE
 EVENTS = StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "double").add("props", "string")
 
 
+def _stateful(spark: SparkSession) -> None:
+    """Processors with state of several kinds need a state store with column families, which is RocksDB's."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(name, None) or ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def read_files(spark: SparkSession, folder: str, name: str, schema: StructType, per_batch: int = 1) -> DataFrame:
     """A stream of the files of one name in a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_batch).parquet(folder)
@@ -90,6 +97,10 @@ class ReactiveRow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cells = handle.getMapState("cells", "cid string", "val string, position long")
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        for cell in initialState.itertuples():
+            self.cells.updateValue((cell.cid,), (cell.val, int(cell.position)))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last: dict[str, tuple[str | None, int]] = {k[0]: (v[0], int(v[1])) for k, v in self.cells.iterator()}
         gone = last.pop(TOMBSTONE, (None, -1))[1]
@@ -113,10 +124,16 @@ class ReactiveRow(StatefulProcessor):
         pass
 
 
-def reactive_view(events: DataFrame) -> DataFrame:
-    """Cells of each row that changed, after each batch of events (tbl, pk, cid, val, position)."""
-    keyed = events.select("tbl", "pk", "cid", "val", "position").groupBy("tbl", "pk")
-    return keyed.transformWithStateInPandas(ReactiveRow(), "tbl string, pk string, cid string, val string, position long", "Update", "None")
+def reactive_view(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Cells of each row that changed, after each batch of events (tbl, pk, cid, val, position).
+
+    ``start`` has the cells (same columns) that rows begin with, as a snapshot or ``fold_view`` gives them: a view loads the state that is there, then follows.
+    """
+    _stateful(events.sparkSession)
+    columns = ["tbl", "pk", "cid", "val", "position"]
+    keyed = events.select(*columns).groupBy("tbl", "pk")
+    state = start.select(*columns).groupBy("tbl", "pk") if start is not None else None
+    return keyed.transformWithStateInPandas(ReactiveRow(), "tbl string, pk string, cid string, val string, position long", "Update", "None", initialState=state)
 
 
 class Debounced(StatefulProcessor):
@@ -170,9 +187,126 @@ class Debounced(StatefulProcessor):
 
 def debounced(events: DataFrame, cooldown_ms: int) -> DataFrame:
     """Pushes of a stream of (topic, payload), by processing time."""
+    _stateful(events.sparkSession)
     return events.select("topic", "payload").groupBy("topic").transformWithStateInPandas(Debounced(cooldown_ms), "topic string, fired_at long, edge string, payload string", "Append", "ProcessingTime")
 
 
+class _Timely(StatefulProcessor):
+    """Events of a key wait until the watermark has passed them, and are then folded in the order of their times.
+
+    So the result doesn't depend on how events are dealt out to batches, but for those that come later than the watermark allows. What waits is
+    bounded by that delay. Events that repeat time and position count once.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "at long, position long", "kind string")
+
+    def _folded(self, key: Any, due: list[tuple[int, int, str]], now: int) -> tuple[list[tuple], list[int]]:
+        """Rows that follow from events before ``now``, and times at which there may be more."""
+        raise NotImplementedError
+
+    def _advance(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
+        held = sorted((int(at), int(position), kind) for (at, position), (kind,) in self.pending.iterator())
+        due = [event for event in held if event[0] < now]
+        for at, position, _ in due:
+            self.pending.removeKey((at, position))
+        rows, times = self._folded(key, due, now)
+        if rows:
+            yield pd.DataFrame([(*key, *row) for row in rows], columns=self.columns)
+        times += [event[0] for event in held[len(due) : len(due) + 1]]
+        if times:
+            self.handle.registerTimer(max(min(times), now) + 1)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for event in part.itertuples():
+                self.pending.updateValue((int(event.at_ms), int(event.position)), (event.kind,))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+class TimelyDebounce(_Timely):
+    """``operators.peers.debounce`` over a stream, by the events' own times."""
+
+    columns = ("topic", "fired_at", "edge", "position")
+
+    def __init__(self, cooldown_ms: int):
+        self.cooldown = cooldown_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("state", "until long, waiting long")
+
+    def _folded(self, key: Any, due: list[tuple[int, int, str]], now: int) -> tuple[list[tuple], list[int]]:
+        until, waiting = self.state.get() if self.state.exists() else (None, None)
+        rows = []
+        for at, position, _ in [*due, (now, None, "")]:
+            if waiting is not None and until <= at:
+                rows.append((until, "trailing", waiting))
+                until, waiting = until + self.cooldown, None
+            if position is None:  # no event: what is known up to now
+                break
+            if until is None or at >= until:
+                rows.append((at, "leading", position))
+                until, waiting = at + self.cooldown, None
+            else:
+                waiting = position
+        if waiting is None and (until is None or until <= now):
+            self.state.clear()  # the next event is as a topic's first
+            return rows, []
+        self.state.update((until, waiting))
+        return rows, [until]
+
+
+class TimelyOutcome(_Timely):
+    """``operators.metrics.sync_outcome`` over a stream: a run's outcome is told once it can't change, ``grace`` after its first sync or ``timeout`` after its start."""
+
+    columns = ("run_id", "outcome", "synced")
+
+    def __init__(self, grace_ms: int, timeout_ms: int):
+        self.grace, self.timeout = grace_ms, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("state", "begun long, end long, synced long, seen long, told boolean")
+
+    def _folded(self, key: Any, due: list[tuple[int, int, str]], now: int) -> tuple[list[tuple], list[int]]:
+        begun, end, synced, seen, told = self.state.get() if self.state.exists() else (None, None, 0, 0, False)
+        for at, _, kind in due:
+            if begun is None:
+                begun, end = at, at + self.timeout
+            if at <= end and not told:
+                if kind == "peer_synced" and not synced:
+                    end = min(end, at + self.grace)
+                synced, seen = synced + (kind == "peer_synced"), seen + (kind == "peer_connected")
+        rows = []
+        if begun is not None and not told and end < now:
+            rows, told = [("Synced" if synced else "TimedOut" if seen else "NoPeers", synced)], True
+        if begun is not None:
+            self.state.update((begun, end, synced, seen, told))
+        return rows, [] if told or begun is None else [end]
+
+
+def debounced_by_time(events: DataFrame, cooldown_ms: int, late: str) -> DataFrame:
+    """Pushes (topic, fired_at in ms, edge, position) of a stream of (topic, at: timestamp, position); events may be ``late`` by so much."""
+    _stateful(events.sparkSession)
+    timed = events.withWatermark("at", late).select("topic", "at", "position", F.unix_millis("at").alias("at_ms"), F.lit("").alias("kind"))
+    return timed.groupBy("topic").transformWithStateInPandas(TimelyDebounce(cooldown_ms), "topic string, fired_at long, edge string, position long", "Append", "EventTime")
+
+
+def outcomes_by_time(events: DataFrame, grace_ms: int, timeout_ms: int, late: str) -> DataFrame:
+    """(run_id, outcome, synced) of a stream of (run_id, event_type, at: timestamp, position); events may be ``late`` by so much."""
+    _stateful(events.sparkSession)
+    timed = events.withWatermark("at", late).select("run_id", "at", "position", F.unix_millis("at").alias("at_ms"), F.coalesce("event_type", F.lit("")).alias("kind"))
+    return timed.groupBy("run_id").transformWithStateInPandas(TimelyOutcome(grace_ms, timeout_ms), "run_id long, outcome string, synced long", "Append", "EventTime")
+
+
 def windowed_counts(events: DataFrame, size: str, late: str) -> DataFrame:
     """(starts, event_type, n): events per kind and time window, with a watermark: for operational counters, whose state may end.
 
