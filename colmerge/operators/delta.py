@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmerge.operators.ordering import placed
+from colmerge.operators.ordering import numbered, placed
 from colmerge.operators.resolve import CELL
 from colmerge.sources.tables import TOMBSTONE
 
 #: Ranges into which a log's versions are cut where peers with different offsets are joined to it.
 RANGES = 1024
+#: Changes of one array of a changeset.
+PACKED = 1 << 16
 
 
 def changes_since(changes: DataFrame, version: int) -> DataFrame:
@@ -99,10 +101,18 @@ def received(state: DataFrame, delta: DataFrame, stored: int = 0) -> DataFrame:
     return delta.drop("db_version").crossJoin(F.broadcast(next_version(state, stored=stored))).select(*delta.columns)
 
 
-def pack(changes: DataFrame, width: int = 1) -> DataFrame:
-    """Changesets: (site_id, changeset, changes), an array in order for each range of ``width`` versions of a site."""
+def pack(changes: DataFrame, width: int = 1, most: int = PACKED) -> DataFrame:
+    """Changesets: (site_id, changeset, part, changes), an array in order for each range of ``width`` versions of a site, cut into parts of ``most`` changes.
+
+    Only a log that has a longer set (a bulk insert, a received delta) is numbered for that.
+    """
     item = F.struct("db_version", "seq", "tbl", "pk", "cid", "val", "col_version", "cl")
-    return changes.groupBy("site_id", F.floor(F.col("db_version") / width).cast("long").alias("changeset")).agg(F.array_sort(F.collect_list(item)).alias("changes"))
+    sets = changes.withColumn("changeset", F.floor(F.col("db_version") / width).cast("long"))
+    part = F.lit(0).cast("long")
+    if not sets.groupBy("site_id", "changeset").count().filter(F.col("count") > most).isEmpty():
+        sets = numbered(sets, ["site_id", "changeset"], ["db_version", "seq", "tbl", "pk", "cid", "val", "col_version", "cl"], "__n")
+        part = F.call_function("div", F.col("__n") - 1, F.lit(most).cast("long"))
+    return sets.groupBy("site_id", "changeset", part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("changes"))
 
 
 def unpack(changesets: DataFrame) -> DataFrame:

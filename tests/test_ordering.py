@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colmerge.operators.delta import in_order
+from colmerge.operators import metrics
+from colmerge.operators.delta import in_order, pack, unpack
 from colmerge.operators.ordering import laid_out, numbered, placed, scanned
 from colmerge.operators.stamping import stamp_deletes, stamp_writes
 from colmerge.sources.tables import CHANGELOG, TOMBSTONE
@@ -101,3 +102,28 @@ def test_deletes_of_a_row_with_most_of_the_log(many_ranges):
             most[pk] = max(most.get(pk, 0), versions[pk, cid])
             standing[pk] = 0
     assert got == told
+
+
+def test_percentiles_of_a_hot_key_in_many_ranges(many_ranges):
+    rng = random.Random(4)
+    rows = [("hot", rng.gauss(0, 9)) for _ in range(700)] + [("few", x) for x in (3.0, 1.0, 1.0)] + [("one", 7.0), ("none", None), (None, 2.0), (None, 4.0)] + [("ties", float(k % 3)) for k in range(90)]
+    table = many_ranges.createDataFrame(rows, "g string, x double")
+    at = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    told = {r["g"]: r for r in table.groupBy("g").agg(*[F.percentile("x", p).alias(name) for name, p in at.items()], F.avg("x").alias("mean"), F.max("x").alias("most")).collect()}
+    got = metrics.percentiles(table, F.col("x"), at, ["g"]).collect()
+    assert len(got) == len(told) == 6
+    for r in got:
+        assert all(r[c] == pytest.approx(told[r["g"]][c]) for c in (*at, "mean", "most"))
+    ranks = {r["g"]: (r["a"], r["b"]) for r in metrics.rank_percentiles(table, "x", {"a": 50, "b": 95}, ["g"]).collect()}
+    for g in told:
+        own = sorted(x for k, x in rows if k == g and x is not None)
+        assert ranks[g] == ((own[len(own) * 50 // 100], own[len(own) * 95 // 100]) if own else (None, None))
+
+
+def test_a_bulk_insert_is_packed_in_parts(many_ranges):
+    log = many_ranges.createDataFrame([("t", f"r{k}", "c", str(k), "A", 1, 1, k, 7) for k in range(95)] + [("t", "x", "c", "1", "B", 1, 1, 0, 3)], CHANGELOG)
+    got = pack(log, 10, most=20)
+    assert sorted((r["site_id"], r["part"], len(r["changes"])) for r in got.collect()) == [("A", 0, 20), ("A", 1, 20), ("A", 2, 20), ("A", 3, 20), ("A", 4, 15), ("B", 0, 1)]
+    rows = got.filter("site_id = 'A'").orderBy("part").collect()
+    assert [c["seq"] for r in rows for c in r["changes"]] == list(range(95))
+    assert unpack(got).count() == 96 and pack(log, 10).count() == 2
