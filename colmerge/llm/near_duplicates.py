@@ -7,10 +7,10 @@
    a pair at the threshold is missed with a probability of ``MISS``.
 4. First pass: a band's first class is its head. Each class is verified against one head, the one with which it shares most bands. So a group
    of near copies costs one look at each of them, however large it is.
-5. Second pass: only classes of bands that the first pass left in two or more components are looked at again. Two of them meet where they have one
-   of their rarest shingles in common, which every pair at the threshold has (``prefix_keys``), and only if their components differ: a component of many
-   classes is cut into blocks of its own, the small ones share blocks, and two blocks of bounded size form a group. Keys with the same
-   classes are looked at once. Sets come only to groups in which a class has a band in common with one of another component.
+5. Second pass: only bands whose classes the first pass left in two or more components are looked at again, and in them only classes of different
+   components meet: a component of many classes is cut into blocks of its own, the small ones share blocks, and two blocks of bounded size form
+   a group. Bands with the same classes are looked at once. Two sets at the threshold have one of their rarest shingles in common (``prefix_keys``); sets
+   travel only to groups in which another one shares such a shingle with them, and has a size that the threshold allows.
 6. Where classes meet, pairs whose sizes allow it and that aren't connected yet are verified on whole sets, in the order of the share of equal registers,
    less those that agree by chance given the sizes of the two sets. Registers order the pairs and rule none out. The components of the
    verified links are the result: pairs within a component need no check of their own, so no link between components is lost (but with the
@@ -234,38 +234,44 @@ def verified(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return whole.repartition("group").sortWithinPartitions("group", "side").mapInArrow(verify, "a long, b long")
 
 
-def promising(groups: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``groups`` that have, in their group, a class of another component with a band in common and a size that the threshold allows.
+def promising(groups: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``groups`` that have, in their group, a class of another component with a rare shingle in common and a size that the threshold allows.
 
-    ``signs`` has (row, n_shingles, bands). Bands are a small part of a set, so sets travel only to where they are looked at.
+    ``prefixes`` has (row, n_shingles, keys). A class without such a partner can have no link in its group, so its set needn't come there; what
+    comes is a few rare shingles.
     """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        group, held, keys = None, [], []
 
         def done() -> pa.RecordBatch:
-            sides, rows, names, sizes = (np.array([x[c] for x in held]) for c in range(4))
-            bands = np.stack([x[4] for x in held]) if held else np.zeros((0, 1))
+            sides, rows, names, sizes = np.array(held, np.int64).reshape(-1, 4).T
             kept = np.zeros(len(held), bool)
-            for i in range(len(held)):
-                other = (names != names[i]) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i]) - 1e-9)
-                if sides[i]:
-                    other &= sides != sides[i]
-                other = np.flatnonzero(other)
-                kept[i] = (bands[other] == bands[i]).any()
-            return pa.RecordBatch.from_arrays([pa.array([group] * int(kept.sum()), pa.int64()), *[pa.array(np.asarray(c[kept], np.int64)).cast(k) for c, k in ((sides, pa.int32()), (rows, pa.int64()), (names, pa.int64()))]], ["group", "side", "row", "component"])
+            if held:
+                first = np.cumsum([0] + [len(x) for x in keys])
+                numbers = np.unique(np.concatenate(keys), return_inverse=True)[1]
+                mark = np.zeros(len(numbers), bool)
+                for i in range(len(held)):
+                    other = (names != names[i]) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i]) - 1e-9)
+                    if sides[i]:
+                        other &= sides != sides[i]
+                    if other.any():
+                        mark[numbers[first[i] : first[i + 1]]] = True
+                        kept[i] = (np.logical_or.reduceat(mark[numbers], first[:-1]) & other).any()
+                        mark[numbers[first[i] : first[i + 1]]] = False
+            return pa.RecordBatch.from_arrays([pa.array([group] * int(kept.sum()), pa.int64()), *[pa.array(c[kept]).cast(k) for c, k in ((sides, pa.int32()), (rows, pa.int64()), (names, pa.int64()))]], ["group", "side", "row", "component"])
 
         for batch in batches:
-            keys, bands = batch.column(0).to_pylist(), batch.column(5)
-            columns = [batch.column(c).to_pylist() for c in range(1, 5)]
-            for k, key in enumerate(keys):
+            lists = batch.column(5)
+            for k, (key, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 if key != group:
                     yield done()
-                    group, held = key, []
-                held.append((*[c[k] for c in columns], bands[k].values.to_numpy()))
+                    group, held, keys = key, [], []
+                held.append(row)
+                keys.append(lists[k].values.to_numpy())
         yield done()
 
-    whole = groups.join(signs, "row").select("group", "side", "row", "component", "n_shingles", "bands")
+    whole = groups.join(prefixes, "row").select("group", "side", "row", "component", "n_shingles", "keys")
     return whole.repartition("group").sortWithinPartitions("group").mapInArrow(choose, "group long, side int, row long, component long")
 
 
@@ -286,7 +292,7 @@ def head_groups(met: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def prefix_keys(shingles: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(band, row): for each of ``rows`` (row) the hashes of its rarest shingles, so many that two sets at the threshold have one of them in common.
+    """(row, n_shingles, keys): for each of ``rows`` (row) the hashes of its rarest shingles, so many that two sets at the threshold have one of them in common.
 
     Of ``size`` shingles such a set shares ``threshold * size`` at least, so one of any other ``size - threshold * size`` + 1 is shared; with one order of all
     shingles, the first shared one is among the first so many of both. Any order is right; rare ones first let few meet. How rare a
@@ -311,29 +317,25 @@ def prefix_keys(shingles: DataFrame, rows: DataFrame, threshold: float) -> DataF
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
-            keys = [np.zeros(0, np.int64)]
+            sizes, keys = [], []
             for data in batch.column(1):
                 hashes = np.frombuffer(data.as_buffer(), np.uint64)
                 prefix = len(hashes) - math.ceil(threshold * len(hashes) - 1e-9) + 1
+                sizes.append(len(hashes))
                 keys.append(hashes[np.lexsort((hashes, rarity[_rarity_bins(hashes)]))[:prefix]].view(np.int64))
-            whole = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(whole)], ["band", "row"])
+            ends = np.cumsum([0] + [len(x) for x in keys])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["row", "n_shingles", "keys"])
 
-    return own.mapInArrow(choose, "band long, row long")
+    return own.mapInArrow(choose, "row long, n_shingles long, keys array<long>")
 
 
 def _rarity_bins(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes, 12) % np.uint64(RARITIES)).astype(np.int64)
 
 
-def split_rows(known: DataFrame) -> DataFrame:
-    """(row): classes of ``known`` (band, row, component) of which a band is held by several components."""
-    bands = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    return known.join(written(bands), "band", "left_semi").select("row").distinct()
-
-
 def rest_groups(known: DataFrame) -> DataFrame:
-    """Groups of the second pass from ``known`` (band, row, component, n_shingles; ``band`` is any key): classes of a key that different components hold."""
+    """Groups of the second pass from ``known`` (band, row, component, n_shingles): classes of a band that different components hold."""
     bands = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("row") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("row")).alias("xor"))
     bands = written(bands.filter("low <> high").groupBy("n", "sum", "xor").agg(F.min("band").alias("band")).select("band"))
     known = written(known.join(bands, "band"))
@@ -376,9 +378,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_colu
     shingles = written(shingle_table(keyed.select("key_a", "key_b", "text"), members, n))
     once = components(verified(head_groups(met, sizes), shingles, threshold)).withColumnsRenamed({"node": "row"})
     known = written(sizes.join(once, "row", "left").withColumn("component", F.coalesce("component", "row")))
-    again = written(split_rows(met.select("band", "row").join(known, "row")))
-    groups = rest_groups(prefix_keys(shingles, again, threshold).join(known, "row"))
-    groups = promising(groups, classes.select("row", "n_shingles", "bands"), threshold)
+    groups = written(rest_groups(met.select("band", "row").join(known, "row")))
+    groups = promising(groups, prefix_keys(shingles, groups.select("row").distinct(), threshold), threshold)
     twice = components(verified(groups, shingles, threshold)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     named = classes.select("set_a", "set_b", "row", "first").join(once, "row", "left").withColumn("component", F.coalesce("component", "row"))
     named = written(named.join(written(twice), "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole"))
