@@ -24,6 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables that were written, in order.
+_TABLES: list[str] = []
+
+
+def tables_written() -> int:
+    return len(_TABLES)
+
+
+def drop_tables(spark: SparkSession, start: int, end: int) -> None:
+    """Deletes the tables written from the ``start``-th on and before the ``end``-th; nothing may read them any more."""
+    for path in _TABLES[start:end]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read from there: computed once, whatever becomes of executors.
 
@@ -32,6 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

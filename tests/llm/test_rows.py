@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colmerge.llm import mixing, pii, queries, sharding
+from colmerge.llm import common, mixing, pii, queries, sharding
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -287,8 +288,11 @@ def test_run_computes_each_stage_once(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, counted(name, stage)) for name, stage in corpus_pipeline.STAGES])
+    before = common.tables_written()
     rows = len(corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())
     assert counts["packing"].value == rows
+    # of all that was written, the table that the last stage reads is left
+    assert [os.path.exists(p) for p in common._TABLES[before:]] == [False] * (common.tables_written() - before - 1) + [True]
     kept = [counts[name].value for name in ("language", "near_duplicates", "pii")]
     assert 200 >= kept[0] > kept[1] == kept[2] > 0 and 0.7 * kept[2] < counts["mixing"].value < 1.3 * kept[2]
 
