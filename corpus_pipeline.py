@@ -1,7 +1,7 @@
 """A corpus pipeline of the operators in colmerge.llm: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
 ``run`` writes what each stage but the last returns to the shared folder, and the next one reads it from there: stages read their input more than once,
-and none is computed twice.
+and none is computed twice. What a stage has written goes once the next one's result is there.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmerge.llm.common import written
+from colmerge.llm.common import drop_tables, tables_written, written
 from colmerge.llm.langid import UNDETERMINED, identify, learn
 from colmerge.llm.mixing import mix_sources
 from colmerge.llm.near_duplicates import deduplicated
@@ -63,6 +63,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES
+    start = tables_written()
     for _, stage in first:
         docs = written(stage(spark, docs, sf_dir))
+        # the stage's own tables and its predecessor's result go
+        drop_tables(spark, start, tables_written() - 1)
+        start = tables_written() - 1
     return last(spark, docs, sf_dir)
