@@ -26,13 +26,18 @@ def laid_out(rows: DataFrame, by: list[str]) -> DataFrame:
     return written(ranges.withColumn("__scan_part", part).withColumn("__scan_at", at).drop("__scan_id"))
 
 
+def _fixed(few: DataFrame) -> DataFrame:
+    """Rows of which there is one a range at most, computed once and handed to all tasks: ranges are as many as a shuffle has partitions."""
+    return F.broadcast(few.sparkSession.createDataFrame(few.collect(), few.schema))
+
+
 def placed(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     """``rows`` with ``out``: 1, 2, ... in the order of some columns."""
     laid = laid_out(rows, order)
     earlier = Window.orderBy("__scan_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = laid.groupBy("__scan_part").agg(F.count("*").alias("__scan_n"))  # a row a range
     shifts = sizes.select("__scan_part", F.coalesce(F.sum("__scan_n").over(earlier), F.lit(0)).alias("__scan_before"))
-    numbers = laid.join(F.broadcast(shifts), "__scan_part").withColumn(out, F.col("__scan_before") + F.col("__scan_at") + 1)
+    numbers = laid.join(_fixed(shifts), "__scan_part").withColumn(out, F.col("__scan_before") + F.col("__scan_at") + 1)
     return numbers.drop("__scan_part", "__scan_at", "__scan_before")
 
 
@@ -56,9 +61,10 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], running: dict[st
     earlier = Window.partitionBy("__scan_key").orderBy("__scan_part", "__scan_side").rowsBetween(Window.unboundedPreceding, -1)
     carried = both.withColumns({f"{name}c": _COMBINED[kind](name).over(earlier) for name, (kind, _) in values.items()}).filter("__scan_side = 0")
     carried = carried.select("__scan_part", F.col("__scan_key").alias("__scan_first"), *[f"{name}c" for name in values])
+    carried = _fixed(carried.filter(" or ".join(f"{name}c is not null" for name in values)))
     inside = Window.partitionBy("__scan_part", "__scan_key").orderBy("__scan_at").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     local = laid.withColumns({f"{name}l": _COMBINED[kind](name).over(inside) for name, (kind, _) in values.items()})
-    joined = local.join(F.broadcast(carried), "__scan_part").withColumn("__scan_same", F.col("__scan_key") == F.col("__scan_first"))
+    joined = local.join(carried, "__scan_part", "left").withColumn("__scan_same", F.col("__scan_key") == F.col("__scan_first"))
     out = {}
     for name, (made, (kind, _)) in zip(running, values.items(), strict=True):
         own, more = F.col(f"{made}l"), F.when(F.col("__scan_same"), F.col(f"{made}c"))
