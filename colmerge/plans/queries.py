@@ -14,7 +14,7 @@ from colmerge.operators import metrics, notify, peers, resolve, stamping, state,
 from colmerge.operators.ordering import numbered
 from colmerge.operators.replay import replay
 from colmerge.plans.oracles import SQL
-from colmerge.sources.shared import shared_folder
+from colmerge.sources.shared import shared_folder, written
 from colmerge.sources.statelog import StateLog
 from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, rejected_lines, table, to_wire, unpivoted
 from colmerge.sources.versionlog import VersionLog
@@ -721,7 +721,7 @@ def stream_notifications(spark, d):
 
 def _log_of_levels(spark, log: DataFrame, path: str) -> StateLog:
     """A log of state that came in eleven batches, with levels so small that it has several."""
-    store = StateLog(spark, path, ratio=3, least=16, bucket_rows=64)
+    store, log = StateLog(spark, path, ratio=3, least=16, bucket_rows=64), written(log)
     for k in range(11):
         store.commit(log.filter(F.col("db_version") % 11 == k))
         store.fold()

@@ -18,16 +18,18 @@ class StateLog(Pointed):
 
     A run's level is the logarithm, by ``ratio``, of its number of rows over ``least``. Once a level has ``ratio`` runs, ``fold`` merges them. So each row is
     rewritten once a level, and a read merges at most ``ratio`` runs a level. A run lies in buckets by a hash of its rows' keys, a power of two of
-    them that follows its size; a read for some keys opens only their buckets.
+    them that follows its size up to ``most_buckets`` (each is a folder, and those of a large run hold more rows); a read for some keys opens only their buckets.
 
     A pointer names the runs, and the last batch of each stream that has been committed: state and ledger change in one step.
     """
 
-    def __init__(self, spark: SparkSession, path: str, ratio: int = 4, least: int = 1 << 16, bucket_rows: int = 1 << 20):
+    def __init__(self, spark: SparkSession, path: str, ratio: int = 4, least: int = 1 << 16, bucket_rows: int = 1 << 20, most_buckets: int = 32):
         if ratio < 2:
             raise ValueError("the ratio of levels must be 2 at least")
+        if most_buckets < 1 or most_buckets & (most_buckets - 1):
+            raise ValueError("the most buckets of a run must be a power of two")
         super().__init__(spark, path)
-        self.ratio, self.least, self.bucket_rows = ratio, least, bucket_rows
+        self.ratio, self.least, self.bucket_rows, self.most_buckets = ratio, least, bucket_rows, most_buckets
 
     def _named(self, pointer: dict) -> set[str]:
         return {run["folder"] for run in pointer["runs"]}
@@ -40,7 +42,7 @@ class StateLog(Pointed):
 
     def _run(self, cells: DataFrame, rows: int) -> dict | None:
         """Writes a run of about ``rows`` cells."""
-        buckets = 1 << max(0, math.ceil(math.log2(max(1, rows) / self.bucket_rows)))
+        buckets = min(self.most_buckets, 1 << max(0, math.ceil(math.log2(max(1, rows) / self.bucket_rows))))
         folder = f"run-{uuid.uuid4().hex}"
         bucket = F.pmod(F.xxhash64("tbl", "pk"), F.lit(buckets)).cast("int")
         dealt = cells.select(*CHANGELOG.names, bucket.alias("__bucket")).hint("rebalance", "__bucket").sortWithinPartitions("__bucket", "tbl", "pk", "cid")
@@ -90,7 +92,9 @@ class StateLog(Pointed):
         pointer = self._pointer()
         if batch is not None and batch <= pointer["ledger"].get(stream, -1):
             return False
-        run = self._run(merged(delta), delta.count())
+        cells = merged(delta).persist()  # counted, then written
+        run = self._run(cells, cells.count())
+        cells.unpersist()
         if run:
             pointer["runs"].append(run)
         if batch is not None:

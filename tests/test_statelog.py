@@ -128,3 +128,15 @@ def test_a_batch_that_broke_off_before_its_commit_is_told_once(spark, fed, monke
     (path / "at").rename(path / "at-before")
     (path / "told").rename(path / "told-before")
     assert run(other) == again
+
+
+def test_a_large_run_has_a_bounded_number_of_buckets(spark, tmp_path):
+    log = StateLog(spark, str(tmp_path), least=16, bucket_rows=4, most_buckets=8)
+    cells = spark.range(3000).selectExpr("'t' tbl", "'r' || id pk", "'a' cid", "'1' val", "'A' site_id", "1L col_version", "1L cl", "0 seq", "id db_version")
+    log.commit(cells)
+    assert [r["buckets"] for r in log.runs()] == [8] and len(list(tmp_path.glob("run-*/__bucket=*"))) == 8
+    log.commit(cells.limit(5))
+    keys = cells.filter("db_version % 500 = 7").select("tbl", "pk")
+    assert log.read().count() == 3000 and log.read(keys).count() == 6
+    with pytest.raises(ValueError, match="power of two"):
+        StateLog(spark, "x", most_buckets=3)
