@@ -1,13 +1,15 @@
 """Length-prefixed frames as a Spark source and sink: four bytes of length, highest first, and so many bytes of payload.
 
 The sink writes, beside each file, an index of where frames begin, one entry for each ``split`` bytes or so; the source cuts a file there, so a large file is
-read by many tasks. A file without an index is one task, which reads it as a stream. A frame that is longer than the cap, or that the file's end cuts,
+read by many tasks. A task reads what lies between neighbouring entries up to ``TASK`` bytes, or up to a share of ``TASKS`` of all bytes if that is less, so
+there aren't as many tasks as entries. A file without an index is one task, which reads it as a stream. A frame that is longer than the cap, or that the file's end cuts,
 is a row with ``error`` and without ``payload``; a longer one is stepped over. Files become visible when the whole write has succeeded. Paths
 are whatever Arrow's file systems open (local, HDFS, object stores).
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,9 +25,16 @@ from colmerge.sources.tables import CHANGELOG
 
 #: The longest payload, the bytes between two entries of an index, and payload that a batch holds.
 CAP, SPLIT, HELD = 64 << 20, 16 << 20, 4 << 20
+#: The bytes that a task reads (or a split, if that is longer), and how many tasks there are before they read so much.
+TASK, TASKS = 64 << 20, 128
 SCHEMA = "file string, frame long, at long, size long, payload binary, error string"
 
 
+def _visible(file: str) -> bool:
+    name = file.rsplit("/", 1)[-1]
+    return name.endswith(".frames") and name[0] not in "._"
+
+
 @dataclass
 class Part(InputPartition):
     """Frames of a file that begin from ``start`` on and before ``end``."""
@@ -48,17 +57,18 @@ class FrameReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         system, path = fs.FileSystem.from_uri(self.path)
         found = {f.path: f.size for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file}
-        parts = []
-        for file, size in sorted(found.items()):
-            name = file.rsplit("/", 1)[-1]
-            if name.endswith(".frames") and name[0] not in "._":
-                cuts = [(0, 0)]
-                if f"{file}.index" in found:
-                    with system.open_input_stream(f"{file}.index") as index:
-                        entries = index.read()
-                    cuts += [tuple(int.from_bytes(entries[k + 8 * j : k + 8 * j + 8], "big") for j in (0, 1)) for k in range(0, len(entries) - 15, 16)]
-                ends = [at for _, at in cuts[1:]] + [size]
-                parts += [Part(file, frame, at, end) for (frame, at), end in zip(cuts, ends, strict=True)]
+        data = {file: size for file, size in found.items() if _visible(file)}
+        least, parts = min(TASK, sum(data.values()) // TASKS), []
+        for file, size in sorted(data.items()):
+            cuts = [(0, 0)]
+            if f"{file}.index" in found:
+                with system.open_input_stream(f"{file}.index") as index:
+                    entries = index.read()
+                for frame, at in struct.iter_unpack(">QQ", entries[: len(entries) // 16 * 16]):
+                    if at - cuts[-1][1] >= least:
+                        cuts.append((frame, at))
+            ends = [at for _, at in cuts[1:]] + [size]
+            parts += [Part(file, frame, at, end) for (frame, at), end in zip(cuts, ends, strict=True)]
         return parts
 
     def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
@@ -171,7 +181,8 @@ def to_frames(changes: DataFrame, most: int = 1000) -> DataFrame:
 
 def frame_lines(frames: DataFrame) -> DataFrame:
     """(value): the lines of JSON in the payloads, for ``from_wire`` and ``rejected_lines``; a payload that is no array is a line of its own."""
-    text = F.decode("payload", "UTF-8")
-    lines = F.from_json(text, "array<string>")
-    whole: Column = F.when(F.startswith(F.ltrim(text), F.lit("[")) & lines.isNotNull(), lines).otherwise(F.array(text))
-    return frames.filter("error is null").select(F.explode(whole).alias("value"))
+    # an unfolded column isn't computed again by what reads it: each payload is decoded and parsed once
+    texts = frames.filter("error is null").select(F.explode(F.array(F.decode("payload", "UTF-8"))).alias("text"))
+    parsed = texts.select("text", F.explode(F.array(F.from_json("text", "array<string>"))).alias("lines"))
+    whole: Column = F.when(F.startswith(F.ltrim("text"), F.lit("[")) & F.col("lines").isNotNull(), F.col("lines")).otherwise(F.array("text"))
+    return parsed.select(F.explode(whole).alias("value"))

@@ -67,3 +67,19 @@ def test_changes_in_frames(spark, tmp_path):
     lines = frame_lines(read_frames(spark, str(tmp_path / "f")))
     assert sorted(map(str, from_wire(lines).collect())) == sorted(map(str, log.collect()))
     assert sorted((r["reason"], r["value"]) for r in rejected_lines(lines).collect()) == [("no key", '{"tbl":"t"}'), ("no object", "3"), ("no object", "no json")]
+
+
+def test_a_task_reads_many_splits_of_large_data(spark, tmp_path, monkeypatch):
+    from colmerge.sources import frames
+
+    payloads = [bytes([k % 251]) * 1000 for k in range(400)]
+    table = spark.createDataFrame([(bytearray(p),) for p in payloads], "payload binary").repartition(2)
+    write_frames(table, str(tmp_path), split=1000)
+    reader = frames.FrameReader({"path": str(tmp_path)})
+    assert len(reader.partitions()) <= 2 * frames.TASKS
+    monkeypatch.setattr(frames, "TASKS", 4)
+    parts = reader.partitions()
+    assert len(parts) < 10 and {p.file for p in parts} == set(map(str, tmp_path.glob("*.frames")))
+    rows = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
+    assert sorted(r["payload"] for r in rows) == sorted(payloads) and all(r["error"] is None for r in rows)
+    assert len({(r["file"], r["frame"]) for r in rows}) == 400
