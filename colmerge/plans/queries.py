@@ -16,7 +16,7 @@ from colmerge.operators.replay import replay
 from colmerge.plans.oracles import SQL
 from colmerge.sources.shared import shared_folder, written
 from colmerge.sources.statelog import StateLog
-from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, meta_put, rejected_lines, table, to_wire, unpivoted
+from colmerge.sources.tables import ADD_WINS, DELETE_WINS, ORDER_CELLS, TOMBSTONE, Registry, TableMeta, bootstrap_changelog, clog_events, clog_orders, from_wire, judged_lines, meta_put, table, to_wire, unpivoted
 from colmerge.sources.versionlog import VersionLog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,10 +274,10 @@ def topic_filter(spark, d):
 def wire_rejects(spark, d):
     """Every third line is cut, every fifth has no key, every seventh a version that is no number, every eleventh none at all."""
     log = to_wire(clog_orders(spark, d).withColumn("pk", F.when(F.col("db_version") % 5 != 0, F.col("pk"))))
-    k = F.get_json_object("value", "$.db_version").cast("long")
-    lines = log.select(F.when(k % 3 == 0, F.concat(F.lit("~"), F.substring("value", 1, 9))).when(k % 7 == 0, F.regexp_replace("value", '"col_version":[0-9]+', '"col_version":"x"')).when(k % 11 == 0, F.regexp_replace("value", '"col_version":[0-9]+', '"col_version":null')).otherwise(F.col("value")).alias("value"))
-    rejected = rejected_lines(lines).groupBy("reason").agg(F.count("*").alias("n"))
-    return rejected.unionByName(from_wire(lines).agg(F.lit("taken").alias("reason"), F.count("*").alias("n")))
+    log = log.select(F.explode(F.array("value")).alias("value"))  # a line is made once, though it is looked at for each kind of damage
+    k = F.col("k")
+    lines = log.select("value", F.get_json_object("value", "$.db_version").cast("long").alias("k")).select(F.when(k % 3 == 0, F.concat(F.lit("~"), F.substring("value", 1, 9))).when(k % 7 == 0, F.regexp_replace("value", '"col_version":[0-9]+', '"col_version":"x"')).when(k % 11 == 0, F.regexp_replace("value", '"col_version":[0-9]+', '"col_version":null')).otherwise(F.col("value")).alias("value"))
+    return judged_lines(lines).groupBy(F.coalesce("reason", F.lit("taken")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query

@@ -155,18 +155,27 @@ def _whole(change: Column) -> Column:
 
 def from_wire(lines: DataFrame) -> DataFrame:
     """Changes from lines of JSON. Lines that are none are not lost: ``rejected_lines`` has them."""
-    # each line is parsed once, though its parse is tested and unfolded
-    return lines.select(F.inline(F.filter(F.array(_read()), _whole))).drop("__unread")
+    # an unfolded column isn't computed again where it is tested
+    parsed = lines.select(F.explode(F.array(_read())).alias("__change"))
+    return parsed.filter(_whole(F.col("__change"))).select("__change.*").drop("__unread")
+
+
+def judged_lines(lines: DataFrame) -> DataFrame:
+    """(value, change, reason) of each line: the reason is null for a change, else that of ``rejected_lines``. Each line is made and parsed once."""
+    change = F.col("change")
+    once = lines.select(F.explode(F.array("value")).alias("value"))
+    # what doesn't begin as an object is none; parsing it would cost an exception
+    begins = F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{"))
+    parsed = once.select("value", F.explode(F.array(F.when(begins, _read()))).alias("change"))
+    unkeyed = change["tbl"].isNull() | change["pk"].isNull() | change["cid"].isNull()
+    none = change.isNull() | (change["__unread"].isNotNull() & ~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False)))
+    reason = F.when(_whole(change), F.lit(None).cast("string")).when(F.col("value").isNull(), "empty").when(none, "no object")
+    return parsed.select("value", "change", reason.when(change["__unread"].isNotNull(), "unreadable").when(unkeyed, "no key").otherwise("no version").alias("reason"))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """(value, reason): lines that are no changes: no JSON object, one with a field that can't be read, or without a table, key or column, or without site or versions."""
-    change = F.col("__change")
-    bad = lines.select("value", F.filter(F.array(_read()), lambda c: ~F.coalesce(_whole(c), F.lit(False))).alias("__changes")).filter(F.size("__changes") > 0)
-    bad = bad.withColumn("__change", F.col("__changes")[0])
-    unkeyed = change["tbl"].isNull() | change["pk"].isNull() | change["cid"].isNull()
-    reason = F.when(F.col("value").isNull(), "empty").when(~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False)), "no object")
-    return bad.select("value", reason.when(change["__unread"].isNotNull(), "unreadable").when(unkeyed, "no key").otherwise("no version").alias("reason"))
+    return judged_lines(lines).filter("reason is not null").select("value", "reason")
 
 
 class SnapshotStore:
