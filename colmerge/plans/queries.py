@@ -201,7 +201,7 @@ def catch_up(spark, d):
 
 def _stored_log(spark, d) -> VersionLog:
     """The events' log in ranges of 64 versions, appended in three parts."""
-    log, store = clog_events(spark, d).drop("event_id"), VersionLog(spark, shared_folder(spark), width=64)
+    log, store = written(clog_events(spark, d).drop("event_id")), VersionLog(spark, shared_folder(spark), width=64)
     for k in range(3):
         store.append(log.filter(F.col("db_version") % 3 == k))
     return store

@@ -51,3 +51,15 @@ def test_changes_without_a_version_and_broken_appends(spark, tmp_path):
     whole.selectExpr("*", "3L range").write.partitionBy("range").parquet(str(tmp_path / "data-x"))
     (tmp_path / "pointer-000000000007-x").mkdir()
     assert shown(log.since()) == shown(whole) and log.since(3).count() == 1 and log.since(9).count() == 0
+
+
+def test_a_long_history_has_few_folders(spark, tmp_path):
+    log = VersionLog(spark, str(tmp_path), width=4, most_folders=8)
+    whole = spark.range(1, 3001).selectExpr("'t' tbl", "'r' || id pk", "'c' cid", "'1' val", "'A' site_id", "1L col_version", "1L cl", "0 seq", "id db_version")
+    log.append(whole.filter("db_version <= 2900"))
+    log.append(whole.filter("db_version > 2900 and db_version < 2930"))
+    log.append(whole.filter("db_version >= 2930"))
+    assert len(log.folders()) <= 24 and {f["step"] for f in log.folders()} == {1, 4, 128}
+    for version in (0, 3, 511, 2895, 2900, 2999):
+        assert log.since(version).count() == 3000 - version
+    assert log.compact(most=1) > 0 and log.compact(most=1) == 0 and log.since(2895).count() == 105 and log.since().count() == 3000
