@@ -711,8 +711,8 @@ def stream_notifications(spark, d):
     """What a stream of changes tells on top of the state of the first versions: one event for each row that it changes; beside it, all that came."""
     from colmerge.streaming.live import apply_stream, told
 
-    out, log = shared_folder(spark), clog_events(spark, d).drop("event_id")
-    log.filter(F.col("db_version") > SINCE).coalesce(1).write.parquet(f"{out}/in")
+    out, log = shared_folder(spark), written(clog_events(spark, d).drop("event_id"))
+    log.filter(F.col("db_version") > SINCE).write.parquet(f"{out}/in")
     store = _log_of_levels(spark, log.filter(F.col("db_version") <= SINCE), f"{out}/store")
     apply_stream(spark.readStream.schema(log.schema).parquet(f"{out}/in"), store, f"{out}/told", f"{out}/offsets", DELETE_WINS, raw=f"{out}/raw")
     raw = told(store, f"{out}/raw").groupBy("pk").agg(F.count("*").alias("n_raw"))
