@@ -793,21 +793,21 @@ def stream_sync_outcome(spark, d):
 @query
 def stream_view_from_snapshot(spark, d):
     """A view that loads the cells of the first half of the events and follows the second."""
-    from colmerge.streaming.live import reactive_view, read_files
+    from colmerge.streaming.live import reactive_view
 
     out = shared_folder(spark)
-    events = clog_events(spark, d).select("tbl", "pk", "cid", "val", F.col("event_id").alias("position"))
+    events = written(clog_events(spark, d).select("tbl", "pk", "cid", "val", F.col("event_id").alias("position")))
     half = events.count() // 2
     first, rest = events.filter(F.col("position") < half), events.filter(F.col("position") >= half)
     last = first.groupBy("tbl", "pk", "cid").agg(F.max_by("val", "position").alias("val"), F.max("position").alias("position"))
-    start = notify.fold_view(first).drop("val").join(last, ["tbl", "pk", "cid"])
+    start = written(notify.fold_view(first).drop("val").join(last, ["tbl", "pk", "cid"]))
     for k in range(2):
-        rest.filter(F.col("position") % 2 == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+        rest.filter(F.col("position") % 2 == k).write.mode("append").parquet(f"{out}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/view/batch={number}")
 
-    view = reactive_view(read_files(spark, f"{out}/in", "*.parquet", events.schema, 2), start)
+    view = reactive_view(spark.readStream.schema(events.schema).parquet(f"{out}/in"), start)
     view.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
     told = spark.read.parquet(f"{out}/view")
     newest = told.groupBy("tbl", "pk").agg(F.max("batch").alias("batch"))

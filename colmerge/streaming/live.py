@@ -6,6 +6,7 @@ streaming aggregations; those that need the state of before are ``foreachBatch``
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -87,6 +88,11 @@ def told(log: StateLog, folder: str) -> DataFrame | None:
     return rows.filter(done)
 
 
+def _text(val: Any) -> str | None:
+    """A text of a pandas column, in which nulls may have other forms."""
+    return val if isinstance(val, str) else None
+
+
 class ReactiveRow(StatefulProcessor):
     """A row of a view that follows its notifications: inserts and updates patch cells, a delete drops the row.
 
@@ -95,28 +101,32 @@ class ReactiveRow(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState("cells", "cid string", "val string, position long")
+        # as many cells as the table has columns, so they are read and written at once
+        self.cells = handle.getValueState("cells", "cells string")
+
+    def _held(self) -> dict[str, tuple[str | None, int]]:
+        held = self.cells.get()
+        return {cid: (val, position) for cid, val, position in json.loads(held[0])} if held else {}
+
+    def _hold(self, cells: dict[str, tuple[str | None, int]]) -> None:
+        self.cells.update((json.dumps([(cid, *cell) for cid, cell in cells.items()]),))
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        for cell in initialState.itertuples():
-            self.cells.updateValue((cell.cid,), (cell.val, int(cell.position)))
+        self._hold(self._held() | {cid: (_text(val), int(position)) for cid, val, position in zip(*(initialState[c] for c in ("cid", "val", "position")), strict=True)})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last: dict[str, tuple[str | None, int]] = {k[0]: (v[0], int(v[1])) for k, v in self.cells.iterator()}
+        last = self._held()
         gone = last.pop(TOMBSTONE, (None, -1))[1]
         deleted = False
         for part in rows:
-            for event in part.itertuples():
-                position = int(event.position)
-                if event.cid == TOMBSTONE:
-                    gone, deleted = max(gone, position), True
-                elif event.cid not in last or position >= last[event.cid][1]:
-                    last[event.cid] = event.val, position
+            for cid, val, position in zip(part["cid"].tolist(), part["val"].tolist(), part["position"].tolist(), strict=True):
+                if cid == TOMBSTONE:
+                    gone, deleted = max(gone, int(position)), True
+                elif cid not in last or position >= last[cid][1]:
+                    last[cid] = _text(val), int(position)
         last = {cid: cell for cid, cell in last.items() if cell[1] > gone}
         kept = last | ({TOMBSTONE: (None, gone)} if gone >= 0 else {})
-        self.cells.clear()
-        for cid, cell in kept.items():
-            self.cells.updateValue((cid,), cell)
+        self._hold(kept)
         shown = sorted((kept if deleted else last).items())
         yield pd.DataFrame([(*key, cid, *cell) for cid, cell in shown] or None, columns=["tbl", "pk", "cid", "val", "position"])
 
