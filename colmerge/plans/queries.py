@@ -750,22 +750,19 @@ def stream_event_counts(spark, d):
     return spark.read.parquet(f"{out}/counts")
 
 
-def _in_slices(spark, rows: DataFrame, at: str, folder: str, n: int = 3) -> DataFrame:
-    """A stream of the rows in files by slices of time, and of one row long after all others, which lets the watermark pass them."""
+def _by_slices(spark, rows: DataFrame, at: str, fold: Callable[[DataFrame], DataFrame], out: str, n: int = 3) -> DataFrame:
+    """All that ``fold`` of a stream in append mode gives: rows come in slices of time, each in as many files as it is written by tasks and followed when it is there,
+    and at last one row long after all others, which lets the watermark pass them."""
     bounds = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
     width = (bounds["high"] - bounds["low"]).total_seconds() / n + 1
     seconds = F.unix_micros(at) / 1_000_000 - F.unix_micros(F.lit(bounds["low"])) / 1_000_000
-    for k in range(n):
-        rows.filter(F.floor(seconds / width) == k).coalesce(1).write.mode("append").parquet(folder)
-    rows.limit(1).withColumn(at, F.lit(bounds["high"]) + F.expr("INTERVAL 900 DAYS")).withColumn("position", F.lit(-1).cast("long")).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def _appended(stream: DataFrame, out: str) -> DataFrame:
-    """All that a stream in append mode gives."""
-    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets")
-    run.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+    end = rows.limit(1).withColumn(at, F.lit(bounds["high"]) + F.expr("INTERVAL 900 DAYS")).withColumn("position", F.lit(-1).cast("long"))
+    for part in [*(rows.filter(F.floor(seconds / width) == k) for k in range(n)), end]:
+        part.write.mode("append").parquet(f"{out}/in")
+        told = fold(spark.readStream.schema(rows.schema).parquet(f"{out}/in"))
+        run = told.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{out}/rows")
 
 
 @query
@@ -776,7 +773,7 @@ def stream_debounce(spark, d):
     out = shared_folder(spark)
     at = F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
     rows = table(spark, d, "events").select(F.col("event_type").alias("topic"), at.alias("at"), F.col("event_id").alias("position"))
-    pushes = _appended(debounced_by_time(_in_slices(spark, rows, "at", f"{out}/in"), 3_600_000, "1 hour"), out)
+    pushes = _by_slices(spark, rows, "at", lambda stream: debounced_by_time(stream, 3_600_000, "1 hour"), out)
     return pushes.filter("position >= 0").select("topic", (F.col("fired_at") / 1000).cast("long").alias("fired_at"), "edge", "position")
 
 
@@ -787,7 +784,7 @@ def stream_sync_outcome(spark, d):
 
     out = shared_folder(spark)
     rows = _runs(spark, d).select("run_id", "event_type", F.timestamp_seconds(F.col("at") + 86_400).alias("at"), F.col("at").cast("long").alias("position"))
-    return _appended(outcomes_by_time(_in_slices(spark, rows, "at", f"{out}/in"), 2000, 12_000, "1 minute"), out)
+    return _by_slices(spark, rows, "at", lambda stream: outcomes_by_time(stream, 2000, 12_000, "1 minute"), out)
 
 
 @query

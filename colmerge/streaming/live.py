@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ from colmerge.sources.tables import CHANGELOG, TOMBSTONE
 EVENTS = StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "double").add("props", "string")
 
 
+#: Kinds of a run's events by number, and no events.
+SYNCED, CONNECTED, _NO_EVENTS = 1, 2, np.zeros((0, 3), np.int64)
+
+
 def _stateful(spark: SparkSession) -> None:
     """Processors with state of several kinds need a state store with column families, which is RocksDB's."""
     name = "spark.sql.streaming.stateStore.providerClass"
@@ -205,37 +210,53 @@ class _Timely(StatefulProcessor):
     """Events of a key wait until the watermark has passed them, and are then folded in the order of their times.
 
     So the result doesn't depend on how events are dealt out to batches, but for those that come later than the watermark allows. What waits is
-    bounded by that delay. Events that repeat time and position count once.
+    bounded by that delay; it is held in blocks of times, positions and kinds, so that the state is asked once for many events. Events that repeat time and
+    position count once.
     """
 
+    #: The most events of a block.
+    block = 1 << 14
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "at long, position long", "kind string")
+        self.pending = handle.getListState("pending", "events binary")
 
-    def _folded(self, key: Any, due: list[tuple[int, int, str]], now: int) -> tuple[list[tuple], list[int]]:
-        """Rows that follow from events before ``now``, and times at which there may be more."""
+    def _folded(self, key: Any, due: np.ndarray, now: int) -> tuple[list[tuple], list[int]]:
+        """Rows that follow from events (time, position, kind) before ``now``, and times at which there may be more."""
         raise NotImplementedError
 
-    def _advance(self, key: Any, now: int) -> Iterator[pd.DataFrame]:
-        held = sorted((int(at), int(position), kind) for (at, position), (kind,) in self.pending.iterator())
-        due = [event for event in held if event[0] < now]
-        for at, position, _ in due:
-            self.pending.removeKey((at, position))
+    def _blocks(self, events: np.ndarray) -> list[tuple[bytes]]:
+        return [(events[k : k + self.block].tobytes(),) for k in range(0, len(events), self.block)]
+
+    def _advance(self, key: Any, now: int, came: np.ndarray) -> Iterator[pd.DataFrame]:
+        stored = [np.frombuffer(bytes(events), np.int64).reshape(-1, 3) for (events,) in self.pending.get()]
+        held = np.concatenate([*stored, came])
+        early = held[:, 0] < now
+        due, waiting = held[early], held[~early]
+        if len(due) and len(waiting):
+            self.pending.put(self._blocks(waiting))
+        elif len(due):
+            if stored:
+                self.pending.clear()
+        elif len(came):
+            self.pending.appendList(self._blocks(came))
+        # what comes last of those that repeat time and position counts
+        due = due[np.lexsort((due[:, 1], due[:, 0]))]
+        due = due[np.append((due[1:, :2] != due[:-1, :2]).any(axis=1), True)] if len(due) else due
         rows, times = self._folded(key, due, now)
         if rows:
-            yield pd.DataFrame([(*key, *row) for row in rows], columns=self.columns)
-        times += [event[0] for event in held[len(due) : len(due) + 1]]
+            yield pd.DataFrame([(*key, *row) for row in rows], columns=[self.key, *self.columns])
+        if len(waiting):
+            times.append(int(waiting[:, 0].min()))
         if times:
             self.handle.registerTimer(max(min(times), now) + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for event in part.itertuples():
-                self.pending.updateValue((int(event.at_ms), int(event.position)), (event.kind,))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        came = [part[["at_ms", "position", "kind"]].to_numpy(np.int64) for part in rows]
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), np.concatenate(came) if came else _NO_EVENTS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), _NO_EVENTS)
 
     def close(self) -> None:
         pass
@@ -244,7 +265,7 @@ class _Timely(StatefulProcessor):
 class TimelyDebounce(_Timely):
     """``operators.peers.debounce`` over a stream, by the events' own times."""
 
-    columns = ("topic", "fired_at", "edge", "position")
+    key, columns = "topic", ("fired_at", "edge", "position")
 
     def __init__(self, cooldown_ms: int):
         self.cooldown = cooldown_ms
@@ -253,20 +274,22 @@ class TimelyDebounce(_Timely):
         super().init(handle)
         self.state = handle.getValueState("state", "until long, waiting long")
 
-    def _folded(self, key: Any, due: list[tuple[int, int, str]], now: int) -> tuple[list[tuple], list[int]]:
-        until, waiting = self.state.get() if self.state.exists() else (None, None)
-        rows = []
-        for at, position, _ in [*due, (now, None, "")]:
+    def _folded(self, key: Any, due: np.ndarray, now: int) -> tuple[list[tuple], list[int]]:
+        until, waiting = self.state.get() or (None, None)
+        ats, positions, rows, k = due[:, 0], due[:, 1], [], 0
+        while True:
+            at = int(ats[k]) if k < len(ats) else now  # after the events: what is known up to now
             if waiting is not None and until <= at:
                 rows.append((until, "trailing", waiting))
                 until, waiting = until + self.cooldown, None
-            if position is None:  # no event: what is known up to now
+            if k == len(ats):
                 break
             if until is None or at >= until:
-                rows.append((at, "leading", position))
-                until, waiting = at + self.cooldown, None
-            else:
-                waiting = position
+                rows.append((at, "leading", int(positions[k])))
+                until, waiting, k = at + self.cooldown, None, k + 1
+            else:  # of all that come before its end, the last one waits
+                k = int(np.searchsorted(ats, until))
+                waiting = int(positions[k - 1])
         if waiting is None and (until is None or until <= now):
             self.state.clear()  # the next event is as a topic's first
             return rows, []
@@ -277,7 +300,7 @@ class TimelyDebounce(_Timely):
 class TimelyOutcome(_Timely):
     """``operators.metrics.sync_outcome`` over a stream: a run's outcome is told once it can't change, ``grace`` after its first sync or ``timeout`` after its start."""
 
-    columns = ("run_id", "outcome", "synced")
+    key, columns = "run_id", ("outcome", "synced")
 
     def __init__(self, grace_ms: int, timeout_ms: int):
         self.grace, self.timeout = grace_ms, timeout_ms
@@ -286,19 +309,19 @@ class TimelyOutcome(_Timely):
         super().init(handle)
         self.state = handle.getValueState("state", "begun long, end long, synced long, seen long, told boolean")
 
-    def _folded(self, key: Any, due: list[tuple[int, int, str]], now: int) -> tuple[list[tuple], list[int]]:
-        begun, end, synced, seen, told = self.state.get() if self.state.exists() else (None, None, 0, 0, False)
-        for at, _, kind in due:
+    def _folded(self, key: Any, due: np.ndarray, now: int) -> tuple[list[tuple], list[int]]:
+        begun, end, synced, seen, told = self.state.get() or (None, None, 0, 0, False)
+        for at, _, kind in due.tolist():
             if begun is None:
                 begun, end = at, at + self.timeout
             if at <= end and not told:
-                if kind == "peer_synced" and not synced:
+                if kind == SYNCED and not synced:
                     end = min(end, at + self.grace)
-                synced, seen = synced + (kind == "peer_synced"), seen + (kind == "peer_connected")
+                synced, seen = synced + (kind == SYNCED), seen + (kind == CONNECTED)
         rows = []
         if begun is not None and not told and end < now:
             rows, told = [("Synced" if synced else "TimedOut" if seen else "NoPeers", synced)], True
-        if begun is not None:
+        if len(due) or rows:
             self.state.update((begun, end, synced, seen, told))
         return rows, [] if told or begun is None else [end]
 
@@ -306,14 +329,15 @@ class TimelyOutcome(_Timely):
 def debounced_by_time(events: DataFrame, cooldown_ms: int, late: str) -> DataFrame:
     """Pushes (topic, fired_at in ms, edge, position) of a stream of (topic, at: timestamp, position); events may be ``late`` by so much."""
     _stateful(events.sparkSession)
-    timed = events.withWatermark("at", late).select("topic", "at", "position", F.unix_millis("at").alias("at_ms"), F.lit("").alias("kind"))
+    timed = events.withWatermark("at", late).select("topic", "at", "position", F.unix_millis("at").alias("at_ms"), F.lit(0).cast("long").alias("kind"))
     return timed.groupBy("topic").transformWithStateInPandas(TimelyDebounce(cooldown_ms), "topic string, fired_at long, edge string, position long", "Append", "EventTime")
 
 
 def outcomes_by_time(events: DataFrame, grace_ms: int, timeout_ms: int, late: str) -> DataFrame:
     """(run_id, outcome, synced) of a stream of (run_id, event_type, at: timestamp, position); events may be ``late`` by so much."""
     _stateful(events.sparkSession)
-    timed = events.withWatermark("at", late).select("run_id", "at", "position", F.unix_millis("at").alias("at_ms"), F.coalesce("event_type", F.lit("")).alias("kind"))
+    kind = F.when(F.col("event_type") == "peer_synced", SYNCED).when(F.col("event_type") == "peer_connected", CONNECTED).otherwise(0).cast("long")
+    timed = events.withWatermark("at", late).select("run_id", "at", "position", F.unix_millis("at").alias("at_ms"), kind.alias("kind"))
     return timed.groupBy("run_id").transformWithStateInPandas(TimelyOutcome(grace_ms, timeout_ms), "run_id long, outcome string, synced long", "Append", "EventTime")
 
 
