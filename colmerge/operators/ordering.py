@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmerge.sources.shared import written
+from colmerge.sources.shared import matched, written
 
 #: Functions whose values over two parts follow from the value over each.
 _COMBINED = {"sum": F.sum, "max": F.max, "min": F.min, "bit_xor": F.bit_xor}
@@ -76,3 +76,15 @@ def numbered(rows: DataFrame, keys: list[str], order: str | list[str], out: str)
     """``rows`` with ``out``: 1, 2, ... by ``order`` among rows of equal ``keys``."""
     order = [order] if isinstance(order, str) else order
     return scanned(rows, keys, order, {out: ("sum", F.lit(1).cast("long"))}) if keys else placed(rows, order, out)
+
+
+def counted(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``numbered`` for long groups: a number follows from the place in the range and from where the key's rows begin there, so that neither a window nor another sort goes over the rows.
+
+    What is joined has a row for each range and key in it: it is written, so that Spark knows its size.
+    """
+    laid = laid_out(rows, [*keys, *order])
+    begun = laid.groupBy("__scan_part", *keys).agg(F.min("__scan_at").alias("__scan_first"), F.count("*").alias("__scan_n"))
+    earlier = Window.partitionBy(*keys).orderBy("__scan_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = written(begun.select("__scan_part", *keys, (F.coalesce(F.sum("__scan_n").over(earlier), F.lit(0)) + 1 - F.col("__scan_first")).alias("__scan_shift")))
+    return matched(laid, shifts, ["__scan_part", *keys], "inner").withColumn(out, F.col("__scan_at") + F.col("__scan_shift")).drop("__scan_part", "__scan_at", "__scan_shift")

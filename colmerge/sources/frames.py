@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from colmerge.operators.ordering import numbered
+from colmerge.operators.ordering import counted
+from colmerge.sources.shared import setting
 from colmerge.sources.tables import CHANGELOG
 
 #: The longest payload, the bytes between two entries of an index, and payload that a batch holds.
@@ -102,26 +103,29 @@ class FrameReader(DataSourceReader):
             yield batch()
 
 
-class FrameWriter(DataSourceWriter):
+class FrameWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.cap, self.split = options["path"], int(options.get("cap", CAP)), int(options.get("split", SPLIT))
         if overwrite:
             raise ValueError("frames are only added: write to a new folder")
 
-    def write(self, rows: Iterator[Row]) -> Wrote:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Wrote:
         system, path = fs.FileSystem.from_uri(self.path)
         system.create_dir(path, recursive=True)
         name, at, cut, index = uuid.uuid4().hex, 0, 0, []
-        with system.open_output_stream(f"{path}/.{name}.frames") as out:
-            for number, row in enumerate(rows):
-                payload = bytes(row["payload"])
-                if len(payload) > self.cap:
-                    raise ValueError(f"a payload of {len(payload)} bytes is longer than a frame may be")
+        with system.open_output_stream(f"{path}/.{name}.frames", buffer_size=1 << 20) as out:
+            for number, value in enumerate(value for batch in batches for value in batch.column("payload")):
+                payload = value.as_buffer()
+                if payload is None:
+                    raise ValueError("a frame needs a payload")
+                if payload.size > self.cap:
+                    raise ValueError(f"a payload of {payload.size} bytes is longer than a frame may be")
                 if at - cut >= self.split:
                     index.append(number.to_bytes(8, "big") + at.to_bytes(8, "big"))
                     cut = at
-                out.write(len(payload).to_bytes(4, "big") + payload)
-                at += 4 + len(payload)
+                out.write(payload.size.to_bytes(4, "big"))
+                out.write(payload)
+                at += 4 + payload.size
         with system.open_output_stream(f"{path}/.{name}.frames.index") as out:
             out.write(b"".join(index))
         return Wrote(name)
@@ -164,14 +168,17 @@ def read_frames(spark: SparkSession, path: str, cap: int = CAP) -> DataFrame:
 
 
 def write_frames(payloads: DataFrame, path: str, cap: int = CAP, split: int = SPLIT) -> None:
-    """Adds a frame for each row's ``payload`` (binary)."""
-    payloads.sparkSession.dataSource.register(Frames)
-    payloads.select("payload").write.format("frames").mode("append").option("cap", cap).option("split", split).save(path)
+    """Adds a frame for each row's ``payload`` (binary). A task holds ``HELD`` bytes of them at a time, or one payload."""
+    spark = payloads.sparkSession
+    spark.dataSource.register(Frames)
+    # what a task hands to its writer lies in memory several times over
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(HELD)):
+        payloads.select("payload").write.format("frames").mode("append").option("cap", cap).option("split", split).save(path)
 
 
 def to_frames(changes: DataFrame, most: int = 1000) -> DataFrame:
     """(site_id, part, n, payload): the changes of each site in order, as JSON arrays of ``most`` of them at most, whatever versions they have."""
-    placed = numbered(changes.select(*CHANGELOG.names), ["site_id"], ["db_version", "seq", "tbl", "pk", "cid"], "__n")
+    placed = counted(changes.select(*CHANGELOG.names), ["site_id"], ["db_version", "seq", "tbl", "pk", "cid"], "__n")
     line = F.to_json(F.struct(*CHANGELOG.names), {"ignoreNullFields": "false"})
     lines = placed.select("site_id", F.call_function("div", F.col("__n") - 1, F.lit(most).cast("long")).alias("part"), F.struct("__n", line.alias("line")).alias("item"))
     sets = lines.groupBy("site_id", "part").agg(F.array_sort(F.collect_list("item")).alias("items"))

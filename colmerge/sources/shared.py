@@ -1,9 +1,11 @@
-"""The folder that a cluster shares, tables written to it so that they are computed once, and joins in which nulls match."""
+"""The folder that a cluster shares, tables written to it so that they are computed once, settings for a while, and joins in which nulls match."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -30,6 +32,20 @@ def written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session inside a ``with``. Who finds the value set already leaves it to whoever set it, so that the one of before comes back."""
+    before = spark.conf.get(key, None)
+    if before == value:
+        yield
+        return
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def matched(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """``rows`` joined to ``others`` on ``keys``, of which nulls match nulls."""
     renamed = others.withColumnsRenamed({k: f"__other_{k}" for k in keys})

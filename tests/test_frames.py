@@ -1,5 +1,6 @@
 """Frames: round trips, splits by the index, cut and oversized frames."""
 
+import json
 import random
 
 import pytest
@@ -83,3 +84,71 @@ def test_a_task_reads_many_splits_of_large_data(spark, tmp_path, monkeypatch):
     rows = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
     assert sorted(r["payload"] for r in rows) == sorted(payloads) and all(r["error"] is None for r in rows)
     assert len({(r["file"], r["frame"]) for r in rows}) == 400
+
+
+def test_a_writer_gets_a_few_payloads_at_a_time(spark, tmp_path, monkeypatch):
+    from colmerge.sources import frames
+
+    told = str(tmp_path / "told")
+
+    class Writer(frames.FrameWriter):
+        def write(self, batches):
+            def seen():
+                for batch in batches:
+                    with open(told, "a") as out:
+                        out.write(f"{batch.num_rows} {batch.nbytes}\n")
+                    yield batch
+
+            return super().write(seen())
+
+    class Told(frames.Frames):
+        def writer(self, schema, overwrite):
+            return Writer(dict(self.options), overwrite)
+
+    monkeypatch.setattr(frames, "Frames", Told)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    payloads = spark.range(0, 40, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1_000_000), "UTF-8").alias("payload"))
+    frames.write_frames(payloads, str(tmp_path / "f"))
+    lines = [tuple(map(int, line.split())) for line in (tmp_path / "told").read_text().splitlines()]
+    assert sum(n for n, _ in lines) == 40 and max(size for _, size in lines) < 2 * frames.HELD
+    assert spark.conf.get(key, None) == before
+    monkeypatch.undo()
+    got = read_frames(spark, str(tmp_path / "f"))
+    assert got.agg(F.count("payload"), F.sum("size"), F.count_distinct("payload")).first() == (40, 40_000_000, 1)
+
+
+def test_a_payload_that_is_null_stops_the_write(spark, tmp_path):
+    table = spark.createDataFrame([(bytearray(b"x"),), (None,)], "payload binary").coalesce(1)
+    with pytest.raises(Exception, match="needs a payload"):
+        write_frames(table, str(tmp_path))
+    assert not list(tmp_path.glob("[!.]*.frames"))
+
+
+def test_settings_come_back(spark):
+    from colmerge.sources.shared import setting
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert spark.conf.get(key, None) is None
+    with pytest.raises(ZeroDivisionError), setting(spark, key, "5"):
+        with setting(spark, key, "5"):
+            pass
+        assert spark.conf.get(key) == "5"
+        with setting(spark, key, "6"):
+            assert spark.conf.get(key) == "6"
+        assert spark.conf.get(key) == "5"
+        raise ZeroDivisionError
+    assert spark.conf.get(key, None) is None
+
+
+def test_changes_are_dealt_into_frames_without_a_window_over_them(spark):
+    rows = [("t", f"r{k}", "c", str(k), [None, "A", "B"][k % 7 % 3], 1, 1, 0, k // 2) for k in range(300)]
+    log = spark.createDataFrame(rows, CHANGELOG).repartition(3)
+    frames = to_frames(log, most=10)
+    assert "Window" not in frames._jdf.queryExecution().optimizedPlan().toString()
+    got = {(f["site_id"], f["part"]): [(x["db_version"], x["pk"]) for x in json.loads(bytes(f["payload"]))] for f in frames.collect()}
+    want = {}
+    for site in (None, "A", "B"):
+        own = sorted((r[8], r[1]) for r in rows if r[4] == site)
+        want |= {(site, k // 10): own[k : k + 10] for k in range(0, len(own), 10)}
+    assert got == want

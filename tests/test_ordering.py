@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colmerge.operators import metrics
 from colmerge.operators.delta import in_order, pack, unpack
-from colmerge.operators.ordering import laid_out, numbered, placed, scanned
+from colmerge.operators.ordering import counted, laid_out, numbered, placed, scanned
 from colmerge.operators.stamping import stamp_deletes, stamp_writes
 from colmerge.sources.tables import CHANGELOG, TOMBSTONE
 
@@ -127,3 +127,19 @@ def test_a_bulk_insert_is_packed_in_parts(many_ranges):
     rows = got.filter("site_id = 'A'").orderBy("part").collect()
     assert [c["seq"] for r in rows for c in r["changes"]] == list(range(95))
     assert unpack(got).count() == 96 and pack(log, 10).count() == 2
+
+
+def test_places_in_ranges_give_the_numbers_of_long_groups(many_ranges):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b", "b", "b", "b", ""]), rng.choice([None, 0.0, -0.0]), rng.choice([None, 3, -5, k]), k) for k in range(500)]
+    table = many_ranges.createDataFrame(rows, "g string, h double, x int, k int")
+    got = counted(table, ["g", "h"], ["x", "k"], "n")
+    assert got.columns == ["g", "h", "x", "k", "n"] and dict(got.dtypes)["n"] == "bigint"
+    of = {r["k"]: r["n"] for r in got.collect()}
+    for group in {r[:2] for r in rows}:  # 0.0 and -0.0 are one
+        own = sorted((r for r in rows if r[:2] == group), key=lambda r: first_nulls(*r[2:]))
+        assert [of[r[3]] for r in own] == list(range(1, len(own) + 1))
+    assert len(of) == 500 and counted(table.limit(0), ["g"], ["k"], "n").collect() == []
+    # rows that are equal in all columns get different numbers
+    same = many_ranges.range(300).select(F.lit("a").alias("g"), F.lit(1).alias("x"))
+    assert sorted(r["n"] for r in counted(same, ["g"], ["x"], "n").collect()) == list(range(1, 301))
